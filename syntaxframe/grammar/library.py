@@ -28,7 +28,7 @@ def ini_grammar() -> Grammar:
     g = Grammar("ini", default_whitespace=False, start="source_file")
     g.extra(pattern(r"[ \t\r]"), ref("comment"))
     g.rule("source_file", repeat(choice(ref("section"), ref("directive"), ref("_newline"))))
-    g.rule("section", prec_left(0, seq("[", field("name", ref("section_name")), "]", ref("_newline"), repeat(choice(ref("entry"), ref("note"), ref("_newline"))))))
+    g.rule("section", prec_right(0, seq("[", field("name", ref("section_name")), "]", ref("_newline"), repeat(choice(ref("entry"), ref("note"), ref("_newline"))))))
     g.rule("section_name", pattern(r"[A-Za-z0-9_.-]+"))
     g.rule("entry", seq(field("key", ref("identifier")), "=", field("value", ref("_scalar")), ref("_newline")))
     g.rule("note", seq(field("key", ref("identifier")), ":", field("value", ref("_scalar")), ref("_newline")))
@@ -101,18 +101,20 @@ def html_grammar() -> Grammar:
     g.rule("raw_text", token(prec(1, pattern(r"(?:[^<]|<(?!/(?i:script|style)))+"))))
     tag = lambda name: token(prec(2, pattern(rf"<(?i:{name})(?=[\s>/])")))
     g.rule("link", prec_right(1, seq(tag("a"), attributes, close, opt(field("content", ref("text"))))))
-    g.rule("heading", prec_right(1, seq(field("level", alias(token(prec(2, pattern(r"<[hH][1-6](?=[\s>/])"))), "level")), attributes, close, opt(field("content", ref("text"))))))
-    g.rule("title", prec_right(1, seq(tag("title"), attributes, close, opt(field("content", ref("text"))))))
+    g.rule("heading", prec_right(1, seq(field("level", alias(token(prec(2, pattern(r"<[hH][1-6](?=[\s>/])"))), "level")), attributes, close, opt(field("content", ref("inner_text"))))))
+    g.rule("title", prec_right(1, seq(tag("title"), attributes, close, opt(field("content", ref("inner_text"))))))
     g.rule("element_start", seq(token(prec(1, "<")), field("name", ref("tag_name")), attributes, close))
     g.rule("element_end", seq(token(prec(1, "</")), field("name", ref("tag_name")), opt(blanks), ">"))
     g.rule("tag_name", immediate_token(pattern(r"[A-Za-z][A-Za-z0-9:-]*")))
-    g.rule("attribute", seq(field("name", ref("attribute_name")), opt(seq(pattern(r"\s*=\s*"), field("value", ref("_attribute_value"))))))
+    g.rule("attribute", seq(field("key", ref("attribute_name")), opt(seq(pattern(r"\s*=\s*"), field("value", ref("_attribute_value"))))))
     g.rule("attribute_name", pattern(r"[^\s\"'<>/=]+"))
     g.rule("_attribute_value", choice(ref("quoted_value"), ref("bare_value")))
     g.rule("quoted_value", choice(seq('"', opt(ref("value_content")), token('"')), seq("'", opt(alias(ref("single_content"), "value_content")), token("'"))))
     g.rule("value_content", token(prec(1, pattern(r'[^"]+'))))
     g.rule("single_content", token(prec(1, pattern(r"[^']+"))))
     g.rule("bare_value", pattern(r"[^\s\"'<>=`]+"))
+    # Titles and headings keep their entities.
+    g.rule("inner_text", token(prec(1, pattern(r"[^<]+"))))
     g.rule("entity", pattern(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"))
     g.rule("text", pattern(r"[^<&]+"))
     g.rule("stray", token(prec(-5, pattern(r"[<&]"))))
