@@ -32,13 +32,13 @@ from . import textkit as tk
 from .shared import LAST_ID, parts_for, written
 
 WINDOW = 13
-GRAM = 4
+GRAM = 3
 #: A minimiser is hot if it leads this share of a chunk's super-k-mers, and of all of them.
 HOT_SHARE = 1 / 2000
 #: Documents handled together before packing, in bytes.
-PACK_BYTES = 8 << 20
+PACK_BYTES = 3 << 20
 #: Text for each bucket.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 
 _U = np.uint64
 _HOT = _U(1 << 63)
@@ -49,9 +49,10 @@ _PACK_ARROW = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), *_SPAN
 
 
 def text_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    raw = data.tobytes()
-    at = offsets.tolist()
-    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1], at[1:])], np.uint64).view(np.int64)
+    """A key of each text, to tell rows with equal ids apart. 40 bits do for that, and travel in less space."""
+    raw, at = data.tobytes(), offsets.tolist()
+    found = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1], at[1:])], np.uint64)
+    return (found >> _U(24)).view(np.int64)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -145,22 +146,21 @@ def _packs(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) ->
         row = chunk.row[first]
         start_word, end_word = chunk.at[first], chunk.at[stop - 1] + WINDOW
         byte_from, byte_to = words.starts[start_word], words.ends[end_word - 1]
-        heads = np.rec.fromarrays(
-            [ids[row], keys[row], (start_word - words.first[row]).astype(np.int32), (stop - first).astype(np.int32), (byte_to - byte_from).astype(np.int32)],
-            dtype=_HEAD,
-        )
+        heads = [ids[row], keys[row], start_word - words.first[row], byte_to - byte_from]
+        heads = [column.astype(kind) for column, kind in zip(heads, _HEAD)]
         raw, edge = data.tobytes(), np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         froms, tos = byte_from.tolist(), byte_to.tolist()
         names, blobs = [], []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             body = b"".join([raw[froms[i] : tos[i]] for i in range(a, b)])
-            blobs.append(squeeze.compress(struct.pack("<i", b - a) + heads[a:b].tobytes() + body))
+            blobs.append(squeeze.compress(b"".join([struct.pack("<i", b - a), *(h[a:b].tobytes() for h in heads), body])))
             names.append(int(bucket[a]))
         empty = [pa.nulls(len(names), f.type) for f in _SPAN_ARROW]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), *empty], schema=_PACK_ARROW)
 
 
-_HEAD = np.dtype([("id", "<i8"), ("text", "<i8"), ("at", "<i4"), ("n", "<i4"), ("bytes", "<i4")])
+#: Column types of a pack's heads: document id, text key, word number of the start, bytes.
+_HEAD = ("<i8", "<i8", "<i4", "<i4")
 
 
 def _spans(chunk: _Chunk, lost: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -220,28 +220,32 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(packed: list[bytes]) -> pa.RecordBatch:
-    opener, heads, bodies = zstandard.ZstdDecompressor(), [], []
+    opener, heads, bodies = zstandard.ZstdDecompressor(), [[] for _ in _HEAD], []
     for blob in packed:
         raw = opener.decompress(blob)
-        (n,) = struct.unpack_from("<i", raw)
-        heads.append(np.frombuffer(raw, _HEAD, n, 4))
-        bodies.append(raw[4 + n * _HEAD.itemsize :])
-    head, data = np.concatenate(heads), np.frombuffer(b"".join(bodies), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(head["bytes"], dtype=np.int64)])
+        (n,), at = struct.unpack_from("<i", raw), 4
+        for held, kind in zip(heads, _HEAD):
+            held.append(np.frombuffer(raw, kind, n, at))
+            at += held[-1].nbytes
+        bodies.append(raw[at:])
+    ids, keys, place, size = map(np.concatenate, heads)
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    del bodies, heads
+    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     words = tk.Words(data, offsets, tk.PLAIN_WORD)
     at = words.windows(WINDOW)
     run = np.searchsorted(words.first, at, side="right") - 1
     hashes = tk.rolled(words.hashes(), WINDOW)[at]
-    lost = np.flatnonzero(beaten(hashes, head["id"][run], _same_words(data, words.starts, words.ends, at)))
+    lost = np.flatnonzero(beaten(hashes, ids[run], _same_words(data, words.starts, words.ends, at)))
     at, run = at[lost], run[lost]
     new = np.ones(len(lost), bool)
     new[1:] = (np.diff(at) > 1) | (np.diff(run) != 0)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(lost)) - 1 if len(first) else first
     run = run[first]
-    start = head["at"][run] + (at[first] - words.first[run])
-    stop = head["at"][run] + (at[last] - words.first[run]) + WINDOW
-    found = [head["id"][run], head["text"][run], start.astype(np.int32), stop.astype(np.int32)]
+    start = place[run] + (at[first] - words.first[run])
+    stop = place[run] + (at[last] - words.first[run]) + WINDOW
+    found = [ids[run], keys[run], start.astype(np.int32), stop.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_SPAN_ARROW)
 
 
