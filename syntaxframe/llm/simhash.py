@@ -34,7 +34,9 @@ MAX_BITS = 2
 #: Distinct fingerprints that the driver sees, to choose vantage points. They steer the dealing, never the result.
 SAMPLE_ROWS = 1 << 15
 #: Distinct fingerprints of one shard.
-SHARD_ROWS = 1 << 14
+SHARD_ROWS = 1 << 12
+#: Rows that both sides of a split hold together, as a multiple of the rows split.
+MOST_COPIED = 1.3
 #: Compared all with all inside a shard.
 DIRECT_ROWS = 256
 
@@ -84,19 +86,20 @@ def _sides(prints: np.ndarray, vantage: int, radius: int) -> tuple[np.ndarray, n
 
 
 def _split(prints: np.ndarray) -> tuple[int, int] | None:
-    """A vantage point and radius that part the fingerprints, or None if they are too close together."""
-    best = None
+    """A vantage point and radius that part the fingerprints, or None if too many are near any border: splitting such
+    a ball would copy it into both sides over and over."""
+    best, most = None, MOST_COPIED * len(prints)
     for k in range(4):
         vantage = int(prints[(len(prints) * (2 * k + 1)) // 8])
         radius = int(np.median(np.bitwise_count(prints ^ _U(vantage))))
         for r in (radius, radius - 1):
             inside, outside = _sides(prints, vantage, r)
-            largest = max(inside.sum(), outside.sum())
-            if best is None or largest < best[0]:
-                best = largest, vantage, r
-        if best[0] < 0.7 * len(prints):
+            a, b = int(inside.sum()), int(outside.sum())
+            if a + b <= most and (best is None or max(a, b) < best[0]):
+                best = max(a, b), vantage, r
+        if best and best[0] < 0.7 * len(prints):
             break
-    return best[1:] if best[0] < 0.9 * len(prints) else None
+    return best[1:] if best and best[0] < 0.9 * len(prints) else None
 
 
 def grow(sample: np.ndarray, least: int) -> list | None:
@@ -129,8 +132,8 @@ def pairs(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if cut is not None:
             stack += [held[side] for side in _sides(held, *cut)]
         elif len(held) <= 4096:
-            for a in range(0, len(held), 1024):
-                near = np.bitwise_count(held[a : a + 1024, None] ^ held[None, :]) <= MAX_BITS
+            for a in range(0, len(held), 128):
+                near = np.bitwise_count(held[a : a + 128, None] ^ held[None, :]) <= MAX_BITS
                 i, j = np.nonzero(near)
                 fine = i + a < j
                 yield held[i[fine] + a], held[j[fine]]
@@ -152,18 +155,20 @@ def stars(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each fingerprint with a link: itself and the least of its group inside this shard."""
     prints = np.unique(prints)
     label = np.arange(len(prints))
-    found = [(np.searchsorted(prints, a), np.searchsorted(prints, b)) for a, b in pairs(prints) if len(a)]
-    if found:
-        a, b = (np.concatenate(x) for x in zip(*found))
-        while True:
-            low = np.minimum(label[a], label[b])
-            fresh = label.copy()
-            np.minimum.at(fresh, label[a], low)
-            np.minimum.at(fresh, label[b], low)
-            fresh = fresh[fresh]
-            if (fresh == label).all():
-                break
-            label = fresh
+
+    def root(x: np.ndarray) -> np.ndarray:
+        while (up := label[x]).tobytes() != x.tobytes():
+            x = up
+        return x
+
+    # Pieces of pairs are joined as they come; they are never held together.
+    for left, right in pairs(prints):
+        a, b = np.searchsorted(prints, left), np.searchsorted(prints, right)
+        while len(a):
+            a, b = root(a), root(b)
+            a, b = a[a != b], b[a != b]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+    label = root(label)
     linked = np.flatnonzero(label != np.arange(len(prints)))
     return prints[linked], prints[label[linked]]
 
