@@ -21,6 +21,8 @@ as larger than every other; rows with equal id and equal text get equal results;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,43 +31,55 @@ from .shared import last_if_null, written
 MIN_WORDS = 5
 #: Lengths that share a pair of halves, in words.
 STEP = 8
-#: Lines fetched by a broadcast of their hashes; more are fetched by a shuffled join.
-BROADCAST_ROWS = 200_000
-_SALT = 7919
+#: Rows of hashes sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: Variants of lines of up to so many words are made inside the row; those of longer lines by a running window over words.
+ROW_WORDS = 256
+
+_AT = ("k_id", "k_text", "no")
+
 
+def plain(line: Column) -> Column:
+    """The line's words with one space between them. Lines that are so already are left alone."""
+    odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r") | line.contains("  ")
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
-def words_of(line: Column) -> Column:
-    spaces = "\t\x0b\x0c\r"
-    return F.array_remove(F.split(F.translate(line, spaces, " " * len(spaces)), " "), "")
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    return docs.select(last_if_null(F.col(id_col)).alias("k_id"), F.xxhash64(text_col).alias("k_text"), F.col(text_col).alias("text"))
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(k_id, k_text, no, words) of every line with enough words."""
-    keyed = docs.select(last_if_null(F.col(id_col)).alias("k_id"), F.xxhash64(text_col).alias("k_text"), F.col(text_col).alias("text"))
-    out = keyed.select("k_id", "k_text", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return out.select("k_id", "k_text", "no", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    """(k_id, k_text, no, line, n) of every line with enough words."""
+    out = _keyed(docs, text_col, id_col).select("k_id", "k_text", F.posexplode(F.transform(F.split("text", "\n"), plain)).alias("no", "line"))
+    # A line has more words than its part before the (MIN_WORDS - 1)th space, if that part is not all of it.
+    out = out.where(F.substring_index("line", " ", MIN_WORDS - 1) != F.col("line"))
+    return out.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
 
 
-def _identity() -> list[Column]:
-    return [F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(_SALT)).alias("h2")]
+def _fetched(docs: DataFrame, text_col: str, id_col: str, places: DataFrame) -> DataFrame:
+    """(k_id, k_text, no, line, n) of the lines at places(k_id, k_text, no)."""
+    wanted = written(places.groupBy("k_id", "k_text").agg(F.collect_set("no").alias("wanted")), "wanted-lines")
+    found = _joined(_keyed(docs, text_col, id_col), wanted, ["k_id", "k_text"]).withColumn("lines", F.split("text", "\n"))
+    each = F.transform("wanted", lambda i: F.struct(i.alias("no"), plain(F.element_at(F.col("lines"), i + 1)).alias("line")))
+    out = found.select("k_id", "k_text", F.inline(each))
+    return out.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
 
 
-def _half_keys(n: Column) -> list[Column]:
+def _half_keys() -> dict[str, Column]:
     """Keys of a line's halves: for its own length class, and for the class below if a line one word shorter is in it."""
-    out = []
-    for reach, present in ((n - n % STEP, F.lit(True)), (n - n % STEP - STEP, n % STEP == 0)):
-        # A class of length 0 has no halves to compare: its lines are all candidates of each other by their length.
-        half = F.greatest(F.floor(reach / 2), F.lit(2)).cast("int")
-        for side, part in ((0, F.slice("words", 1, half)), (1, F.slice("words", -half, half))):
-            out.append(F.when(present, F.xxhash64(part, reach, F.lit(side))))
+    out = {}
+    for name, reach, present in (("own", f"(n - n % {STEP})", "true"), ("below", f"(n - n % {STEP} - {STEP})", f"n % {STEP} = 0")):
+        # The class of the shortest lines has halves of two words.
+        half = f"cast(greatest({reach} div 2, 2) as int)"
+        for side, sign in (("head", ""), ("tail", "-")):
+            out[f"{name}_{side}"] = F.expr(f"if({present}, xxhash64(substring_index(line, ' ', {sign}{half}), {reach}, '{side}'), null)")
     return out
 
 
-def _fetch(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """lines whose (h1, h2) is chosen, with their words."""
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    return lines.join(chosen, ["h1", "h2"], "left_semi")
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a written table, broadcast if it has few rows."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -79,62 +93,76 @@ def _near(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (agree(a, b) + agree(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
-def losing_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines that have a near line standing earlier.
-
-    firsts: (h1, h2, at, halves) of distinct lines; lines: (h1, h2, words, at) of all lines.
-    """
-    halves = firsts.select("h1", "h2", F.explode(F.filter("halves", lambda k: k.isNotNull())).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    chosen = written(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct(), "candidates")
-    # One copy of each: the earliest.
-    texts = _fetch(lines, chosen).join(firsts.select("h1", "h2", "at"), ["h1", "h2", "at"], "left_semi")
-    texts = written(texts.dropDuplicates(["h1", "h2"]), "candidate-lines")
-
-    word = texts.select("h1", "h2", "at", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    word = word.withColumn("here", F.xxhash64("word", "i")).withColumn("left", F.xxhash64("word", F.col("i") - 1))
-    line = Window.partitionBy("h1", "h2").orderBy("i")
+def _variants(texts: DataFrame) -> DataFrame:
+    """(k_id, k_text, no, i, key): lines without their i-th word, and (i = -1) whole. Order counts in a key: it is the
+    exclusive or of each word hashed with its place."""
+    words = texts.withColumn("words", F.split("line", " "))
+    short = words.where(F.col("n") <= ROW_WORDS)
+    short = short.withColumns(
+        {"here": F.transform("words", lambda w, i: F.xxhash64(w, i)), "left": F.transform("words", lambda w, i: F.xxhash64(w, i - 1))}
+    )
+    folded = "aggregate({}, 0L, (x, y) -> x ^ y)"
+    each = f"transform(sequence(0, n - 1), i -> struct(i, {folded.format('slice(here, 1, i)')} ^ {folded.format('slice(left, i + 2, n)')} as key))"
+    each = f"concat({each}, array(struct(-1 as i, {folded.format('here')} as key)))"
+    short = short.select(*_AT, F.inline(F.expr(each))).select(*_AT, "i", "key")
+
+    word = words.where(F.col("n") > ROW_WORDS).select(*_AT, F.posexplode("words").alias("i", "word"))
+    word = word.select(*_AT, "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("left"))
+    line = Window.partitionBy(*_AT).orderBy("i")
     before = F.coalesce(F.expr("bit_xor(here)").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     after = F.coalesce(F.expr("bit_xor(left)").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    gone = word.select("h1", "h2", "at", "i", (F.col("n") - 1).alias("n"), before.bitwiseXOR(after).alias("key"))
-    whole = word.groupBy("h1", "h2", "at", "n").agg(F.expr("bit_xor(here)").alias("key"))
-    whole = whole.select("h1", "h2", "at", F.lit(-1).alias("i"), "n", "key")
-    variants = written(gone.unionByName(whole), "variants")
+    gone = word.select(*_AT, "i", before.bitwiseXOR(after).alias("key"))
+    whole = word.groupBy(*_AT).agg(F.expr("bit_xor(here)").alias("key")).select(*_AT, F.lit(-1).alias("i"), "key")
+    return short.unionByName(gone).unionByName(whole)
+
 
+def losing_lines(seen: DataFrame, firsts: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(k_id, k_text, no) of first occurrences of distinct lines that have a near line standing earlier.
+
+    seen: all lines with h1 and the keys of their halves; firsts: (h1, h2, at) of distinct lines; fetch: from places to
+    lines with their words.
+    """
+    keys = F.filter(F.array(*_half_keys()), lambda k: k.isNotNull())
+    halves = seen.select("h1", F.explode(keys).alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
+    shared = written(shared.select("half"), "halves")
+    chosen = written(_joined(halves, shared, ["half"], "left_semi").select("h1").distinct(), "candidates")
+    places = written(_joined(firsts, chosen, ["h1"], "left_semi").select("at.*"), "candidate-places")
+    texts = written(fetch(places), "candidate-lines")
+
+    variants = written(_variants(texts), "variants")
+    at = F.struct(*_AT)
+    common = variants.groupBy("key").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select("key")
+    common = written(common, "variant-keys")
+    variants = written(_joined(variants, common, ["key"], "left_semi").select("key", "i", at.alias("at")), "common-variants")
     # Replaced words: among lines without their i-th word, the earliest. Missing words: i = -1 against all the others.
-    entry = F.struct("at", "h1", "h2")
-    by_place = variants.groupBy("n", "key", "i").agg(F.min(entry).alias("first"), F.count("*").alias("lines"))
-    by_key = by_place.groupBy("n", "key").agg(
-        F.min(F.when(F.col("i") == -1, F.col("first"))).alias("short"),
-        F.min(F.when(F.col("i") >= 0, F.col("first"))).alias("long"),
+    by_place = variants.groupBy("key", "i").agg(F.min("at").alias("first"))
+    by_key = by_place.groupBy("key").agg(
+        F.min(F.when(F.col("i") == -1, F.col("first"))).alias("short"), F.min(F.when(F.col("i") >= 0, F.col("first"))).alias("long")
     )
-    places = by_place.where("i >= 0 and lines > 1").select("n", "key", "i", "first")
-    keys = by_key.where("short is not null and long is not null")
-    by_replacing = variants.join(places, ["n", "key", "i"]).select("h1", "h2", "at", "first")
+    by_replacing = variants.join(by_place.where("i >= 0"), ["key", "i"]).select("at", "first")
     rival = F.when(F.col("i") == -1, F.col("long")).otherwise(F.col("short"))
-    by_missing = variants.join(keys, ["n", "key"]).select("h1", "h2", "at", rival.alias("first"))
-    beaten = by_replacing.unionByName(by_missing).where("first.at < at")
-    beaten = beaten.groupBy("h1", "h2").agg(F.min("first").alias("first"))
-    words = texts.select("h1", "h2", "words")
-    other = words.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("other"))
-    beaten = beaten.join(words, ["h1", "h2"]).join(other, (F.col("first.h1") == F.col("o1")) & (F.col("first.h2") == F.col("o2")))
-    return beaten.where(_near(F.col("words"), F.col("other"))).select("h1", "h2")
+    by_missing = variants.join(by_key, "key").select("at", rival.alias("first"))
+    beaten = by_replacing.unionByName(by_missing).where("first < at").groupBy("at").agg(F.min("first").alias("first"))
+    # The check, word for word.
+    words = texts.select(at.alias("at"), F.split("line", " ").alias("words")).dropDuplicates(["at"])
+    other = words.select(F.col("at").alias("first"), F.col("words").alias("other"))
+    return beaten.join(words, "at").join(other, "first").where(_near(F.col("words"), F.col("other"))).select("at.*")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k_id, k_text, gone): for each document that loses lines, their numbers from 0, ascending."""
-    lines = _lines(docs, text_col, id_col).withColumn("at", F.struct("k_id", "k_text", "no"))
-    seen = lines.select(*_identity(), "at", F.array(*_half_keys(F.size("words"))).alias("halves"))
+    lines = _lines(docs, text_col, id_col)
+    seen = lines.select(*_AT, F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), *(c.alias(k) for k, c in _half_keys().items()))
     seen = written(seen, "lines")
-    firsts = seen.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("halves").alias("halves"), F.count("*").alias("times"))
-    firsts = written(firsts, "distinct-lines")
-    losers = losing_lines(firsts, lines.select(*_identity(), "words", "at")).withColumn("lost", F.lit(True))
-    acting = firsts.join(losers, ["h1", "h2"], "left").where("lost or times > 1")
-    acting = acting.select("h1", "h2", F.col("at").alias("first"), F.coalesce("lost", F.lit(False)).alias("lost"))
-    gone = seen.select("h1", "h2", "at").join(acting, ["h1", "h2"]).where("lost or at <> first")
-    grouped = gone.groupBy(F.col("at.k_id").alias("k_id"), F.col("at.k_text").alias("k_text"))
+    at = F.struct(*_AT)
+    firsts = written(seen.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("times")), "distinct-lines")
+    lost = written(losing_lines(seen, firsts, lambda places: _fetched(docs, text_col, id_col, places)), "losing-lines").select(at.alias("at"), F.lit(True).alias("lost"))
+    acting = firsts.join(lost, "at", "left").where("lost or times > 1")
+    acting = written(acting.select("h1", "h2", F.col("at").alias("first"), F.coalesce("lost", F.lit(False)).alias("lost")), "acting-lines")
+    gone = _joined(seen.select("h1", "h2", *_AT), acting, ["h1", "h2"]).where(F.col("lost") | (at != F.col("first")))
     # Equal rows (same id, same text) name a line twice.
-    return grouped.agg(F.array_sort(F.collect_set("at.no")).alias("gone"))
+    return gone.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
