@@ -34,7 +34,7 @@ STEP = 8
 #: Rows of hashes sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 #: Variants of lines of up to so many words are made inside the row; those of longer lines by a running window over words.
-ROW_WORDS = 256
+ROW_WORDS = 8192
 
 _AT = ("k_id", "k_text", "no")
 
@@ -60,7 +60,7 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def _fetched(docs: DataFrame, text_col: str, id_col: str, places: DataFrame) -> DataFrame:
     """(k_id, k_text, no, line, n) of the lines at places(k_id, k_text, no)."""
     wanted = written(places.groupBy("k_id", "k_text").agg(F.collect_set("no").alias("wanted")), "wanted-lines")
-    found = _joined(_keyed(docs, text_col, id_col), wanted, ["k_id", "k_text"]).withColumn("lines", F.split("text", "\n"))
+    found = _joined(_keyed(docs, text_col, id_col), wanted, ["k_id", "k_text"], values=places.count()).withColumn("lines", F.split("text", "\n"))
     each = F.transform("wanted", lambda i: F.struct(i.alias("no"), plain(F.element_at(F.col("lines"), i + 1)).alias("line")))
     out = found.select("k_id", "k_text", F.inline(each))
     return out.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
@@ -77,9 +77,9 @@ def _half_keys() -> dict[str, Column]:
     return out
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join with a written table, broadcast if it has few rows."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", values: int | None = None) -> DataFrame:
+    """A join with a written table, broadcast if it has few rows (or, where its rows hold arrays, few values)."""
+    return left.join(F.broadcast(right) if (right.count() if values is None else values) <= BROADCAST_ROWS else right, on, how)
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -101,9 +101,10 @@ def _variants(texts: DataFrame) -> DataFrame:
     short = short.withColumns(
         {"here": F.transform("words", lambda w, i: F.xxhash64(w, i)), "left": F.transform("words", lambda w, i: F.xxhash64(w, i - 1))}
     )
-    folded = "aggregate({}, 0L, (x, y) -> x ^ y)"
-    each = f"transform(sequence(0, n - 1), i -> struct(i, {folded.format('slice(here, 1, i)')} ^ {folded.format('slice(left, i + 2, n)')} as key))"
-    each = f"concat({each}, array(struct(-1 as i, {folded.format('here')} as key)))"
+    running = "aggregate({}, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) ^ x)))"
+    short = short.withColumns({"before": F.expr(running.format("here")), "upto": F.expr(running.format("left"))})
+    each = "transform(sequence(0, n - 1), i -> struct(i, before[i] ^ upto[n] ^ upto[i + 1] as key))"
+    each = f"concat({each}, array(struct(-1 as i, before[n] as key)))"
     short = short.select(*_AT, F.inline(F.expr(each))).select(*_AT, "i", "key")
 
     word = words.where(F.col("n") > ROW_WORDS).select(*_AT, F.posexplode("words").alias("i", "word"))
