@@ -129,9 +129,10 @@ def mixture(docs: DataFrame) -> DataFrame:
     rows, sources = placed(docs)
     rows = written(rows, "placed")
     drawn = slots_of(sources).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    used = blocks_of(rows.select("row", "rank", "start", "size")).join(drawn, ["rank", "block"])
+    # The planner takes exploded rows for as few as they came from, and would broadcast them: ask for a merge.
+    used = blocks_of(rows.select("row", "rank", "start", "size")).join(drawn.hint("merge"), ["rank", "block"])
     taken = used.groupBy("row").agg(F.sum((F.col("word_to") - F.col("word_from")) * F.col("times")).alias("taken"))
-    out = rows.join(taken, "row", "left")
+    out = rows.join(taken.hint("merge"), "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -146,5 +147,5 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     parts = blocks_of(rows).select("rank", "block", "start", "row", "word_from", "word_to")
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, (F.col("word_from") + 1).cast("int"), (F.col("word_to") - F.col("word_from")).cast("int")), " ")
-    parts = parts.join(docs.select("row", "doc_id", "text"), "row").select("rank", "block", "start", "doc_id", cut.alias("text"))
-    return slots_of(sources).join(parts, ["rank", "block"]).select("shard", "slot", F.col("start").alias("part"), "doc_id", "text")
+    parts = parts.join(docs.select("row", "doc_id", "text").hint("merge"), "row").select("rank", "block", "start", "doc_id", cut.alias("text"))
+    return slots_of(sources).join(parts.hint("merge"), ["rank", "block"]).select("shard", "slot", F.col("start").alias("part"), "doc_id", "text")
