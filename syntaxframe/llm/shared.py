@@ -32,17 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of df's bytes; steers partition counts only, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions of about bytes_each, at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, plan_bytes(df) // bytes_each + 1))
-
-
 def last_if_null(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(LAST_ID))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import LAST_ID, parts_for, written
+from .shared import LAST_ID, written
 
 WINDOW = 13
 GRAM = 3
@@ -37,8 +37,8 @@ GRAM = 3
 HOT_SHARE = 1 / 2000
 #: Documents handled together before packing, in bytes.
 PACK_BYTES = 3 << 20
-#: Text for each bucket.
-BUCKET_BYTES = 2 << 20
+#: Text for each bucket, in bytes.
+BUCKET_BYTES = 4 << 20
 
 _U = np.uint64
 _HOT = _U(1 << 63)
@@ -185,14 +185,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimisers that lead many super-k-mers of a chunk; and, under -1, how many super-k-mers there are."""
+    """Minimisers that lead many super-k-mers of a chunk; and, under -1, how many super-k-mers there are; under -2, bytes."""
     for ids, data, offsets in _texts(batches):
         chunk = _Chunk(ids, data, offsets, np.zeros(0, np.uint64))
         first, _ = chunk.runs(np.arange(len(chunk.at)))
         gram, n = np.unique(chunk.lead[first], return_counts=True)
         heavy = n >= max(2, len(first) * HOT_SHARE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(gram[heavy].view(np.int64), -1)), pa.array(np.append(n[heavy], len(first)).astype(np.int64))], names=["gram", "n"]
+            [pa.array(np.append(gram[heavy].view(np.int64), [-1, -2])), pa.array(np.append(n[heavy], [len(first), len(data)]).astype(np.int64))], names=["gram", "n"]
         )
 
 
@@ -253,21 +253,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k_id, k_text, start, stop): word ranges of docs(doc_id, text) whose windows start in a document with a smaller id."""
     counts = docs.mapInArrow(_hot_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "minimisers")
-    total = counts.where("gram = -1").agg(F.sum("n")).first()[0] or 0
+    sizes = dict(map(tuple, counts.where("gram < 0").collect()))
+    total = sizes.get(-1, 0)
     # Each has over HOT_SHARE of all super-k-mers, so there are fewer than 1 / HOT_SHARE of them.
-    rows = counts.where((F.col("gram") != -1) & (F.col("n") > total * HOT_SHARE)).select("gram").collect()
+    rows = counts.where((F.col("gram") >= 0) & (F.col("n") > total * HOT_SHARE)).select("gram").collect()
     hot = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-    buckets = parts_for(docs, BUCKET_BYTES)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, sizes.get(-2, 0) // BUCKET_BYTES + 1)
 
     packs = docs.mapInArrow(lambda it: _packs(it, hot, buckets), "bucket int, packed binary, " + _SPAN)
     return packs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, _SPAN)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    opener = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(*(batch.column(i) for i in range(3))):
-            words = (text.as_py() or "").encode().split()
+        for doc_id, packed, spans in zip(*(batch.column(i) for i in range(3))):
+            words = opener.decompress(packed.as_py()).split()
             gone = np.zeros(len(words) + 1, np.int64)
             for span in spans.as_py() or ():
                 gone[span["start"]] += 1
@@ -289,12 +292,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = repeated_spans(docs).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts travel to their spans compressed."""
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row, end, data, offsets in tk.chunks(batch.column(1)):
-                part = batch.slice(row, end - row)
-                ids = part.column(0).fill_null(LAST_ID)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, pa.array(text_key(data, offsets))], names=["doc_id", "text", "k_id", "k_text"])
+                part, raw, at = batch.slice(row, end - row), data.tobytes(), offsets.tolist()
+                packed = [squeeze.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
+                columns = [part.column(0), pa.array(packed, pa.binary()), part.column(0).fill_null(LAST_ID), pa.array(text_key(data, offsets))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "packed", "k_id", "k_text"])
 
-    left = docs.mapInArrow(keyed, "doc_id long, text string, k_id long, k_text long")
-    joined = left.join(spans, ["k_id", "k_text"], "left").select("doc_id", "text", "spans")
+    left = docs.mapInArrow(keyed, "doc_id long, packed binary, k_id long, k_text long")
+    joined = left.join(spans, ["k_id", "k_text"], "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(_apply, SCHEMA + ", kept string")
