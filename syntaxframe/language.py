@@ -28,6 +28,7 @@ from .plans.explain import pattern_text
 from .plans.extract import FAILURE, field_rows, raw_rows, record_rows, wanted
 from .plans.raw import MATCHES, match_batches
 from .schema import NodeSchema
+from .sources.docs import spread
 from .valuemap import ValueMap
 
 
@@ -150,7 +151,7 @@ class Language:
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return parse_batches(batches, _worker_parser(sent), want, carried)
 
-        return docs.select(*carried, F.col(text_col).alias("text")).mapInArrow(parse, schema)
+        return spread(docs.select(*carried, F.col(text_col).alias("text"))).mapInArrow(parse, schema)
 
     def extractor(self, model: type[OutputModel], strict: bool = True) -> Extractor:
         key = model, strict
@@ -205,7 +206,7 @@ class Extractor:
         sent, source = self.language._sent(docs.sparkSession), self.spec.raw
         declared = [n for b in self.spec.captures for n in (b.key, b.name)]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), MATCHES])
-        matches = docs.select(*carried, F.col(text_col).alias("text")).mapInArrow(
+        matches = spread(docs.select(*carried, F.col(text_col).alias("text"))).mapInArrow(
             lambda batches: match_batches(batches, _worker_parser(sent), source, declared, carried), schema
         )
         return raw_rows(matches, self.checked, carried)

@@ -47,18 +47,13 @@ class Analyzer:
 
     def feeds(self, kind: str, target: str, values: ValueMap | None) -> bool:
         """May this kind's text become this type? The committed map decides kinds that it names, the draft the others."""
+        if target == "str" and self.schema is not None:
+            # Any text will do: a leaf or a wrapper, whatever scalar it may hold besides.
+            return self.is_text(kind) or (values is not None and (kind in values.wrappers or values.scalars.get(kind) == "str"))
         for held in (values, self.draft()):
-            if held is None:
-                continue
-            if kind in held.scalars:
+            if held is not None and kind in held.scalars:
                 return kind in held.scalar_kinds_for(target)
-            if kind in held.wrappers:
-                return target == "str"
-            if kind in held.arrays:
-                return target == "str"
-        if target != "str" or self.schema is None:
-            return self.schema is None
-        return self.is_text(kind)
+        return self.schema is None
 
     def is_text(self, kind: str) -> bool:
         """A leaf, or a wrapper one level deep; never a supertype or a kind with fields."""

@@ -25,3 +25,20 @@ def from_table(df: DataFrame, doc_id: str | Column, text: str | Column, *keep: s
 def nested(nodes: DataFrame, kind: str) -> DataFrame:
     """Nodes of a kind as documents of their own: doc_id, outer node and line, text. Their text must have been kept."""
     return nodes.where((F.col("kind") == kind) & F.col("text").isNotNull()).select("doc_id", F.col("node_id").alias("outer_node"), F.col("start_row").alias("outer_row"), "text")
+
+
+#: Input for each core that is spread over all cores before parsing, at most.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, if they come from fewer files than there are cores and are small enough to move.
+
+    Parsing costs far more than reading, and one small file is one task. Large inputs have splits enough and stay as they are.
+    """
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = len(docs._jdf.inputFiles())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if 0 < files < cores and size <= cores * SPREAD_BYTES else docs
