@@ -36,7 +36,7 @@ BROADCAST_ROWS = 250_000
 #: Variants of lines of up to so many words are made inside the row; those of longer lines by a running window over words.
 ROW_WORDS = 8192
 
-_AT = ("k_id", "k_text", "no")
+_AT = ["k_id", "k_text", "no"]
 
 
 def plain(line: Column) -> Column:
@@ -129,7 +129,7 @@ def losing_lines(seen: DataFrame, firsts: DataFrame, fetch: Callable[[DataFrame]
     shared = written(shared.select("half"), "halves")
     chosen = written(_joined(halves, shared, ["half"], "left_semi").select("h1").distinct(), "candidates")
     places = written(_joined(firsts, chosen, ["h1"], "left_semi").select("at.*"), "candidate-places")
-    texts = written(fetch(places), "candidate-lines")
+    texts = written(fetch(places).dropDuplicates(_AT), "candidate-lines")
 
     variants = written(_variants(texts), "variants")
     at = F.struct(*_AT)
@@ -137,16 +137,19 @@ def losing_lines(seen: DataFrame, firsts: DataFrame, fetch: Callable[[DataFrame]
     common = written(common, "variant-keys")
     variants = written(_joined(variants, common, ["key"], "left_semi").select("key", "i", at.alias("at")), "common-variants")
     # Replaced words: among lines without their i-th word, the earliest. Missing words: i = -1 against all the others.
-    by_place = variants.groupBy("key", "i").agg(F.min("at").alias("first"))
+    # The minima are written, so that joins with them are plain ones, whose hot keys adaptive execution splits.
+    by_place = written(variants.groupBy("key", "i").agg(F.min("at").alias("first")), "variant-places")
     by_key = by_place.groupBy("key").agg(
         F.min(F.when(F.col("i") == -1, F.col("first"))).alias("short"), F.min(F.when(F.col("i") >= 0, F.col("first"))).alias("long")
     )
+    by_key = written(by_key.where("short is not null and long is not null"), "variant-lengths")
     by_replacing = variants.join(by_place.where("i >= 0"), ["key", "i"]).select("at", "first")
     rival = F.when(F.col("i") == -1, F.col("long")).otherwise(F.col("short"))
     by_missing = variants.join(by_key, "key").select("at", rival.alias("first"))
     beaten = by_replacing.unionByName(by_missing).where("first < at").groupBy("at").agg(F.min("first").alias("first"))
+    beaten = written(beaten, "beaten-lines")
     # The check, word for word.
-    words = texts.select(at.alias("at"), F.split("line", " ").alias("words")).dropDuplicates(["at"])
+    words = texts.select(at.alias("at"), F.split("line", " ").alias("words"))
     other = words.select(F.col("at").alias("first"), F.col("words").alias("other"))
     return beaten.join(words, "at").join(other, "first").where(_near(F.col("words"), F.col("other"))).select("at.*")
 
