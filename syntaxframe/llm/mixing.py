@@ -41,7 +41,8 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     """Image of x in [0, n) under the permutation that key names."""
 
     def swap_or_not(x: Column, step: Column) -> Column:
-        partner = F.pmod(F.xxhash64(key, step, F.lit(SEED)) - x, n)
+        # Reduced before the subtraction, which could overflow otherwise.
+        partner = F.pmod(F.pmod(F.xxhash64(key, step, F.lit(SEED)), n) - x, n)
         return F.when(F.xxhash64(F.greatest(x, partner), key, step) % 2 == 0, x).otherwise(partner)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap_or_not)
