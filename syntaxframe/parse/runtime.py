@@ -9,9 +9,7 @@ else the least stretch is wrapped in an ERROR node. Positions are code points he
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
-from ..grammar.tables import END, Tables, Terminal
+from ..grammar.tables import END, Tables
 
 try:
     import regex as wide_regex
@@ -422,7 +420,3 @@ class Parser:
             root = Node("ERROR", True, 0, len(text), pairs, error=True)
         root.start, root.end, root.extra = 0, len(text), False
         return root
-
-
-ScannerFactory = Callable[[], object]
-__all__ = ["Node", "Parser", "Terminal", "compiled"]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from ..errors import SchemaCheckError, ShapeError
+from ..errors import QueryBuildError, SchemaCheckError, ShapeError
 from ..model import GAP, Binding, ExtractSpec
 from ..schema import NodeSchema
-from ..valuemap import JSON_VALUE_MAP, LEAF_NAMES, ValueMap, inner_leaf, looks_like_json, propose_value_map
+from ..valuemap import JSON_VALUE_MAP, ValueMap, inner_leaf, looks_like_json, propose_value_map
 
 
 @dataclass
@@ -162,8 +162,6 @@ class Analyzer:
             for anchor in spec.path.anchors if self.schema is not None and twins else ():
                 entry = self.schema.get(anchor)
                 if entry and entry.fields and not entry.fields[b.key].multiple:
-                    from ..errors import QueryBuildError
-
                     raise QueryBuildError(f"{self._site(spec)}: field {b.key!r} of {anchor!r} holds one child, {b.name} and {twins[0].name} want two")
 
     def _record(self, spec: ExtractSpec, out: Checked) -> None:
@@ -224,5 +222,3 @@ class Analyzer:
                     if kind not in self.schema.kinds:
                         self._fail(spec, f"the grammar has no kind {kind!r}")
 
-
-__all__ = ["Analyzer", "Checked", "LEAF_NAMES"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -292,9 +290,3 @@ def raw_rows(matches: DataFrame, checked: Checked, carried: list[str]) -> DataFr
         held = F.coalesce(F.try_element_at("captures", F.lit(b.key)), F.try_element_at("captures", F.lit(b.name)), F.array().cast(_NODE))
         got[b.name] = F.filter(held, lambda n: tests(b, n["text"])).cast(_NODE)
     return _finished(matches, checked, got, {}, carried)
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
-
-

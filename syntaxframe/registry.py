@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce
-from .grammar import library
 from .grammar.dsl import Grammar, alias, choice, field, pattern, ref, repeat, seq, token
 from .grammar.lint import run_checks
 from .language import language_for, shared_wanted
@@ -228,6 +227,21 @@ def strict_failure_count(spark, sf_dir):
     return language_for("json").extractor(KeyK).failures(docs).agg(F.count("*").alias("failures"))
 
 
+@query("SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 5 = 0")
+def parse_problems(spark, sf_dir):
+    """Texts that lack their last brace have a missing node; all others have none."""
+    end = F.when(F.col("c_custkey") % 5 == 0, "").otherwise("}")
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _text('{"name": "', F.col("c_name"), '"', end).alias("text"))
+    nodes = language_for("json").nodes(docs, Wanted(None, frozenset(), children=False))
+    return ancestry.problems(nodes).select("doc_id").distinct()
+
+
+@query("SELECT k AS kind, (SELECT COUNT(*) FROM events) AS n FROM (VALUES ('document'), ('object'), ('pair'), ('string'), ('string_content'), ('number')) x(k)")
+def kind_scan(spark, sf_dir):
+    nodes = language_for("json").nodes(_events(spark, sf_dir), Wanted(None, frozenset(), children=False))
+    return nodes.where("named").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # Conversions.
 
 INTS = (("3", 3), ("+5", 5), (" 7 ", 7), ("-0", 0), ("3.0", 3), ("1_000", 1000), ("3.14", None), ("0x1f", None), ("", None), ("1e3", None), ("9" * 25, None))
@@ -531,6 +545,29 @@ def ordered_captures(spark, sf_dir):
     return Ordered.extract(docs, language="expr").select("doc_id", "function", "first", "second")
 
 
+class AnyCall(OutputModel):
+    __match__ = M("source_file", ..., "call")
+    function: str
+    line: int = source_meta()
+
+
+class LeftSide(OutputModel):
+    __match__ = M("source_file", "assignment")
+    name: str = capture("left")
+    line: int = source_meta()
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(2 AS BIGINT) AS line, n_name AS name, 'g' AS function FROM nation")
+def models_paired_by_line(spark, sf_dir):
+    """Two models over one parse, their rows paired by line."""
+    text = _text("f(1);\n", F.col("n_name"), " = g(2);\nz = 3;")
+    docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))
+    both = [language_for("expr").extractor(LeftSide), language_for("expr").extractor(AnyCall)]
+    nodes = language_for("expr").nodes(docs, shared_wanted(both))
+    left, right = (e.extract_nodes(nodes).drop("node_id") for e in both)
+    return left.join(right, ["doc_id", "line"]).select("doc_id", "line", "name", "function")
+
+
 class Arguments(OutputModel):
     __match__ = M("source_file", ..., "call")
     arguments: list[str] = capture("argument")
@@ -760,5 +797,3 @@ def stream_extract(spark, sf_dir):
     replayed(lambda docs: extract_stream(docs, language_for("json").extractor(KeyK)), stream, f"{work}/rows", f"{work}/state")
     return spark.read.parquet(f"{work}/rows").select("doc_id", "k")
 
-
-GRAMMARS = library.BUILDERS
