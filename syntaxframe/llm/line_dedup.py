@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import last_if_null, written
+from .shared import fresh, last_if_null, written
 
 MIN_WORDS = 5
 #: Lengths that share a pair of halves, in words.
@@ -170,13 +170,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with near-duplicate lines taken out of the texts, and two more columns: _n_lines and _n_removed."""
-    gone = removed_lines(docs, id_col, text_col)
-    names = docs.columns
-    keyed = docs.withColumns({"k_id": last_if_null(F.col(id_col)), "k_text": F.xxhash64(text_col)})
-    joined = keyed.join(gone, ["k_id", "k_text"], "left")
+    """docs with near-duplicate lines taken out of the texts, and two more columns: _n_lines and _n_removed (columns that
+    have these names are replaced; any other name may occur)."""
+    names = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    id_key, text_key, gone_col = fresh(names, "k_id", "k_text", "gone")
+    gone = removed_lines(docs, id_col, text_col).toDF(id_key, text_key, gone_col)
+    keyed = docs.select(*names).withColumns({id_key: last_if_null(F.col(id_col)), text_key: F.xxhash64(text_col)})
+    joined = keyed.join(gone, [id_key, text_key], "left")
     lines = F.split(text_col, "\n")
-    cuts = F.col("gone")
+    cuts = F.col(gone_col)
     kept = F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), cuts), F.concat(cuts, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1)))
     text = F.when(cuts.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = [text.alias(c) if c == text_col else F.col(c) for c in names]

@@ -36,5 +36,16 @@ def last_if_null(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(LAST_ID))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that none of the taken ones has."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

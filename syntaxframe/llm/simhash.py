@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import textkit as tk
 from .components import components
-from .shared import last_if_null, written
+from .shared import fresh, last_if_null, written
 
 SHINGLE = 3
 SEED = 42
@@ -234,18 +234,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row of each component: that with the least id (null ids last; of equal ids, any one). All columns stay."""
     names, types = docs.columns, docs.schema
     at = names.index(text_col)
-    printed_types = T.StructType([*types.fields, T.StructField("_row", T.LongType()), T.StructField("_print", T.LongType())])
+    row_col, print_col = fresh(names, "_row", "_print")
+    printed_types = T.StructType([*types.fields, T.StructField(row_col, T.LongType()), T.StructField(print_col, T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in tk.chunks(batch.column(at)):
                 part = batch.slice(row, end - row)
                 found = pa.array(fingerprints(data, offsets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*names, "_row", "_print"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*names, row_col, print_col])
 
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.withColumn(row_col, F.monotonically_increasing_id())
     printed = written(rows.mapInArrow(add, printed_types), "printed")
-    keys = printed.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col("_print").alias("print"))
-    first = F.min(F.struct(last_if_null(F.col("doc_id")).alias("id"), F.col("_row")))
+    keys = printed.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(print_col).alias("print"))
+    first = F.min(F.struct(last_if_null(F.col("doc_id")).alias("id"), F.col("row")))
     kept = keys.join(label_prints(keys.select("doc_id", "print")), "print").groupBy("root").agg(first.alias("f"))
-    return printed.join(kept.select(F.col("f._row").alias("_row")), "_row", "left_semi").select(*names)
+    return printed.join(kept.select(F.col("f.row").alias(row_col)), row_col, "left_semi").select(*names)

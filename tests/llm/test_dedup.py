@@ -94,7 +94,7 @@ def plain_components(rows):
 
 def test_near_duplicates_against_brute_force(spark):
     rows = near_texts()
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, print int")
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, print int, _row int, root int")
     expected, groups = plain_components(rows)
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str) == expected
     kept = simhash.one_of_each(docs)
@@ -183,7 +183,7 @@ def test_near_lines_against_brute_force(spark, monkeypatch, row_words):
     long = [f"w{k}" for k in range(60)]
     rows += [(200 + k, " ".join(long[:k] + ["zz"] + long[k + 1 :]) + "\n \ta  b c d e f\r") for k in range(5)]
     rows += [(100, None), (101, ""), (102, "\n\n a b c d e f"), (None, "a b c a b c a\nq r s t u v")]
-    docs = spark.createDataFrame([(i, t, -1) for i, t in rows], "doc_id long, text string, no int")
+    docs = spark.createDataFrame([(i, t, -1, -2, None) for i, t in rows], "doc_id long, text string, no int, k_id int, gone string")
     got = {(r.doc_id, r.text): r._n_removed for r in line_dedup.line_dedup(docs).collect()}
     assert got == {(i, text): n for (i, _), (text, n) in zip(rows, plain_lines(rows))}
 
