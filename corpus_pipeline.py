@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from syntaxframe.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
 from syntaxframe.llm.shared import table, written
 
+#: Jaccard similarity of five-word shingles from which documents are near duplicates.
+SIMILAR = 0.8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -21,8 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.one_of_each(docs)
+    """One document of each near-duplicate group stays: those that op6 links, or whose five-word shingles agree to 0.8."""
+    return simhash.one_of_each(docs, share=SIMILAR)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from . import textkit as tk
 from .components import components
 from .shared import fresh, last_if_null, written
@@ -230,23 +231,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the least id (null ids last; of equal ids, any one). All columns stay."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
+    """docs with one row of each component: that with the least id (null ids last; of equal ids, any one). All columns stay.
+
+    With a share, rows whose sets of five-word shingles have at least that Jaccard similarity are linked too."""
     names, types = docs.columns, docs.schema
     at = names.index(text_col)
-    row_col, print_col = fresh(names, "_row", "_print")
-    printed_types = T.StructType([*types.fields, T.StructField(row_col, T.LongType()), T.StructField(print_col, T.LongType())])
+    row_col, print_col, size_col, buckets_col = fresh(names, "_row", "_print", "_size", "_buckets")
+    added = [T.StructField(row_col, T.LongType()), T.StructField(print_col, T.LongType())]
+    if share is not None:
+        added += [T.StructField(size_col, T.LongType()), T.StructField(buckets_col, T.ArrayType(T.LongType()))]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in tk.chunks(batch.column(at)):
                 part = batch.slice(row, end - row)
-                found = pa.array(fingerprints(data, offsets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*names, row_col, print_col])
+                found = [pa.array(fingerprints(data, offsets).view(np.int64))]
+                if share is not None:
+                    found += jaccard.bucket_columns(data, offsets)
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*names, *(f.name for f in added)])
 
     rows = docs.withColumn(row_col, F.monotonically_increasing_id())
-    printed = written(rows.mapInArrow(add, printed_types), "printed")
+    printed = written(rows.mapInArrow(add, T.StructType([*types.fields, *added])), "printed")
     keys = printed.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(print_col).alias("print"))
+    groups = keys.join(label_prints(keys.select("doc_id", "print")), "print").select("row", "doc_id", "root")
+    if share is not None:
+        groups = written(groups, "print-groups")
+        firsts = written(groups.groupBy("root").agg(F.min("row").alias("v"), F.max("row").alias("last")).where("v < last").select("root", "v"), "print-firsts")
+        known = groups.join(firsts, "root").select(F.col("row").alias("u"), "v").where("u <> v")
+        texts = printed.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"), F.col(size_col).alias("size"), F.col(buckets_col).alias("buckets"))
+        labels = components(jaccard.near_links(texts, known, share)).withColumnRenamed("node", "row")
+        groups = groups.drop("root").join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
     first = F.min(F.struct(last_if_null(F.col("doc_id")).alias("id"), F.col("row")))
-    kept = keys.join(label_prints(keys.select("doc_id", "print")), "print").groupBy("root").agg(first.alias("f"))
+    kept = groups.groupBy("root").agg(first.alias("f"))
     return printed.join(kept.select(F.col("f.row").alias(row_col)), row_col, "left_semi").select(*names)

@@ -104,6 +104,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def plain_shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_documents_of_similar_shingles_are_one_group(spark):
+    rng = random.Random(12)
+    rows = [(None, "One two"), (1, "one  TWO"), (2, None), (3, ""), (4, "x y z")]
+    for i in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for k in range(6):
+            words = list(base)
+            for j in rng.sample(range(0, 100, 10), k % 4):
+                words[j] = f"v{rng.randrange(10**6)}"
+            rows.append((10 + 6 * i + k, " ".join(words)))
+    sets, prints = [plain_shingles(t) for _, t in rows], [plain_print(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            near = sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2
+            if near and label[a] != label[b]:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (i, _), g in zip(rows, label):
+        i = 1 << 63 if i is None else i
+        least[g] = min(least.get(g, i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.one_of_each(docs, share=0.8).collect()}
+    assert kept == {i if i < 1 << 63 else None for i in least.values()}
+    assert len(kept) < simhash.one_of_each(docs).count()
+    assert simhash.one_of_each(docs.limit(0), share=0.8).count() == 0
+
+
 def plain_pairs(prints):
     return {(a, b) for b in range(len(prints)) for a in np.flatnonzero(np.bitwise_count(prints[:b] ^ prints[b]) <= 2).tolist()}
 
