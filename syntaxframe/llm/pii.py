@@ -16,6 +16,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -37,8 +38,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_CREDENTIAL = re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?([^\s\"',;]{4,200})", re.I)
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_]{0,12}[0-9])[A-Za-z0-9_]{20,200}+(?![A-Za-z0-9])")
+_CREDENTIAL = re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?([^\s\"',;]{4,}+)", re.I)
+# A whole run, whatever its length; candidates() asks for a digit in it or a known prefix. Some prefixes end with a hyphen.
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?=[A-Za-z0-9_-]{20})(?:xoxb|xoxp|glpat)-[A-Za-z0-9_-]++|[A-Za-z0-9_]{20,}+)")
+_DIGIT = re.compile(r"[0-9]")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _PERSON = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.?\x20(\w{2,20}\x20\w{2,20})")
@@ -95,7 +98,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     found = []
     for kind, pattern, group in _CANDIDATES:
         for m in pattern.finditer(text):
-            found.append((m.start(group), KINDS.index(kind), m.end(group)))
+            if pattern is not _KEY or _DIGIT.search(m.group()) or m.group().startswith(KEY_PREFIXES):
+                found.append((m.start(group), KINDS.index(kind), m.end(group)))
     if not found:
         return []
     starts, reach, out, last = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max)), [], 0
@@ -109,7 +113,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 def _entropy(value: str) -> float:
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in (value.count(ch) for ch in set(value)))
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
 def votes_of(text: str, start: int, end: int, kind: int) -> tuple[int, ...]:
@@ -120,7 +124,7 @@ def votes_of(text: str, start: int, end: int, kind: int) -> tuple[int, ...]:
     said = lambda words, where: any(w in where for w in words)
     shape = {
         "credential": 2 if digits and len(value) >= 8 else 1,
-        "key": 2 if re.fullmatch(r"[0-9a-f]{32,64}|[A-Z0-9]{20}|[A-Za-z0-9_]{36,}", value) else 0,
+        "key": 2 if re.fullmatch(r"[0-9a-f]{32,64}|[A-Z0-9]{20}|[A-Za-z0-9_-]{36,}", value) else 0,
         "national_id": 1 if value[:3] in ("000", "666") or value[0] == "9" else 2,
         "loose_phone": 1 if value.count("0") >= 8 else 2,
         "person": 2 if value.istitle() else 1,

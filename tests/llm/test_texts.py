@@ -119,6 +119,21 @@ def test_base_spans_of_long_runs_take_linear_time():
         pii.base_spans(text)
 
 
+def added(text):
+    return [(text[a:b], pii.KINDS[k]) for a, k, b, _ in pii.candidates(text, [])]
+
+
+def test_secrets_of_any_length_are_whole_candidates():
+    late = "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHI" + "7"
+    for key in (late, "Ab_" * 200 + "1", "xoxb-123456789012-abcdefABCDEF", "glpat-abcDEFghiJKLmnoPQRst", "sk_live_abcdefghijklmnop"):
+        assert added(f"a {key}, b") == [(key, "key")]
+    assert added("a " + "letters_only_" * 20) == []
+    long = "a1.b2-" * 75
+    assert added(f"token={long}; x") == [(long, "credential")]
+    for text in ("a_" * 300_000, "token=" * 100_000, "xoxb-" * 100_000, "token=" + "".join(map(chr, range(0x4E00, 0x9E00))) * 15):
+        pii.candidates(text, [])
+
+
 def test_personal_data_keeps_base_and_adds_spans(spark):
     secret = "the password=ab12cd34ef56 here"
     texts = [secret.replace("ab12", f"{i:04d}") for i in range(30)] + ["mail a.b@c.de and 10.0.0.1", None, ""]
