@@ -4,7 +4,8 @@ Candidates share a MinHash bucket: BANDS keys a document, each over ROWS minima.
 chance (1 - s^ROWS)^BANDS, 3 in 100,000 at 0.8 and less above. Every candidate pair is then checked over the whole sets.
 
 Heavy groups: each document is first checked against the earliest row of its buckets alone, so a group of near copies costs
-one check a row. Then all pairs in a bucket are checked that these links have not joined; none is left out.
+one check a row. Rows of buckets that these links have not joined are then compared through their rarest shingles (prefix
+filter), which leaves out no pair that is similar enough.
 
 A text of one to four words is one shingle; null, empty and wordless texts have none and no links.
 """
@@ -87,6 +88,19 @@ def checked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(both >= share * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
 
 
+def prefixes(rows: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """(shingle, row, root, size): of each of rows(row, root), the rarest of its shingles, so many that two sets that are similar
+    enough have one of them in common (the others are too few for the share). Shingles of one row alone are left out."""
+    sets = written(texts.join(rows.select("row"), "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "open-sets")
+    each = sets.select("row", F.explode("set").alias("shingle"))
+    times = written(each.groupBy("shingle").agg(F.count("*").alias("times")), "shingle-times")
+    ranked = each.join(times, "shingle").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
+    size = F.size("ranked")
+    ranked = ranked.select("row", size.alias("size"), F.slice("ranked", F.lit(1), (size - F.ceil(share * size - 1e-9) + 1).cast("int")).alias("rarest"))
+    out = ranked.select("row", "size", F.inline("rarest")).where("times > 1").join(rows, "row")
+    return written(out.select("shingle", "row", "root", "size"), "prefixes")
+
+
 def near_links(rows: DataFrame, known: DataFrame, share: float) -> DataFrame:
     """Links (u, v) that, with the known ones, join what known and similarity of at least ``share`` join.
 
@@ -104,10 +118,11 @@ def near_links(rows: DataFrame, known: DataFrame, share: float) -> DataFrame:
     open_ = dealt.select("bucket", "row", "size").join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
     open_ = written(open_, "labelled-buckets")
     mixed = written(open_.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket"), "mixed-buckets")
-    open_ = written(open_.join(mixed, "bucket"), "open-buckets")
-    left, right = (open_.toDF("bucket", x, f"{x}_size", f"{x}_root") for x in ("u", "v"))
+    open_ = written(open_.join(mixed, "bucket").select("row", "root").distinct(), "open-rows")
+    rarest = prefixes(open_, texts, share)
+    left, right = (rarest.toDF("shingle", x, f"{x}_root", f"{x}_size") for x in ("u", "v"))
     # The smaller set is at least so large a share of the larger one.
     fits = F.least("u_size", "v_size") >= share * F.greatest("u_size", "v_size") - 1e-9
-    more = left.join(right, "bucket").where((F.col("u") > F.col("v")) & (F.col("u_root") != F.col("v_root")) & fits).select("u", "v").distinct()
+    more = left.join(right, "shingle").where((F.col("u") > F.col("v")) & (F.col("u_root") != F.col("v_root")) & fits).select("u", "v").distinct()
     more = written(more.join(tried, ["u", "v"], "left_anti"), "other-pairs")
     return links.unionByName(checked(more, texts, share))
