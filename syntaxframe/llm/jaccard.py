@@ -89,16 +89,17 @@ def checked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """(shingle, row, root, size): of each of rows(row, root), the rarest of its shingles, so many that two sets that are similar
-    enough have one of them in common (the others are too few for the share). Shingles of one row alone are left out."""
+    """(shingle, row, root, size, left): of each of rows(row, root), the rarest of its shingles, so many that two sets that are similar
+    enough have one of them in common (the others are too few for the share). Shingles of one row alone are left out.
+    left: how many of the set are no rarer than the shingle, itself included."""
     sets = written(texts.join(rows.select("row"), "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "open-sets")
     each = sets.select("row", F.explode("set").alias("shingle"))
     times = written(each.groupBy("shingle").agg(F.count("*").alias("times")), "shingle-times")
     ranked = each.join(times, "shingle").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
     size = F.size("ranked")
     ranked = ranked.select("row", size.alias("size"), F.slice("ranked", F.lit(1), (size - F.ceil(share * size - 1e-9) + 1).cast("int")).alias("rarest"))
-    out = ranked.select("row", "size", F.inline("rarest")).where("times > 1").join(rows, "row")
-    return written(out.select("shingle", "row", "root", "size"), "prefixes")
+    out = ranked.select("row", "size", F.posexplode("rarest").alias("place", "x")).where("x.times > 1").join(rows, "row")
+    return written(out.select("x.shingle", "row", "root", "size", (F.col("size") - F.col("place")).alias("left")), "prefixes")
 
 
 def near_links(rows: DataFrame, known: DataFrame, share: float) -> DataFrame:
@@ -120,9 +121,11 @@ def near_links(rows: DataFrame, known: DataFrame, share: float) -> DataFrame:
     mixed = written(open_.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket"), "mixed-buckets")
     open_ = written(open_.join(mixed, "bucket").select("row", "root").distinct(), "open-rows")
     rarest = prefixes(open_, texts, share)
-    left, right = (rarest.toDF("shingle", x, f"{x}_root", f"{x}_size") for x in ("u", "v"))
+    left, right = (rarest.toDF("shingle", x, f"{x}_root", f"{x}_size", f"{x}_left") for x in ("u", "v"))
     # The smaller set is at least so large a share of the larger one.
     fits = F.least("u_size", "v_size") >= share * F.greatest("u_size", "v_size") - 1e-9
+    # From their rarest common shingle on, both sets have room for all that they must have in common.
+    fits &= F.least("u_left", "v_left") * (1 + share) >= share * (F.col("u_size") + F.col("v_size")) - 1e-9
     more = left.join(right, "shingle").where((F.col("u") > F.col("v")) & (F.col("u_root") != F.col("v_root")) & fits).select("u", "v").distinct()
     more = written(more.join(tried, ["u", "v"], "left_anti"), "other-pairs")
     return links.unionByName(checked(more, texts, share))
