@@ -2,7 +2,7 @@
 
 A line is its sequence of words. Two lines are near if one word inserted, deleted or replaced (or nothing) turns one into
 the other. A line of at least MIN_WORDS words is removed if an equal or near line stands earlier (by document id, then line
-number); the earliest stays.
+number); the earliest stays. On request (short), shorter lines are removed too, if an equal one stands earlier.
 
 Each line emits its deletion variants as hashed keys: the line without its i-th word, for every i, and the line itself.
 Lines with the same variant and the same i differ in word i at most; a line that is another's variant lacks one of its
@@ -15,7 +15,7 @@ Only lines that can have a partner emit variants: two lines one edit apart agree
 Heavy groups: equal lines are merged by partial aggregation before any join; keys are settled by grouped minima; joins of
 occurrences with a hot line are split by adaptive execution.
 
-Defined results for odd input: a null text stays null, an empty one empty; blank and short lines always stay; a null id counts
+Defined results for odd input: a null text stays null, an empty one empty; blank lines always stay, and short ones unless asked for; a null id counts
 as larger than every other; rows with equal id and equal text get equal results; other columns stay as they are.
 """
 
@@ -49,11 +49,11 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(last_if_null(F.col(id_col)).alias("k_id"), F.xxhash64(text_col).alias("k_text"), F.col(text_col).alias("text"))
 
 
-def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(k_id, k_text, no, line, n) of every line with enough words."""
+def _lines(docs: DataFrame, text_col: str, id_col: str, short: bool = False) -> DataFrame:
+    """(k_id, k_text, no, line, n) of every line with enough words (short: with any)."""
     out = _keyed(docs, text_col, id_col).select("k_id", "k_text", F.posexplode(F.transform(F.split("text", "\n"), plain)).alias("no", "line"))
     # A line has more words than its part before the (MIN_WORDS - 1)th space, if that part is not all of it.
-    out = out.where(F.substring_index("line", " ", MIN_WORDS - 1) != F.col("line"))
+    out = out.where(F.col("line") != "" if short else F.substring_index("line", " ", MIN_WORDS - 1) != F.col("line"))
     return out.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
 
 
@@ -154,10 +154,12 @@ def losing_lines(seen: DataFrame, firsts: DataFrame, fetch: Callable[[DataFrame]
     return beaten.join(words, "at").join(other, "first").where(_near(F.col("words"), F.col("other"))).select("at.*")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(k_id, k_text, gone): for each document that loses lines, their numbers from 0, ascending."""
-    lines = _lines(docs, text_col, id_col)
-    seen = lines.select(*_AT, F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), *(c.alias(k) for k, c in _half_keys().items()))
+    lines = _lines(docs, text_col, id_col, short)
+    # Without halves, short lines have no near ones.
+    halves = {k: F.when(F.col("n") >= MIN_WORDS, c) for k, c in _half_keys().items()}
+    seen = lines.select(*_AT, F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), *(c.alias(k) for k, c in halves.items()))
     seen = written(seen, "lines")
     at = F.struct(*_AT)
     firsts = written(seen.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("times")), "distinct-lines")
@@ -169,12 +171,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with near-duplicate lines taken out of the texts, and two more columns: _n_lines and _n_removed (columns that
     have these names are replaced; any other name may occur)."""
     names = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
     id_key, text_key, gone_col = fresh(names, "k_id", "k_text", "gone")
-    gone = removed_lines(docs, id_col, text_col).toDF(id_key, text_key, gone_col)
+    gone = removed_lines(docs, id_col, text_col, short).toDF(id_key, text_key, gone_col)
     keyed = docs.select(*names).withColumns({id_key: last_if_null(F.col(id_col)), text_key: F.xxhash64(text_col)})
     joined = keyed.join(gone, [id_key, text_key], "left")
     lines = F.split(text_col, "\n")

@@ -230,6 +230,14 @@ def test_equal_rows_and_empty_tables(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_short_lines_go_if_equal(spark):
+    rows = [(1, "All rights reserved.\n\n一二三\na b c d\none two three four five"), (2, "all rights reserved.\n \n一二三\na b c x\none two three four"), (3, " All  rights reserved.\nOne\nOne")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._n_removed) for r in line_dedup.line_dedup(docs, short=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("all rights reserved.\n \na b c x\none two three four", 1), 3: ("One", 2)}
+    assert [r._n_removed for r in line_dedup.line_dedup(docs).collect()] == [0, 0, 0]
+
+
 def test_shuffled_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     rows = [(1, "a b c d e f g"), (2, "a b c d e x g"), (3, "q b c d e x g z")]
