@@ -2,14 +2,21 @@
 
 The words of each source are packed, document after document, into blocks of BLOCK words. Sources get targets by weight,
 none above MAX_EPOCHS times its own size (water-filling). The mix has as many slots of BLOCK words as the targets
-need, dealt over output shards. A pseudorandom permutation of all slots decides which source a slot draws from, so each
-shard's source counts are multinomial draws, conditioned on totals that meet the targets (drawing without replacement);
-a source's k-th slot takes the block at k's image under the source's own pseudorandom permutation (every pass over a
-source uses each block once); slots and blocks are then joined by block index. The permutations are swap-or-not shuffles
-(Hoang, Morris and Rogaway, 2012), exact on any number of items, and reruns agree.
-
-Heavy groups: running totals within a source are built in two levels (about the square root of its documents in each
-piece), and joins are by (source, block), so a source with a third of all rows is spread evenly.
+need, dealt over output shards of SHARD_SLOTS slots. Every slot draws its source by the inverse of the targets' running
+sum at a seeded uniform number, so each shard's source counts are a multinomial draw. The counts of a shard get their
+place among all draws of their source by running offsets, and a source's k-th draw takes the block at k's image under
+the source's own pseudorandom permutation (every pass over a source uses each block once); draws and blocks are joined
+by block index. The permutations are swap-or-not shuffles (Hoang, Morris and Rogaway, 2012), exact on any number of
+items, and reruns agree.
+
+Free draws miss their totals by about the square root of the slots. So the draws of a source beyond its target (spread over
+the shards by hash) go to the sources that fell short of theirs, in order: totals then meet the targets to one block, no
+source passes MAX_EPOCHS, and all other slots keep the source that they drew.
+
+Heavy groups: running totals within a source are built in two levels (over documents, and over shards), and joins are by
+(source, block), so a source with a third of all rows is spread evenly. Sources are numbered in range partitions. The
+running sums of at most LOOKUP_SOURCES sources are an array in the plan, searched by halves; those of more sources are
+joined to the draws by stretches of SHARD_SLOTS places, of which none meets more than SHARD_SLOTS + 1 sources.
 
 Defined results for odd input: a null or empty text has size 0 and is taken 0 times; documents without a source form one
 source, last in order; ids may be null or repeated (each row is its own document); sources of size 0 have target 0; an empty
@@ -26,6 +33,8 @@ from .shared import written
 BLOCK = 32
 SHARD_SLOTS = 4096
 MAX_EPOCHS = 3
+#: Sources whose running sums are looked up in an array; more are joined.
+LOOKUP_SOURCES = 16_384
 ROUNDS = 24
 SEED = 20240229
 #: Weights of sources in order, repeating.
@@ -48,27 +57,46 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap_or_not)
 
 
+def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with part and rank: rows numbered from 0 in the given order, by range partitions."""
+    parts = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    sizes = parts.groupBy("part").agg(F.count("*").alias("base"))
+    # One row for each range partition.
+    sizes = sizes.select("part", (F.sum("base").over(Window.orderBy("part")) - F.col("base")).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.join(F.broadcast(sizes), "part").withColumn("rank", (F.col("base") + inside - 1).cast("long")).drop("base")
+
+
+def _with_start(df: DataFrame, size: str, start: str) -> DataFrame:
+    """df(part, rank, ...) with the sum of a column over all rows of smaller rank."""
+    sums = df.groupBy("part").agg(F.sum(size).alias("base"))
+    sums = sums.select("part", (F.sum("base").over(Window.orderBy("part")) - F.col("base")).alias("base"))
+    inside = F.sum(size).over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return df.join(F.broadcast(sums), "part").withColumn(start, F.col("base") + inside - F.col(size)).drop("base")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, n_docs, source_size) to the same with rank, weight and target. One row a source.
+    """(source, n_docs, source_size) to the same with part, rank, weight and target. One row a source.
 
-    With targets min(cap, level * weight) and sources in order of cap / weight, the level is the least (total - caps of
-    the sources before) / (weights of the rest), which is what repeated resharing of the excess comes to.
+    Targets are min(cap, level * weight). The level starts as everything over all weights; while it puts sources above
+    their caps, these are capped and the rest is shared anew. Each round is one aggregation and caps a source at least.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("rank", F.row_number().over(order) - 1)
+    ranked = _numbered(sizes, [F.col("source").asc_nulls_last()], "ranked")
     choice = F.lit(float(weights[-1]))
     for i, w in enumerate(weights[:-1]):
         choice = F.when(F.col("rank") % len(weights) == i, float(w)).otherwise(choice)
     ranked = ranked.withColumn("weight", choice).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    levels = ranked.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-    first_free = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), "rank", "level"))).over(everything)
-    target = F.least("cap", F.coalesce(first_free["level"], F.lit(float("inf"))) * F.col("weight"))
-    return levels.withColumn("target", target).drop("level", "free", "cap")
+    level, capped = -1.0, 0
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        sums = ranked.agg(
+            F.sum("source_size").alias("total"), F.sum(F.when(over, F.col("cap"))).alias("caps"),
+            F.sum(F.when(~over, F.col("weight"))).alias("weights"), F.count(F.when(over, 1)).alias("capped"),
+        ).first()
+        if not sums.weights or (level >= 0 and sums.capped == capped):
+            break
+        level, capped = (sums.total - (sums.caps or 0.0)) / sums.weights, sums.capped
+    return ranked.withColumn("target", F.least("cap", F.lit(max(level, 0.0)) * F.col("weight"))).drop("cap")
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,26 +121,82 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("start", start).drop("base", "piece", "mark"), sources
 
 
+def _owners(places: DataFrame, ranges: DataFrame, step: int) -> DataFrame:
+    """places(at, ...) with rank and start of the range that holds at. ranges(rank, start, size): disjoint, from 0, without gaps."""
+    spark = places.sparkSession
+    ranges = ranges.where("size > 0")
+    held = ranges.select("start", "rank").orderBy("start").limit(LOOKUP_SOURCES + 1).collect()
+    if not held:
+        return places.withColumns({"rank": F.lit(None).cast("long"), "start": F.lit(None).cast("long")}).where("false")
+    if len(held) <= LOOKUP_SOURCES:
+        # Bounded by LOOKUP_SOURCES: constants of the plan, searched by halves.
+        starts, ranks = (F.split(F.lit(",".join(str(r[i]) for r in held)), ",").cast("array<bigint>") for i in (0, 1))
+        halve = lambda low, half: F.when(F.coalesce(F.get(starts, (low + half).cast("int")) <= F.col("at"), F.lit(False)), low + half).otherwise(low)
+        halves = [1 << i for i in reversed(range(max(len(held) - 1, 0).bit_length()))]
+        found = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), halve) if halves else F.lit(0)
+        return places.withColumn("found", found).withColumns({"rank": F.get(ranks, F.col("found")), "start": F.get(starts, F.col("found"))}).drop("found")
+    # Two steps, so that no row expands into more than some thousand.
+    wide = step * step
+    cut = lambda df, size: df.select("rank", "start", "size", F.explode(F.expr(f"sequence(low div {size}, high div {size})")).alias("cell"))
+    wider = cut(ranges.select("*", F.col("start").alias("low"), (F.col("start") + F.col("size") - 1).alias("high")), wide)
+    wider = wider.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "rank")
+    low, high = F.greatest("start", F.col("cell") * wide), F.least(F.col("start") + F.col("size") - 1, F.col("cell") * wide + wide - 1)
+    cells = cut(wider.select("rank", "start", "size", low.alias("low"), high.alias("high")), step)
+    joined = places.withColumn("cell", F.expr(f"at div {step}")).join(cells.hint("merge"), "cell")
+    return joined.where("at >= start and at < start + size").drop("cell", "size")
+
+
+def shard_counts(sources: DataFrame, total: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, rank, slots): the multinomial draw of every output shard, as the slots that fell to each source.
+
+    sources(rank, start, want): every slot draws one of total places with replacement, hence a source with chance want / total.
+    """
+    shards = sources.sparkSession.range(-(-total // shard_slots)).withColumnRenamed("id", "shard")
+    slots = shards.withColumn("slot", F.explode(F.expr(f"sequence(shard * {shard_slots}, least((shard + 1) * {shard_slots}, {total}L) - 1)")))
+    drawn = slots.withColumn("at", F.pmod(F.xxhash64("slot", F.lit(SEED)), F.lit(max(total, 1)).cast("long")))
+    drawn = _owners(drawn, sources.select("rank", "start", F.col("want").alias("size")), shard_slots)
+    return drawn.groupBy("shard", "rank").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+
+
 def slots_of(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(shard, slot, rank, epoch, block): what each slot of the mix takes. sources as from source_targets."""
-    spark = sources.sparkSession
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
     # Rounding up could pass the epochs allowed; the last pass is whole at most.
     want = F.least(F.round(F.col("target") * n_blocks / F.col("source_size")), n_blocks * MAX_EPOCHS).cast("long")
-    plan = sources.where("source_size > 0").select("rank", n_blocks.alias("n_blocks"), want.alias("want"))
-    until = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    plan = written(plan.withColumn("stop", F.sum("want").over(until)).withColumn("start", F.col("stop") - F.col("want")), "slots")
-    total = plan.agg(F.max("stop")).first()[0] or 0
-    # The inverse view of the slot permutation: each source lists its own draws, and the permutation says at which slot each lands.
-    # The draws of a source are dealt in ranges, so that no row expands into more than shard_slots rows.
-    pieces = plan.where("want > 0").withColumn("from", F.explode(F.expr(f"sequence(0L, want - 1, {shard_slots}L)")))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.repartition(least, "rank", "from")
-    draws = pieces.withColumn("draw", F.explode(F.expr(f"sequence(from, least(from + {shard_slots}, want) - 1)")))
-    slot = permuted(F.col("start") + F.col("draw"), F.lit(total).cast("long"), F.lit(-1))
+    plan = sources.where("source_size > 0").select("part", "rank", n_blocks.alias("n_blocks"), want.alias("want"))
+    plan = written(_with_start(plan, "want", "start"), "slots")
+    total = plan.agg(F.sum("want")).first()[0] or 0
+    counts = written(shard_counts(plan, total, shard_slots).withColumn("n", F.size("slots").cast("long")), "shard-counts")
+
+    # Each source's draws in an order of its own over the shards, in two levels.
+    pieces = max(1, int((total / shard_slots) ** 0.5))
+    place = F.xxhash64("shard", "rank")
+    counts = counts.withColumn("piece", F.pmod(place, F.lit(pieces)))
+    sums = counts.groupBy("rank", "piece").agg(F.sum("n").alias("n"))
+    until = Window.partitionBy("rank").orderBy("piece")
+    bases = sums.select("rank", "piece", (F.sum("n").over(until) - F.col("n")).alias("base"))
+    inside = Window.partitionBy("rank", "piece").orderBy(place, "shard")
+    first = F.col("base") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    counts = counts.join(bases, ["rank", "piece"]).select("shard", "rank", "slots", "n", first.alias("first"))
+
+    # Totals: what a source drew, too much or too little.
+    drew = sums.groupBy("rank").agg(F.sum("n").alias("drew"))
+    settled = plan.join(drew, "rank", "left").withColumn("drew", F.coalesce("drew", F.lit(0)))
+    settled = settled.withColumns({"over": F.greatest(F.col("drew") - F.col("want"), F.lit(0)), "under": F.greatest(F.col("want") - F.col("drew"), F.lit(0))})
+    settled = _with_start(_with_start(settled.drop("start"), "over", "over_start"), "under", "under_start")
+    settled = written(settled.drop("part"), "settled")
+
+    known = counts.join(settled.select("rank", "n_blocks", "want", "over_start"), "rank")
+    draws = known.select("shard", "rank", "n_blocks", "want", "over_start", "first", F.posexplode("slots").alias("i", "slot"))
+    draws = draws.withColumn("draw", F.col("first") + F.col("i"))
+    stay = draws.where("draw < want").select("shard", "slot", "rank", "n_blocks", "draw")
+    spare = draws.where("draw >= want").select("shard", "slot", (F.col("over_start") + F.col("draw") - F.col("want")).alias("at"))
+    moved = _owners(spare, settled.select("rank", F.col("under_start").alias("start"), F.col("under").alias("size")), shard_slots)
+    moved = moved.join(settled.select("rank", "n_blocks", "drew"), "rank")
+    moved = moved.select("shard", "slot", "rank", "n_blocks", (F.col("drew") + F.col("at") - F.col("start")).alias("draw"))
+    out = stay.unionByName(moved)
     taken = permuted(F.col("draw") % F.col("n_blocks"), F.col("n_blocks"), F.col("rank"))
-    out = draws.select(slot.alias("slot"), "rank", F.floor(F.col("draw") / F.col("n_blocks")).alias("epoch"), taken.alias("block"))
-    return out.withColumn("shard", F.floor(F.col("slot") / shard_slots))
+    return out.select("shard", "slot", "rank", F.floor(F.col("draw") / F.col("n_blocks")).alias("epoch"), taken.alias("block"))
 
 
 def blocks_of(rows: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -175,6 +175,44 @@ def test_mixed_texts_are_what_the_counts_say(spark):
     assert all(r["count"] <= mixing.SHARD_SLOTS for r in counts)
 
 
+@pytest.mark.parametrize("most", [mixing.LOOKUP_SOURCES, 2])
+def test_shards_draw_multinomial_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "LOOKUP_SOURCES", most)
+    wants = [40_000, 0, 1, 7_999, 32_000]
+    plan = spark.createDataFrame([(i, sum(wants[:i]), w) for i, w in enumerate(wants)], "rank long, start long, want long")
+    total, shard = sum(wants), 500
+    rows = mixing.shard_counts(plan, total, shard).collect()
+    assert sorted(x for r in rows for x in r.slots) == list(range(total)) and all(x // shard == r.shard for r in rows for x in r.slots)
+    n_shards = total // shard
+    by = {(r.shard, r["rank"]): len(r.slots) for r in rows}
+    # Pearson's statistic over shards and the three large sources (2 free counts a shard): its mean is 2 a shard, its variance 4.
+    large = {0: 0.5, 3: 7_999 / total, 4: 0.4}
+    chi = sum((by.get((s, r), 0) - shard * p) ** 2 / (shard * p) for s in range(n_shards) for r, p in large.items())
+    assert abs(chi - 2 * n_shards) < 4 * (4 * n_shards) ** 0.5
+
+
+@pytest.mark.parametrize("most", [mixing.LOOKUP_SOURCES, 2])
+def test_draws_use_each_block_once_a_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "LOOKUP_SOURCES", most)
+    sizes = [100_000, 3, 64, 20_000, 0, 900]
+    sources = mixing.source_targets(spark.createDataFrame([(f"s{i}", 1, n) for i, n in enumerate(sizes)], "source string, n_docs long, source_size long"))
+    want = {r["rank"]: round(r.target * -(-r.source_size // mixing.BLOCK) / r.source_size) for r in sources.collect() if r.source_size}
+    rows = mixing.slots_of(sources, shard_slots=100).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and all(r.slot // 100 == r.shard for r in rows)
+    assert len({(r["rank"], r.epoch, r.block) for r in rows}) == len(rows)
+    got = {}
+    for r in rows:
+        got[r["rank"]] = got.get(r["rank"], 0) + 1
+        assert r.epoch < mixing.MAX_EPOCHS and r.block < -(-sizes[r["rank"]] // mixing.BLOCK)
+    assert got == want
+
+
+def test_the_mix_counts_draws_of_shards(spark):
+    sources = mixing.source_targets(spark.createDataFrame([("a", 1, 5000), ("b", 1, 900)], "source string, n_docs long, source_size long"))
+    plan = mixing.slots_of(sources).groupBy("rank", "block").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "slots" in plan and "shard" in plan
+
+
 # The pipeline.
 
 
