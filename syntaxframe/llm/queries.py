@@ -51,7 +51,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), MODEL)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), MODEL, merges=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,28 @@
-"""Token counts by a count-only Viterbi over a unigram vocabulary.
+"""Token counts by dynamic programming over the matches of a vocabulary.
 
-An Aho-Corasick automaton enumerates the vocabulary pieces that end at each character; dynamic programming carries the best
-score and its number of pieces, nothing else. Ties go as in the tokenizer: of equal scores the path found first stays, and
-starts are tried from left to right. A character that no piece covers alone costs the least score less UNKNOWN_PENALTY; it
-counts as its UTF-8 bytes if the vocabulary has byte pieces, otherwise runs of such characters count as one.
+An Aho-Corasick automaton enumerates the vocabulary pieces that end at each character. What the dynamic programming carries
+depends on the model:
 
-Texts are cut before each space as the tokenizer's metaspace rule does, so words are counted independently and the
-counts of words seen before are reused (at most CACHE_WORDS of them are held).
+* Counter (unigram models): the best score and its number of pieces, nothing else. Ties go as in the tokenizer: of equal
+  scores the path found first stays, and starts are tried from left to right. A character that no piece covers alone costs
+  the least score less UNKNOWN_PENALTY; it counts as its UTF-8 bytes if the vocabulary has byte pieces, otherwise runs of
+  such characters count as one.
+* MergeCounter (byte-pair models in piece files): the last piece and the number of pieces. A sequence of pieces is the
+  tokenizer's if and only if each piece, and each neighbouring two, tokenize to themselves; so every prefix has one last piece,
+  the one that fits the last piece of the prefix before it. The score of a piece is the time of its merge: higher scores
+  merge first, of equal ones the leftmost.
+
+Texts are cut before each run of spaces, which pieces never cross, so words are counted independently and the counts of words
+seen before are reused (at most CACHE_WORDS of them are held, and CACHE_PAIRS pairs of pieces).
 
 Defined results for odd input: a null or empty text has 0 tokens; ids may be null or repeated; further columns are ignored;
-texts of any length are counted whole.
+texts of any length are counted whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,18 +32,54 @@ from pyspark.sql import functions as F
 
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 500_000
+CACHE_PAIRS = 1_000_000
 LONGEST_CACHED = 48
 SPACE = "▁"
 
 
-def pieces_from(model_path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file, in id order."""
+def _model(model_path: str):
     import sentencepiece.sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
     with open(model_path, "rb") as file:
         model.ParseFromString(file.read())
-    return [(p.piece, p.score) for p in model.pieces]
+    return model
+
+
+def pieces_from(model_path: str) -> list[tuple[str, float]]:
+    """Pieces and scores of a sentencepiece model file, in id order."""
+    return [(p.piece, p.score) for p in _model(model_path).pieces]
+
+
+def merges_from(model_path: str) -> list[tuple[str, float]]:
+    """Pieces that merges make (or that are single characters) and their scores, of a byte-pair model file.
+
+    Refused: models of another type, with a normalisation that changes texts, or whose pieces cross words.
+    """
+    model = _model(model_path)
+    rules = model.normalizer_spec
+    plain = not rules.precompiled_charsmap and rules.add_dummy_prefix and not rules.remove_extra_whitespaces and rules.escape_whitespaces
+    if model.trainer_spec.model_type != model.trainer_spec.BPE or not plain or not model.trainer_spec.byte_fallback:
+        raise ValueError(f"{model_path}: not a byte-pair model with byte fallback and unchanged texts")
+    found = [(p.piece, p.score) for p in model.pieces if p.type == p.NORMAL]
+    if any(SPACE in piece.lstrip(SPACE) for piece, _ in found):
+        raise ValueError(f"{model_path}: pieces cross words")
+    return found
+
+
+class _Cached(dict):
+    """Counts of words, made when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> int:
+        n = self.make(word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = n
+        return n
 
 
 class Counter:
@@ -49,7 +94,7 @@ class Counter:
         names = {piece for piece, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.cache: dict[str, int] = {}
+        self.cache = _Cached(lambda word: self.best(SPACE + word)[1])
 
     def best(self, word: str) -> tuple[float, int]:
         """Score and number of pieces of a word's best path."""
@@ -80,43 +125,121 @@ class Counter:
         words = text.replace(SPACE, " ").split(" ")
         if not words[0]:
             del words[0]
-        cache, total = self.cache, 0
-        for word in words:
-            n = cache.get(word)
-            if n is None:
-                n = self.best(SPACE + word)[1]
-                if len(word) <= LONGEST_CACHED:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[word] = n
-            total += n
-        return total
+        return sum(map(self.cache.__getitem__, words))
 
 
-_held: dict[int, Counter] = {}
+class MergeCounter:
+    """Counts of the pieces that merging neighbours by score leaves."""
+
+    def __init__(self, pieces: list[tuple[str, float]]):
+        self.score = dict(pieces)
+        self.single = {piece for piece in self.score if len(piece) == 1}
+        self.automaton = ahocorasick.Automaton()
+        for piece in self.score:
+            if self.merged(piece) == [piece]:
+                self.automaton.add_word(piece, piece)
+        self.automaton.make_automaton()
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.cache = _Cached(self.pieces)
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text by the merges themselves: a neighbouring pair of highest score first, the leftmost of equals."""
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and parts[i] + parts[j] in self.score:
+                heapq.heappush(queue, (-self.score[parts[i] + parts[j]], i, parts[i] + parts[j]))
+
+        for i in range(len(parts)):
+            offer(i)
+        while queue:
+            _, i, piece = heapq.heappop(queue)
+            j = after[i] if parts[i] is not None else len(parts)
+            if j >= len(parts) or parts[i] + parts[j] != piece:
+                continue
+            parts[i], parts[j], after[i] = piece, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p is not None]
+
+    def fits(self, left: str, right: str) -> bool:
+        known = self.pairs.get((left, right))
+        if known is None:
+            known = left + right not in self.score and self.merged(left + right) == [left, right]
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            self.pairs[left, right] = known
+        return known
+
+    def pieces(self, word: str) -> int:
+        """Number of pieces of a word."""
+        n = len(word)
+        count, last = [0] * (n + 1), [""] * (n + 1)
+        ends: list[list[str]] = [[] for _ in range(n)]
+        for end, piece in self.automaton.iter(word):
+            ends[end].append(piece)
+        for end in range(n):
+            if word[end] not in self.single:
+                # No merge has it: it stands as its bytes, and parts what is before it from what follows.
+                count[end + 1] = count[end] + len(word[end].encode("utf-8", "surrogatepass"))
+                continue
+            for piece in ends[end]:
+                start = end + 1 - len(piece)
+                if (last[start] or not start or word[start - 1] not in self.single) and (not last[start] or self.fits(last[start], piece)):
+                    count[end + 1], last[end + 1] = count[start] + 1, piece
+                    break
+        return count[n]
+
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        return sum(map(self.cache.__getitem__, _WORD.findall(SPACE + text.replace(" ", SPACE))))
+
+
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-def _counter(vocabulary) -> Counter:
-    """This worker's counter: built once, its cache kept from task to task."""
-    key = hash(tuple(map(tuple, vocabulary.value)))
+_held: dict[tuple, list] = {}
+
+
+def _counters(vocabularies) -> list:
+    """This worker's counters: built once, their caches kept from task to task."""
+    key = tuple((kind, hash(tuple(pieces))) for kind, pieces in vocabularies.value)
     if key not in _held:
         _held.clear()
-        _held[key] = Counter(vocabulary.value)
+        _held[key] = [(Counter if kind == "unigram" else MergeCounter)(pieces) for kind, pieces in vocabularies.value]
     return _held[key]
 
 
-def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_chars) for each row of docs. No shuffle; the vocabulary, of fixed size, is broadcast."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(pieces_from(model_path))
+def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", merges: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, n_chars) for each row of docs. No shuffle; the vocabulary, of fixed size, is broadcast.
+
+    n_tokens takes the file's pieces and scores as a unigram model. With merges, the file is a byte-pair model: n_tokens is its own
+    tokenizer's count, and a column n_unigram has the count over the scores.
+    """
+    vocabularies = [("unigram", pieces_from(model_path))]
+    names = ["doc_id", "n_tokens", "n_chars"]
+    if merges:
+        vocabularies.insert(0, ("merges", merges_from(model_path)))
+        names.append("n_unigram")
+    held = docs.sparkSession.sparkContext.broadcast(vocabularies)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary)
+        counters = _counters(held)
         for batch in batches:
-            found, sizes = [], []
+            found, sizes = [[] for _ in counters], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                found.append(counter.count(text))
+                for counter, to in zip(counters, found):
+                    to.append(counter.count(text))
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens", "n_chars"])
+            columns = [found[0], sizes, *found[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, "doc_id long, n_tokens long, n_chars long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, ", ".join(f"{n} long" for n in names))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -195,6 +196,38 @@ def test_token_counts_break_ties_like_the_tokenizer(vocabulary, texts):
     assert [counter.count(t) for t in texts] == [len(exact.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_merge_counts_are_the_models_own(spark):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pieces = token_counts.merges_from(MODEL)
+    counter, rng = token_counts.MergeCounter(pieces), random.Random(20)
+    makers = [
+        lambda: "".join(rng.choice("aeht n▁s\n日é🎉0.") for _ in range(rng.randrange(40))),
+        lambda: "".join(rng.choice(pieces)[0] for _ in range(rng.randrange(8))),
+        lambda: " " * rng.randrange(40) + "the" + "a" * rng.randrange(50),
+    ]
+    texts = [None, "", " ", "a" * 5000, "<s>", "<0x0A>", "\x00", *(rng.choice(makers)() for _ in range(600))]
+    assert [counter.count(t) for t in texts] == [len(own.encode(t or "")) for t in texts]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    rows = token_counts.token_counts(docs, MODEL, merges=True).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(own.encode(t or "")) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_unigram for r in rows} == dict(rows_of(token_counts.token_counts(docs, MODEL), "doc_id", "n_tokens"))
+    assert token_counts.token_counts(docs.limit(0), MODEL, merges=True).count() == 0
+
+
+def test_merge_counts_of_whole_documents(spark):
+    import sentencepiece
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = dict(rows_of(token_counts.token_counts(docs, MODEL, merges=True), "doc_id", "n_tokens"))
+    assert got == {r.doc_id: len(own.encode(r.text or "")) for r in docs.select("doc_id", "text").collect()}
+
+
 # Decontamination.
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
