@@ -187,6 +187,8 @@ def slots_of(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SL
     settled = written(settled.drop("part"), "settled")
 
     known = counts.join(settled.select("rank", "n_blocks", "want", "over_start"), "rank")
+    # Each row becomes up to shard_slots of them: a number of partitions of its own, which adaptive execution does not lower.
+    known = known.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
     draws = known.select("shard", "rank", "n_blocks", "want", "over_start", "first", F.posexplode("slots").alias("i", "slot"))
     draws = draws.withColumn("draw", F.col("first") + F.col("i"))
     stay = draws.where("draw < want").select("shard", "slot", "rank", "n_blocks", "draw")
