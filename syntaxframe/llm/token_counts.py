@@ -21,7 +21,6 @@ texts of any length are counted whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -92,9 +91,23 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         names = {piece for piece, _ in pieces}
+        self.single = frozenset(piece for piece in names if len(piece) == 1)
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.cache = _Cached(lambda word: self.best(SPACE + word)[1])
+        self.cache = _Cached(lambda word: self.covered(SPACE + word))
+
+    def covered(self, word: str) -> int:
+        """Number of pieces of a word's best path; short where each of its characters is a piece."""
+        if not self.single.issuperset(word):
+            return self.best(word)[1]
+        n = len(word)
+        score, count = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        # Matches come by their ends, of one end the longest first.
+        for end, (size, value) in self.automaton.iter(word):
+            total = score[end + 1 - size] + value
+            if total > score[end + 1]:
+                score[end + 1], count[end + 1] = total, count[end + 1 - size] + 1
+        return count[n]
 
     def best(self, word: str) -> tuple[float, int]:
         """Score and number of pieces of a word's best path."""
@@ -133,68 +146,76 @@ class MergeCounter:
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.score = dict(pieces)
-        self.single = {piece for piece in self.score if len(piece) == 1}
+        self.single = frozenset(piece for piece in self.score if len(piece) == 1)
         self.automaton = ahocorasick.Automaton()
+        #: Of each piece that tokenizes to itself: its merges as (score, symbol at its right end, symbol at its left end).
+        self.right: list[tuple[str, list[tuple[float, str]]]] = []
+        self.left: list[tuple[str, list[tuple[float, str]]]] = []
         for piece in self.score:
-            if self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, piece)
+            steps = self.merges(piece)
+            if steps is not None:
+                self.automaton.add_word(piece, (len(piece), len(self.right)))
+                self.right.append((piece[-1], [(score, right) for score, right, _ in steps]))
+                self.left.append((piece[0], [(score, left) for score, _, left in steps]))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.size = len(self.right)
+        self.pairs = _Pairs(self)
         self.cache = _Cached(self.pieces)
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by the merges themselves: a neighbouring pair of highest score first, the leftmost of equals."""
-        parts: list[str | None] = list(text)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        queue: list[tuple[float, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(parts) and parts[i] + parts[j] in self.score:
-                heapq.heappush(queue, (-self.score[parts[i] + parts[j]], i, parts[i] + parts[j]))
-
-        for i in range(len(parts)):
-            offer(i)
-        while queue:
-            _, i, piece = heapq.heappop(queue)
-            j = after[i] if parts[i] is not None else len(parts)
-            if j >= len(parts) or parts[i] + parts[j] != piece:
-                continue
-            parts[i], parts[j], after[i] = piece, None, after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [p for p in parts if p is not None]
-
-    def fits(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = left + right not in self.score and self.merged(left + right) == [left, right]
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
+    def merges(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """Merges that make a piece out of its characters, a neighbouring pair of highest score first, the leftmost of equals:
+        (score, symbol at the right end after it, at the left end). None if they leave more than one symbol."""
+        parts, steps = list(piece), []
+        while len(parts) > 1:
+            found = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score]
+            if not found:
+                return None
+            score, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            steps.append((-score, parts[-1], parts[0]))
+        return steps if parts[0] in self.score else None
+
+    def parted(self, left: int, right: int) -> bool:
+        """Do two neighbouring pieces stay two? Their merges go on in order of score, until one would join the symbols at the border."""
+        a, mine = self.right[left]
+        b, theirs = self.left[right]
+        i = j = 0
+        least = float("-inf")
+        while True:
+            next_left = mine[i][0] if i < len(mine) else least
+            next_right = theirs[j][0] if j < len(theirs) else least
+            # The merge at the border is right of those in the left piece, and left of those in the right one.
+            across = self.score.get(a + b)
+            if across is not None and across > next_left and across >= next_right:
+                return False
+            if i < len(mine) and next_left >= next_right:
+                a, i = mine[i][1], i + 1
+            elif j < len(theirs):
+                b, j = theirs[j][1], j + 1
+            else:
+                return True
 
     def pieces(self, word: str) -> int:
         """Number of pieces of a word."""
-        n = len(word)
-        count, last = [0] * (n + 1), [""] * (n + 1)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
-        for end in range(n):
-            if word[end] not in self.single:
-                # No merge has it: it stands as its bytes, and parts what is before it from what follows.
-                count[end + 1] = count[end] + len(word[end].encode("utf-8", "surrogatepass"))
-                continue
-            for piece in ends[end]:
-                start = end + 1 - len(piece)
-                if (last[start] or not start or word[start - 1] not in self.single) and (not last[start] or self.fits(last[start], piece)):
-                    count[end + 1], last[end + 1] = count[start] + 1, piece
-                    break
-        return count[n]
+        if not self.single.issuperset(word):
+            # No merge has a character that is no piece: it stands as its bytes, and parts what is before it from what follows.
+            total, run = 0, []
+            for ch in word:
+                if ch in self.single:
+                    run.append(ch)
+                else:
+                    total += self.pieces("".join(run)) + len(ch.encode("utf-8", "surrogatepass"))
+                    run.clear()
+            return total + self.pieces("".join(run))
+        count, last = [0] * (len(word) + 1), [-1] * (len(word) + 1)
+        pairs, size = self.pairs, self.size
+        # Matches come by their ends; only one piece can end the tokens of a prefix.
+        for end, (width, piece) in self.automaton.iter(word):
+            if last[end + 1] < 0:
+                before = last[end + 1 - width]
+                if end + 1 == width or (before >= 0 and pairs[before * size + piece]):
+                    count[end + 1], last[end + 1] = count[end + 1 - width] + 1, piece
+        return count[-1]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -202,6 +223,19 @@ class MergeCounter:
         return sum(map(self.cache.__getitem__, _WORD.findall(SPACE + text.replace(" ", SPACE))))
 
 
+class _Pairs(dict):
+    """Which pieces (by number, as one number) stay two, found when first asked for."""
+
+    def __init__(self, counter: MergeCounter):
+        self.counter = counter
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= CACHE_PAIRS:
+            self.clear()
+        self[pair] = known = self.counter.parted(*divmod(pair, self.counter.size))
+        return known
+
+
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
