@@ -79,19 +79,31 @@ def headers_of(raw: bytes) -> tuple[dict[str, str], int]:
 
 
 def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Bytes of a gzip file of any number of members, inflated piece by piece."""
-    engine = zlib.decompressobj(31)
+    """Bytes of a gzip file of any number of members, inflated piece by piece. Refused if its last member does not end."""
+    engine = None
     for piece in pieces:
         while piece:
+            if engine is None:
+                piece = piece.lstrip(b"\0")  # padding between members
+                if not piece:
+                    break
+                engine = zlib.decompressobj(31)
             data = engine.decompress(piece, READ_BYTES)
             if data:
                 yield data
             if engine.eof:
-                piece, engine = engine.unused_data, zlib.decompressobj(31)
+                piece, engine = engine.unused_data, None
             else:
                 piece = engine.unconsumed_tail
-                if not piece and not data:
-                    break
+    while engine is not None:
+        # What the last call held back. A whole member ends here, a cut one does not.
+        data = engine.decompress(b"", READ_BYTES)
+        if data:
+            yield data
+        if engine.eof:
+            return
+        if not data:
+            raise ValueError("archive ends inside a gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -210,6 +222,8 @@ def read_records(index: DataFrame) -> DataFrame:
             rows = []
             for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if archive != opened:
+                    if source is not None:
+                        source.close()
                     files, inner = _open(archive)
                     source, opened = files.open_input_file(inner), archive
                 source.seek(offset)
@@ -227,6 +241,8 @@ def read_records(index: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.nulls(0, t) for t in types], names=names)
+        if source is not None:
+            source.close()
 
     archives = index.select("archive").distinct().count()
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, archives))
@@ -257,11 +273,7 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def normalise_files(archives: DataFrame, folder: str) -> DataFrame:
-    """The normaliser for archives that Spark reads, as rows of its binaryFile source (path, content)."""
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(*batch.columns):
-                yield _rewritten(path.as_py().rsplit("/", 1)[1], iter([content.as_py()]), folder)
-
-    return written(archives.select("path", "content").mapInArrow(rewrite, _INDEX), "index")
+    """The normaliser for archives that Spark lists (rows with a path, such as those of its binaryFile source, whose content is
+    not read): each is opened as a stream, so it may have any size."""
+    plain = F.regexp_replace("path", "^file:/(?!/)", "file:///")
+    return normalised(archives.select(plain.alias("path")), folder)
