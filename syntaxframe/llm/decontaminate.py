@@ -8,8 +8,9 @@ positions and checked byte for byte; overlapping occurrences are merged into rem
 
 Defined results for odd input: null texts and items have no words; an item without words is no item; equal item ids
 count once; ids may be null or repeated (each document row is judged on its own; null item ids are left out of the list);
-further columns are kept or ignored; empty tables give zero hits. The benchmark is held in blocks of bounded size, one in
-memory at a time, so it may have any length; a block goes to the executors as a broadcast of at most BLOCK_BYTES of text.
+further columns are kept or ignored; empty tables give zero hits. The benchmark is held in blocks of at most BLOCK_BYTES of text,
+each a broadcast. Where there are several, a worker opens one after the other for every GROUP_BYTES of documents and lets go
+of each before the next, so the benchmark may have any length.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WINDOW = 13
 SAMPLE = 8
 #: Most benchmark text in one block.
 BLOCK_BYTES = 8 << 20
+#: Documents judged together, in bytes, if the benchmark has several blocks.
+GROUP_BYTES = 32 << 20
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
 _ARROW = pa.schema(
@@ -65,11 +68,14 @@ class FMIndex:
     """Backward search over one shard's words. Symbol 0 is the end, 1 a break between runs."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.suffixes = _suffix_array(symbols)
-        self.bwt = symbols[self.suffixes - 1]
+        suffixes = _suffix_array(symbols)
+        self.bwt = symbols[suffixes - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=n_symbols + 1))])
         self.tree = Wavelet(self.bwt, max(1, int(n_symbols).bit_length()))
-        self.sampled = self.suffixes % SAMPLE == 0
+        # Of the suffix array only the sampled positions stay, in order of their rows.
+        self.sampled = suffixes % SAMPLE == 0
+        self.positions = suffixes[self.sampled]
+        self.place = np.cumsum(self.sampled, dtype=np.int32)
 
     def search(self, phrases: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of each phrase; phrases are right-aligned in a matrix."""
@@ -93,7 +99,7 @@ class FMIndex:
             rows[live] = self.before[symbol] + self.tree.rank(symbol, rows[live])
             walked[live] += 1
             live = live[~self.sampled[rows[live]]]
-        return (self.suffixes[rows] + walked) % len(self.bwt)
+        return (self.positions[self.place[rows] - 1] + walked) % len(self.bwt)
 
 
 def _suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -119,16 +125,16 @@ class Block:
         self.hashes = np.unique(words.hashes())
         self.symbols = np.searchsorted(self.hashes, words.hashes()) + 2
         raw = words.data.tobytes()
-        phrases: dict[tuple[int, ...], set[str]] = {}
+        phrases: dict[tuple[int, ...], set[str | None]] = {}
         shown: dict[tuple[int, ...], bytes] = {}
         for (item, _), start, end in zip(items, words.first[:-1].tolist(), words.first[1:].tolist()):
             for at in range(start, max(start + 1, end - WINDOW + 1)) if end > start else ():
                 stop = min(at + WINDOW, end)
                 key = tuple(self.symbols[at:stop].tolist())
-                phrases.setdefault(key, set()).add("" if item is None else str(item))
+                phrases.setdefault(key, set()).add(None if item is None else str(item))
                 if key not in shown:
                     shown[key] = b" ".join(raw[words.starts[i] : words.ends[i]] for i in range(at, stop))
-        self.items = [sorted(x) for x in phrases.values()]
+        self.items = list(phrases.values())
         self.text = [shown[key] for key in phrases]
         self.widths = np.array([len(key) for key in phrases], np.int64)
         self.shortest = int(self.widths.min()) if len(self.widths) else 0
@@ -191,35 +197,79 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
     return out + [spark.sparkContext.broadcast(Block(part))]
 
 
+def _let_go(block) -> None:
+    """Drops a worker's copy of a broadcast; it is read again from the executor's file when next needed."""
+    if getattr(block, "_path", None) is not None:
+        block.__dict__.pop("_value", None)
+
+
+class _Chunk:
+    """Hits so far in a chunk of documents."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.words, self.offsets = tk.Words(tk.lowered(data), offsets, tk.ALNUM_WORD), offsets
+        self.hashes = self.words.hashes()
+        self.edge = np.zeros(len(self.words) + 1, np.int64)
+        self.items: dict[int, set[str | None]] = {}
+
+    def search(self, block: Block) -> None:
+        found, which = block.hits(self.words, self.hashes)
+        np.add.at(self.edge, found, 1)
+        np.add.at(self.edge, found + block.widths[which], -1)
+        rows = np.searchsorted(self.words.first, found, side="right") - 1
+        for row, phrase in set(zip(rows.tolist(), which.tolist())):
+            self.items.setdefault(row, set()).update(block.items[phrase])
+
+    def verdicts(self) -> list[tuple]:
+        words = self.words
+        hit = np.cumsum(self.edge)[: len(words)] > 0
+        n_hit = tk.row_sums(hit, words.first)
+        nothing = hashlib.sha256(b"").hexdigest()
+        out = []
+        for row, (n, h) in enumerate(zip(words.per_row.tolist(), n_hit.tolist())):
+            if not h:
+                out.append((n, 0, 0, nothing, False, []))
+                continue
+            at = np.flatnonzero(hit[words.first[row] : words.first[row + 1]]) + words.first[row]
+            cut = np.flatnonzero(np.diff(at) > 1)
+            spans = zip(words.starts[at[np.append(0, cut + 1)]] - self.offsets[row], words.ends[at[np.append(cut, -1)]] - self.offsets[row])
+            names = sorted(x for x in self.items[row] if x is not None)
+            digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+            out.append((n, h, len(self.items[row]), digest, 20 * h >= n, [(int(a), int(b)) for a, b in spans]))
+        return out
+
+
 def judged(data: np.ndarray, offsets: np.ndarray, blocks: list) -> list[tuple]:
     """(n_words, n_hit, n_items, items digest, contaminated, spans as [start, end) byte offsets) of each row."""
-    words = tk.Words(tk.lowered(data), offsets, tk.ALNUM_WORD)
-    hashes = words.hashes()
-    edge = np.zeros(len(words) + 1, np.int64)
-    items: dict[int, set[str]] = {}
+    return next(iter(_judged([(data, offsets)], blocks)))
+
+
+def _judged(chunks: list[tuple[np.ndarray, np.ndarray]], blocks: list) -> list[list[tuple]]:
+    """judged() of several chunks, block by block."""
+    held = [_Chunk(*chunk) for chunk in chunks]
     for block in blocks:
-        held = block.value if hasattr(block, "value") else block
-        found, which = held.hits(words, hashes)
-        np.add.at(edge, found, 1)
-        np.add.at(edge, found + held.widths[which], -1)
-        rows = np.searchsorted(words.first, found, side="right") - 1
-        for row, phrase in set(zip(rows.tolist(), which.tolist())):
-            items.setdefault(row, set()).update(held.items[phrase])
-    hit = np.cumsum(edge)[: len(words)] > 0
-    n_hit = tk.row_sums(hit, words.first)
-    nothing = hashlib.sha256(b"").hexdigest()
-    out = []
-    for row, (n, h) in enumerate(zip(words.per_row.tolist(), n_hit.tolist())):
-        if not h:
-            out.append((n, 0, 0, nothing, False, []))
-            continue
-        at = np.flatnonzero(hit[words.first[row] : words.first[row + 1]]) + words.first[row]
-        cut = np.flatnonzero(np.diff(at) > 1)
-        spans = zip(words.starts[at[np.append(0, cut + 1)]] - offsets[row], words.ends[at[np.append(cut, -1)]] - offsets[row])
-        names = sorted(items[row])
-        digest = hashlib.sha256(",".join(x for x in names if x).encode()).hexdigest()
-        out.append((n, h, len(names), digest, 20 * h >= n, [(int(a), int(b)) for a, b in spans]))
-    return out
+        value = block.value if hasattr(block, "value") else block
+        for chunk in held:
+            chunk.search(value)
+        if len(blocks) > 1:
+            del value
+            _let_go(block)
+    return [chunk.verdicts() for chunk in held]
+
+
+def _judged_parts(batches: Iterator[pa.RecordBatch], column: int, blocks: list) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Parts of batches with the verdicts of their rows."""
+    parts, chunks, size = [], [], 0
+    for batch in batches:
+        for row, end, data, offsets in tk.chunks(batch.column(column)):
+            parts.append(batch.slice(row, end - row))
+            chunks.append((data, offsets))
+            size += len(data)
+            if len(blocks) == 1 or size >= GROUP_BYTES:
+                yield from zip(parts, _judged(chunks, blocks))
+                parts, chunks, size = [], [], 0
+    if parts:
+        yield from zip(parts, _judged(chunks, blocks))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,12 +277,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = blocks_of(benchmark)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, offsets in tk.chunks(batch.column(1)):
-                found = list(zip(*judged(data, offsets, blocks)))
-                found[5] = [",".join(f"{a}:{b}" for a, b in spans) for spans in found[5]]
-                columns = [batch.column(0).slice(row, end - row)] + [pa.array(x, f.type) for x, f in zip(found, list(_ARROW)[1:])]
-                yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+        for part, rows in _judged_parts(batches, 1, blocks):
+            found = list(zip(*rows))
+            found[5] = [",".join(f"{a}:{b}" for a, b in spans) for spans in found[5]]
+            columns = [part.column(0)] + [pa.array(x, f.type) for x, f in zip(found, list(_ARROW)[1:])]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, SCHEMA)
 
@@ -245,20 +294,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     blocks, schema, at = blocks_of(benchmark), docs.schema, docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, offsets in tk.chunks(batch.column(at)):
-                found, part = judged(data, offsets, blocks), batch.slice(row, end - row)
-                bad = np.array([x[4] for x in found], bool)
-                if not excise:
-                    yield part.filter(pa.array(~bad))
-                    continue
-                texts = part.column(at).to_pylist()
-                for i in np.flatnonzero(bad):
-                    raw, kept, last = texts[i].encode(), [], 0
-                    for a, b in found[i][5]:
-                        kept.append(raw[last:a])
-                        last = b
-                    texts[i] = b"".join([*kept, raw[last:]]).decode()
-                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+        for part, found in _judged_parts(batches, at, blocks):
+            bad = np.array([x[4] for x in found], bool)
+            if not excise:
+                yield part.filter(pa.array(~bad))
+                continue
+            texts = part.column(at).to_pylist()
+            for i in np.flatnonzero(bad):
+                raw, kept, last = texts[i].encode(), [], 0
+                for a, b in found[i][5]:
+                    kept.append(raw[last:a])
+                    last = b
+                texts[i] = b"".join([*kept, raw[last:]]).decode()
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(clean, schema)
