@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the URLs that no rule fits.
 
-Features and predictions are column expressions. URLs that a rule fits are the labelled ones; the trees are fitted on the
-driver to at most TRAIN_ROWS of them (those of least hash), a bound that does not grow with the data.
+Features and predictions are column expressions. URLs that a rule fits are the labelled ones. Statistics of suffixes and first segments count
+all of them; the trees are fitted on the driver to at most TRAIN_ROWS of them, chosen by hash, a bound that does not grow with the data.
 
 Defined results for odd input: host and path of a null URL, or one without ``://``, are empty, and the trees judge it as they
 find it; ids may be null or repeated; further columns are ignored; with no labelled URL, or one class only, the trees say
@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: (verdict, host and path) in the form of the result.
 RULES = (
     ("allow", "org/"),
@@ -26,9 +28,11 @@ RULES = (
 #: Labelled URLs that the trees are fitted to, at most.
 TRAIN_ROWS = 4096
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 24, 3, 0.3, 32, 8, 1.0
-#: Suffixes with statistics of their own, at most.
-SUFFIXES = 48
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "n_params", "host_labels", "path_length", "suffix_rate", "suffix_count")
+#: Suffixes (or first segments) whose statistics are sent to all executors; more are joined by a shuffle.
+BROADCAST_SUFFIXES = 10_000
+FEATURES = ("length", "depth", "digit_ratio", "entropy", "n_params", "host_labels", "path_length", "suffix_rate", "suffix_count", "head_rate", "head_count")
+#: Parts of a URL that have statistics: the host's last label (and whether the path ends in .html), and the path's first segment.
+PARTS = ("suffix", "head")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,7 +57,7 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """pages(url, host, path, ...) with the features that need no statistics, and ``suffix``."""
+    """pages(url, host, path, ...) with the features that need no statistics, and the PARTS that have some."""
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     counts = F.transform(F.array_distinct(F.split(url, "")), lambda c: F.length(url) - F.length(F.replace(url, c, F.lit(""))))
@@ -68,6 +72,7 @@ def lexical(pages: DataFrame) -> DataFrame:
             "host_labels": F.size(F.split("host", "\\.")).cast("double"),
             "path_length": F.length("path").cast("double"),
             "suffix": F.concat(F.substring_index("host", ".", -1), F.lit("/"), F.element_at(F.split("path", "/"), -1).endswith(".html").cast("string")),
+            "head": F.substring_index(F.expr("substring(path, 2)"), "/", 1),
         }
     )
 
@@ -136,35 +141,74 @@ class Trees:
         return total
 
 
-def suffix_columns(stats: dict[str, tuple[float, float]], prior: float) -> dict[str, Column]:
-    rate, count = F.lit(prior), F.lit(0.0)
-    for suffix, (r, n) in sorted(stats.items()):
-        rate, count = F.when(F.col("suffix") == suffix, r).otherwise(rate), F.when(F.col("suffix") == suffix, n).otherwise(count)
-    return {"suffix_rate": rate, "suffix_count": count}
+def part_counts(judged: DataFrame, part: str) -> DataFrame:
+    """(part, its n_blocked, its n_labelled) over all labelled rows of lexical(), with labels in ``verdict``."""
+    blocked = F.sum((F.col("verdict") == "block").cast("long")).alias(f"{part}_blocked")
+    return judged.where("verdict is not null").groupBy(part).agg(blocked, F.count("*").alias(f"{part}_labelled"))
+
+
+def _part_features(prior: float, total: int, own: Column | None = None) -> dict[str, Column]:
+    """Rate (with the prior counted as 4 rows) and share of a row's parts among the labelled; own: a label left out of its own."""
+    out = {}
+    for part in PARTS:
+        blocked, labelled = (F.coalesce(f"{part}_{c}", F.lit(0)) for c in ("blocked", "labelled"))
+        if own is not None:
+            blocked, labelled = blocked - own, labelled - 1
+        out[f"{part}_rate"] = (blocked + F.lit(4 * prior)) / (labelled + F.lit(4))
+        out[f"{part}_count"] = labelled / F.lit(float(max(total, 1)))
+    return out
+
+
+def trained(judged: DataFrame, counts: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> tuple[Trees, float, int]:
+    """Trees, prior and number of labelled rows. Trees are fitted to at most train_rows labelled rows, chosen by hash; the
+    statistics in counts (by part) are of all labelled rows, and a row does not count in its own."""
+    sums = counts[PARTS[0]].agg(F.sum(f"{PARTS[0]}_blocked").alias("y"), F.sum(f"{PARTS[0]}_labelled").alias("n")).first()
+    blocked, total = sums.y or 0, sums.n or 0
+    prior = (blocked + 1) / (total + 2)
+    own = (F.col("verdict") == "block").cast("int")
+    labelled = judged.where("verdict is not null")
+    if total > train_rows:
+        # A task sends its share of a bounded sample, not train_rows of its own.
+        chance = int(min(1.0, 0.9 * train_rows / total) * (1 << 40))
+        labelled = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)) < F.lit(chance))
+    labelled = _with_counts(labelled, counts).withColumns(_part_features(prior, total, own))
+    chosen = labelled.orderBy(F.xxhash64("page_id", "url"), "url").limit(train_rows)
+    rows = chosen.select(own.alias("y"), *FEATURES).collect()
+    return Trees([([getattr(r, f) for f in FEATURES], r.y) for r in rows]), prior, total
+
+
+def _with_counts(judged: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    for part, known in counts.items():
+        judged = judged.join(F.broadcast(known) if known.count() <= BROADCAST_SUFFIXES else known, part, "left")
+    return judged
 
 
 def fitted(judged: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Trees, dict[str, Column]]:
-    """Trees and suffix statistics from at most train_rows labelled rows of lexical(), with labels in ``verdict``."""
-    chosen = judged.where("verdict is not null").orderBy(F.xxhash64("url"), "url").limit(train_rows)
-    plain = [f for f in FEATURES if not f.startswith("suffix")]
-    rows = chosen.select("suffix", (F.col("verdict") == "block").cast("int").alias("y"), *plain).collect()
-    seen: dict[str, list[int]] = {}
-    for r in rows:
-        seen.setdefault(r.suffix, []).append(r.y)
-    prior = (sum(r.y for r in rows) + 1) / (len(rows) + 2)
-    top = sorted(seen, key=lambda s: (-len(seen[s]), s))[:SUFFIXES]
-    stats = {s: ((sum(seen[s]) + 4 * prior) / (len(seen[s]) + 4), len(seen[s]) / len(rows)) for s in top}
-    data = [([getattr(r, f) for f in plain] + list(stats.get(r.suffix, (prior, 0.0))), r.y) for r in rows]
-    return Trees(data), suffix_columns(stats, prior)
+    """Trees and part statistics as column expressions, for labelled rows with at most BROADCAST_SUFFIXES of each part."""
+    counts = {part: written(part_counts(judged, part), part) for part in PARTS}
+    trees, prior, total = trained(judged, counts, train_rows)
+    features = {}
+    for part, known in counts.items():
+        rows = known.limit(BROADCAST_SUFFIXES + 1).collect()
+        if len(rows) > BROADCAST_SUFFIXES:
+            raise ValueError(f"over {BROADCAST_SUFFIXES} values of {part}: join part_counts() instead")
+        rate, share = F.lit(prior), F.lit(0.0)
+        for value, blocked, labelled in rows:
+            rate = F.when(F.col(part) == value, (blocked + 4 * prior) / (labelled + 4)).otherwise(rate)
+            share = F.when(F.col(part) == value, labelled / max(total, 1)).otherwise(share)
+        features |= {f"{part}_rate": rate, f"{part}_count": share}
+    return trees, features
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(page_id, host, path, rule, verdict, block_score) for each row of pages. One pass, no shuffle besides the sample."""
+    """(page_id, host, path, rule, verdict, block_score) for each row of pages. No shuffle but of the parts'
+    counts; the trees are fitted to at most train_rows labelled rows."""
     url = F.col(url_col)
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     judged = lexical(named.withColumns({"rule": rule, "verdict": verdict}))
-    trees, suffixes = fitted(judged, train_rows)
-    scored = judged.withColumns(suffixes).withColumn("block_score", trees.score())
+    counts = {part: written(part_counts(judged, part), part) for part in PARTS}
+    trees, prior, total = trained(judged, counts, train_rows)
+    scored = _with_counts(judged, counts).withColumns(_part_features(prior, total)).withColumn("block_score", trees.score())
     says = F.coalesce("verdict", F.when(F.col("block_score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", says.alias("verdict"), "block_score")
