@@ -7,7 +7,8 @@ number); the earliest stays. On request (short), shorter lines are removed too,
 Each line emits its deletion variants as hashed keys: the line without its i-th word, for every i, and the line itself.
 Lines with the same variant and the same i differ in word i at most; a line that is another's variant lacks one of its
 words. So each key needs only its earliest line, never the pairs of its group: the earliest beats all others. Each loser
-is then verified against its winner, word for word.
+is then verified against its winner, word for word; one that fails this (its key is a collision of hashes) is compared with
+the other earlier lines of its keys.
 
 Only lines that can have a partner emit variants: two lines one edit apart agree in their first or their last half
 (pigeonhole), so lines that share neither half with another line are left out first; this loses nothing.
@@ -151,7 +152,18 @@ def losing_lines(seen: DataFrame, firsts: DataFrame, fetch: Callable[[DataFrame]
     # The check, word for word.
     words = texts.select(at.alias("at"), F.split("line", " ").alias("words"))
     other = words.select(F.col("at").alias("first"), F.col("words").alias("other"))
-    return beaten.join(words, "at").join(other, "first").where(_near(F.col("words"), F.col("other"))).select("at.*")
+    checked = beaten.join(words, "at").join(other, "first").select("at", "first", _near(F.col("words"), F.col("other")).alias("near"))
+    checked = written(checked, "checked-lines")
+    # Two lines far apart with one key (a collision): the loser is compared with the other earlier lines of its keys.
+    failed = checked.where("not near").select("at")
+    if failed.isEmpty():
+        return checked.select("at.*")
+    asked = variants.join(failed, "at").select("key", "i", "at")
+    rivals = variants.select("key", F.col("i").alias("j"), F.col("at").alias("first"))
+    fits = "first < at and if(i = -1, j >= 0, j = i or j = -1)"
+    more = asked.join(rivals, "key").where(fits).select("at", "first").distinct()
+    more = more.join(words, "at").join(other, "first").where(_near(F.col("words"), F.col("other")))
+    return checked.where("near").select("at.*").unionByName(more.select("at").distinct().select("at.*"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
