@@ -7,8 +7,11 @@ word for word, and every window whose words also start in a document with a smal
 
 Heavy groups: (1) before anything travels, windows of a chunk of documents are sorted among themselves, and a window
 that has a smaller document in its own chunk is marked there and not sent, so a passage costs one copy a chunk; (2) a
-first pass counts minimisers; those in more than HOT_SHARE of a chunk's super-k-mers and of all are ranked last, so that
-windows prefer rarer pieces, and windows made only of hot pieces are spread by their own hash.
+first pass counts minimisers (exactly those frequent in a chunk, the others by a thinned count, as it only steers the
+dealing); those that lead more super-k-mers than HOT_SHARE of all, or than HOT_RUNS, are hot: they rank last, so that
+windows prefer rarer pieces, and windows made only of hot pieces are spread by their own hash. At most MOST_HOT minimisers
+are hot, so at any size a bucket holds BUCKET_BYTES of text and minimisers of at most the larger of HOT_RUNS runs (some 2 MB)
+and a MOST_HOT-th of all runs (some 100 MB at 100 TB).
 
 Defined results for odd input: null or empty texts have no words; a null id counts as larger than every other; rows with
 equal id and equal text get equal results; further columns are ignored; texts of any length are used whole.
@@ -33,8 +36,13 @@ from .shared import LAST_ID, written
 
 WINDOW = 13
 GRAM = 3
-#: A minimiser is hot if it leads this share of a chunk's super-k-mers, and of all of them.
+#: A minimiser is hot if it leads this share of all super-k-mers, or this many of them.
 HOT_SHARE = 1 / 2000
+HOT_RUNS = 1 << 14
+#: Most minimisers that are hot; they are broadcast, eight bytes each.
+MOST_HOT = 1 << 20
+#: Super-k-mers of minimisers that are rare in their chunk are counted by one in THIN.
+THIN = 64
 #: Documents handled together before packing, in bytes.
 PACK_BYTES = 3 << 20
 #: Text for each bucket, in bytes.
@@ -185,15 +193,20 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimisers that lead many super-k-mers of a chunk; and, under -1, how many super-k-mers there are; under -2, bytes."""
+    """How many super-k-mers of a chunk a minimiser leads; and, under -1, how many super-k-mers there are; under -2, bytes."""
     for ids, data, offsets in _texts(batches):
         chunk = _Chunk(ids, data, offsets, np.zeros(0, np.uint64))
         first, _ = chunk.runs(np.arange(len(chunk.at)))
-        gram, n = np.unique(chunk.lead[first], return_counts=True)
+        lead = chunk.lead[first]
+        gram, inverse, n = np.unique(lead, return_inverse=True, return_counts=True)
         heavy = n >= max(2, len(first) * HOT_SHARE)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(gram[heavy].view(np.int64), [-1, -2])), pa.array(np.append(n[heavy], [len(first), len(data)]).astype(np.int64))], names=["gram", "n"]
-        )
+        # By place and document, so that copies of a passage are thinned one by one.
+        place = chunk.at[first].astype(np.uint64) + tk.mix(chunk.id[first].astype(np.int64).view(np.uint64))
+        thin = np.flatnonzero((tk.mix(place) % _U(THIN) == 0) & ~heavy[inverse])
+        rare, times = np.unique(lead[thin], return_counts=True)
+        grams = np.concatenate([gram[heavy].view(np.int64), rare.view(np.int64), [-1, -2]])
+        counts = np.concatenate([n[heavy], times * THIN, [len(first), len(data)]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "n"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +268,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counts = written(counts, "minimisers")
     sizes = dict(map(tuple, counts.where("gram < 0").collect()))
     total = sizes.get(-1, 0)
-    # Each has over HOT_SHARE of all super-k-mers, so there are fewer than 1 / HOT_SHARE of them.
-    rows = counts.where((F.col("gram") >= 0) & (F.col("n") > total * HOT_SHARE)).select("gram").collect()
-    hot = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    # Each has over a MOST_HOT-th of all super-k-mers, so there are fewer than about MOST_HOT of them.
+    bound = max(min(total * HOT_SHARE, HOT_RUNS), total / MOST_HOT)
+    found = counts.where((F.col("gram") >= 0) & (F.col("n") > bound)).select("gram").toArrow()
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64)))
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, sizes.get(-2, 0) // BUCKET_BYTES + 1)
 
-    packs = docs.mapInArrow(lambda it: _packs(it, hot, buckets), "bucket int, packed binary, " + _SPAN)
+    packs = docs.mapInArrow(lambda it: _packs(it, hot.value, buckets), "bucket int, packed binary, " + _SPAN)
     return packs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, _SPAN)
 
 
