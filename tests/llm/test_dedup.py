@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from syntaxframe.llm import components, line_dedup, simhash, substring_dedup
@@ -222,6 +223,16 @@ def test_near_lines_against_brute_force(spark, monkeypatch, row_words):
     assert got == {(i, text): n for (i, _), (text, n) in zip(rows, plain_lines(rows))}
 
 
+def test_lines_whose_keys_collide_lose_no_rival(spark, monkeypatch):
+    plain = line_dedup._variants
+    monkeypatch.setattr(line_dedup, "_variants", lambda texts: plain(texts).withColumn("key", F.pmod("key", F.lit(7))))
+    rng = random.Random(16)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcd") for _ in range(rng.choice([5, 6, 7]))) for _ in range(5))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): r._n_removed for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {(i, text): n for (i, _), (text, n) in zip(rows, plain_lines(rows))}
+
+
 def test_equal_rows_and_empty_tables(spark):
     row = (1, "one two three four five\nsix seven eight nine ten")
     docs = spark.createDataFrame([row, row, (2, row[1])], "doc_id long, text string")

@@ -5,6 +5,7 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -280,3 +281,26 @@ def test_contaminated_documents_go_and_clean_ones_stay(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     report = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
     assert (report[1].n_items, report[1].n_hit, report[1].contaminated) == (1, 15, True)
+
+
+def test_benchmarks_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(23)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[:12]) for _ in range(300))) for i in range(20)] + [(99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(rng.choice(words[:12]) for _ in range(3))) for i in range(30)] + [(None, "w1 w2"), (7, "")], "item_id long, text string")
+    one = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    assert any("contaminated=True" in r for r in one)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30)
+    assert len(decontaminate.blocks_of(bench)) > 5
+    assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == one
+
+
+def test_the_index_keeps_sampled_positions_only():
+    rng = random.Random(24)
+    text = np.array([rng.randrange(2, 6) for _ in range(500)] + [0])
+    index = decontaminate.FMIndex(text, 6)
+    assert len(index.positions) == -(-len(text) // decontaminate.SAMPLE)
+    low, high = index.search(np.array([[2, 3, 4], [0, 5, 5]]), np.array([3, 2]))
+    for k, phrase in enumerate(([2, 3, 4], [5, 5])):
+        found = sorted(index.locate(np.arange(low[k], high[k])).tolist())
+        assert found == [i for i in range(500) if text[i : i + len(phrase)].tolist() == phrase]
