@@ -1,10 +1,11 @@
 """Personal data: base patterns, and spans added by weak supervision.
 
 Candidates beyond the base kinds come from loose patterns. Regex, gazetteer and context labelers each vote on every
-candidate (1 personal, 0 not, or none). Expectation-maximisation over the counts of vote patterns of all candidates
+candidate (personal, not, or none). Expectation-maximisation over the counts of vote patterns of all candidates
 estimates how reliable each labeler is, for each kind; the resulting chances train a logistic span classifier over votes and
 shape features, whose verdict decides which candidates are added. Patterns of votes and features are few (their number is
-bounded by their definition, whatever the data), so training uses every candidate of every document.
+bounded by their definition, whatever the data), so training uses every candidate of every document. The classifier's
+features are those of a kind by itself: no vote has to mean the same for two kinds.
 
 Defined results for odd input: a null text is empty; ids may be null or repeated; further columns are ignored; whole texts are
 searched, in time linear in their length; an empty table gives an empty result.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("credential", "key", "national_id", "loose_phone", "person")
+ADDED_KINDS = ("credential", "key", "national_id", "loose_phone", "person", "hidden_email", "iban", "birth_date", "address")
 KINDS = BASE_KINDS + ADDED_KINDS
 
 # Possessive forms of the base patterns: a match starts at the head of a run of digits or not at all, so runs need no retries.
@@ -44,17 +45,61 @@ _KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?=[A-Za-z0-9_-]{20})(?:xoxb|xoxp|glpat)-
 _DIGIT = re.compile(r"[0-9]")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-_PERSON = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.?\x20(\w{2,20}\x20\w{2,20})")
-_CANDIDATES = (("credential", _CREDENTIAL, 1), ("key", _KEY, 0), ("national_id", _NATIONAL, 0), ("loose_phone", _LOOSE_PHONE, 0), ("person", _PERSON, 1))
+_UPPER = "A-ZÀ-ÖØ-Þ"
+_TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.?\x20(\w\w++\x20\w\w++)")
+_PERSON = re.compile(rf"(?<![\w-])([{_UPPER}]\w++)(?=\x20([{_UPPER}]\w++)(?![\w-]))")
+_HIDDEN = re.compile(r"(?<![\w.+-])[\w.+-]++\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[\w-]++\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z]{2,}+(?!\w)", re.I)
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-]?[0-9])")
 
 # The gazetteers.
-SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key", "private", "credential")
+SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key", "private", "credential", "login", "bearer", "access")
 CONTACT_WORDS = ("phone", "call", "tel", "mobile", "fax", "contact", "ssn", "social", "born", "patient", "dear", "signed")
-NEUTRAL_WORDS = ("example", "sample", "dummy", "test", "version", "isbn", "order", "figure", "table", "page", "commit")
-FIRST_NAMES = ("james", "mary", "john", "anna", "maria", "peter", "paul", "hans", "jean", "pierre", "jose", "luis", "carlos", "laura", "sophie", "thomas", "michael", "sarah", "david", "emma")
+NEUTRAL_WORDS = (
+    "example", "sample", "dummy", "test", "version", "isbn", "order", "figure", "table", "page", "commit", "revision", "checksum", "digest", "serial", "model", "part no",
+    "invoice", "published", "updated", "released", "deadline", "chapter", "article", "sku", "ticket", "build", "look", "placeholder", "museum", "hotel", "station", "festival",
+)
+#: Words before a span that speak for its kind.
+KIND_WORDS = {
+    "credential": SECRET_WORDS,
+    "key": SECRET_WORDS,
+    "national_id": ("ssn", "social", "security number", "national id", "identity", "tax id", "patient"),
+    "loose_phone": ("phone", "call", "tel", "mobile", "fax", "contact", "reach", "dial", "cell", "text me", "whatsapp"),
+    "person": ("dear", "signed", "contact", "patient", "born", "name", "by ", "sincerely", "regards", "met ", "with ", "from ", "employee", "customer", "mr", "mrs", "ms", "dr", "prof", "herr", "frau", "sra", "mme"),
+    "hidden_email": ("mail", "contact", "write", "reach", "send", "address"),
+    "iban": ("iban", "account", "bank", "transfer", "pay"),
+    "birth_date": ("born", "birth", "dob", "né", "geboren", "nacid", "birthday"),
+    "address": ("address", "live", "lives", "resid", "home", "ship to", "deliver", "send", "visit", "wohn", "habite", "vive"),
+}
+FIRST_NAMES = frozenset(
+    """
+    james mary john anna maria peter paul hans jean pierre jose luis carlos laura sophie thomas michael sarah david emma robert patricia
+    jennifer linda elizabeth william barbara richard susan joseph jessica charles karen daniel lisa matthew nancy anthony betty mark sandra
+    donald ashley steven emily andrew kimberly joshua margaret kenneth donna kevin michelle brian carol george amanda timothy melissa ronald
+    deborah edward stephanie jason rebecca jeffrey helen ryan alice jacob julia gary ruth nicholas anne eric diana jonathan grace stephen
+    larry justin scott brandon benjamin samuel gregory frank alexander raymond patrick jack dennis jerry olivia noah liam lucas hugo louis
+    camille chloe manon julie nicolas antoine francois claire isabelle monique jacques michel klaus jürgen wolfgang stefan andreas markus
+    sabine petra monika ursula katrin juan antonio manuel francisco javier miguel rosa carmen pilar lucia elena sofia pablo diego alejandro
+    """.split()
+)
+STREET_WORDS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Dr", "Boulevard", "Blvd", "Court", "Way", "Place", "Square", "Terrace")
+STREETS_AHEAD = ("Calle", "Avenida", "Plaza", "Rue", "Avenue", "Boulevard", "Via")
+DOMAIN_ENDS = frozenset("com org net edu gov io info biz co de fr es uk it nl eu us ca ch at be me dev app".split())
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "xoxp", "sk_live", "rk_live", "glpat")
-
-LABELERS = ("shape", "prefix", "entropy", "secret_words", "contact_words", "neutral_words", "names")
+#: Parts of values that stand for no real one.
+DUMMIES = ("xxxx", "0000000", "1234567", "abcdef", "changeme", "your_", "your-", "example", "dummy", "none", "null", "<", "${", "...")
+
+_ADDRESS = re.compile(
+    rf"(?<![\w-])[0-9]{{1,5}}[A-Za-z]?,?\x20(?:[{_UPPER}]\w++\x20){{1,3}}?(?:{'|'.join(STREET_WORDS)})(?!\w)"
+    rf"|(?<![\w-])(?:{'|'.join(STREETS_AHEAD)})\x20(?:\w++\x20){{1,4}}?[0-9]{{1,5}}(?!\w)|(?<![\w-])[{_UPPER}]\w*+(?<=straße)\x20[0-9]{{1,4}}[a-z]?(?!\w)"
+)
+#: (kind, pattern, group of the span, what a text must contain for the pattern to be tried)
+_CANDIDATES = (
+    ("credential", _CREDENTIAL, 1, ""), ("national_id", _NATIONAL, 0, "-"), ("loose_phone", _LOOSE_PHONE, 0, ""), ("person", _TITLED, 1, ""), ("person", _PERSON, 0, ""),
+    ("hidden_email", _HIDDEN, 0, "dot"), ("iban", _IBAN, 0, ""), ("birth_date", _DATE, 0, ""), ("address", _ADDRESS, 0, ""), ("key", _KEY, 0, ""),
+)
+
+LABELERS = ("shape", "proof", "entropy", "secret_words", "kind_words", "neutral_words", "names", "dummies", "plain_words")
 _CONTEXT = 24
 
 
@@ -96,14 +141,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, code) of spans that may be added; none overlaps a base span or an earlier candidate."""
     found = []
-    for kind, pattern, group in _CANDIDATES:
+    for order, (kind, pattern, group, part) in enumerate(_CANDIDATES):
+        if part and part not in text and part.upper() not in text:
+            continue
         for m in pattern.finditer(text):
-            if pattern is not _KEY or _DIGIT.search(m.group()) or m.group().startswith(KEY_PREFIXES):
-                found.append((m.start(group), KINDS.index(kind), m.end(group)))
+            if pattern is _KEY and not (_DIGIT.search(m.group()) or m.group().startswith(KEY_PREFIXES)):
+                continue
+            if pattern is _PERSON and m.group(1).lower() not in FIRST_NAMES:
+                continue
+            found.append((m.start(group), order, KINDS.index(kind), m.end(2 if pattern is _PERSON else group)))
     if not found:
         return []
     starts, reach, out, last = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max)), [], 0
-    for start, kind, end in sorted(found):
+    for start, _, kind, end in sorted(found):
         before = bisect_left(starts, end)
         if start >= last and not (before and reach[before - 1] > start):
             out.append((start, kind, end, code_of(text, start, end, kind)))
@@ -116,27 +166,63 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def iban_checks(value: str) -> bool:
+    """Does an account number leave 1 when read as a number to base 36 and divided by 97 (ISO 13616)?"""
+    plain = value.replace(" ", "")
+    return int("".join(str(int(ch, 36)) for ch in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _shape(name: str, value: str) -> int:
+    digits = sum(ch.isdigit() for ch in value)
+    if name == "credential":
+        return 2 if digits and len(value) >= 8 else 1
+    if name == "key":
+        return 2 if re.fullmatch(r"[0-9a-f]{32,64}|[A-Z0-9]{20}|[A-Za-z0-9_-]{36,}", value) else 0
+    if name == "national_id":
+        return 1 if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" else 2
+    if name == "loose_phone":
+        return 1 if value.count("0") >= 8 or value.lstrip("(")[0] in "01" else 2
+    if name == "hidden_email":
+        return 2 if "[" in value or "(" in value else 0
+    if name == "birth_date":
+        numbers = [int(x) for x in re.split("[./-]", value)]
+        return 2 if sum(x <= 12 for x in numbers) >= 1 and sum(x <= 31 for x in numbers) == 2 and 1900 <= max(numbers) <= 2015 else 1
+    if name == "address":
+        return 0
+    return 2 if value.istitle() or name == "iban" else 1
+
+
 def votes_of(text: str, start: int, end: int, kind: int) -> tuple[int, ...]:
     """A vote of each labeler: 2 personal, 1 not, 0 none."""
-    value, before = text[start:end], text[max(0, start - _CONTEXT) : start].lower()
+    value, before, after = text[start:end], text[max(0, start - _CONTEXT) : start].lower(), text[end : end + _CONTEXT // 2].lower()
     low, name = value.lower(), KINDS[kind]
-    bits, digits = _entropy(value), sum(ch.isdigit() for ch in value)
+    secret, bits = name in ("credential", "key"), _entropy(value)
     said = lambda words, where: any(w in where for w in words)
-    shape = {
-        "credential": 2 if digits and len(value) >= 8 else 1,
-        "key": 2 if re.fullmatch(r"[0-9a-f]{32,64}|[A-Z0-9]{20}|[A-Za-z0-9_-]{36,}", value) else 0,
-        "national_id": 1 if value[:3] in ("000", "666") or value[0] == "9" else 2,
-        "loose_phone": 1 if value.count("0") >= 8 else 2,
-        "person": 2 if value.istitle() else 1,
-    }[name]
+    names = 0
+    if name == "person":
+        names = 2 if low.split()[0] in FIRST_NAMES else 1
+    elif name == "hidden_email":
+        names = 2 if re.split(r"[^a-z]+", low)[-1] in DOMAIN_ENDS else 1
+    proof = 0
+    if name == "iban":
+        proof = 2 if iban_checks(value) else 1
+    elif value.startswith(KEY_PREFIXES):
+        proof = 2
+    plain = 0
+    if secret:
+        words = re.split(r"[^A-Za-z]+", value)
+        plain = 1 if all(w.islower() or w.isupper() or w.istitle() for w in words if w) and max(map(len, words)) < 12 and sum(map(len, words)) > 0.8 * len(value) - len(words) else 0
     return (
-        shape,
-        2 if value.startswith(KEY_PREFIXES) else 0,
-        0 if name == "person" else 2 if bits >= 2.8 else 1 if bits < 1.5 else 0,
-        2 if said(SECRET_WORDS, before) else 0,
-        2 if said(CONTACT_WORDS, before) else 0,
-        1 if said(NEUTRAL_WORDS, before) or said(NEUTRAL_WORDS, low) else 0,
-        2 if name == "person" and low.split()[0] in FIRST_NAMES else 0,
+        _shape(name, value),
+        proof,
+        0 if not secret else 2 if bits >= 2.8 else 1 if bits < 1.5 else 0,
+        2 if name == "key" and said(SECRET_WORDS, before) else 0,
+        # The word that makes a credential is part of its pattern, and says nothing more.
+        2 if name != "credential" and said(KIND_WORDS[name], before) else 0,
+        1 if said(NEUTRAL_WORDS, before) or said(NEUTRAL_WORDS, low) or said(NEUTRAL_WORDS, after) else 0,
+        names,
+        1 if said(DUMMIES, low) else 0,
+        plain,
     )
 
 
@@ -161,29 +247,48 @@ def _decoded(code: int) -> tuple[list[int], int, int]:
     return votes[::-1], length, digits
 
 
-def reliabilities(patterns: list[tuple[list[int], float]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over (votes, count): each pattern's chance of being personal, each labeler's accuracy."""
+def reliabilities(patterns: list[tuple[list[int], float]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over (votes, count): each pattern's chance of being personal, each labeler's accuracy.
+
+    A labeler has a chance of each vote (none, not, personal) for either truth (Dawid and Skene, 1979), so that one that only
+    ever speaks for one side tells by its silence too.
+    """
     votes, weight = np.array([v for v, _ in patterns]), np.array([n for _, n in patterns], float)
     cast, yes = votes > 0, votes == 2
-    chance = np.clip((yes.sum(1) + 0.5) / (cast.sum(1) + 1), 0.05, 0.95)
+    shown = np.stack([votes == v for v in range(3)], axis=2).astype(float)
+    # A start from the plain majority of those that do not always say the same. Priors say that labelers are right more often
+    # than not, and are as strong as 5 % of the rows; proofs (known prefixes, checksums) hardly ever err.
+    tells = (np.abs(votes - votes[:1]).max(0) > 0) if len(votes) else np.zeros(votes.shape[1], bool)
+    chance = 1 / (1 + np.exp(-1.4 * ((yes & tells).sum(1) - (cast & ~yes & tells).sum(1))))
+    favour = np.tile(np.array([[5.0, 4.0, 1.0], [5.0, 1.0, 4.0]])[:, None, :], (1, votes.shape[1], 1))
+    if votes.shape[1] == len(LABELERS):
+        favour[:, LABELERS.index("proof")] = [[10.0, 20.0, 0.02], [10.0, 0.02, 20.0]]
+    favour *= max(1.0, 0.005 * weight.sum())
     for _ in range(rounds):
-        # A labeler's accuracy has a prior of 8 right in 10, which keeps a pattern seen once from deciding it.
-        right = (weight[:, None] * np.where(yes, chance[:, None], 1 - chance[:, None]) * cast).sum(0) + 8
-        accuracy = np.clip(right / ((weight[:, None] * cast).sum(0) + 10), 0.05, 0.99)
-        prior = np.clip(((weight * chance).sum() + 1) / (weight.sum() + 2), 0.05, 0.95)
-        odds = np.log(accuracy / (1 - accuracy))
-        chance = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + np.where(cast, np.where(yes, odds, -odds), 0).sum(1))))
-    return chance, accuracy
+        told = []
+        for truth, prior in zip((1 - chance, chance), favour):
+            n = ((weight * truth)[:, None, None] * shown).sum(0) + prior
+            told.append(np.log(n / n.sum(1, keepdims=True)))
+        share = np.clip(((weight * chance).sum() + 1) / (weight.sum() + 2), 0.05, 0.95)
+        odds = np.log(share / (1 - share)) + (shown * (told[1] - told[0])).sum((1, 2))
+        chance = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    right = (weight[:, None] * np.where(yes, chance[:, None], 1 - chance[:, None]) * cast).sum(0) + 8
+    return chance, right / ((weight[:, None] * cast).sum(0) + 10)
+
+
+_WIDTH = 1 + 3 * len(LABELERS) + 8
 
 
 def _features(kind: int, code: int) -> np.ndarray:
+    """One block for each kind: a constant, the votes, length and digits."""
     votes, length, digits = _decoded(code)
-    out = np.zeros(1 + len(KINDS) + 3 * len(LABELERS) + 8)
-    out[[0, 1 + kind]] = 1
+    out = np.zeros(len(KINDS) * _WIDTH)
+    mine = out[kind * _WIDTH : (kind + 1) * _WIDTH]
+    mine[0] = 1
     for i, v in enumerate(votes):
-        out[1 + len(KINDS) + 3 * i + v] = 1
-    out[1 + len(KINDS) + 3 * len(LABELERS) + length] = 1
-    out[-4 + digits] = 1
+        mine[1 + 3 * i + v] = 1
+    mine[1 + 3 * len(LABELERS) + length] = 1
+    mine[-4 + digits] = 1
     return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -148,6 +149,76 @@ def test_personal_data_keeps_base_and_adds_spans(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_candidates_of_long_runs_take_linear_time():
+    makers = [lambda n: "a at a dot " * n, lambda n: "Aa " * n, lambda n: "A" * n, lambda n: "1 A " * n, lambda n: "AA11 AAAA " * n, lambda n: "Rue a " * n, lambda n: "1.1." * n, lambda n: "12-12-" * n]
+
+    def seconds(text):
+        began = time.perf_counter()
+        pii.candidates(text, pii.base_spans(text))
+        return time.perf_counter() - began
+
+    for make in makers:
+        assert seconds(make(160_000) + " dot") < 10 * seconds(make(40_000) + " dot") + 0.5
+
+
+def planted(rng):
+    """Texts with one span each: (text, span, kind, is it personal). False friends look like their kind."""
+    pick, digits = rng.choice, lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    base62 = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(3, 9)))
+    area = lambda: str(rng.randrange(201, 899))
+
+    def iban():
+        body = "DE00" + digits(18)
+        check = 98 - int("".join(str(int(ch, 36)) for ch in body[4:] + body[:4])) % 97
+        return f"DE{check:02d}" + body[4:]
+
+    def wrong_iban():
+        good = iban()
+        return good[:-1] + str((int(good[-1]) + 1) % 10)
+
+    first, last = sorted(pii.FIRST_NAMES), ["Smith", "Müller", "Garcia", "Dubois", "Novak", "Okafor", "Larsen", "Rossi"]
+    date = lambda a, b: f"{rng.randrange(1, 29):02d}.{rng.randrange(1, 13):02d}.{rng.randrange(a, b)}"
+    makers = {
+        "credential": (lambda: (pick(["password", "api_key", "the secret"]) + pick([" = ", ": ", "="]), base62(rng.randrange(10, 300))), lambda: (pick(["password: ", "token = ", "secret="]), pick(["changeme", "your_token", "none", "xxxx", "<value>"]))),
+        "key": (lambda: (pick(["the access key ", "use bearer ", "my private "]), pick([lambda: "ghp_" + base62(36), lambda: hexes(40), lambda: "AKIA" + base62(16).upper(), lambda: base62(48)])()), lambda: (pick(["at commit ", "checksum ", "revision "]), pick([lambda: hexes(40), lambda: f"{word()}_{word()}_{word()}_{word()}_value_2"])())),
+        "national_id": (lambda: (pick(["his SSN ", "social security number ", "patient "]), f"{area()}-{rng.randrange(10, 99)}-{digits(4)}"), lambda: (pick(["part no ", "serial ", "order "]), f"{pick(['000', '666', '9' + digits(2)])}-{rng.randrange(10, 99)}-{digits(4)}")),
+        "loose_phone": (lambda: (pick(["call ", "phone ", "my mobile ", "reach me on "]), f"({area()}) 555-{digits(4)}"), lambda: (pick(["version ", "invoice ", "sku "]), f"000.{digits(3)}.{digits(4)}")),
+        "person": (lambda: (pick(["Dear ", "signed ", "we met ", "patient "]), f"{pick(first).title()} {pick(last)}"), lambda: (pick(["the museum ", "at the hotel ", "festival "]), f"{pick(first).title()} {pick(['Hall', 'Garden', 'Museum', 'Station'])}")),
+        "hidden_email": (lambda: (pick(["mail me: ", "write to ", "contact "]), pick([f"{word()}.{word()} [at] {word()} [dot] {pick(['com', 'org', 'de'])}", f"{word()} at {word()} dot {pick(['com', 'net'])}"])), lambda: (pick(["a look ", "the table "]), f"{word()} at {word()} dot {word()}zz")),
+        "iban": (lambda: (pick(["IBAN ", "my bank account ", "transfer to "]), iban()), lambda: (pick(["model ", "serial ", "sku "]), wrong_iban())),
+        "birth_date": (lambda: (pick(["born on ", "date of birth ", "DOB: "]), date(1930, 2005)), lambda: (pick(["published on ", "updated ", "deadline "]), date(2016, 2040))),
+        "address": (lambda: (pick(["she lives at ", "home address ", "ship to "]), f"{rng.randrange(1, 999)} {pick(['Oak', 'High', 'Church'])} {pick(['Street', 'Road', 'Lane'])}"), lambda: (pick(["the museum ", "figure ", "hotel "]), f"{rng.randrange(1, 999)} {pick(['Oak', 'High'])} {pick(['Street', 'Road'])}")),
+    }
+    for k in range(3600):
+        kind = list(makers)[k % len(makers)]
+        true = rng.random() < 0.6
+        lead, span = makers[kind][not true]()
+        if true and rng.random() < 0.15:
+            lead = "zu " if kind != "credential" else lead
+        head = " ".join(word() for _ in range(rng.randrange(6, 12))) + ". "
+        yield head + lead + span + " " + word() + ".", span, kind, true
+
+
+def test_added_spans_against_planted_truth(spark):
+    cases = list(planted(random.Random(40)))
+    docs = spark.createDataFrame([(i, text) for i, (text, *_) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    hit, wrong, missed = {}, {}, {}
+    for i, (text, span, kind, true) in enumerate(cases):
+        at = text.rindex(span)
+        asked = f"{kind}:{at}:{at + len(span)}"
+        found = [x for x in got[i].split(",") if x and x.split(":")[0] in pii.ADDED_KINDS]
+        hit[kind] = hit.get(kind, 0) + (true and asked in found)
+        missed[kind] = missed.get(kind, 0) + (true and asked not in found)
+        wrong[kind] = wrong.get(kind, 0) + sum(x != asked or not true for x in found)
+    print({k: (hit[k], missed[k], wrong[k]) for k in hit})
+    for kind in pii.ADDED_KINDS:
+        assert hit[kind] >= 0.9 * (hit[kind] + missed[kind]), kind
+        assert hit[kind] >= 0.9 * (hit[kind] + wrong[kind]), kind
+
+
 def test_reliabilities_find_the_bad_labeler():
     rng = random.Random(4)
     votes = []
