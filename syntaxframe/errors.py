@@ -28,12 +28,12 @@ class AmbiguousCaptureError(SyntaxFrameError):
 
 
 class ExtractionError(SyntaxFrameError):
-    """Rows that could not be made; ``failures`` lists them, ``into`` is the model."""
+    """Rows that could not be made; ``failures`` lists them (or the first of ``total``), ``into`` is the model."""
 
-    def __init__(self, failures: list, into: type | None = None):
-        self.failures, self.into = failures, into
+    def __init__(self, failures: list, into: type | None = None, total: int | None = None):
+        self.failures, self.into, self.total = failures, into, len(failures) if total is None else total
         shown = "; ".join(str(f) for f in failures[:3])
-        super().__init__(f"{len(failures)} rows of {getattr(into, '__name__', 'the model')} failed: {shown}")
+        super().__init__(f"{self.total} rows of {getattr(into, '__name__', 'the model')} failed: {shown}")
 
 
 class BundleError(SyntaxFrameError):

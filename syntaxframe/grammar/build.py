@@ -25,7 +25,7 @@ from .scanners import SCANNERS
 from .tables import Tables, build_tables
 
 #: Changes whenever tables of an older build are no longer fit.
-ENGINE = "tables-1"
+ENGINE = "tables-3"
 BUNDLE_FORMAT = 2
 
 
@@ -62,7 +62,14 @@ def cache_key(model: GrammarModel, scanner: str | None) -> str:
 
 
 def default_cache_dir() -> Path:
-    return Path(os.environ.get("SYNTAXFRAME_CACHE") or Path(tempfile.gettempdir()) / f"syntaxframe-{os.getuid()}")
+    """A folder in the user's own cache; builds run on the driver alone."""
+    own = Path(os.environ.get("XDG_CACHE_HOME") or Path.home() / ".cache") / "syntaxframe"
+    return Path(os.environ.get("SYNTAXFRAME_CACHE") or own)
+
+
+def _trusted(entry: Path) -> bool:
+    """Pickles are read only from folders that nobody else can write to."""
+    return all(p.stat().st_uid == os.getuid() and not p.stat().st_mode & 0o022 for p in (entry, entry.parent))
 
 
 def build(model: GrammarModel | Grammar, *, scanner: str | None = None, analyse: bool = True, cache_dir: str | Path | None = None) -> BuildResult:
@@ -81,6 +88,8 @@ def build(model: GrammarModel | Grammar, *, scanner: str | None = None, analyse:
     entry = Path(cache_dir or default_cache_dir()) / key
     warnings = [i for i in found if i.warning]
     try:
+        if not _trusted(entry):
+            raise OSError(f"{entry} can be written by others")
         tables, schema = pickle.loads((entry / "tables.pickle").read_bytes())
         return BuildResult(model, tables, schema, scanner, warnings, key, True)
     except (OSError, pickle.UnpicklingError, AttributeError, EOFError):
@@ -88,9 +97,9 @@ def build(model: GrammarModel | Grammar, *, scanner: str | None = None, analyse:
     tables = build_tables(model)
     schema = derive_schema(model, tables)
     # Whoever is first puts the entry in place by one rename; another's is as good.
-    entry.parent.mkdir(parents=True, exist_ok=True)
+    entry.parent.mkdir(mode=0o700, parents=True, exist_ok=True)
     with tempfile.TemporaryDirectory(dir=entry.parent) as work:
-        (made := Path(work) / "entry").mkdir()
+        (made := Path(work) / "entry").mkdir(mode=0o700)
         (made / "tables.pickle").write_bytes(pickle.dumps((tables, schema)))
         model.emit_json(made / "grammar.json")
         schema.write(made / "node-schema.json")
@@ -136,14 +145,35 @@ def debug_states(model: GrammarModel | Grammar, rule: str) -> str:
 
 
 def build_from_source_dir(source: str | Path, *, name: str | None = None, scanner: str | None = None, cache_dir: str | Path | None = None) -> BuildResult:
-    """From a folder with grammar.json or src/grammar.json. The folder is only read, the checks are left out."""
+    """From a folder with grammar.json or src/grammar.json. The folder is only read, the checks are left out.
+
+    Without a scanner's name, the one that a metadata.json beside the grammar names is taken, else the one registered scanner whose
+    tokens are the grammar's externals. Scanners in C cannot be run; a grammar that only comes with one needs a name.
+    """
     source = Path(source)
     found = next((p for p in (source / "grammar.json", source / "src/grammar.json") if p.exists()), None)
     if found is None:
         raise PipelineError(f"{source} has neither grammar.json nor src/grammar.json")
     model = GrammarModel.load(found)
     model.name = name or model.name
-    return build(model, scanner=scanner, analyse=False, cache_dir=cache_dir)
+    return build(model, scanner=scanner or _scanner_beside(found, model), analyse=False, cache_dir=cache_dir)
+
+
+def _scanner_beside(grammar: Path, model: GrammarModel) -> str | None:
+    if not model.externals:
+        return None
+    for folder in (grammar.parent, grammar.parent.parent):
+        if (folder / "metadata.json").exists():
+            said = json.loads((folder / "metadata.json").read_text()).get("scanner")
+            if said in SCANNERS:
+                return said
+    wanted = {e.name or str(e.value) for e in model.externals}
+    fitting = [name for name, make in SCANNERS.items() if set(make().names) == wanted]
+    if len(fitting) == 1:
+        return fitting[0]
+    if any((folder / f"scanner{end}").exists() for folder in (grammar.parent, grammar.parent.parent) for end in (".c", ".cc")):
+        raise ExternalScannerRequiredError(f"{model.name} comes with a scanner in C, which cannot be run here; name one of {sorted(SCANNERS)}")
+    return None
 
 
 def derive_schema_for_dir(source: str | Path, *, name: str | None = None, out: str | Path | None = None, scanner: str | None = None) -> NodeSchema:
@@ -183,9 +213,9 @@ def main(argv: list[str] | None = None) -> int:
     for flag in ("-o", "-n"):
         if flag in args:
             at = args.index(flag)
-            options[flag] = args[at + 1]
+            options[flag] = args[at + 1] if at + 1 < len(args) else None
             del args[at : at + 2]
-    if len(args) != 1:
+    if len(args) != 1 or None in options.values():
         print(main.__doc__, file=sys.stderr)
         return 2
     schema = derive_schema_for_dir(args[0], name=options.get("-n"), out=options.get("-o"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from ..errors import GenerateError
-from .ir import GrammarModel
+from .ir import GrammarModel, Site
 
 #: The report type that is a conflict, in JSON reports of table builders.
 CONFLICT_KEY = ("BuildTables", "Conflict")
@@ -48,12 +48,23 @@ class GrammarConflictError(GenerateError):
         for way in conflict.possible_interpretations:
             steps = list(way.get("production_step_symbols", ()))
             at = way.get("step_index", len(steps))
-            lines.append(f"  {way.get('variable_name')} -> {' '.join([*steps[:at], '•', *steps[at:]])}")
+            site = production_site(grammar, way.get("variable_name"), steps)
+            lines.append(f"  {way.get('variable_name')} -> {' '.join([*steps[:at], '•', *steps[at:]])}" + (f" at {site}" if site else ""))
         lines += [f"  {rule} at {site}" for rule, site in self.sites.items() if site]
         self.fixes = [suggestion(r) for r in conflict.possible_resolutions]
         super().__init__("\n".join(lines + [f"  fix: {f}" for f in self.fixes]))
 
 
+def production_site(grammar: GrammarModel | None, rule: str | None, symbols: list[str]) -> Site | None:
+    """Where the alternative of a rule was written that gives a production, or else where the rule was."""
+    from .dsl import matching_alternative
+
+    if grammar is None or rule not in grammar.rules:
+        return None
+    found = matching_alternative(grammar.rules[rule], symbols)
+    return (found.site if found is not None else None) or grammar.sites.get(rule)
+
+
 def suggestion(resolution: dict[str, Any]) -> str:
     names = ", ".join(map(str, resolution.get("symbols", ())))
     return {

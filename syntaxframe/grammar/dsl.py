@@ -11,6 +11,7 @@ import re
 import sys
 from collections.abc import Iterable
 from pathlib import Path
+from types import MappingProxyType
 from typing import Union
 
 from ..errors import GrammarError
@@ -240,7 +241,13 @@ class Grammar:
     extras_view = property(lambda self: tuple(self._extras))
     externals_view = property(lambda self: tuple(self._externals))
     word_view = property(lambda self: self._word)
-    reserved_view = property(lambda self: {k: tuple(v) for k, v in self._reserved.items()})
+    reserved_view = property(lambda self: MappingProxyType({k: tuple(v) for k, v in self._reserved.items()}))
+    rules_view = property(lambda self: MappingProxyType(self.rules))
+    sites_view = property(lambda self: MappingProxyType(self.sites))
+    conflicts_view = property(lambda self: tuple(map(tuple, self._conflicts)))
+    inline_view = property(lambda self: tuple(self._inline))
+    supertypes_view = property(lambda self: tuple(self._supertypes))
+    precedences_view = property(lambda self: tuple(map(tuple, self._orders)))
 
     def start(self, name: str) -> Grammar:
         self._start = name
@@ -348,14 +355,24 @@ class Grammar:
     def emit_json(self, path: str | Path) -> Path:
         return self.build().emit_json(path)
 
+    def production_site(self, rule: str, symbols: Iterable[str]) -> Site | None:
+        """Where the alternative of a rule was written that gives a production with these symbols, or else where the rule was."""
+        found = matching_alternative(self.rules[rule], symbols) if rule in self.rules else None
+        return (found.site if found is not None else None) or self.sites.get(rule)
+
 
 def matching_alternative(expr: Expr, symbols: Iterable[str]) -> Expr | None:
-    """The alternative of a rule body whose symbols begin as given: the author's line for a production."""
+    """The alternative of a rule body whose symbols begin as given: the author's line for a production. Literals and patterns may be
+    given as they are or as tables name them, in quotes or slashes."""
     wanted = list(symbols)
 
-    def names(e: Expr) -> list[str]:
-        return [x.name or str(x.value) for x in e.walk() if x.kind in ("SYMBOL", "STRING", "PATTERN")]
+    def names(e: Expr) -> list[tuple[str, ...]]:
+        leaves = [x for x in e.walk() if x.kind in ("SYMBOL", "STRING", "PATTERN")]
+        return [(x.name,) if x.name else (str(x.value), f"'{x.value}'", f"/{x.value}/") for x in leaves]
+
+    def begins(e: Expr) -> bool:
+        found = names(e)
+        return len(found) >= len(wanted) and all(w in n for w, n in zip(wanted, found))
 
     options = [m for e in expr.walk() if e.kind == "CHOICE" for m in e.members] or [expr]
-    best = [e for e in options if names(e)[: len(wanted)] == wanted]
-    return min(best, key=lambda e: len(names(e)), default=None)
+    return min(filter(begins, options), key=lambda e: len(names(e)), default=None)

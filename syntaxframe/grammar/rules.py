@@ -7,12 +7,15 @@ Annotations are children in order, with the attribute's name as field: a rule cl
 
 from __future__ import annotations
 
+import ast
 import inspect
 import re
 import sys
+import textwrap
 import types
 import typing
 from collections.abc import Iterable
+from dataclasses import replace
 from typing import Any, Literal, Union, get_args, get_origin
 
 from ..errors import GrammarError
@@ -129,10 +132,25 @@ def body_of(cls: type[Rule]) -> Expr:
     own = [n for n in cls.__dict__.get("__annotations__", {}) or inspect.get_annotations(cls) if not n.startswith("__")]
     if not own:
         raise GrammarError(f"{cls.__name__} has no body")
-    parts = [_annotation(cls, n, hints[n]) for n in own]
+    sites = attribute_sites(cls)
+    parts = [replace(_annotation(cls, n, hints[n]), site=sites.get(n, cls.__site__)) for n in own]
     return parts[0] if len(parts) == 1 else dsl.seq(*parts)
 
 
+def attribute_sites(cls: type[Rule]) -> dict[str, Site]:
+    """Where each child of a rule class is declared, by its name; none where the source cannot be read."""
+    try:
+        lines, first = inspect.getsourcelines(cls)
+    except (OSError, TypeError):
+        return {}
+    found: dict[str, Site] = {}
+    for statement in ast.parse(textwrap.dedent("".join(lines))).body[0].body:
+        if isinstance(statement, ast.AnnAssign) and isinstance(statement.target, ast.Name) and not statement.target.id.startswith("__"):
+            at = statement.lineno - 1
+            found[statement.target.id] = replace(cls.__site__, line=first + at, text=lines[at].strip())
+    return found
+
+
 def module_rules(module: Any) -> list[type[Rule]]:
     """Rule classes defined in a module, in order; imported ones are left out."""
     return [c for c in vars(module).values() if inspect.isclass(c) and issubclass(c, Rule) and c.__module__ == module.__name__]

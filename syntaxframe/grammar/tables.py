@@ -68,9 +68,12 @@ class Tables:
     hidden: frozenset[str]
     supertypes: frozenset[str]
     word: str | None
+    #: context -> texts that are no words in it
     reserved: dict[str, frozenset[str]]
     forking: bool
     extra_rules: dict[str, Tables] = field(default_factory=dict)
+    #: state -> the reserved-word context in which its words are read (None: the grammar's first)
+    contexts: list[str | None] = field(default_factory=list)
 
 
 def regex_of(expr: Expr, rules: dict[str, Expr] | None = None) -> str:
@@ -194,6 +197,11 @@ class _Builder:
             raise GenerateError(f"token in {head} cannot be made")
         raise GenerateError(f"{kind} in {head} cannot be expanded")
 
+    def literal_of(self, expr: Expr) -> str | None:
+        """The text of a token that is a literal."""
+        name = expr.name if expr.kind == "SYMBOL" else self.inline_token(expr)
+        return self.terminals[name].literal if name in self.terminals else None
+
     @staticmethod
     def _step(name, fields, alias, reserved) -> Step:
         return Step(name, fields, *(alias or (None, False)), reserved)
@@ -411,13 +419,23 @@ def build_tables(grammar: GrammarModel, start: str | None = None) -> Tables:
             done[symbol] = tuple(options)
         actions.append(done)
         gotos.append({s: to for s, to in automaton.moves[state].items() if s not in terminals})
-    reserved = {k: frozenset(filter(None, (builder.inline_token(e) for e in v))) for k, v in grammar.reserved.items()}
+    contexts = [_context(automaton, builder.productions, kernel, grammar.word) for kernel in automaton.kernels] if grammar.reserved and grammar.word else []
+    reserved = {k: frozenset(filter(None, map(builder.literal_of, v))) for k, v in grammar.reserved.items()}
     return Tables(
         grammar.name, start, terminals, builder.productions, actions, gotos, tuple(extras), tuple(builder.externals),
-        frozenset(builder.hidden), frozenset(grammar.supertypes), grammar.word, reserved, forking, extra_rules,
+        frozenset(builder.hidden), frozenset(grammar.supertypes), grammar.word, reserved, forking, extra_rules, contexts,
     )
 
 
+def _context(automaton: _Automaton, productions: list[Production], kernel, word: str) -> str | None:
+    """The context that the steps next in a state give to its words, themselves or for what they begin with."""
+    for at, dot in sorted(automaton.closure(kernel)):
+        steps = productions[at].steps
+        if dot < len(steps) and steps[dot].reserved is not None and (steps[dot].symbol == word or word in automaton.first.get(steps[dot].symbol, ())):
+            return steps[dot].reserved
+    return None
+
+
 def _plain(names: frozenset[str]) -> frozenset[str]:
     return frozenset(n.split("~")[0] for n in names)
 

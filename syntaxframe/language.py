@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -20,8 +21,9 @@ from .grammar.dsl import Grammar
 from .grammar.ir import GrammarModel
 from .grammar.scanners import scanner_for
 from .grammar.tables import Tables, build_tables
-from .model import OutputModel
-from .parse.rows import COLUMNS, Wanted, parse_batches
+from .model import M, OutputModel
+from .operators import ancestry
+from .parse.rows import ARROW, COLUMNS, Wanted, parse_batches
 from .parse.runtime import Node, Parser
 from .plans.analyze import Analyzer
 from .plans.explain import pattern_text
@@ -29,6 +31,7 @@ from .plans.extract import FAILURE, field_rows, raw_rows, record_rows, wanted
 from .plans.raw import MATCHES, match_batches
 from .schema import NodeSchema
 from .sources.docs import spread
+from .sources.staging import staged
 from .valuemap import ValueMap
 
 
@@ -45,6 +48,26 @@ def schema_from(source: Any) -> NodeSchema | None:
     return NodeSchema.from_list(source) if isinstance(source, (list, dict)) else NodeSchema.from_node_types_json(source)
 
 
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with underscores before those that are taken (in any case) or come twice."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _apart(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str], list[str]]:
+    """docs with names of our own for all columns, ``text`` last; these names and the ones that they stand for. No name of a
+    user's column can then meet one of a plan's."""
+    kept = [c for c in docs.columns if c != text_col]
+    own = [f"_doc{i}" for i in range(len(kept))]
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*(column(c).alias(o) for c, o in zip(kept, own)), column(text_col).alias("text")), own, kept
+
+
 @dataclass(frozen=True)
 class MatchFailure:
     """Why a row could not be made."""
@@ -129,11 +152,14 @@ class Language:
         return self._parser
 
     def parse(self, source: str | bytes, encoding: str = "utf-8") -> Node:
-        return self.parser().parse(source.decode(encoding) if isinstance(source, bytes) else source)
+        """The tree of a text, which remembers it and places from which reparse() can go on."""
+        return self.parser().parse(source.decode(encoding) if isinstance(source, bytes) else source, keep=True)
 
     def reparse(self, old: Node, source: str | bytes) -> Node:
-        """The tree of a changed text. Whole texts are parsed; streaming.py skips texts that did not change."""
-        return self.parse(source)
+        """The tree of a changed text. Top-level nodes before the change, and those after it from the first place at which the parser
+        stands as it did, are taken from the old tree (which must not be used any more); what is between is parsed. The
+        result is that of parse()."""
+        return self.parser().reparse(old, source.decode("utf-8") if isinstance(source, bytes) else source)
 
     def _sent(self, spark: SparkSession):
         """The tables on the executors: a few hundred states at most, whatever the data."""
@@ -142,16 +168,25 @@ class Language:
             self._broadcast = context, context.broadcast((self.tables, self.scanner))
         return self._broadcast[1]
 
-    def nodes(self, docs: DataFrame, want: Wanted | None = None, text_col: str = "text") -> DataFrame:
-        """The nodes relation of docs: its other columns, then COLUMNS of parse.rows. Null texts have no nodes."""
-        carried = [c for c in docs.columns if c != text_col]
-        sent, want = self._sent(docs.sparkSession), want or Wanted()
+    def _parsed(self, docs: DataFrame, want: Wanted, carried: list[str]) -> DataFrame:
+        """Node rows of docs(carried..., text)."""
+        sent = self._sent(docs.sparkSession)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), COLUMNS])
+        return spread(docs).mapInArrow(lambda batches: parse_batches(batches, _worker_parser(sent), want, carried), schema)
+
+    def nodes(self, docs: DataFrame, want: Wanted | None = None, text_col: str = "text") -> DataFrame:
+        """The nodes relation of docs: its other columns, then COLUMNS of parse.rows. Null texts have no nodes.
 
-        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return parse_batches(batches, _worker_parser(sent), want, carried)
+        Columns of docs that are named like one of COLUMNS get an underscore before their names.
+        """
+        apart, own, kept = _apart(docs, text_col)
+        nodes = self._parsed(apart, want or Wanted(), own)
+        return nodes.toDF(*free_names(kept, [n for n, _ in ARROW]), *(n for n, _ in ARROW))
 
-        return spread(docs.select(*carried, F.col(text_col).alias("text"))).mapInArrow(parse, schema)
+    def shared_nodes(self, docs: DataFrame, extractors: list[Extractor], text_col: str = "text") -> DataFrame:
+        """The nodes that several extractors need, parsed once: written to the cluster's shared folder, from which each plan reads
+        the columns and kinds that it wants."""
+        return staged(self.nodes(docs, shared_wanted(extractors), text_col), "nodes")
 
     def extractor(self, model: type[OutputModel], strict: bool = True) -> Extractor:
         key = model, strict
@@ -198,26 +233,46 @@ class Extractor:
     def wanted(self) -> Wanted | None:
         return None if self.spec.raw is not None else wanted(self.checked)
 
-    def rows(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """All rows, good and failed: docs' columns, node_id, the model's columns and ``_failure``."""
-        carried = [c for c in docs.columns if c != text_col]
+    def rows(self, docs: DataFrame, text_col: str = "text", within: str | tuple[str, ...] | None = None) -> DataFrame:
+        """All rows, good and failed: docs' columns, node_id, the model's columns and ``_failure``.
+
+        Columns of docs that are named like one of the result get an underscore before their names. within: only anchors (of a
+        raw query: matches) at or below nodes of these kinds.
+        """
+        docs, own, kept = _apart(docs, text_col)
+        scopes = None if within is None else frozenset((within,) if isinstance(within, str) else within)
         if self.spec.raw is None:
-            return self.from_nodes(self.language.nodes(docs, self.wanted(), text_col), carried)
-        sent, source = self.language._sent(docs.sparkSession), self.spec.raw
-        declared = [n for b in self.spec.captures for n in (b.key, b.name)]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), MATCHES])
-        matches = spread(docs.select(*carried, F.col(text_col).alias("text"))).mapInArrow(
-            lambda batches: match_batches(batches, _worker_parser(sent), source, declared, carried), schema
-        )
-        return raw_rows(matches, self.checked, carried)
+            nodes = self.language._parsed(docs, self.wanted(), own)
+            if scopes is not None:
+                above = "/(?:" + "|".join(map(re.escape, sorted(scopes))) + ")(?:/|$)"
+                nodes = nodes.where(F.col("kind").isin(*scopes) | F.col("path").rlike(above))
+            out = self.from_nodes(nodes, own)
+        else:
+            sent, source = self.language._sent(docs.sparkSession), self.spec.raw
+            declared = [n for b in self.spec.captures for n in (b.key, b.name)]
+            schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema), MATCHES])
+            matches = spread(docs).mapInArrow(lambda batches: match_batches(batches, _worker_parser(sent), source, declared, own, scopes), schema)
+            out = raw_rows(matches, self.checked, own)
+        result = out.columns[len(own) :]
+        return out.toDF(*free_names(kept, result), *result)
 
     def from_nodes(self, nodes: DataFrame, carried: list[str] | None = None) -> DataFrame:
         """The same from a nodes relation made before (parse once, extract many models)."""
-        from .parse.rows import ARROW
-
         carried = [c for c in nodes.columns if c not in {n for n, _ in ARROW}] if carried is None else carried
         return (record_rows if self.spec.record else field_rows)(nodes, self.checked, carried)
 
+    def scoped(self, nodes: DataFrame, outer: DataFrame, doc: str = "doc_id") -> DataFrame:
+        """Rows of the anchors in a nodes relation that are nodes of ``outer`` (doc, node_id, last_id) or stand below one."""
+        return self.extract_nodes(ancestry.inside(nodes, outer, doc, itself=True))
+
+    def of_records(self, nodes: DataFrame) -> DataFrame:
+        """Rows of a record model for which each of the given nodes is a record itself, wherever it stands: its path is not looked at.
+        The relation must have been parsed with the model's wanted(), its anchors being of the model's kinds."""
+        free = replace(self.spec, path=M(self.spec.path.anchors, record=True))
+        checked = replace(self.checked, spec=free)
+        carried = [c for c in nodes.columns if c not in {n for n, _ in ARROW}]
+        return self._finished(record_rows(nodes, checked, carried))
+
     def extract_nodes(self, nodes: DataFrame) -> DataFrame:
         return self._finished(self.from_nodes(nodes))
 
@@ -231,12 +286,29 @@ class Extractor:
     def failures(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The failed rows only."""
         rows = self.rows(docs, text_col)
-        return rows.where(F.col(FAILURE).isNotNull()).select(*[c for c in docs.columns if c != text_col], f"{FAILURE}.*")
+        fields = rows.schema[FAILURE].dataType.fieldNames()
+        kept = rows.columns[: len(docs.columns) - 1]
+        failed = rows.where(F.col(FAILURE).isNotNull()).select(*(F.col(f"`{c}`") for c in kept), f"{FAILURE}.*")
+        return failed.toDF(*free_names(kept, fields), *fields)
+
+    def verified(self, docs: DataFrame, text_col: str = "text", most: int = 20) -> DataFrame:
+        """Rows of docs whose texts all give good rows; otherwise one ExtractionError with the number of failed rows and the first
+        ``most`` of them. The rows are written once, so nothing is parsed twice."""
+        rows = staged(self.rows(docs, text_col), "rows")
+        failed = rows.where(F.col(FAILURE).isNotNull())
+        total = failed.count()
+        if total:
+            doc = F.col(f"`{rows.columns[0]}`") if len(docs.columns) > 1 else F.lit(None)
+            sample = failed.select(doc.alias("doc"), FAILURE).orderBy("doc", f"{FAILURE}.node_id").limit(most).collect()
+            found = [(r["doc"], r[FAILURE]) for r in sample]
+            raise ExtractionError([_failed(doc, f) for doc, f in found], self.model, total)
+        return rows.drop(FAILURE)
 
     def extract(self, source: Any, text_col: str = "text") -> Any:
         """Rows of a DataFrame as a DataFrame; of a text as a list of models in document order.
 
-        strict: a text with failed rows raises ExtractionError with all of them; a DataFrame's job fails at the first.
+        strict: a text with failed rows raises ExtractionError with all of them; a DataFrame's job fails at the first (verified()
+        looks at all of them before).
         """
         if isinstance(source, DataFrame):
             return self._finished(self.rows(source, text_col))
@@ -245,11 +317,14 @@ class Extractor:
         rows = self.rows(spark.createDataFrame([(0, text)], "doc_id long, text string")).collect()
         failed = [r for r in rows if r[FAILURE] is not None]
         if failed and self.strict:
-            found = [r[FAILURE].asDict() for r in failed]
-            raise ExtractionError([MatchFailure(0, f["pattern"], f["anchor"], f["line"], f["column"], f["start_byte"], f["end_byte"], tuple(f["errors"])) for f in found], self.model)
+            raise ExtractionError([_failed(0, r[FAILURE]) for r in failed], self.model)
         return [self.model.of_row(r) for r in sorted(rows, key=lambda r: r["node_id"]) if r[FAILURE] is None]
 
 
+def _failed(doc: Any, f: Any) -> MatchFailure:
+    return MatchFailure(doc, f["pattern"], f["anchor"], f["line"], f["column"], f["start_byte"], f["end_byte"], tuple(f["errors"]))
+
+
 def shared_wanted(extractors: list[Extractor]) -> Wanted:
     """What several models need together, so that one parse serves them all."""
     out = Wanted(frozenset(), frozenset())

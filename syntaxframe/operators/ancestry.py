@@ -1,33 +1,64 @@
 """Relations between nodes of one document, by their preorder intervals.
 
-``a`` is above ``b`` if a.node_id < b.node_id <= a.last_id. Joins are on doc_id, so they run inside documents.
+``a`` is above ``b`` if a.node_id < b.node_id <= a.last_id. Intervals of a tree nest, so each relation is one pass over a
+document's nodes in order, linear in their number; no pairs are made. Documents without an id (null) are one document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _reached(nodes: DataFrame, outer: DataFrame, doc: str, itself: bool) -> DataFrame:
+    """nodes with ``_reach``: the greatest last_id of the outer nodes that begin before each (or at it)."""
+    names = nodes.columns
+    rows = nodes.select(F.col(doc).alias("_doc"), F.col("node_id").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("int").alias("_to"), F.struct(*names).alias("_row"))
+    above = outer.select(F.col(doc).alias("_doc"), F.col("node_id").alias("_at"), F.lit(0 if itself else 2).alias("_turn"), F.col("last_id").alias("_to"))
+    both = rows.unionByName(above, allowMissingColumns=True)
+    before = Window.partitionBy("_doc").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_reach", F.max("_to").over(before)).where("_turn = 1")
+    return found.select("_row.*", (F.coalesce("_reach", F.lit(-1)) >= F.col("_at")).alias("_inside"))
 
 
-def inside(nodes: DataFrame, outer: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Nodes that stand below some node of ``outer`` (left semi)."""
-    up = outer.select(F.col(doc).alias("_doc"), F.col("node_id").alias("_from"), F.col("last_id").alias("_to"))
-    return nodes.join(up, (F.col(doc) == F.col("_doc")) & (F.col("node_id") > F.col("_from")) & (F.col("node_id") <= F.col("_to")), "left_semi")
+def inside(nodes: DataFrame, outer: DataFrame, doc: str = "doc_id", itself: bool = False) -> DataFrame:
+    """Nodes that stand below some node of ``outer`` (left semi); itself: or are one."""
+    return _reached(nodes, outer, doc, itself).where("_inside").drop("_inside")
 
 
-def outside(nodes: DataFrame, outer: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Nodes that stand below none of ``outer`` (left anti)."""
-    up = outer.select(F.col(doc).alias("_doc"), F.col("node_id").alias("_from"), F.col("last_id").alias("_to"))
-    return nodes.join(up, (F.col(doc) == F.col("_doc")) & (F.col("node_id") > F.col("_from")) & (F.col("node_id") <= F.col("_to")), "left_anti")
+def outside(nodes: DataFrame, outer: DataFrame, doc: str = "doc_id", itself: bool = False) -> DataFrame:
+    """Nodes that stand below none of ``outer`` (left anti); itself: and are none."""
+    return _reached(nodes, outer, doc, itself).where("not _inside").drop("_inside")
 
 
 def dotted_paths(rows: DataFrame, key: str, doc: str = "doc_id", sep: str = ".") -> DataFrame:
-    """rows(doc, node_id, last_id, key, ...) with ``dotted``: the keys of all rows above and the row's own, outermost first."""
-    up = rows.select(F.col(doc).alias("_doc"), F.col("node_id").alias("_at"), F.col("last_id").alias("_to"), F.col(key).alias("_key"))
-    above = rows.join(up, (F.col(doc) == F.col("_doc")) & (F.col("node_id") >= F.col("_at")) & (F.col("node_id") <= F.col("_to")))
-    names = above.groupBy(doc, "node_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_key"))).alias("_chain"))
-    joined = names.select(doc, "node_id", F.array_join(F.transform("_chain", lambda c: c["_key"]), sep).alias("dotted"))
-    return rows.join(joined, [doc, "node_id"])
+    """rows(doc, node_id, last_id, key, ...) with ``dotted``: the keys of all rows above and the row's own, outermost first.
+
+    One pass over each document's rows in order, with a stack of the rows above; null keys are left out.
+    """
+    names = rows.columns
+    at = [names.index(c) for c in (doc, "node_id", "last_id", key)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = object(), []
+        for batch in batches:
+            dotted = []
+            for owner, node, last, name in zip(*(batch.column(i).to_pylist() for i in at)):
+                if owner != now:
+                    now, stack = owner, []
+                while stack and stack[-1][0] < node:
+                    stack.pop()
+                own = ([stack[-1][1]] if stack and stack[-1][1] is not None else []) + ([] if name is None else [str(name)])
+                stack.append((last, sep.join(own) if own else None))
+                dotted.append(stack[-1][1] or "")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dotted, pa.string())], names=[*names, "dotted"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("dotted", T.StringType())])
+    return rows.repartition(doc).sortWithinPartitions(doc, "node_id", F.desc("last_id")).mapInArrow(walk, schema)
 
 
 def at_span(nodes: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -171,6 +171,9 @@ def matches_at(pattern: Pattern, name: str | None, node: Node) -> Iterator[list[
     if not _single(pattern, name, node):
         return
     own = [(c, node) for c in pattern.captures]
+    if not pattern.children:
+        yield own
+        return
     for rest in _children(pattern.children, node.children, 0):
         yield own + rest
 
@@ -193,10 +196,16 @@ def _children(patterns: tuple[Pattern, ...], pairs, at: int) -> Iterator[list[tu
             yield from (taken + r for r in _children(rest, pairs, last if met and rest else at))
         return
     for i in range(at, len(pairs)):
-        for found in matches_at(first, *pairs[i]):
-            for r in _children(rest, pairs, i + 1):
-                met = True
-                yield found + r
+        name, node = pairs[i]
+        if first.options or _single(first, name, node):
+            for found in matches_at(first, name, node):
+                if not rest:
+                    met = True
+                    yield found
+                    continue
+                for r in _children(rest, pairs, i + 1):
+                    met = True
+                    yield found + r
     if first.quantifier == "?" and not met:
         yield from _children(rest, pairs, at)
 
@@ -212,19 +221,35 @@ def holds(tests: list[tuple], captures: dict[str, list[Node]], text: str) -> boo
     return True
 
 
-def query_matches(patterns: list[Pattern], root: Node, text: str) -> Iterator[tuple[int, Node, dict[str, list[Node]]]]:
-    """(pattern number, matched node, captures) over a whole tree, in document order."""
-    stack: list[tuple[str | None, Node]] = [(None, root)]
+def _roots(pattern: Pattern) -> set[str | None]:
+    """Kinds of nodes that a pattern can match; None stands for any."""
+    return set().union(*map(_roots, pattern.options)) if pattern.options else {pattern.kind}
+
+
+def query_matches(patterns: list[Pattern], root: Node, text: str, scopes: frozenset[str] | None = None) -> Iterator[tuple[int, Node, dict[str, list[Node]]]]:
+    """(pattern number, matched node, captures) over a whole tree, in document order.
+
+    With scopes, only matches at or below a node of one of these kinds count (each once, however many such nodes stand above).
+    """
+    anywhere = [(i, p) for i, p in enumerate(patterns) if None in _roots(p)]
+    by_kind: dict[str, list[tuple[int, Pattern]]] = {}
+    for kind in {k for p in patterns for k in _roots(p)} - {None}:
+        by_kind[kind] = [(i, p) for i, p in enumerate(patterns) if _roots(p) & {None, kind}]
+    tests = [[p.tests for p in pattern.walk() if p.tests] for pattern in patterns]
+    inside = scopes is None
+    stack: list[tuple[str | None, Node, bool]] = [(None, root, inside)]
     while stack:
-        name, node = stack.pop()
-        for number, pattern in enumerate(patterns):
+        name, node, inside = stack.pop()
+        inside = inside or node.kind in scopes
+        for number, pattern in by_kind.get(node.kind, anywhere) if inside else ():
             for found in matches_at(pattern, name, node):
                 captures: dict[str, list[Node]] = {}
                 for c, n in found:
                     captures.setdefault(c, []).append(n)
-                if all(holds(p.tests, captures, text) for p in pattern.walk()):
+                if all(holds(t, captures, text) for t in tests[number]):
                     yield number, node, captures
-        stack.extend(reversed(node.children))
+        if node.children:
+            stack.extend((f, n, inside) for f, n in reversed(node.children))
 
 
 MATCHES = (
@@ -236,7 +261,9 @@ _TYPES = [pa.int32(), pa.int32(), pa.string(), *[pa.int32()] * 6, pa.string(), _
 _NAMES = [part.split()[0] for part in MATCHES.split(", ")[:10]] + ["captures"]
 
 
-def match_batches(batches: Iterator[pa.RecordBatch], parser: Parser, source: str, declared: list[str], carried: list[str]) -> Iterator[pa.RecordBatch]:
+def match_batches(
+    batches: Iterator[pa.RecordBatch], parser: Parser, source: str, declared: list[str], carried: list[str], scopes: frozenset[str] | None = None
+) -> Iterator[pa.RecordBatch]:
     """Arrow batches of (carried..., text) to one row for each match. A match's place is that of the first declared capture."""
     patterns = parse_query(source)
     for batch in batches:
@@ -244,9 +271,12 @@ def match_batches(batches: Iterator[pa.RecordBatch], parser: Parser, source: str
         for i, text in enumerate(batch.column(len(carried)).to_pylist()):
             if text is None:
                 continue
-            root, places = parser.parse(text), Places(text)
-            ids = {id(n): k for k, n in enumerate(root.walk())}
-            for number, node, captures in query_matches(patterns, root, text):
+            root = parser.parse(text)
+            ids: dict[int, int] = {}
+            places = None
+            for number, node, captures in query_matches(patterns, root, text, scopes):
+                if not ids:
+                    ids, places = {id(n): k for k, n in enumerate(root.walk())}, Places(text)
                 at = captures["_anchor"][0] if "_anchor" in captures else next((captures[d][0] for d in declared if captures.get(d)), node)
                 held = [(c, [{"node_id": ids[id(n)], "text": n.text(text)} for n in nodes]) for c, nodes in captures.items()]
                 owners.append(i)

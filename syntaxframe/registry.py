@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from .functions import coerce
 from .grammar.dsl import Grammar, alias, choice, field, pattern, ref, repeat, seq, token
 from .grammar.lint import run_checks
-from .language import language_for, shared_wanted
+from .language import language_for
 from .model import AnyOf, Eq, M, Matches, NodeKind, OutputModel, RawQuery, Unescaped, capture, capture_kind, derived, source_meta
 from .operators import ancestry, corpus, render, reparse
 from .parse.rows import Wanted
 from .sources.docs import from_table, nested
+from .sources.staging import shared_dir, staged
 from .valuemap import ValueMap
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,7 +374,7 @@ def html_links(spark, sf_dir):
 def html_attr_records(spark, sf_dir):
     """The attributes as a record and the label as a field of the same node, over one parse."""
     both = [_html().extractor(LinkTarget), _html().extractor(LinkLabel)]
-    nodes = _html().nodes(_pages(spark, sf_dir), shared_wanted(both))
+    nodes = _html().shared_nodes(_pages(spark, sf_dir), both)
     return both[0].extract_nodes(nodes).join(both[1].extract_nodes(nodes), ["doc_id", "node_id"]).select("doc_id", "href", "label")
 
 
@@ -563,7 +564,7 @@ def models_paired_by_line(spark, sf_dir):
     text = _text("f(1);\n", F.col("n_name"), " = g(2);\nz = 3;")
     docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))
     both = [language_for("expr").extractor(LeftSide), language_for("expr").extractor(AnyCall)]
-    nodes = language_for("expr").nodes(docs, shared_wanted(both))
+    nodes = language_for("expr").shared_nodes(docs, both)
     left, right = (e.extract_nodes(nodes).drop("node_id") for e in both)
     return left.join(right, ["doc_id", "line"]).select("doc_id", "line", "name", "function")
 
@@ -610,6 +611,10 @@ def conf_pairs(spark, sf_dir):
 
 def _bindings(spark, sf_dir) -> DataFrame:
     nodes = language_for("conf").nodes(_conf_docs(spark, sf_dir), Wanted(frozenset(("binding",)), frozenset()))
+    return staged(_of_bindings(nodes), "bindings")
+
+
+def _of_bindings(nodes: DataFrame) -> DataFrame:
     path = F.try_element_at(F.filter("children", lambda c: c["field"] == "path"), F.lit(1))["text"]
     value = F.try_element_at(F.filter("children", lambda c: c["field"] == "value"), F.lit(1))
     return nodes.select("doc_id", "node_id", "last_id", "start_byte", "end_byte", path.alias("key"), value["kind"].alias("value_kind"), value["start_byte"].alias("from_byte"), value["end_byte"].alias("to_byte"))
@@ -620,7 +625,8 @@ _DOTTED = "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'region.R' || n_regionk
 
 @query(_DOTTED + " UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'region.R' || r_regionkey FROM region UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'region.R' || r_regionkey || '.nations' FROM region UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'region.R' || r_regionkey || '.size' FROM region")
 def dotted_path(spark, sf_dir):
-    return ancestry.dotted_paths(_bindings(spark, sf_dir), "key").select("doc_id", "dotted")
+    nodes = language_for("conf").nodes(_conf_docs(spark, sf_dir), Wanted(frozenset(("binding",)), frozenset()))
+    return ancestry.dotted_paths(_of_bindings(nodes), "key").select("doc_id", "dotted")
 
 
 @query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name AS key FROM nation")
@@ -638,14 +644,15 @@ def ancestor_anti(spark, sf_dir):
 @query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name AS key, 'string' AS kind FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'size', 'integer' FROM region UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'nations', 'block' FROM region UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'region.R' || r_regionkey, 'block' FROM region")
 def span_lookup(spark, sf_dir):
     """The node at the bytes of each binding's value."""
-    spans = _bindings(spark, sf_dir).select("doc_id", F.col("from_byte").alias("start_byte"), F.col("to_byte").alias("end_byte"), "key")
-    nodes = language_for("conf").nodes(_conf_docs(spark, sf_dir), Wanted(None, frozenset(), children=False))
+    nodes = staged(language_for("conf").nodes(_conf_docs(spark, sf_dir), Wanted(None, frozenset())), "nodes")
+    spans = _of_bindings(nodes.where("kind = 'binding'")).select("doc_id", F.col("from_byte").alias("start_byte"), F.col("to_byte").alias("end_byte"), "key")
     return ancestry.at_span(nodes, spans).select("doc_id", "key", "kind")
 
 
 @query("SELECT c.category AS category, CAST(c.n AS BIGINT) AS n FROM (SELECT 'nation' AS category, COUNT(*) AS n FROM nation UNION ALL SELECT 'count', COUNT(*) FROM region UNION ALL SELECT 'other', 2 * COUNT(*) FROM region) c")
 def classify(spark, sf_dir):
-    dotted = ancestry.dotted_paths(_bindings(spark, sf_dir), "key")
+    nodes = language_for("conf").nodes(_conf_docs(spark, sf_dir), Wanted(frozenset(("binding",)), frozenset()))
+    dotted = ancestry.dotted_paths(_of_bindings(nodes), "key")
     category = F.when(F.col("dotted").rlike(r"\.nations\."), "nation").when(F.col("dotted").endswith(".size"), "count").otherwise("other")
     return dotted.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
 
@@ -688,7 +695,7 @@ def nodekind_tuple(spark, sf_dir):
 def multi_model_shared_parse(spark, sf_dir):
     html = language_for("html")
     both = [html.extractor(Title), html.extractor(LinkLabel)]
-    nodes = html.nodes(_pages(spark, sf_dir), shared_wanted(both))
+    nodes = html.shared_nodes(_pages(spark, sf_dir), both)
     rows = [e.extract_nodes(nodes).groupBy(F.lit(k).alias("kind")).agg(F.count("*").alias("n")) for k, e in zip(("title", "link"), both)]
     return rows[0].unionByName(rows[1])
 
@@ -786,12 +793,7 @@ def stream_extract(spark, sf_dir):
 
     from .streaming.incremental import extract_stream, replayed
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="stream-")
-    work = f"{base}/stream-{uuid.uuid4().hex}"
+    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = _table(spark, sf_dir, "events")
     stream = from_table(spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), "event_id", "props")
     replayed(lambda docs: extract_stream(docs, language_for("json").extractor(KeyK)), stream, f"{work}/rows", f"{work}/state")

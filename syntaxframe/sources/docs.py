@@ -12,9 +12,11 @@ def from_files(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFr
 
 
 def from_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One document a line. The id is a hash of file and place among equal lines is not told apart."""
-    lines = spark.read.text(path)
-    return lines.select(F.concat_ws("#", F.input_file_name(), F.xxhash64("value").cast("string")).alias("doc_id"), F.col("value").alias("text"))
+    """One document a line. The id is the file, the byte at which its split begins, and the line's place among the rows read with it:
+    equal lines have different ids, and the same files read with the same split size give the same ids."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", place.alias("place"))
+    return lines.select(F.concat_ws("#", "file_path", "file_block_start", "place").alias("doc_id"), F.col("value").alias("text"))
 
 
 def from_table(df: DataFrame, doc_id: str | Column, text: str | Column, *keep: str) -> DataFrame:
@@ -39,6 +41,7 @@ def spread(docs: DataFrame) -> DataFrame:
     if docs.isStreaming:
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    files = len(docs._jdf.inputFiles())
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(cores) if 0 < files < cores and size <= cores * SPREAD_BYTES else docs
+    # The size first: files are counted (in the JVM, no name leaves it) for small inputs only.
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES:
+        return docs
+    return docs.repartition(cores) if 0 < len(docs._jdf.inputFiles()) < cores else docs
