@@ -182,6 +182,28 @@ class BashHeredocScanner:
         return None
 
 
+class QueuedHeredocScanner:
+    """Heredocs begun on one line, whose bodies follow it in the same order. START is ``<<``, an optional ``-`` and the delimiter, BODY
+    all from where it is asked for up to and with the line that is the delimiter (after tabs, with ``-``), or the end."""
+
+    names = ("QUEUED_START", "QUEUED_BODY")
+
+    def start(self):
+        return ()
+
+    def scan(self, state, valid, text, pos):
+        start, body = self.names
+        if start in valid:
+            m = re.compile(r"[ \t]*(<<(-?)(['\"]?)([^\s'\"]+)['\"]?)").match(text, pos)
+            if m:
+                return start, m.start(1), m.end(), (*state, (m.group(4), bool(m.group(2))))
+        if body in valid and state and pos < len(text):
+            (word, strip), rest = state[0], state[1:]
+            m = re.compile(rf"^{'[\t]*' if strip else ''}{re.escape(word)}$", re.M).search(text, pos)
+            return body, pos, m.end() if m else len(text), rest
+        return None
+
+
 class FragmentScanner:
     """The text of a quoted string up to its end quote or a ``${`` interpolation."""
 
@@ -199,7 +221,7 @@ class FragmentScanner:
 
 SCANNERS = {
     "indent": IndentScanner, "heredoc": HeredocScanner, "matched_delimiter": MatchedScanner,
-    "py_indent": PyIndentScanner, "bash_heredoc": BashHeredocScanner, "fragment": FragmentScanner,
+    "py_indent": PyIndentScanner, "bash_heredoc": BashHeredocScanner, "queued_heredoc": QueuedHeredocScanner, "fragment": FragmentScanner,
 }
 
 

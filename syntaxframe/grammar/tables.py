@@ -228,6 +228,8 @@ class _Builder:
             if name in reachable or name in self.terminals:
                 continue
             reachable.add(name)
+            if name not in self.g.rules:
+                raise GenerateError(f"{name} is used, but not defined")
             bodies[name] = self.g.rules[name]
             for e in self.g.rules[name].walk():
                 if e.kind == "SYMBOL":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,8 +47,8 @@ def select_node(root: Node, kind: str | None) -> Node | None:
     return root if kind is None else next((n for n in root.walk() if n.kind == kind), None)
 
 
-def rendered(docs: DataFrame, language: Language, *, style: str = "sexp", selector: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with ``rendered``: the tree of each text (or its first node of a kind), null where there is none."""
+def rendered(docs: DataFrame, language: Language, *, style: str = "sexp", selector: str | None = None, text_col: str = "text", **options: Any) -> DataFrame:
+    """docs with ``rendered``: the tree of each text (or its first node of a kind), null where there is none. options: of the style."""
     carried = [c for c in docs.columns if c != text_col]
     sent = language._sent(docs.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), f"`{text_col}` string", "rendered string"])
@@ -57,7 +58,7 @@ def rendered(docs: DataFrame, language: Language, *, style: str = "sexp", select
             found = []
             for text in batch.column(len(carried)).to_pylist():
                 node = None if text is None else select_node(_worker_parser(sent).parse(text), selector)
-                found.append(None if node is None else STYLES[style](node))
+                found.append(None if node is None else STYLES[style](node, **options))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*carried, text_col, "rendered"])
 
     return docs.select(*carried, F.col(text_col)).mapInArrow(run, schema)

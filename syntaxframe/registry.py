@@ -799,3 +799,6 @@ def stream_extract(spark, sf_dir):
     replayed(lambda docs: extract_stream(docs, language_for("json").extractor(KeyK)), stream, f"{work}/rows", f"{work}/state")
     return spark.read.parquet(f"{work}/rows").select("doc_id", "k")
 
+
+
+from . import registry_more  # noqa: E402, F401  (registers its queries)
