@@ -11,7 +11,9 @@ first pass counts minimisers (exactly those frequent in a chunk, the others by a
 dealing); those that lead more super-k-mers than HOT_SHARE of all, or than HOT_RUNS, are hot: they rank last, so that
 windows prefer rarer pieces, and windows made only of hot pieces are spread by their own hash. At most MOST_HOT minimisers
 are hot, so at any size a bucket holds BUCKET_BYTES of text and minimisers of at most the larger of HOT_RUNS runs (some 2 MB)
-and a MOST_HOT-th of all runs (some 100 MB at 100 TB).
+and a MOST_HOT-th of all runs (some 100 MB at 100 TB); (3) a passage found in every chunk still sends a copy a chunk to its
+buckets: a task that has gathered COMPACT_BYTES marks the losers among them, drops runs all of whose windows lost, and goes
+on, so that it holds each different window once, however many copies arrive.
 
 Defined results for odd input: null or empty texts have no words; a null id counts as larger than every other; rows with
 equal id and equal text get equal results; further columns are ignored; texts of any length are used whole.
@@ -45,6 +47,8 @@ MOST_HOT = 1 << 20
 THIN = 64
 #: Documents handled together before packing, in bytes.
 PACK_BYTES = 3 << 20
+#: Packs of a bucket that a task gathers before it drops what has lost, in bytes.
+COMPACT_BYTES = 8 << 20
 #: Text for each bucket, in bytes.
 BUCKET_BYTES = 4 << 20
 
@@ -212,12 +216,14 @@ def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets arrive one after the other; each is unpacked, its windows sorted, and the marked ones returned."""
     held: list[bytes] = []
-    bucket = None
+    bucket, size, limit = None, 0, COMPACT_BYTES
 
     def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal size, limit
         if held:
-            yield _marked(held)
+            yield _marked(held)[0]
             held.clear()
+        size, limit = 0, COMPACT_BYTES
 
     for batch in batches:
         done = batch.filter(pc.is_null(batch.column(1)))
@@ -229,10 +235,21 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from flush()
                     bucket = name
                 held.append(packed.as_py())
+                size += len(held[-1])
+                if size > limit:
+                    spans, held[:] = _marked(held, keep=True)
+                    yield spans
+                    size = sum(map(len, held))
+                    limit = max(COMPACT_BYTES, 2 * size)
     yield from flush()
 
 
-def _marked(packed: list[bytes]) -> pa.RecordBatch:
+def _packed(heads: list[np.ndarray], body: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack("<i", len(heads[0])), *(h.tobytes() for h in heads), body]))
+
+
+def _marked(packed: list[bytes], keep: bool = False) -> tuple[pa.RecordBatch, list[bytes]]:
+    """Spans of the windows that lose among those packed; keep: and packs of the runs with a window that does not."""
     opener, heads, bodies = zstandard.ZstdDecompressor(), [[] for _ in _HEAD], []
     for blob in packed:
         raw = opener.decompress(blob)
@@ -243,13 +260,21 @@ def _marked(packed: list[bytes]) -> pa.RecordBatch:
         bodies.append(raw[at:])
     ids, keys, place, size = map(np.concatenate, heads)
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    del bodies, heads
+    del bodies
     offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     words = tk.Words(data, offsets, tk.PLAIN_WORD)
     at = words.windows(WINDOW)
     run = np.searchsorted(words.first, at, side="right") - 1
     hashes = tk.rolled(words.hashes(), WINDOW)[at]
-    lost = np.flatnonzero(beaten(hashes, ids[run], _same_words(data, words.starts, words.ends, at)))
+    loses = beaten(hashes, ids[run], _same_words(data, words.starts, words.ends, at))
+    kept = []
+    if keep:
+        stays = np.unique(run[~loses])
+        raw = data.tobytes()
+        body = b"".join([raw[a:b] for a, b in zip(offsets[stays].tolist(), offsets[stays + 1].tolist())])
+        if len(stays):
+            kept.append(_packed([h[stays].astype(kind) for h, kind in zip((ids, keys, place, size), _HEAD)], body))
+    lost = np.flatnonzero(loses)
     at, run = at[lost], run[lost]
     new = np.ones(len(lost), bool)
     new[1:] = (np.diff(at) > 1) | (np.diff(run) != 0)
@@ -259,7 +284,7 @@ def _marked(packed: list[bytes]) -> pa.RecordBatch:
     start = place[run] + (at[first] - words.first[run])
     stop = place[run] + (at[last] - words.first[run]) + WINDOW
     found = [ids[run], keys[run], start.astype(np.int32), stop.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_SPAN_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_SPAN_ARROW), kept
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 import xxhash
@@ -48,6 +49,35 @@ def test_repeated_windows_against_brute_force(spark):
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_buckets_drop_what_has_lost_as_they_grow(monkeypatch):
+    rng = random.Random(31)
+    passage, texts = " ".join(f"p{k}" for k in range(30)), []
+    for i in range(120):
+        own = " ".join(rng.choice("abcdefgh") for _ in range(40))
+        texts.append((i, f"{own} {passage}" if i % 2 else own))
+    none = np.zeros(0, np.uint64)
+    packs = []
+    for row in rng.sample(texts, len(texts)):
+        batch = pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]])], names=["doc_id", "text"])
+        packs += [b.filter(pa.compute.is_valid(b.column(1))) for b in substring_dedup._packs(iter([batch]), none, 1)]
+
+    def spans(limit):
+        monkeypatch.setattr(substring_dedup, "COMPACT_BYTES", limit)
+        out, most = set(), 0
+        plain = substring_dedup._marked
+        sizes = []
+        monkeypatch.setattr(substring_dedup, "_marked", lambda held, keep=False: (sizes.append(len(held)), plain(held, keep))[1])
+        for b in substring_dedup._settle(iter(packs)):
+            for i, k, a, z in zip(*(c.to_pylist() for c in b.columns)):
+                out |= {(i, k, w) for w in range(a, z)}
+        monkeypatch.setattr(substring_dedup, "_marked", plain)
+        return out, len(sizes)
+
+    whole, once = spans(1 << 30)
+    parts, many = spans(2000)
+    assert whole == parts and once == 1 and many > 5 and whole
+
+
 def test_windows_with_one_hash_are_told_apart():
     hashes, ids = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 3, 4])
     text = np.array(["a", "b", "a", "c"])
