@@ -13,7 +13,8 @@ depends on the model:
   merge first, of equal ones the leftmost.
 
 Texts are cut before each run of spaces, which pieces never cross, so words are counted independently and the counts of words
-seen before are reused (at most CACHE_WORDS of them are held, and CACHE_PAIRS pairs of pieces).
+seen before are reused (at most twice CACHE_WORDS of them are held, and CACHE_PAIRS pairs of pieces). Both counts of a word are
+held together.
 
 Defined results for odd input: a null or empty text has 0 tokens; ids may be null or repeated; further columns are ignored;
 texts of any length are counted whole; an empty table gives an empty result.
@@ -67,15 +68,19 @@ def merges_from(model_path: str) -> list[tuple[str, float]]:
 
 
 class _Cached(dict):
-    """Counts of words, made when first asked for."""
+    """Counts of words, made when first asked for. When it is full, its words become the older ones, of which those that come again
+    are taken over."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, word: str) -> int:
-        n = self.make(word)
+        n = self.older.get(word)
+        if n is None:
+            n = self.make(word)
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = n
         return n
@@ -236,18 +241,78 @@ class _Pairs(dict):
         return known
 
 
+class BothCounter:
+    """Counts of a byte-pair model and of its scores as a unigram model, in one pass over a text."""
+
+    def __init__(self, merges: MergeCounter, unigram: Counter):
+        self.merges, self.unigram = merges, unigram
+        self.cache = _Cached(self.both)
+        # A line break that is in no piece parts the words beside it in both models.
+        self.breaks = unigram.bytes and "\n" not in merges.single | unigram.single
+        self.find = (_WORD_OR_BREAK if self.breaks else _WORD).findall
+        self.space = unigram.covered(SPACE)
+        self.single = merges.single & unigram.single
+        numbers = {piece: number for piece, (_, number) in merges.automaton.items()}
+        self.automaton = ahocorasick.Automaton()
+        for piece, (size, score) in unigram.automaton.items():
+            self.automaton.add_word(piece, (size, score, numbers.pop(piece, -1)))
+        # Pieces of the one model alone would need passes of their own.
+        self.shared = not numbers
+        self.automaton.make_automaton()
+
+    def both(self, word: str) -> int:
+        """The two counts of a word with the spaces before it, the second one above 32 bits."""
+        if self.shared and word[1:2] != SPACE and self.single.issuperset(word):
+            return self._at_once(word)
+        core = word.lstrip(SPACE)
+        spaces = len(word) - len(core)
+        if core and spaces:
+            second = (spaces - 1) * self.space + self.unigram.covered(SPACE + core)
+        else:
+            second = spaces * self.space + (self.unigram.covered(core) if core else 0)
+        return self.merges.pieces(word) + (second << 32)
+
+    def _at_once(self, word: str) -> int:
+        """The same for a word of at most one space whose characters are all pieces, from one run over its matches."""
+        n = len(word)
+        score, best = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        count, last = [0] * (n + 1), [-1] * (n + 1)
+        pairs, many = self.merges.pairs, self.merges.size
+        for end, (size, value, number) in self.automaton.iter(word):
+            end += 1
+            start = end - size
+            total = score[start] + value
+            if total > score[end]:
+                score[end], best[end] = total, best[start] + 1
+            if number >= 0 > last[end]:
+                before = last[start]
+                if not start or (before >= 0 and pairs[before * many + number]):
+                    count[end], last[end] = count[start] + 1, number
+        return count[n] + (best[n] << 32)
+
+    def count(self, text: str) -> tuple[int, int]:
+        if not text:
+            return 0, 0
+        marked = SPACE + text.replace(" ", SPACE)
+        total = sum(map(self.cache.__getitem__, self.find(marked)))
+        # Of a space that begins the text, the second model makes no more of one.
+        return total & 0xFFFFFFFF, (total >> 32) - (self.space if marked[1] == SPACE else 0)
+
+
+_WORD_OR_BREAK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-_held: dict[tuple, list] = {}
+_held: dict[tuple, Counter | BothCounter] = {}
 
 
-def _counters(vocabularies) -> list:
-    """This worker's counters: built once, their caches kept from task to task."""
+def _counter(vocabularies) -> Counter | BothCounter:
+    """This worker's counter: built once, its cache kept from task to task."""
     key = tuple((kind, hash(tuple(pieces))) for kind, pieces in vocabularies.value)
     if key not in _held:
         _held.clear()
-        _held[key] = [(Counter if kind == "unigram" else MergeCounter)(pieces) for kind, pieces in vocabularies.value]
+        made = [(Counter if kind == "unigram" else MergeCounter)(pieces) for kind, pieces in vocabularies.value]
+        _held[key] = made[0] if len(made) == 1 else BothCounter(*made)
     return _held[key]
 
 
@@ -265,15 +330,12 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     held = docs.sparkSession.sparkContext.broadcast(vocabularies)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = _counters(held)
+        counter = _counter(held)
         for batch in batches:
-            found, sizes = [[] for _ in counters], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                for counter, to in zip(counters, found):
-                    to.append(counter.count(text))
-                sizes.append(len(text))
-            columns = [found[0], sizes, *found[1:]]
+            texts = [text.as_py() or "" for text in batch.column(1)]
+            found = [counter.count(text) for text in texts]
+            sizes = [len(text) for text in texts]
+            columns = [[x for x, _ in found], sizes, [y for _, y in found]] if merges else [found, sizes]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, ", ".join(f"{n} long" for n in names))
