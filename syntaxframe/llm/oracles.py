@@ -1,11 +1,13 @@
 """SQL (DuckDB) for the rows of the queries that SQL can express, over the same whole tables.
 
-The others have none: op3 needs places of regular expression matches and a trained classifier, op5 trees, op6 XXH64, op7 a
-permutation, op9 a vocabulary. They are tested against brute force, exact round trips or held-out accuracy.
+The others have none: op3 needs places of regular expression matches and a trained classifier, op5 trees, op9 a vocabulary. They are
+tested against brute force, exact round trips or held-out accuracy. XXH64 and the swap-or-not permutation are written out in
+128-bit integers.
 """
 
 from __future__ import annotations
 
+from . import mixing, simhash
 from .line_dedup import MIN_WORDS
 from .quality_rules import LINE_LIMIT, NGRAM_LIMITS
 
@@ -107,10 +109,117 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+# XXH64 in SQL. Its five primes.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_FULL = (1 << 64) - 1
+
+
+def _u(n: int) -> str:
+    return f"{n}::UHUGEINT"
+
+
+def _low(x: str) -> str:
+    return f"(({x}) & {_u(_FULL)})"
+
+
+def _times(x: str, n: int) -> str:
+    return _low(f"({x}) * {_u(n)}")
+
+
+def _rotated(x: str, by: int) -> str:
+    return f"({_low(f'({x}) << {by}')} | (({x}) >> {64 - by}))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """body with a name for a value, so that it is worked out once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _round(acc: str, lane: str) -> str:
+    return _times(_rotated(_low(f"{acc} + {_times(lane, _P2)}"), 31), _P1)
+
+
+def _eight(h: str, lane: str) -> str:
+    return _low(_times(_rotated(f"xor({h}, {_times(_rotated(_times(lane, _P2), 31), _P1)})", 27), _P1) + f" + {_u(_P4)}")
+
+
+def _four(h: str, lane: str) -> str:
+    return _low(_times(_rotated(f"xor({h}, {_times(lane, _P1)})", 23), _P2) + f" + {_u(_P3)}")
+
+
+def _one(h: str, lane: str) -> str:
+    return _times(_rotated(f"xor({h}, {_times(lane, _P5)})", 11), _P1)
+
+
+def _ended(h: str) -> str:
+    return _let("e1", _times(f"xor({h}, {h} >> 33)", _P2), _let("e2", _times("xor(e1, e1 >> 29)", _P3), "xor(e2, e2 >> 32)"))
+
+
+def _little(hexes: str, size: int) -> str:
+    """The integer that bytes written as hexadecimal digits are, the lowest first."""
+    return "('0x' || " + " || ".join(f"substr({hexes}, {2 * i + 1}, 2)" for i in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+
+def _xxh64(source: str, name: str) -> str:
+    """Common table expressions up to ``name``(s, seed, h): XXH64 of the strings s of source(s, seed), seeds and results unsigned."""
+    lanes = lambda k: f"[lanes[4 * i + {k}] FOR i IN range(0, stripes)]"
+    stripe = lambda start, k: f"list_reduce([{_low(start)}] || {lanes(k)}, lambda a, l: {_round('a', 'l')})"
+    joined = _low(" + ".join(_rotated(v, r) for v, r in (("v1", 1), ("v2", 7), ("v3", 12), ("v4", 18))))
+    merged = _low(_times(f"xor(h, {_times(_rotated(_times('v', _P2), 31), _P1)})", _P1) + f" + {_u(_P4)}")
+    tail = f"list_reduce([{_low('h + n::UHUGEINT')}] || lanes[4 * stripes + 1:], lambda h, l: {_eight('h', 'l')})"
+    tail = f"list_reduce([list_reduce([{tail}] || fours, lambda h, l: {_four('h', 'l')})] || ones, lambda h, l: {_one('h', 'l')})"
+    return f"""{name}_1 AS (SELECT s, seed, hex(s) AS x, length(hex(s)) // 2 AS n FROM {source}),
+{name}_2 AS (SELECT s, seed, n, n // 32 AS stripes, [{_little("substr(x, 16 * i + 1, 16)", 8)} FOR i IN range(0, n // 8)] AS lanes,
+  [{_little("substr(x, 16 * (n // 8) + 1, 8)", 4)} FOR i IN range(0, (n % 8) // 4)] AS fours,
+  [{_little("substr(x, 2 * i + 1, 2)", 1)} FOR i IN range(n - n % 4, n)] AS ones FROM {name}_1),
+{name}_3 AS (SELECT *, {stripe(f"seed + {_u((_P1 + _P2) & _FULL)}", 1)} AS v1, {stripe(f"seed + {_u(_P2)}", 2)} AS v2,
+  {stripe("seed", 3)} AS v3, {stripe(f"seed + {_u((1 << 64) - _P1)}", 4)} AS v4 FROM {name}_2),
+{name}_4 AS (SELECT *, CASE WHEN stripes = 0 THEN {_low(f"seed + {_u(_P5)}")} ELSE list_reduce([{joined}, v1, v2, v3, v4], lambda h, v: {merged}) END AS h FROM {name}_3),
+{name}_5 AS (SELECT s, seed, {tail} AS h FROM {name}_4),
+{name} AS (SELECT s, seed, {_ended("h")} AS h FROM {name}_5)"""
+
+
+def _hash_long(x: str, seed: str) -> str:
+    """Of an unsigned 64-bit integer."""
+    return _let("a1", _low(f"{seed} + {_u(_P5 + 8)}"), _let("a2", _eight("a1", x), _ended("a2")))
+
+
+def _hash_int(x: str, seed: str) -> str:
+    return _let("b1", _low(f"{seed} + {_u(_P5 + 4)}"), _let("b2", _four("b1", x), _ended("b2")))
+
+
+def _signed(h: str) -> str:
+    return f"(CASE WHEN {h} > {(1 << 63) - 1}::UHUGEINT THEN {h}::HUGEINT - {1 << 64}::HUGEINT ELSE {h}::HUGEINT END)"
+
+
+def _modulo(x: str, n: str) -> str:
+    return f"(((({x}) % ({n})) + ({n})) % ({n}))"
+
+
+_ONES = ", ".join(f"sum((h >> {k}) & 1::UHUGEINT) AS b{k}" for k in range(64))
+_PRINT = " + ".join(f"(CASE WHEN 2 * b{k} > n THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END)" for k in range(64))
+
+SIMHASH = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT r, array_to_string(ws[i:i + {simhash.SHINGLE - 1}], ' ') AS s FROM (
+  SELECT r, ws, unnest(range(1, greatest(len(ws) - {simhash.SHINGLE - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+known AS (SELECT DISTINCT s, {_u(simhash.SEED)} AS seed FROM g),
+{_xxh64("known", "hashed")},
+bits AS (SELECT r, count(*) AS n, {_ONES} FROM g JOIN hashed USING (s) GROUP BY r),
+p AS (SELECT w.r, w.doc_id, coalesce(({_PRINT})::UBIGINT, 0::UBIGINT) AS print FROM w LEFT JOIN bits USING (r)),
+d AS (SELECT print, min(doc_id) AS first FROM p GROUP BY print),
+masks AS (SELECT DISTINCT ((1::UBIGINT << i) | (1::UBIGINT << j)) AS mask FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j)),
+near AS (SELECT a.print AS a, b.print AS b FROM (SELECT print, xor(print, mask) AS other FROM d, masks) a JOIN d b ON b.print = a.other),
+reached AS (SELECT print, print AS other FROM d UNION SELECT reached.print, near.b FROM reached JOIN near ON near.a = reached.other),
+least AS (SELECT reached.print, min(d.first) AS component_id FROM reached JOIN d ON d.print = reached.other GROUP BY reached.print)
+SELECT p.doc_id, lpad(lower(to_hex(p.print)), 16, '0') AS fingerprint, component_id FROM p JOIN least USING (print)
+"""
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_substring_dedup": SUBSTRINGS,
     "op4_warc": ARCHIVES,
+    "op6_simhash": SIMHASH,
     "op8_line_dedup": LINES,
     "op10_decontamination": CONTAMINATION,
 }
