@@ -215,11 +215,71 @@ least AS (SELECT reached.print, min(d.first) AS component_id FROM reached JOIN d
 SELECT p.doc_id, lpad(lower(to_hex(p.print)), 16, '0') AS fingerprint, component_id FROM p JOIN least USING (print)
 """
 
+def _unsigned(x: str) -> str:
+    """A 64-bit integer, negative ones too, as the unsigned one with the same bits."""
+    return f"(CASE WHEN {x} < 0 THEN ({x}::HUGEINT + {1 << 64}::HUGEINT)::UHUGEINT ELSE ({x})::UHUGEINT END)"
+
+
+_42 = _u(42)
+_SEED = _u(mixing.SEED)
+#: What swap-or-not does to x in one step, with k, the step's key already reduced, and n items.
+_SWAPPED = _let(
+    "partner", _modulo("(k.key - x)", "n"),
+    _let("top", "greatest(x, partner)", f"CASE WHEN {_hash_int('k.step::UHUGEINT', _hash_long('p.rank::UHUGEINT', _hash_long('top::UHUGEINT', _42)))} % 2::UHUGEINT = 0 THEN x ELSE partner END"),
+)
+_WEIGHT = "CASE rank % 3 " + " ".join(f"WHEN {i} THEN {float(w)}::DOUBLE" for i, w in enumerate(mixing.WEIGHTS)) + " END"
+assert len(mixing.WEIGHTS) == 3
+
+MIX = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS s, len({_WORDS}) AS size,
+  {_hash_long(_unsigned("doc_id"), _42)} AS seed FROM documents),
+texts AS (SELECT DISTINCT s, seed FROM d),
+{_xxh64("texts", "marks")},
+sources AS (SELECT row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank, source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighted AS (SELECT *, {_WEIGHT} AS weight, source_size * {float(mixing.MAX_EPOCHS)}::DOUBLE AS cap FROM sources),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+free AS (SELECT min(struct_pack(a := cap / weight, b := rank, c := level)) AS f FROM levels WHERE level * weight <= cap),
+targets AS (SELECT rank, source, n_docs, source_size, least(cap, coalesce((SELECT f.c FROM free), 'inf'::DOUBLE) * weight) AS target FROM weighted),
+plan AS (SELECT rank, n_blocks, want, sum(want) OVER (ORDER BY rank) - want AS start FROM (
+  SELECT rank, ceil(source_size / {mixing.BLOCK})::BIGINT AS n_blocks,
+    least(round(target * ceil(source_size / {mixing.BLOCK}) / source_size), ceil(source_size / {mixing.BLOCK}) * {mixing.MAX_EPOCHS})::BIGINT AS want
+  FROM targets WHERE source_size > 0)),
+total AS (SELECT coalesce(sum(want), 0)::BIGINT AS n FROM plan),
+slots AS (SELECT slot, slot // {mixing.SHARD_SLOTS} AS shard,
+  {_modulo(_signed(_hash_int(_SEED, _hash_long("slot::UHUGEINT", _42))), "total.n::HUGEINT")} AS spot
+  FROM total, (SELECT unnest(range(0, (SELECT n FROM total))) AS slot)),
+drawn AS (SELECT shard, slot, rank FROM slots JOIN plan ON spot >= start AND spot < start + want),
+counts AS (SELECT shard, rank, count(*) AS n, {_signed(_hash_long("rank::UHUGEINT", _hash_long("shard::UHUGEINT", _42)))} AS place FROM drawn GROUP BY shard, rank),
+firsts AS (SELECT shard, rank, sum(n) OVER (PARTITION BY rank ORDER BY {_modulo("place", f"(SELECT greatest(1, floor(sqrt(n / {mixing.SHARD_SLOTS}))) FROM total)::HUGEINT")}, place, shard) - n AS first FROM counts),
+draws AS (SELECT shard, slot, rank, first + row_number() OVER (PARTITION BY shard, rank ORDER BY slot) - 1 AS draw FROM drawn JOIN firsts USING (shard, rank)),
+settled AS (SELECT *, sum(over_n) OVER (ORDER BY rank) - over_n AS over_start, sum(under_n) OVER (ORDER BY rank) - under_n AS under_start FROM (
+  SELECT plan.*, coalesce(drew, 0) AS drew, greatest(coalesce(drew, 0) - want, 0) AS over_n, greatest(want - coalesce(drew, 0), 0) AS under_n
+  FROM plan LEFT JOIN (SELECT rank, count(*) AS drew FROM drawn GROUP BY rank) USING (rank))),
+spare AS (SELECT over_start + draw - want AS spot FROM draws JOIN settled USING (rank) WHERE draw >= want),
+taken AS (SELECT rank, draw FROM draws JOIN settled USING (rank) WHERE draw < want
+  UNION ALL SELECT rank, drew + spot - under_start FROM spare JOIN settled ON spot >= under_start AND spot < under_start + under_n),
+keys AS (SELECT rank, step, {_modulo(_signed(_hash_int(_SEED, _hash_int("step::UHUGEINT", _hash_long("rank::UHUGEINT", _42)))), "n_blocks::HUGEINT")} AS key
+  FROM plan, (SELECT unnest(range(1, {mixing.ROUNDS + 1})) AS step)),
+swapped AS (SELECT rank, n_blocks::HUGEINT AS n, 0 AS step, b AS origin, b::HUGEINT AS x FROM (SELECT rank, n_blocks, unnest(range(0, n_blocks)) AS b FROM plan)
+  UNION ALL SELECT p.rank, p.n, k.step, p.origin, {_SWAPPED} FROM swapped p JOIN keys k ON k.rank = p.rank AND k.step = p.step + 1),
+times AS (SELECT rank, x AS block, count(*) AS times FROM (SELECT rank, draw % n_blocks AS origin FROM taken JOIN plan USING (rank))
+  JOIN (SELECT rank, origin, x FROM swapped WHERE step = {mixing.ROUNDS}) USING (rank, origin) GROUP BY rank, x),
+placed AS (SELECT r, doc_id, size, source_size, target, rank,
+  sum(size) OVER (PARTITION BY rank ORDER BY {_modulo(_signed("h"), "ceil(n_docs / greatest(256.0, sqrt(n_docs)))::HUGEINT")}, doc_id, {_signed("h")}, r) - size AS start
+  FROM d JOIN marks USING (s, seed) JOIN targets ON targets.source IS NOT DISTINCT FROM d.source),
+parts AS (SELECT r, rank, block, greatest(block * {mixing.BLOCK}, start) AS low, least((block + 1) * {mixing.BLOCK}, start + size) AS high FROM (
+  SELECT r, rank, start, size, unnest(range((start // {mixing.BLOCK})::BIGINT, ((start + size - 1) // {mixing.BLOCK})::BIGINT + 1)) AS block FROM placed WHERE size > 0)),
+sums AS (SELECT r, sum((high - low) * times) AS taken FROM parts JOIN times USING (rank, block) GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(sums.taken, 0)::BIGINT AS taken FROM placed LEFT JOIN sums USING (r)
+"""
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_substring_dedup": SUBSTRINGS,
     "op4_warc": ARCHIVES,
     "op6_simhash": SIMHASH,
+    "op7_mixing": MIX,
     "op8_line_dedup": LINES,
     "op10_decontamination": CONTAMINATION,
 }
