@@ -7,7 +7,7 @@ tested against brute force, exact round trips or held-out accuracy. XXH64 and th
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import jaccard, mixing, simhash
 from .line_dedup import MIN_WORDS
 from .quality_rules import LINE_LIMIT, NGRAM_LIMITS
 
@@ -274,6 +274,53 @@ sums AS (SELECT r, sum((high - low) * times) AS taken FROM parts JOIN times USIN
 SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(sums.taken, 0)::BIGINT AS taken FROM placed LEFT JOIN sums USING (r)
 """
 
+#: Documents after line dedup with short lines: those of fewer than MIN_WORDS words go if an equal one stands earlier.
+LINES_TAKEN_OUT = rf"""
+WITH t AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, i - 1 AS no, regexp_extract_all(parts[i], '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM t)),
+k AS (SELECT doc_id, no, ws, array_to_string(ws, ' ') AS line, doc_id * 10000000 + no AS pos FROM l WHERE len(ws) > 0),
+f AS (SELECT line, any_value(ws) AS ws, min(pos) AS pos FROM k GROUP BY line),
+long AS (SELECT * FROM f WHERE len(ws) >= {MIN_WORDS}),
+v AS (SELECT pos, i, array_to_string(ws[1:i - 1] || ws[i + 1:], ' ') AS key FROM (SELECT pos, ws, unnest(range(1, len(ws) + 1)) AS i FROM long)),
+s AS (SELECT key, i, min(pos) AS pos FROM v GROUP BY key, i),
+m AS (SELECT key, min(pos) AS pos FROM v GROUP BY key),
+lost AS (
+  SELECT v.pos FROM v JOIN s USING (key, i) WHERE s.pos < v.pos
+  UNION SELECT v.pos FROM v JOIN long ON long.line = v.key WHERE long.pos < v.pos
+  UNION SELECT long.pos FROM long JOIN m ON m.key = long.line WHERE m.pos < long.pos
+),
+gone AS (SELECT k.doc_id, list(k.no) AS places FROM k JOIN f USING (line) WHERE k.pos <> f.pos OR f.pos IN (SELECT pos FROM lost) GROUP BY k.doc_id)
+SELECT doc_id, lang, source, CASE WHEN places IS NULL THEN text
+  ELSE coalesce(array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(places, i - 1)], chr(10)), '') END AS text
+FROM t LEFT JOIN gone USING (doc_id)
+"""
+
+
+def pipeline_sql(share: float) -> str:
+    """The corpus pipeline: each stage's SQL over what the one before kept."""
+    on = lambda sql, source: sql.replace("FROM documents", f"FROM {source}")
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH RECURSIVE good AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({QUALITY}) WHERE kept)),
+cut AS MATERIALIZED ({on(LINES_TAKEN_OUT, "good")}),
+alike AS MATERIALIZED ({on(SIMHASH, "cut")}),
+lists AS (SELECT doc_id, {words} AS ws FROM cut),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {jaccard.SHINGLE - 1}], ' ') AS s FROM (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {jaccard.SHINGLE - 1}, 1) + 1)) AS i FROM lists WHERE len(ws) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+alikes AS MATERIALIZED (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE pairs.n >= {share} * (x.n + y.n - pairs.n) - 1e-9),
+edges AS (SELECT a.component_id AS p, b.component_id AS q FROM alikes JOIN alike a ON a.doc_id = u JOIN alike b ON b.doc_id = v WHERE a.component_id <> b.component_id),
+ways AS (SELECT p, q FROM edges UNION SELECT q, p FROM edges),
+linked AS (SELECT DISTINCT component_id AS p, component_id AS q FROM alike UNION SELECT linked.p, ways.q FROM linked JOIN ways ON ways.p = linked.q),
+roots AS (SELECT p, min(q) AS root FROM linked GROUP BY p),
+firsts AS (SELECT min(doc_id) AS doc_id FROM alike JOIN roots ON p = component_id GROUP BY root),
+single AS MATERIALIZED (SELECT * FROM cut WHERE doc_id IN (SELECT doc_id FROM firsts)),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM ({on(CONTAMINATION, "single")}) WHERE contaminated))
+SELECT * FROM ({on(MIX, "clean")})
+"""
+
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_substring_dedup": SUBSTRINGS,
