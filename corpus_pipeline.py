@@ -1,11 +1,20 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and mixing, one after the other."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and mixing, one after the other.
+
+Each stage works on all rows that the one before kept, and returns the columns of documents (the last one: what the mix takes).
+
+Defined results for odd input, in all stages: a null text has no words, so the quality rules reject it (a stage by itself keeps it as it
+is: no lines, fingerprint zero, not contaminated, size 0); a null id counts as larger than every other, so of equal or near
+documents the one with an id stays; of rows with equal ids any one stays, and equal rows get equal line cuts; the earliest of
+equal lines is that of the least id, then line number; an empty table gives an empty result; further columns, whatever their
+names, are carried to the last stage, which leaves them out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syntaxframe.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
+from syntaxframe.llm import decontaminate, line_dedup, mixing, oracles, quality_rules, simhash
 from syntaxframe.llm.shared import table, written
 
 #: Jaccard similarity of five-word shingles from which documents are near duplicates.
@@ -39,8 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near), ("benchmark decontamination", clean), ("mixing", mix)]
 
-#: The stages are not expressible in SQL (rolling hashes, vantage-point trees, FM-index, permutations).
-ORACLE_SQL = None
+#: The same by the definitions of the stages: all pairs of equal windows, links within 2 bits, similar sets and benchmark windows.
+ORACLE_SQL = oracles.pipeline_sql(SIMILAR)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
