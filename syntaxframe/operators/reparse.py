@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Code points that two texts share at their heads, by bisection: each step compares a prefix of half the rest."""
+    """Code points that two texts share at their heads, by halving: each step compares the first halves of what is left and goes on
+    with the second ones, or with the first ones if they differ. What is left shrinks by half, so all steps together read the
+    texts a few times."""
     longest = F.least(F.length(a), F.length(b))
 
     def step(state: Column, _: Column) -> Column:
-        middle = ((state["low"] + state["high"] + 1) / 2).cast("int")
-        same = F.substring(a, F.lit(1), middle) == F.substring(b, F.lit(1), middle)
-        return F.struct(F.when(same, middle).otherwise(state["low"]).alias("low"), F.when(same, state["high"]).otherwise(middle - 1).alias("high"))
-
-    start = F.struct(F.lit(0).alias("low"), longest.alias("high"))
-    # 31 halvings reach any length.
-    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step)["low"]
+        half = F.ceil(F.length(state["a"]) / 2).cast("int")
+        head_a, head_b = F.substring(state["a"], F.lit(1), half), F.substring(state["b"], F.lit(1), half)
+        same = head_a == head_b
+        rest_a, rest_b = F.substr(state["a"], half + 1), F.substr(state["b"], half + 1)
+        return F.struct(
+            (state["low"] + F.when(same, half).otherwise(0)).alias("low"), F.when(same, rest_a).otherwise(head_a).alias("a"), F.when(same, rest_b).otherwise(head_b).alias("b")
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.substring(a, F.lit(1), longest).alias("a"), F.substring(b, F.lit(1), longest).alias("b"))
+    # 32 halvings reach any length.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step)["low"]
 
 
 def with_edit(df: DataFrame, old: str, new: str) -> DataFrame:

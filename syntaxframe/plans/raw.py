@@ -226,16 +226,24 @@ def _roots(pattern: Pattern) -> set[str | None]:
     return set().union(*map(_roots, pattern.options)) if pattern.options else {pattern.kind}
 
 
-def query_matches(patterns: list[Pattern], root: Node, text: str, scopes: frozenset[str] | None = None) -> Iterator[tuple[int, Node, dict[str, list[Node]]]]:
+class Dispatch:
+    """The patterns of a query by the kinds of nodes that they can match, and their tests; made once for all texts."""
+
+    def __init__(self, patterns: list[Pattern]):
+        self.anywhere = [(i, p) for i, p in enumerate(patterns) if None in _roots(p)]
+        self.by_kind: dict[str | None, list[tuple[int, Pattern]]] = {}
+        for kind in {k for p in patterns for k in _roots(p)} - {None}:
+            self.by_kind[kind] = [(i, p) for i, p in enumerate(patterns) if _roots(p) & {None, kind}]
+        self.tests = [[p.tests for p in pattern.walk() if p.tests] for pattern in patterns]
+
+
+def query_matches(patterns: list[Pattern] | Dispatch, root: Node, text: str | None, scopes: frozenset[str] | None = None) -> Iterator[tuple[int, Node, dict[str, list[Node]]]]:
     """(pattern number, matched node, captures) over a whole tree, in document order.
 
-    With scopes, only matches at or below a node of one of these kinds count (each once, however many such nodes stand above).
+    Without a text, the tests of patterns are left out. With scopes, only matches at or below a node of one of these kinds count (each once, however many such nodes stand above).
     """
-    anywhere = [(i, p) for i, p in enumerate(patterns) if None in _roots(p)]
-    by_kind: dict[str, list[tuple[int, Pattern]]] = {}
-    for kind in {k for p in patterns for k in _roots(p)} - {None}:
-        by_kind[kind] = [(i, p) for i, p in enumerate(patterns) if _roots(p) & {None, kind}]
-    tests = [[p.tests for p in pattern.walk() if p.tests] for pattern in patterns]
+    plan = patterns if isinstance(patterns, Dispatch) else Dispatch(patterns)
+    by_kind, anywhere, tests = plan.by_kind, plan.anywhere, plan.tests
     inside = scopes is None
     stack: list[tuple[str | None, Node, bool]] = [(None, root, inside)]
     while stack:
@@ -246,7 +254,7 @@ def query_matches(patterns: list[Pattern], root: Node, text: str, scopes: frozen
                 captures: dict[str, list[Node]] = {}
                 for c, n in found:
                     captures.setdefault(c, []).append(n)
-                if all(holds(t, captures, text) for t in tests[number]):
+                if text is None or not tests[number] or all(holds(t, captures, text) for t in tests[number]):
                     yield number, node, captures
         if node.children:
             stack.extend((f, n, inside) for f, n in reversed(node.children))
@@ -261,28 +269,58 @@ _TYPES = [pa.int32(), pa.int32(), pa.string(), *[pa.int32()] * 6, pa.string(), _
 _NAMES = [part.split()[0] for part in MATCHES.split(", ")[:10]] + ["captures"]
 
 
+#: Trees of so many nodes share what a query matches in trees of their shape; so many shapes are remembered.
+SHAPED_NODES, MOST_SHAPES = 200, 10_000
+
+
+def _shape(root: Node) -> tuple[list[Node], tuple]:
+    """Nodes in preorder, and all that patterns look at besides texts."""
+    nodes, key, stack = [], [], [(None, root)]
+    while stack:
+        name, node = stack.pop()
+        nodes.append(node)
+        key.append((name, node.kind, node.named, node.extra, len(node.children)))
+        if node.children:
+            stack.extend(reversed(node.children))
+    return nodes, tuple(key)
+
+
+def _placed(plan: Dispatch, root: Node, nodes: list[Node], scopes: frozenset[str] | None) -> list[tuple[int, int, list[tuple[str, list[int]]]]]:
+    """Matches before their tests, with nodes by their place in preorder."""
+    ids = {id(n): k for k, n in enumerate(nodes)}
+    return [(number, ids[id(node)], [(c, [ids[id(n)] for n in held]) for c, held in captures.items()]) for number, node, captures in query_matches(plan, root, None, scopes)]
+
+
 def match_batches(
     batches: Iterator[pa.RecordBatch], parser: Parser, source: str, declared: list[str], carried: list[str], scopes: frozenset[str] | None = None
 ) -> Iterator[pa.RecordBatch]:
     """Arrow batches of (carried..., text) to one row for each match. A match's place is that of the first declared capture."""
-    patterns = parse_query(source)
+    plan, shapes = Dispatch(parse_query(source)), {}
     for batch in batches:
         owners, rows = [], []
         for i, text in enumerate(batch.column(len(carried)).to_pylist()):
             if text is None:
                 continue
             root = parser.parse(text)
-            ids: dict[int, int] = {}
+            nodes, key = _shape(root)
+            found = shapes.get(key)
+            if found is None:
+                found = _placed(plan, root, nodes, scopes)
+                if len(nodes) <= SHAPED_NODES and len(shapes) < MOST_SHAPES:
+                    shapes[key] = found
             places = None
-            for number, node, captures in query_matches(patterns, root, text, scopes):
-                if not ids:
-                    ids, places = {id(n): k for k, n in enumerate(root.walk())}, Places(text)
-                at = captures["_anchor"][0] if "_anchor" in captures else next((captures[d][0] for d in declared if captures.get(d)), node)
-                held = [(c, [{"node_id": ids[id(n)], "text": n.text(text)} for n in nodes]) for c, nodes in captures.items()]
+            for number, node, captures in found:
+                tests = plan.tests[number]
+                if tests:
+                    held = {c: [nodes[k] for k in ids] for c, ids in captures}
+                    if not all(holds(t, held, text) for t in tests):
+                        continue
+                places = places or Places(text)
+                by_name = dict(captures)
+                at = nodes[by_name["_anchor"][0] if "_anchor" in by_name else next((by_name[d][0] for d in declared if by_name.get(d)), node)]
+                shown = [(c, [{"node_id": k, "text": nodes[k].text(text)} for k in ids]) for c, ids in captures]
                 owners.append(i)
-                rows.append(
-                    (ids[id(node)], number, at.kind, *places.point(at.start), *places.point(at.end), places.byte(at.start), places.byte(at.end), at.text(text), held)
-                )
+                rows.append((node, number, at.kind, *places.point(at.start), *places.point(at.end), places.byte(at.start), places.byte(at.end), at.text(text), shown))
         kept = batch.select(range(len(carried))).take(pa.array(owners, pa.int64()))
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)] if rows else [pa.nulls(0, t) for t in _TYPES]
         yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*carried, *_NAMES])
