@@ -76,6 +76,13 @@ class NodeSchema:
     def __init__(self, entries: Iterable[NodeTypeInfo]):
         self.entries = list(entries)
         self._by = {(e.type, e.named): e for e in self.entries}
+        #: All edges from a kind to what may stand in it: kind -> field (None: no field) -> (what, required, multiple). Of two
+        #: entries with one name the named one's edges count.
+        self._edges: dict[str, dict[str | None, tuple[tuple[NodeTypeRef, ...], bool, bool]]] = {}
+        for e in sorted(self.entries, key=lambda e: e.named):
+            places = [*(e.fields or {}).items(), *([(None, e.children)] if e.children else [])]
+            self._edges[e.type] = {at: (tuple(info.types), info.required, info.multiple) for at, info in places}
+        self._below: dict[str, frozenset[str]] = {}
 
     @classmethod
     def from_list(cls, data: list[dict[str, Any]] | dict[str, Any]) -> NodeSchema:
@@ -122,17 +129,18 @@ class NodeSchema:
     def named_kinds(self) -> set[str]:
         return {e.type for e in self.entries if e.named}
 
+    def _refs(self, kind: str, place: str | None) -> list[NodeTypeRef]:
+        return list(self._edges.get(kind, {}).get(place, ((),))[0])
+
     def field_types(self, kind: str, field: str) -> list[NodeTypeRef]:
-        entry = self.get(kind)
-        return list(entry.fields[field].types) if entry and entry.fields and field in entry.fields else []
+        return self._refs(kind, field)
 
     def children_types(self, kind: str) -> list[NodeTypeRef]:
-        entry = self.get(kind)
-        return list(entry.children.types) if entry and entry.children else []
+        """What may stand in a kind without a field."""
+        return self._refs(kind, None)
 
     def has_field(self, kind: str, field: str) -> bool:
-        entry = self.get(kind)
-        return bool(entry and entry.fields and field in entry.fields)
+        return field is not None and field in self._edges.get(kind, {})
 
     def supertype_subtypes(self, kind: str) -> list[NodeTypeRef]:
         entry = self.get(kind)
@@ -157,11 +165,11 @@ class NodeSchema:
         return list(out)
 
     def possible_children(self, kind: str) -> set[str]:
-        entry = self.get(kind)
-        if entry is None:
-            return set()
-        refs = [t for info in (entry.fields or {}).values() for t in info.types] + self.children_types(kind)
-        return {r.type for r in self.expand(refs)}
+        """Kinds one edge below, supertypes replaced by what they stand for."""
+        if kind not in self._below:
+            refs = [ref for refs, _, _ in self._edges.get(kind, {}).values() for ref in refs]
+            self._below[kind] = frozenset(r.type for r in self.expand(refs))
+        return set(self._below[kind])
 
     def is_possible_descent(self, parent: str, child: str) -> bool:
         return child in self.possible_children(parent)
@@ -183,9 +191,9 @@ class NodeSchema:
     def frame(self, spark):
         """The schema as a DataFrame of (kind, named, field, child, child_named, required, multiple)."""
         rows = []
-        for e in self.entries:
-            infos = [*(e.fields or {}).items(), *([(None, e.children)] if e.children else [])]
-            rows += [(e.type, e.named, f, t.type, t.named, i.required, i.multiple) for f, i in infos for t in self.expand(i.types)]
-            if not infos:
-                rows.append((e.type, e.named, None, None, None, None, None))
+        for kind, named in self._by:
+            edges = self._edges[kind] if self.get(kind).named == named else {}
+            rows += [(kind, named, at, r.type, r.named, required, multiple) for at, (refs, required, multiple) in edges.items() for r in self.expand(refs)]
+            if not edges:
+                rows.append((kind, named, None, None, None, None, None))
         return spark.createDataFrame(rows, "kind string, named boolean, field string, child string, child_named boolean, required boolean, multiple boolean")
