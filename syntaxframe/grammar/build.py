@@ -25,7 +25,7 @@ from .scanners import SCANNERS
 from .tables import Tables, build_tables
 
 #: Changes whenever tables of an older build are no longer fit.
-ENGINE = "tables-3"
+ENGINE = "tables-4"
 BUNDLE_FORMAT = 2
 
 
@@ -90,8 +90,8 @@ def build(model: GrammarModel | Grammar, *, scanner: str | None = None, analyse:
     try:
         if not _trusted(entry):
             raise OSError(f"{entry} can be written by others")
-        tables, schema = pickle.loads((entry / "tables.pickle").read_bytes())
-        return BuildResult(model, tables, schema, scanner, warnings, key, True)
+        tables = pickle.loads((entry / "tables.pickle").read_bytes())
+        return BuildResult(model, tables, NodeSchema.from_node_types_json(entry / "node-schema.json"), scanner, warnings, key, True)
     except (OSError, pickle.UnpicklingError, AttributeError, EOFError):
         pass
     tables = build_tables(model)
@@ -100,7 +100,7 @@ def build(model: GrammarModel | Grammar, *, scanner: str | None = None, analyse:
     entry.parent.mkdir(mode=0o700, parents=True, exist_ok=True)
     with tempfile.TemporaryDirectory(dir=entry.parent) as work:
         (made := Path(work) / "entry").mkdir(mode=0o700)
-        (made / "tables.pickle").write_bytes(pickle.dumps((tables, schema)))
+        (made / "tables.pickle").write_bytes(pickle.dumps(tables))
         model.emit_json(made / "grammar.json")
         schema.write(made / "node-schema.json")
         try:
