@@ -286,3 +286,18 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     plain = line_dedup.line_dedup(quality_rules.quality_filter(docs)).drop("_n_lines", "_n_removed")
     plain = decontaminate.decontaminated(simhash.one_of_each(plain), bench)
     assert sorted(map(str, mixing.mixture(plain).collect())) == sorted(map(str, whole))
+
+
+def test_pipeline_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    for p in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    result = con.execute(corpus_pipeline.ORACLE_SQL)
+    columns = [c[0] for c in result.description]
+    df = corpus_pipeline.run(spark, str(folder))
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(map(str, result.fetchall()))
