@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, url_filters, warc
+from . import decontaminate, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, token_store, url_filters, warc
 from .oracles import ORACLES
 from .shared import table
 
@@ -58,10 +58,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality_rules, op2_substring_dedup, op3_pii, op4_warc, op5_url_filters,
         op6_simhash, op7_mixing, op8_line_dedup, op9_token_counts, op10_decontamination,
+        op11_token_binary,
     ]
     return {f.__name__: f for f in found}
 
