@@ -321,6 +321,43 @@ SELECT * FROM ({on(MIX, "clean")})
 """
 
 
+def _clustering_sql(clusters: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    """Lloyd's rounds with whole numbers, a pair of tables (assignments, centroids) for each."""
+    parts = [
+        f"""k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {dims})""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM k ORDER BY h, v LIMIT {clusters}))",
+    ]
+    for n in range(rounds + 1):
+        far = f"list_sum(list_transform(range(1, {dims + 1}), i -> (k.v[i] - c{n}.v[i]) * (k.v[i] - c{n}.v[i])))"
+        parts.append(f"d{n} AS (SELECT k.r, c{n}.c, {far} AS d FROM k, c{n})")
+        parts.append(f"a{n} AS (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM d{n}) WHERE place = 1)")
+        parts.append(f"s{n} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, {dims + 1})) AS i FROM a{n} JOIN k USING (r)) GROUP BY c, i)")
+        parts.append(f"m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c)")
+        parts.append(f"c{n + 1} AS (SELECT c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c))")
+    last = f"a{rounds} JOIN k USING (r) JOIN c{rounds} USING (c)"
+    return f"""
+WITH {', '.join(parts)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM {last}
+"""
+
+
+#: The scores of all documents that share a term with an item.
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_alnum("text")} AS ws FROM documents),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY r, term),
+total AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_terms FROM d WHERE len(ws) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), total),
+q AS (SELECT b, term, count(*) AS times FROM (SELECT row_number() OVER () AS b, unnest({_alnum("text")}) AS term FROM benchmark) GROUP BY b, term),
+m AS (SELECT r, doc_id, 25 + CAST(75 * len(ws) * n_docs AS BIGINT) // CAST(n_terms AS BIGINT) AS m FROM d, total WHERE len(ws) > 0),
+s AS (SELECT b, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY b, r, doc_id),
+best AS (SELECT b, doc_id, score, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM best JOIN (SELECT row_number() OVER () AS b, item_id FROM benchmark) USING (b) WHERE rank <= 10
+"""
+
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_substring_dedup": SUBSTRINGS,
@@ -329,4 +366,6 @@ ORACLES = {
     "op7_mixing": MIX,
     "op8_line_dedup": LINES,
     "op10_decontamination": CONTAMINATION,
+    "op12_centroid_clustering": _clustering_sql(),
+    "op13_ranked_search": RANKED,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, token_store, url_filters, warc
+from . import clustering, decontaminate, line_dedup, mixing, pii, quality_rules, ranked_search, simhash, substring_dedup, token_counts, token_store, url_filters, warc
 from .oracles import ORACLES
 from .shared import table
 
@@ -64,11 +64,19 @@ def op11_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality_rules, op2_substring_dedup, op3_pii, op4_warc, op5_url_filters,
         op6_simhash, op7_mixing, op8_line_dedup, op9_token_counts, op10_decontamination,
-        op11_token_binary,
+        op11_token_binary, op12_centroid_clustering, op13_ranked_search,
     ]
     return {f.__name__: f for f in found}
 
