@@ -4,7 +4,8 @@ Documents become a forward index (each document's queried terms with their count
 score) with the highest scores first, kept in blocks of up to RANGE documents and partitioned by term; long lists are cut into
 pieces, so a term that every document holds is spread over the cluster.
 
-1. Every list gives its head, the TOP highest entries. Sums of these bound the TOP-th score of an item from below.
+1. Every list gives its head, the TOP highest entries. Exact scores of the documents in an item's heads, looked up in the forward index, bound
+   its TOP-th score from below (the sums of the entries alone would, too, but far lower).
 2. Divided by the item's number of lists, this bound is one threshold for all of its lists: whoever lies below it everywhere has a total below
    the bound. Each list sends its entries above the least threshold of all items that ask it, as a packed prefix of each block,
    to the coordinator of the block's documents. There partial sums, and what the lists not seen could add at most, give
@@ -46,8 +47,8 @@ BLOCK_BYTES = 4 << 20
 _TERMS = bytes(b if tk.ALNUM_WORD[b] else 32 for b in tk.lowered(np.arange(256, dtype=np.uint8)).tolist())
 
 _FORWARD = "row long, doc_id long, n long, terms binary, counts binary"
-_POSTINGS = "term int, range long, docs binary, scores binary"
-_POSTINGS_ARROW = pa.schema([("term", pa.int32()), ("range", pa.int64()), ("docs", pa.binary()), ("scores", pa.binary())])
+_POSTINGS = "term int, range long, docs binary, scores binary, head binary"
+_POSTINGS_ARROW = pa.schema([("term", pa.int32()), ("range", pa.int64()), ("docs", pa.binary()), ("scores", pa.binary()), ("head", pa.binary())])
 RESULT = "item_id long, rank int, doc_id long, score long"
 #: In place of a term: the row ids of the documents of a range.
 _ROWS = -1
@@ -130,9 +131,9 @@ def corpus_counts(forward: DataFrame, size: int) -> tuple[int, int, np.ndarray]:
     return counts.get(-1, 0), counts.get(-2, 0), np.array([counts.get(t, 0) for t in range(size)], np.int64)
 
 
-def postings(forward: DataFrame, weights: np.ndarray, documents: int, total: int, reach: int = RANGE) -> DataFrame:
-    """The lists, in blocks: (term, range, docs, scores), highest scores first; docs are places in the range's row ids, which
-    travel under the term _ROWS."""
+def postings(forward: DataFrame, weights: np.ndarray, documents: int, total: int, top: int = TOP, reach: int = RANGE) -> DataFrame:
+    """The lists, in blocks: (term, range, docs, scores, head), highest scores first; docs are places in the range's row ids, which
+    travel under the term _ROWS; head has the row ids of the first entries."""
     shared = forward.sparkSession.sparkContext.broadcast(weights)
 
     def blocks(name: int, rows: list[np.ndarray], n: list[np.ndarray], terms: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
@@ -143,12 +144,14 @@ def postings(forward: DataFrame, weights: np.ndarray, documents: int, total: int
         some = score > 0
         term, doc, score = term[some], doc[some], score[some]
         order = np.lexsort((doc, -score, term))
-        term, doc, score = term[order], doc[order].astype("<i4").tobytes(), score[order].astype("<i8").tobytes()
+        row = np.concatenate(rows)
+        row_of, term, doc, score = row[doc[order]].astype("<i8").tobytes(), term[order], doc[order].astype("<i4").tobytes(), score[order].astype("<i8").tobytes()
         edges = [0, *(np.flatnonzero(np.diff(term)) + 1).tolist(), len(term)] if len(term) else [0]
         names = [_ROWS, *term[edges[:-1]].tolist()]
-        docs = [np.concatenate(rows).astype("<i8").tobytes(), *(doc[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:]))]
+        heads = [b"", *(row_of[8 * a : 8 * min(b, a + top)] for a, b in zip(edges[:-1], edges[1:]))]
+        docs = [row.astype("<i8").tobytes(), *(doc[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:]))]
         marks = [b"", *(score[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:]))]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(docs, pa.binary()), pa.array(marks, pa.binary())], schema=_POSTINGS_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(docs, pa.binary()), pa.array(marks, pa.binary()), pa.array(heads, pa.binary())], schema=_POSTINGS_ARROW)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, count = TaskContext.get().partitionId() << 20, ([], [], [], []), 0
@@ -186,25 +189,21 @@ def _bounds(sums: DataFrame, value: str, items: int, top: int) -> np.ndarray:
     return out
 
 
-def head_bounds(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], top: int = TOP) -> np.ndarray:
-    """Phase 1: a lower bound of the top-th score of each item."""
-    spark = lists.sparkSession
+def in_heads(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], top: int = TOP) -> DataFrame:
+    """Phase 1: (item, row) of the documents at the heads of an item's lists."""
+    item = np.repeat(np.arange(len(acting)), [len(t) for t, _ in acting])
+    asks = lists.sparkSession.createDataFrame(pa.table({"item": item, "term": np.concatenate([t for t, _ in acting]).astype(np.int32)}))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = [x.as_buffer()[: 4 * top].to_pybytes() for x in batch.column(2)]
-            marks = [x.as_buffer()[: 8 * top].to_pybytes() for x in batch.column(3)]
-            size = np.fromiter(map(len, docs), np.int64, len(docs)) // 4
-            columns = [np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1)]
-            columns += [np.frombuffer(b"".join(docs), "<i4"), np.frombuffer(b"".join(marks), "<i8")]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["term", "range", "doc", "score"])
+            heads = batch.column(2).to_pylist()
+            size = np.fromiter(map(len, heads), np.int64, len(heads)) // 8
+            marks = [x.as_buffer()[: len(h)].to_pybytes() for x, h in zip(batch.column(1), heads)]
+            columns = [np.repeat(batch.column(0).to_numpy(), size), np.frombuffer(b"".join(heads), "<i8"), np.frombuffer(b"".join(marks), "<i8")]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["term", "row", "score"])
 
-    item = np.repeat(np.arange(len(acting)), [len(t) for t, _ in acting])
-    asks = spark.createDataFrame(pa.table({"item": item, "term": np.concatenate([t for t, _ in acting]).astype(np.int32), "times": np.concatenate([q for _, q in acting])}))
-    heads = lists.where(F.col("term") != _ROWS).mapInArrow(cut, "term int, range long, doc int, score long")
-    heads = _best(heads, top, "term", F.col("score").desc(), "range", "doc").drop("rank")
-    sums = heads.join(asks, "term").groupBy("item", "range", "doc").agg(F.sum(F.col("score") * F.col("times")).alias("sum"))
-    return _bounds(sums, "sum", len(acting), top)
+    heads = lists.where(F.col("term") != _ROWS).select("term", "scores", "head").mapInArrow(cut, "term int, row long, score long")
+    return _best(heads, top, "term", F.col("score").desc(), "row").join(asks, "term").select("item", "row").distinct()
 
 
 def candidates(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray, size: int, top: int = TOP) -> DataFrame:
@@ -230,7 +229,7 @@ def candidates(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], bo
                 if n:
                     keep.append(k), docs.append(batch.column(2)[k].as_buffer()[: 4 * n].to_pybytes()), marks.append(values[:n].tobytes())
             chosen = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(docs, pa.binary()), pa.array(marks, pa.binary())], schema=_POSTINGS_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(docs, pa.binary()), pa.array(marks, pa.binary())], names=["term", "range", "docs", "scores"])
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict]]:
         name, rows, found = None, None, {}
@@ -270,7 +269,7 @@ def candidates(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], bo
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["item", "row", "sum", "most"])
 
-    sent = lists.mapInArrow(send, _POSTINGS).repartition("range").sortWithinPartitions("range", "term")
+    sent = lists.drop("head").mapInArrow(send, "term int, range long, docs binary, scores binary").repartition("range").sortWithinPartitions("range", "term")
     return sent.mapInArrow(coordinate, "item long, row long, sum long, most long")
 
 
@@ -305,8 +304,8 @@ def _searched(docs: DataFrame, items: Items, top: int, reach: int) -> DataFrame
     acting = items.acting(weights)
     if not any(len(t) for t, _ in acting):
         return None
-    lists = written(postings(forward, weights, documents, total, reach), "postings")
-    bounds = head_bounds(lists, acting, top)
+    lists = written(postings(forward, weights, documents, total, top, reach), "postings")
+    bounds = _bounds(exact_scores(in_heads(lists, acting, top), forward, acting, weights, documents, total), "score", len(acting), top)
     found = written(candidates(lists, acting, bounds, len(weights), top), "partial-sums")
     better = pa.table({"item": np.arange(len(acting)), "bound": np.maximum(bounds, _bounds(found, "sum", len(acting), top))})
     spark = docs.sparkSession
