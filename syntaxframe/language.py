@@ -29,6 +29,7 @@ from .plans.analyze import Analyzer
 from .plans.explain import pattern_text
 from .plans.extract import FAILURE, field_rows, raw_rows, record_rows, wanted
 from .plans.raw import MATCHES, match_batches
+from .plans.skip import any_can_give_rows, can_give_rows
 from .schema import NodeSchema
 from .sources.docs import spread
 from .sources.staging import staged
@@ -172,7 +173,7 @@ class Language:
         """Node rows of docs(carried..., text)."""
         sent = self._sent(docs.sparkSession)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), COLUMNS])
-        return spread(docs).mapInArrow(lambda batches: parse_batches(batches, _worker_parser(sent), want, carried), schema)
+        return spread(docs).mapInArrow(lambda batches: parse_batches(batches, _worker_parser(sent).parse, want, carried), schema)
 
     def nodes(self, docs: DataFrame, want: Wanted | None = None, text_col: str = "text") -> DataFrame:
         """The nodes relation of docs: its other columns, then COLUMNS of parse.rows. Null texts have no nodes.
@@ -186,7 +187,8 @@ class Language:
     def shared_nodes(self, docs: DataFrame, extractors: list[Extractor], text_col: str = "text") -> DataFrame:
         """The nodes that several extractors need, parsed once: written to the cluster's shared folder, from which each plan reads
         the columns and kinds that it wants."""
-        return staged(self.nodes(docs, shared_wanted(extractors), text_col), "nodes")
+        useful = any_can_give_rows([e.checked for e in extractors], F.col(f"`{text_col}`"))
+        return staged(self.nodes(docs if useful is None else docs.where(useful), shared_wanted(extractors), text_col), "nodes")
 
     def extractor(self, model: type[OutputModel], strict: bool = True) -> Extractor:
         key = model, strict
@@ -242,7 +244,8 @@ class Extractor:
         docs, own, kept = _apart(docs, text_col)
         scopes = None if within is None else frozenset((within,) if isinstance(within, str) else within)
         if self.spec.raw is None:
-            nodes = self.language._parsed(docs, self.wanted(), own)
+            useful = can_give_rows(self.checked, F.col("text"))
+            nodes = self.language._parsed(docs if useful is None else docs.where(useful), self.wanted(), own)
             if scopes is not None:
                 above = "/(?:" + "|".join(map(re.escape, sorted(scopes))) + ")(?:/|$)"
                 nodes = nodes.where(F.col("kind").isin(*scopes) | F.col("path").rlike(above))

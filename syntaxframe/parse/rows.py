@@ -8,13 +8,13 @@ filters, merges and conversions are column expressions over these rows, so a pla
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 
-from .runtime import Node, Parser
+from .runtime import Node
 
 CHILD = "idx int, node_id int, field string, kind string, named boolean, extra boolean, missing boolean, start_byte int, end_byte int, text string, inner array<struct<node_id int, text string>>"
 PAIR = (
@@ -162,8 +162,9 @@ def tree_rows(root: Node, text: str, want: Wanted) -> Iterator[tuple]:
         )
 
 
-def parse_batches(batches: Iterator[pa.RecordBatch], parser: Parser, want: Wanted, carried: list[str]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of (carried columns..., text) to batches of (carried columns..., node columns). Nulls give no rows."""
+def parse_batches(batches: Iterator[pa.RecordBatch], tree_of: Callable[..., Node], want: Wanted, carried: list[str]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (carried columns..., text, ...) to batches of (carried columns..., node columns). tree_of makes a tree of a text and
+    what the columns behind it hold. Null texts give no rows."""
     for batch in batches:
         owners: list[int] = []
         rows: list[tuple] = []
@@ -176,9 +177,9 @@ def parse_batches(batches: Iterator[pa.RecordBatch], parser: Parser, want: Wante
             rows.clear()
             return out
 
-        for i, text in enumerate(batch.column(len(carried)).to_pylist()):
+        for i, (text, *more) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(carried) :]))):
             if text is not None:
-                for row in tree_rows(parser.parse(text), text, want):
+                for row in tree_rows(tree_of(text, *more), text, want):
                     owners.append(i)
                     rows.append(row)
                 if len(rows) >= 4096:

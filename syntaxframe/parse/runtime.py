@@ -62,9 +62,15 @@ class Node:
 
 class Tree(Node):
     """A root that knows its text, and places between top-level nodes at which parsing can be taken up again: (position of the next
-    token, its end, states, number of nodes before)."""
+    token, its end, states, number of nodes before). ``parsed``: characters that were gone over to make it."""
 
-    __slots__ = ("source", "marks")
+    __slots__ = ("source", "marks", "parsed")
+
+
+def kept_tree(root: Node, text: str, marks: list[tuple], parsed: int = 0) -> Tree:
+    tree = Tree(root.kind, root.named, root.start, root.end, root.children, root.extra, root.error, root.missing)
+    tree.source, tree.marks, tree.parsed = text, marks, parsed
+    return tree
 
 
 def _moved(node: Node, by: int) -> None:
@@ -319,13 +325,7 @@ class Parser:
         if not whole:
             head = self._run(head, text)
         root = self._root(head, text)
-        return self._kept(root, text, marks if whole else []) if keep else root
-
-    @staticmethod
-    def _kept(root: Node, text: str, marks: list[tuple]) -> Tree:
-        tree = Tree(root.kind, root.named, root.start, root.end, root.children, root.extra, root.error, root.missing)
-        tree.source, tree.marks = text, marks
-        return tree
+        return kept_tree(root, text, marks if whole else [], len(text)) if keep else root
 
     def reparse(self, old: Node, text: str) -> Node:
         """The tree of a text that was changed in one stretch, with what the old tree (a Tree, used up by this) has before and behind it."""
@@ -334,6 +334,7 @@ class Parser:
             return self.parse(text, keep=True)
         before, size = old.source, len(text)
         if before == text:
+            old.parsed = 0
             return old
         grown = size - len(before)
         least = min(len(before), size)
@@ -347,7 +348,7 @@ class Parser:
         behind = {at + grown: (states, i) for i, (at, _, states, _) in enumerate(marks) if at >= len(before) - tail}
         pairs = [(None if f is None else f, c) for f, c in old.children[:n]]
         new = marks[:first]
-        done = self._quick(text, new, (self.stacks.get(states), pos, pairs), behind)
+        done = self._quick(text, new, (self._stack(states), pos, pairs), behind)
         if done is None or done.token not in ("accepted", "joined"):
             return self.parse(text, keep=True)
         if done.token == "joined":
@@ -361,7 +362,7 @@ class Parser:
             root = Node(old.kind, old.named, 0, size, [*pairs, *rest])
         else:
             root = self._root(done, text)
-        return self._kept(root, text, new)
+        return kept_tree(root, text, new, (done.pos if done.token == "joined" else size) - pos)
 
     def _stack(self, states: tuple[int, ...]) -> _Stack | None:
         found = self.stacks.get(states)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Annotated
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce
@@ -801,4 +801,43 @@ def stream_extract(spark, sf_dir):
 
 
 
+class Setting(OutputModel):
+    __match__ = M("source_file", "assignment")
+    name: str = capture("left")
+    value: int = capture("right")
+
+
+_SLOTS = [(kind, k) for kind in ("click", "error", "purchase", "signup", "view") for k in range(4)]
+
+
+def _settings(spark, sf_dir) -> DataFrame:
+    """Versions of a text for each user: every event sets one of 20 values, the text has the last of each."""
+    of_user = Window.partitionBy("user_id").orderBy("event_id")
+    k = F.get_json_object("props", "$.k").cast("long")
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", k.alias("k"), F.row_number().over(of_user).alias("version"))
+    before = of_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = [F.last(F.when((F.col("event_type") == kind) & (F.col("k") % 4 == n), F.concat(F.lit(f"{kind}{n} = "), F.col("k"), F.lit(";"))), ignorenulls=True).over(before) for kind, n in _SLOTS]
+    return events.select(F.col("user_id").alias("doc_id"), "version", F.concat_ws("\n", *now).alias("text"))
+
+
+@query(
+    """
+WITH e AS (SELECT user_id, event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events),
+later AS (SELECT *, coalesce(lead(version) OVER (PARTITION BY user_id, event_type, k % 4 ORDER BY version), 1000000000000) AS until FROM e)
+SELECT v.user_id AS doc_id, CAST(v.version AS BIGINT) AS version, count(*) AS n, CAST(sum(s.k) AS BIGINT) AS total
+FROM e v JOIN later s ON s.user_id = v.user_id AND s.version <= v.version AND v.version < s.until GROUP BY v.user_id, v.version
+"""
+)
+def reparsed_versions(spark, sf_dir):
+    """A stream of versions that arrive in any order, each parsed from the tree of the one before, which the state holds."""
+    import uuid
+
+    from .streaming.versions import extract_versions, replay
+
+    versions = _settings(spark, sf_dir).repartition(4, F.xxhash64("doc_id", "version"))
+    out = replay(versions, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", language_for("expr"))
+    rows = extract_versions(out, language_for("expr").extractor(Setting))
+    return rows.groupBy("doc_id", "version").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 from . import registry_more  # noqa: E402, F401  (registers its queries)
