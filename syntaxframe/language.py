@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 from typing import Any
 
@@ -28,6 +28,7 @@ from .parse.runtime import Node, Parser
 from .plans.analyze import Analyzer
 from .plans.explain import pattern_text
 from .plans.extract import FAILURE, field_rows, raw_rows, record_rows, wanted
+from .plans.flat import Flat, flat, flat_nodes, serves
 from .plans.raw import MATCHES, match_batches
 from .plans.skip import any_can_give_rows, can_give_rows
 from .schema import NodeSchema
@@ -145,6 +146,11 @@ class Language:
     def name(self) -> str:
         return self.tables.name
 
+    @cached_property
+    def flat(self) -> Flat | None:
+        """The grammar as a list of tokens, if it is one; such nodes are made without a parser."""
+        return flat(self.tables) if self.scanner is None else None
+
     # Parsing.
 
     def parser(self) -> Parser:
@@ -171,6 +177,8 @@ class Language:
 
     def _parsed(self, docs: DataFrame, want: Wanted, carried: list[str]) -> DataFrame:
         """Node rows of docs(carried..., text)."""
+        if serves(self.flat, want):
+            return flat_nodes(spread(docs), self.flat, want, carried)
         sent = self._sent(docs.sparkSession)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), COLUMNS])
         return spread(docs).mapInArrow(lambda batches: parse_batches(batches, _worker_parser(sent).parse, want, carried), schema)

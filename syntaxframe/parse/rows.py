@@ -52,7 +52,8 @@ class Wanted:
 
     kinds: node kinds that become rows (None: all). text: kinds whose text is kept (None: those of rows that are leaves).
     wrappers: kind -> inner leaf kinds. pair_kinds: children of a record that are its pairs. key_leaves: inner kinds of keys.
-    deep: pairs of nested records too. children: does a plan look at the children?
+    deep: pairs of nested records too. children: does a plan look at the children? places: at numbers and places of nodes, too? (Without them
+    these columns may be null, which spares work where nothing else has to be known of the nodes between.)
     """
 
     kinds: frozenset[str] | None = None
@@ -62,6 +63,7 @@ class Wanted:
     key_leaves: dict[str, tuple[str, ...]] = field(default_factory=dict)
     deep: bool = False
     children: bool = True
+    places: bool = True
 
 
 class Places:

@@ -117,8 +117,12 @@ class _Lexer:
         return found
 
 
+#: The two regular expression engines see different members in these, beyond ASCII.
+_CLASSES = re.compile(r"\\[wWdDsS]")
+
+
 def _may_begin(pattern: str, ch: str) -> bool:
-    if wide_regex is None or _LOOKS_BACK.search(pattern):
+    if wide_regex is None or _LOOKS_BACK.search(pattern) or (not " " <= ch <= "~" and _CLASSES.search(pattern)):
         return True
     return wide_regex.match(pattern, ch, partial=True) is not None
 

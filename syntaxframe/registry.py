@@ -455,7 +455,7 @@ def doc_span_bytes(spark, sf_dir):
 
 @query("SELECT 'email' AS kind, CAST(SUM(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+'))) AS BIGINT) AS n FROM documents")
 def doc_tokens_by_kind(spark, sf_dir):
-    nodes = language_for("tokens").nodes(_documents(spark, sf_dir), Wanted(frozenset(("email",)), frozenset(), children=False))
+    nodes = language_for("tokens").nodes(_documents(spark, sf_dir), Wanted(frozenset(("email",)), frozenset(), children=False, places=False))
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 

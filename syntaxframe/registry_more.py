@@ -775,5 +775,5 @@ def scanner_fragment(spark, sf_dir):
 def doc_tokens_all_kinds(spark, sf_dir):
     """Words, numbers and addresses of all documents, by kind."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    nodes = language_for("tokens").nodes(docs, Wanted(frozenset(("email", "number", "word")), frozenset(), children=False))
+    nodes = language_for("tokens").nodes(docs, Wanted(frozenset(("email", "number", "word")), frozenset(), children=False, places=False))
     return nodes.where("not is_error").groupBy("kind").agg(F.count("*").alias("n"))
