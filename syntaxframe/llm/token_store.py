@@ -23,15 +23,18 @@ store and an empty result; further columns are ignored; texts of any length are
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,8 +49,10 @@ VERSION = 1
 SHARD_BYTES = 256 << 20
 #: Keys for each bucket of the index.
 BUCKET_KEYS = 1 << 18
-#: Bytes of words and their ids that a worker remembers.
-CACHE_BYTES = 64 << 20
+#: Bytes that a worker remembers, of words and of pieces with their ids; and what an entry takes besides these.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
+#: Text that is encoded together, in bytes.
+CHUNK_BYTES = 2 << 20
 #: Words that are encoded as one text.
 JOINED = 4096
 #: Bits of a level for each key that reaches it.
@@ -80,17 +85,24 @@ def _file_name(kind: str) -> str:
 
 class Encoder:
     """Texts to ids as bytes. Where a tokenizer treats white space as a border and nothing else (which is tried out), words are encoded
-    once and remembered."""
+    once and remembered; where its definition also says how words are cut into pieces that are encoded each by itself, so are the
+    pieces. Words with ODD characters are always given to the library whole."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.engine = Tokenizer.from_str(definition)
-        self.kind = np.dtype("<u2" if self.engine.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        size = self.engine.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.by_word = self._borders()
-        self.cache: dict[bytes, bytes] = {}
-        self.held = 0
+        told = json.loads(definition)
+        self.added = [t["content"] for t in told.get("added_tokens") or ()]
+        self.added_bytes = [t.encode() for t in self.added]
+        self.pieces_of = _piece_rule(told) if self.by_word else None
+        #: Does an id end a piece?
+        self.ends = np.array([(self.engine.id_to_token(i) or "").endswith(told["model"]["end_of_word_suffix"]) for i in range(size)]) if self.pieces_of else None
+        self.words, self.pieces = _Remembered(), _Remembered()
 
     def _ids(self, text: str) -> list[int]:
         return self.engine.encode(text, add_special_tokens=False).ids
@@ -101,33 +113,110 @@ class Encoder:
         spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", " \n\t "]
         return all(self._ids(f"{s}{a}{s}{b}{s}") == x + y for s in spaces for a, x in zip(words, alone) for b, y in zip(words, alone))
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes words, many as one text; a token belongs to the word in which it begins."""
-        groups = [[w.decode() for w in words[k : k + JOINED]] for k in range(0, len(words), JOINED)]
-        found = self.engine.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
-        for k, (group, one) in enumerate(zip(groups, found)):
+    def _learn_whole(self, words: list[str]) -> list[bytes]:
+        """Many words as one text; a token belongs to the word in which it begins."""
+        out: list[bytes] = []
+        for k in range(0, len(words), JOINED):
+            group = words[k : k + JOINED]
+            one = self.engine.encode(" ".join(group), add_special_tokens=False)
             ids = np.array(one.ids, self.kind).tobytes()
             begins = np.array([a for a, _ in one.offsets], np.int64)
             size = np.fromiter(map(len, group), np.int64, len(group)) + 1
             edges = (np.searchsorted(begins, np.concatenate([[0], np.cumsum(size)])) * self.kind.itemsize).tolist()
-            for word, a, b in zip(words[k * JOINED : k * JOINED + len(group)], edges[:-1], edges[1:]):
-                self.cache[word] = ids[a:b]
-                self.held += len(word) + b - a + 200
+            out += [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        return out
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Many pieces as one text; each ends with an id that ends a piece."""
+        for k in range(0, len(pieces), JOINED):
+            group = pieces[k : k + JOINED]
+            found = np.array(self.engine.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[found]) + 1
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer's pieces do not end as its definition says")
+            ids, edges = found.tobytes(), (ends * self.kind.itemsize).tolist()
+            self.pieces.add(dict(zip(group, [ids[a:b] for a, b in zip([0, *edges[:-1]], edges)])))
+
+    def _by_piece(self, words: list[str]) -> list[bytes]:
+        """All words as one text of lines; the line ends stay between the pieces and stand for an id that no token has."""
+        mark = np.array([np.iinfo(self.kind).max], self.kind)
+        found = self.pieces_of("\n".join(words).lower())
+        known = self.pieces.holding(set(found) - {"\n"}, self._learn_pieces)
+        known["\n"] = mark.tobytes()
+        ids = np.frombuffer(b"".join(map(known.__getitem__, found)), self.kind)
+        at = np.flatnonzero(ids == mark)
+        raw, edges = ids.tobytes(), (np.stack([np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]])]) * self.kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(*edges)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = b"\n".join(new).decode().split("\n")
+        whole = set(range(len(words)))
+        if self.pieces_of:
+            text = "\n".join(words)
+            begins = np.cumsum([0, *map(len, words[:-1])]) + np.arange(len(words))
+            odd = [m.start() for m in ODD(text)] + [m.start() for t in self.added for m in regex.finditer(regex.escape(t), text)]
+            whole = set((np.searchsorted(begins, odd, side="right") - 1).tolist())
+        if len(whole) < len(words):
+            plain = [k for k in range(len(words)) if k not in whole] if whole else range(len(words))
+            self.words.add(dict(zip([new[k] for k in plain], self._by_piece([words[k] for k in plain]))))
+        rest = sorted(whole)
+        self.words.add(dict(zip([new[k] for k in rest], self._learn_whole([words[k] for k in rest]))))
+
+    def _lowered(self, text: bytes) -> bytes:
+        """A-Z in lower case, as the tokenizer does anyway, unless that would make an added token."""
+        low = text.lower()
+        return low if all(t not in low or low.count(t) == text.count(t) for t in self.added_bytes) else text
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return [np.array(one.ids, self.kind).tobytes() for one in self.engine.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
-        new = set().union(*split) - self.cache.keys()
-        if new:
-            self._learn(list(new))
-        ids = self.cache.__getitem__
+            return [np.array(self._ids(t.decode()), self.kind).tobytes() for t in texts]
+        split = [self._lowered(t).split() for t in texts] if self.pieces_of else [t.split() for t in texts]
+        ids = self.words.holding(set().union(*split), self._learn).__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
 
+class _Remembered:
+    """What words or pieces became, in two generations: when the young one is full, the old one is forgotten."""
+
+    def __init__(self):
+        self.young: dict[Any, bytes] = {}
+        self.old: dict[Any, bytes] = {}
+        self.size = 0
+
+    def add(self, found: dict[Any, bytes]) -> None:
+        self.young.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+    def holding(self, asked: set, learn: Callable[[list], None]) -> dict[Any, bytes]:
+        """The young generation, with all that is asked for."""
+        if self.size > CACHE_BYTES:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = asked - self.young.keys()
+        known = new & self.old.keys()
+        self.add({w: self.old[w] for w in known})
+        if len(new) > len(known):
+            learn(list(new - known))
+        return self.young
+
+
+def _piece_rule(told: dict) -> Callable[[str], list[str]] | None:
+    """How the definition of a tokenizer cuts words (after lower case) into pieces, if it is of the kind that says so: NFC, white space, lower
+    case, one pattern for pieces, bytes, byte pairs with a mark at the end of a piece."""
+    norm, pre, model = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}, told["model"]
+    steps, cuts = norm.get("normalizers") or [], pre.get("pretokenizers") or []
+    if [n["type"] for n in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"} or [p["type"] for p in cuts] != ["Split", "ByteLevel"]:
+        return None
+    pattern = cuts[0]["pattern"].get("Regex")
+    if pattern is None or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"] or model["type"] != "BPE" or not model["end_of_word_suffix"]:
+        return None
+    return regex.compile(rf"(?:{pattern})|\n").findall
+
+
+#: Characters in words that are left to the library. It and this language see the same letters, digits and cases in the others: the
+#: printable ones below U+0250.
+ODD = regex.compile(r"[^\n\x21-\x7E\xA1-\xAC\xAE-\u024F]").finditer
+
+
 _encoders: dict[int, Encoder] = {}
 
 
@@ -182,7 +271,7 @@ def opened_shard(path: str) -> tuple[object, np.dtype, np.ndarray]:
     return source, np.dtype(f"<u{width}"), np.frombuffer(source.read(8 * (n + 1)), "<u8").astype(np.int64)
 
 
-def _write_shards(docs: DataFrame, folder: str, definition: str, end_id: int) -> DataFrame:
+def _write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, shard_bytes: int) -> DataFrame:
     """Entries: a row for each document (shard, row, doc_id, n_tokens), and one for each shard (path, row = -1 - documents)."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
@@ -190,7 +279,7 @@ def _write_shards(docs: DataFrame, folder: str, definition: str, end_id: int) ->
         encoder, shard, part = _encoder(shared.value), None, TaskContext.get().partitionId()
         end, k = np.array([end_id], encoder.kind).tobytes(), 0
         for batch in batches:
-            for row, stop, data, offsets in tk.chunks(batch.column(1)):
+            for row, stop, data, offsets in tk.chunks(batch.column(1), CHUNK_BYTES):
                 if shard is None:
                     shard, k = _Shard(folder, (part << 20) + k, encoder.kind), k + 1
                 raw, at = data.tobytes(), offsets.tolist()
@@ -200,7 +289,7 @@ def _write_shards(docs: DataFrame, folder: str, definition: str, end_id: int) ->
                 sizes = np.diff(shard.starts[first : first + n + 1])
                 columns = [pa.array(np.full(n, shard.number)), pa.array(np.arange(first, first + n)), batch.column(0).slice(row, n), pa.array(sizes), pa.nulls(n, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ENTRY_ARROW)
-                if shard.starts[-1] * encoder.kind.itemsize >= SHARD_BYTES:
+                if shard.starts[-1] * encoder.kind.itemsize >= shard_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(shard.close(), _ENTRY_ARROW)], schema=_ENTRY_ARROW)
                     shard = None
         if shard is not None:
@@ -377,14 +466,14 @@ class TokenStore:
     buckets: int
 
     @classmethod
-    def write(cls, docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
+    def write(cls, docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> TokenStore:
         """Encodes docs with the tokenizer file of the tokenizers library (read by the driver, sent to the workers) and writes the store."""
         spark = docs.sparkSession
         folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
         with open(tokenizer, encoding="utf-8") as file:
             definition = file.read()
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        _write_shards(docs, folder, definition, end_id).write.option("compression", "zstd").parquet(f"{folder}/entries")
+        _write_shards(docs, folder, definition, end_id, shard_bytes).write.option("compression", "zstd").parquet(f"{folder}/entries")
         entries = spark.read.schema(_ENTRY).parquet(f"{folder}/entries")
         _manifest(entries).write.parquet(f"{folder}/manifest")
 
