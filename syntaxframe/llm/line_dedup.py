@@ -17,7 +17,7 @@ Heavy groups: equal lines are merged by partial aggregation before any join; key
 occurrences with a hot line are split by adaptive execution.
 
 Defined results for odd input: a null text stays null, an empty one empty; blank lines always stay, and short ones unless asked for; a null id counts
-as larger than every other; rows with equal id and equal text get equal results; other columns stay as they are.
+as larger than every other; rows with equal id and equal text get equal results; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -32,10 +32,14 @@ from .shared import fresh, last_if_null, written
 MIN_WORDS = 5
 #: Lengths that share a pair of halves, in words.
 STEP = 8
-#: Rows of hashes sent to all executors; more are joined by a shuffle.
-BROADCAST_ROWS = 250_000
+#: Bytes of hashes sent to all executors, as they lie in memory; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: What a row takes in a table of a join beside its columns, and what a column or an array's value takes.
+ROW_BYTES, COLUMN_BYTES = 48, 8
 #: Variants of lines of up to so many words are made inside the row; those of longer lines by a running window over words.
 ROW_WORDS = 8192
+#: Words whose running values are made in one array. Arrays grow by copying, so long lines are worked on in blocks.
+BLOCK_WORDS = 64
 
 _AT = ["k_id", "k_text", "no"]
 
@@ -79,8 +83,10 @@ def _half_keys() -> dict[str, Column]:
 
 
 def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", values: int | None = None) -> DataFrame:
-    """A join with a written table, broadcast if it has few rows (or, where its rows hold arrays, few values)."""
-    return left.join(F.broadcast(right) if (right.count() if values is None else values) <= BROADCAST_ROWS else right, on, how)
+    """A join with a written table, broadcast if it is small. values: how many its arrays hold, where it has some."""
+    rows = right.count() if values is None else values
+    size = rows * (ROW_BYTES + COLUMN_BYTES * (len(right.columns) + ("at" in right.columns) * len(_AT)))
+    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, on, how)
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -94,6 +100,18 @@ def _near(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (agree(a, b) + agree(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
+def _running(words: DataFrame, values: str, name: str) -> DataFrame:
+    """words with an array more: the exclusive or of the first k values, k from 0. Each block by itself, then the blocks' ends: a line of n words
+    copies some n * BLOCK_WORDS / 2 values in all, where one array over the line would copy n * n / 2."""
+    along = "aggregate({}, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) ^ {})))"
+    last = f"size({values}) - 1"
+    block = along.format(f"sequence(b, least(b + {BLOCK_WORDS - 1}, {last}))", f"{values}[x]")
+    out = words.withColumn("_blocks", F.expr(f"transform(sequence(0, {last}, {BLOCK_WORDS}), b -> {block})"))
+    out = out.withColumn("_ends", F.expr(along.format("transform(_blocks, b -> element_at(b, -1))", "x")))
+    whole = "flatten(transform(_blocks, (b, k) -> transform(slice(b, 1, size(b) - 1), x -> x ^ _ends[k])))"
+    return out.withColumn(name, F.expr(f"concat({whole}, array(element_at(_ends, -1)))")).drop("_blocks", "_ends")
+
+
 def _variants(texts: DataFrame) -> DataFrame:
     """(k_id, k_text, no, i, key): lines without their i-th word, and (i = -1) whole. Order counts in a key: it is the
     exclusive or of each word hashed with its place."""
@@ -102,8 +120,8 @@ def _variants(texts: DataFrame) -> DataFrame:
     short = short.withColumns(
         {"here": F.transform("words", lambda w, i: F.xxhash64(w, i)), "left": F.transform("words", lambda w, i: F.xxhash64(w, i - 1))}
     )
-    running = "aggregate({}, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) ^ x)))"
-    short = short.withColumns({"before": F.expr(running.format("here")), "upto": F.expr(running.format("left"))})
+    for values, name in (("here", "before"), ("left", "upto")):
+        short = _running(short, values, name)
     each = "transform(sequence(0, n - 1), i -> struct(i, before[i] ^ upto[n] ^ upto[i + 1] as key))"
     each = f"concat({each}, array(struct(-1 as i, before[n] as key)))"
     short = short.select(*_AT, F.inline(F.expr(each))).select(*_AT, "i", "key")
@@ -184,17 +202,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """docs with near-duplicate lines taken out of the texts, and two more columns: _n_lines and _n_removed (columns that
-    have these names are replaced; any other name may occur)."""
-    names = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
-    id_key, text_key, gone_col = fresh(names, "k_id", "k_text", "gone")
+    """docs with near-duplicate lines taken out of the texts, and two more columns at the end: _n_lines and _n_removed (with further
+    underscores before them where docs has these names)."""
+    names = docs.columns
+    id_key, text_key, gone_col, n_lines_col, n_removed_col = fresh(names, "k_id", "k_text", "gone", "_n_lines", "_n_removed")
     gone = removed_lines(docs, id_col, text_col, short).toDF(id_key, text_key, gone_col)
-    keyed = docs.select(*names).withColumns({id_key: last_if_null(F.col(id_col)), text_key: F.xxhash64(text_col)})
+    keyed = docs.withColumns({id_key: last_if_null(F.col(id_col)), text_key: F.xxhash64(text_col)})
     joined = keyed.join(gone, [id_key, text_key], "left")
-    lines = F.split(text_col, "\n")
-    cuts = F.col(gone_col)
-    kept = F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), cuts), F.concat(cuts, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+    # A column of its own: within the lambda the text would be split again for every line.
+    (lines_col,) = fresh([*joined.columns, n_lines_col, n_removed_col], "lines")
+    joined = joined.withColumn(lines_col, F.split(text_col, "\n"))
+    lines, cuts = F.col(lines_col), F.col(gone_col)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cuts), lambda i: F.get(lines, i))
     text = F.when(cuts.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in names]
+    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.select(*out, n_lines.alias("_n_lines"), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("_n_removed"))
+    return joined.select(*out, n_lines.alias(n_lines_col), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias(n_removed_col))

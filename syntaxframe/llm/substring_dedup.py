@@ -52,6 +52,9 @@ COMPACT_BYTES = 8 << 20
 #: Text for each bucket, in bytes.
 BUCKET_BYTES = 4 << 20
 
+#: Bits of a text's hash, and the mark beside them of rows without an id.
+KEY_BITS, NO_ID = 56, 1 << 62
+
 _U = np.uint64
 _HOT = _U(1 << 63)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -60,11 +63,20 @@ _SPAN_ARROW = pa.schema([("k_id", pa.int64()), ("k_text", pa.int64()), ("start",
 _PACK_ARROW = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), *_SPAN_ARROW])
 
 
-def text_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A key of each text, to tell rows with equal ids apart. 40 bits do for that, and travel in less space."""
+def row_keys(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that tell rows apart, for they travel with every run. Rows with an id: the id and KEY_BITS of the text's hash, as only rows that
+    share an id need to be told apart by it. Rows without one: 64 more bits of the hash in place of the id, and a mark (NO_ID)."""
     raw, at = data.tobytes(), offsets.tolist()
-    found = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1], at[1:])], np.uint64)
-    return (found >> _U(24)).view(np.int64)
+    found = [xxhash.xxh3_128_intdigest(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
+    keys = np.array([h & ((1 << KEY_BITS) - 1) for h in found], np.int64)
+    none = ids == LAST_ID
+    more = np.array([h >> 64 if n else 0 for h, n in zip(found, none.tolist())], np.uint64).view(np.int64)
+    return np.where(none, more, ids), np.where(none, keys | NO_ID, keys)
+
+
+def ranks(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The ids by which rows with these keys are compared."""
+    return np.where(keys & NO_ID != 0, LAST_ID, ids)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -147,10 +159,10 @@ def _same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.n
 def _packs(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for ids, data, offsets in _texts(batches):
-        chunk, keys = _Chunk(ids, data, offsets, hot), text_key(data, offsets)
+        chunk, (names_of, keys) = _Chunk(ids, data, offsets, hot), row_keys(ids, data, offsets)
         words = chunk.words
         lost = beaten(chunk.hash, chunk.id, _same_words(data, words.starts, words.ends, chunk.at))
-        yield _spans(chunk, np.flatnonzero(lost), ids, keys, buckets)
+        yield _spans(chunk, np.flatnonzero(lost), names_of, keys, buckets)
         first, stop = chunk.runs(np.flatnonzero(~lost))
         bucket = (chunk.key[first] % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -158,7 +170,7 @@ def _packs(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) ->
         row = chunk.row[first]
         start_word, end_word = chunk.at[first], chunk.at[stop - 1] + WINDOW
         byte_from, byte_to = words.starts[start_word], words.ends[end_word - 1]
-        heads = [ids[row], keys[row], start_word - words.first[row], byte_to - byte_from]
+        heads = [names_of[row], keys[row], start_word - words.first[row], byte_to - byte_from]
         heads = [column.astype(kind) for column, kind in zip(heads, _HEAD)]
         raw, edge = data.tobytes(), np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         froms, tos = byte_from.tolist(), byte_to.tolist()
@@ -171,7 +183,7 @@ def _packs(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), *empty], schema=_PACK_ARROW)
 
 
-#: Column types of a pack's heads: document id, text key, word number of the start, bytes.
+#: Column types of a pack's heads: a row's two keys, word number of the start, bytes.
 _HEAD = ("<i8", "<i8", "<i4", "<i4")
 
 
@@ -185,7 +197,7 @@ def _spans(chunk: _Chunk, lost: np.ndarray, ids: np.ndarray, keys: np.ndarray, b
     row, n = row[first], len(first)
     base = chunk.words.first[row]
     found = [ids[row], keys[row], (at[first] - base).astype(np.int32), (at[last] - base + WINDOW).astype(np.int32)]
-    bucket = ((at[first] * 7 + keys[row]) % buckets).astype(np.int32)
+    bucket = ((at[first] * 7 + (keys[row] & ~NO_ID)) % buckets).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(n, pa.binary()), *map(pa.array, found)], schema=_PACK_ARROW)
 
 
@@ -266,7 +278,7 @@ def _marked(packed: list[bytes], keep: bool = False) -> tuple[pa.RecordBatch, li
     at = words.windows(WINDOW)
     run = np.searchsorted(words.first, at, side="right") - 1
     hashes = tk.rolled(words.hashes(), WINDOW)[at]
-    loses = beaten(hashes, ids[run], _same_words(data, words.starts, words.ends, at))
+    loses = beaten(hashes, ranks(ids, keys)[run], _same_words(data, words.starts, words.ends, at))
     kept = []
     if keep:
         stays = np.unique(run[~loses])
@@ -328,7 +340,10 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: words, words removed, digest of the kept words and (``kept``) the kept text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # Equal rows mark the same words, each for itself: of ranges with one start the longest holds the others, so a text has no more
+    # ranges than words, however many rows have it.
+    longest = repeated_spans(docs).groupBy("k_id", "k_text", "start").agg(F.max("stop").alias("stop"))
+    spans = longest.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts travel to their spans compressed."""
@@ -337,7 +352,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for row, end, data, offsets in tk.chunks(batch.column(1)):
                 part, raw, at = batch.slice(row, end - row), data.tobytes(), offsets.tolist()
                 packed = [squeeze.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
-                columns = [part.column(0), pa.array(packed, pa.binary()), part.column(0).fill_null(LAST_ID), pa.array(text_key(data, offsets))]
+                ids, keys = row_keys(part.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False), data, offsets)
+                columns = [part.column(0), pa.array(packed, pa.binary()), pa.array(ids), pa.array(keys)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "packed", "k_id", "k_text"])
 
     left = docs.mapInArrow(keyed, "doc_id long, packed binary, k_id long, k_text long")

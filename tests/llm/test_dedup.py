@@ -280,13 +280,65 @@ def test_short_lines_go_if_equal(spark):
 
 
 def test_shuffled_joins_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     rows = [(1, "a b c d e f g"), (2, "a b c d e x g"), (3, "q b c d e x g z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r._n_removed) for r in line_dedup.line_dedup(docs).collect()) == [(1, 0), (2, 1), (3, 0)]
 
 
-def test_text_key_separates_texts():
-    data, offsets = tk.utf8(pa.array(["a", "b", "a"]))
-    keys = substring_dedup.text_key(data, offsets).tolist()
-    assert keys[0] == keys[2] != keys[1]
+def test_row_keys_separate_rows():
+    data, offsets = tk.utf8(pa.array(["a", "b", "a", "a", "b"]))
+    ids = np.array([1, 1, 1, substring_dedup.LAST_ID, substring_dedup.LAST_ID])
+    pairs = list(zip(*(x.tolist() for x in substring_dedup.row_keys(ids, data, offsets))))
+    assert pairs[0] == pairs[2] and len(set(pairs)) == 4
+    assert substring_dedup.ranks(*substring_dedup.row_keys(ids, data, offsets)).tolist() == ids.tolist()
+
+
+def test_rows_without_ids_are_told_apart_where_text_keys_collide(spark, monkeypatch):
+    """All text keys of a worker collide; what is left to tell rows apart is the id, or the other half of the hash."""
+    plain = substring_dedup.row_keys
+
+    def colliding(ids, data, offsets):
+        names, keys = plain(ids, data, offsets)
+        return names, keys & substring_dedup.NO_ID
+
+    monkeypatch.setattr(substring_dedup, "row_keys", colliding)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[:30] + ["x"] * 20)), (None, " ".join(["y"] * 9 + words[20:50])), (None, "z " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packs = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    made = pa.Table.from_batches(substring_dedup._packs(iter([packs]), np.zeros(0, np.uint64), 1))
+    assert len(set(zip(made["k_id"].drop_null().to_pylist(), made["k_text"].drop_null().to_pylist()))) >= 2
+    monkeypatch.undo()
+    got = {r.kept: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == {rows[0][1]: (60, 0), " ".join(["x"] * 20): (50, 30), " ".join(["y"] * 9): (39, 30), ("z " * 40).strip(): (40, 0)}
+
+
+def test_many_equal_rows_without_ids(spark):
+    """A hundred thousand rows with one text: its ranges are held once, not once a row."""
+    words = [f"w{k}" for k in range(40)]
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(" ".join(words[:20] + ["end"])).alias("text"))
+    docs = rows.unionByName(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))
+    out = substring_dedup.substring_dedup(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in out} == {(1, 40, 0, 1), (None, 21, 20, 100_000)}
+
+
+
+def test_long_lines_have_the_variants_of_short_ones(spark, monkeypatch):
+    """Made in blocks within the row, and by a window over words: the same keys."""
+    line = lambda n: " ".join(f"w{(k * k) % 97}" for k in range(n))
+    texts = spark.createDataFrame([(1, 1, k, line(n), n) for k, n in enumerate((5, 63, 64, 65, 128, 130, 1000, 5000))], "k_id long, k_text long, no int, line string, n int")
+    by_row = sorted(map(tuple, line_dedup._variants(texts).collect()))
+    monkeypatch.setattr(line_dedup, "ROW_WORDS", 4)
+    assert by_row == sorted(map(tuple, line_dedup._variants(texts).collect()))
+
+
+def test_columns_named_like_those_of_the_line_dedup_stay(spark):
+    import corpus_pipeline
+
+    text = "one two three four five six\nanother line of some more words"
+    docs = spark.createDataFrame([(1, text, 7, "a", 3, "b"), (2, text, 8, "c", 4, "d")], "doc_id long, text string, _n_lines int, gone string, k_id int, lines string")
+    out = sorted(map(tuple, line_dedup.line_dedup(docs).collect()))
+    assert out == [(1, text, 7, "a", 3, "b", 2, 0), (2, "", 8, "c", 4, "d", 2, 2)]
+    staged = corpus_pipeline.lines(spark, docs, "")
+    assert staged.columns == docs.columns and sorted(map(tuple, staged.collect())) == [r[:6] for r in out]
