@@ -105,7 +105,8 @@ def _annotation(cls: type[Rule], name: str, hint: Any) -> Expr:
         raise GrammarError(f"{cls.__name__}.{name}: {h!r} is no rule annotation")
 
     def labelled(e: Expr, h: Any) -> Expr:
-        return e if name == "content" or get_origin(h) is Literal else field(name, e)
+        # One fixed text needs no name; a choice of texts is what the attribute holds.
+        return e if name == "content" or (get_origin(h) is Literal and len(get_args(h)) == 1) else field(name, e)
 
     origin = get_origin(hint)
     if origin in (list, typing.List):

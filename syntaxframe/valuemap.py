@@ -48,7 +48,8 @@ JSON_VALUE_MAP = ValueMap(
     {"array": ["object", "array", "number", "string", "true", "false", "null"]},
 )
 JSON_KINDS = frozenset(("document", "object", "array", "pair", "string", "string_content", "number", "true", "false", "null"))
-JSON_CORE = frozenset(("object", "array", "pair", "string", "number"))
+#: All of them but null: a grammar with these is taken for JSON.
+JSON_CORE = JSON_KINDS - {"null"}
 #: Inner leaves of wrappers, the most telling name first.
 LEAF_NAMES = ("string_content", "content", "text")
 

@@ -338,3 +338,30 @@ def test_proposed_value_map():
     values = propose_value_map(language_for("conf").schema)
     assert values.scalars["integer"] == "int" and values.scalars["boolean"] == "bool" and values.wrappers["string"] == "string_content" and "list" in values.arrays
     assert prec_left(1, "a").value == 1
+
+
+def test_a_literal_of_several_values_is_a_field():
+    class Sign(rules.Rule):
+        op: Literal["+", "-"]
+        end: Literal[";"] = ";"
+
+    class Signs(rules.Rule):
+        ops: list[Literal["+", "-"]]
+        last: Literal["<", ">"] | None
+
+    body = rules.body_of(Sign)
+    assert [m.kind for m in body.members] == ["FIELD", "STRING"] and body.members[0].name == "op" and body.members[0].content.kind == "CHOICE"
+    many, last = rules.body_of(Signs).members
+    assert many.content.kind == "FIELD" and many.content.name == "ops" and last.kind == "FIELD" and last.name == "last"
+
+
+def test_a_grammar_is_like_json_with_all_nine_kinds_only():
+    from syntaxframe.language import language_for
+    from syntaxframe.schema import NodeSchema
+    from syntaxframe.valuemap import JSON_CORE, looks_like_json
+
+    assert len(JSON_CORE) == 9 and looks_like_json(language_for("json").schema)
+    for missing in sorted(JSON_CORE):
+        less = NodeSchema.from_list([{"type": k, "named": True} for k in sorted(JSON_CORE - {missing})])
+        assert not looks_like_json(less)
+    assert looks_like_json(NodeSchema.from_list([{"type": k, "named": True} for k in sorted(JSON_CORE | {"escape_sequence"})]))
