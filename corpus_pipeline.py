@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that equal or nearly equal an earlier one are taken out of the texts (short lines: equal ones); n_chars follows."""
-    out = line_dedup.line_dedup(docs, short=True).drop("_n_lines", "_n_removed")
+    out = line_dedup.line_dedup(docs, short=True).select(*(F.col(f"`{c}`") for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
