@@ -6,6 +6,7 @@ Where no SQL parses text, the text is made from relational rows first, so the SQ
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Annotated
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,10 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import coerce
 from .grammar.dsl import Grammar, alias, choice, field, pattern, ref, repeat, seq, token
-from .grammar.lint import run_checks
 from .language import language_for
 from .model import AnyOf, Eq, M, Matches, NodeKind, OutputModel, RawQuery, Unescaped, capture, capture_kind, derived, source_meta
-from .operators import ancestry, corpus, render, reparse
+from .operators import ancestry, elements, reparse
 from .parse.rows import Wanted
 from .sources.docs import from_table, nested
 from .sources.staging import shared_dir, staged
@@ -245,35 +245,32 @@ def kind_scan(spark, sf_dir):
 
 # Conversions.
 
-INTS = (("3", 3), ("+5", 5), (" 7 ", 7), ("-0", 0), ("3.0", 3), ("1_000", 1000), ("3.14", None), ("0x1f", None), ("", None), ("1e3", None), ("9" * 25, None))
-FLOATS = (("1e3", 1000.0), (" 2.5 ", 2.5), ("1_0.5", 10.5), (".5", 0.5), ("5.", 5.0), ("x", None), ("", None))
-BOOLS = (("true", True), ("Yes", True), ("on", True), ("1", True), ("t", True), ("off", False), ("0", False), ("N", False), ("maybe", None), ("", None))
 
+def _of_events(spark, sf_dir, text: Column, f) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), f(text).alias("v"))
 
-def _values(rows, kind: str) -> str:
-    def shown(v) -> str:
-        return "NULL" if v is None else str(v)
 
-    return "SELECT text, CAST(v AS " + kind + ") AS v FROM (VALUES " + ", ".join(f"('{t}', {shown(v)})" for t, v in rows) + ") x(text, v)"
-
-
-def _converted(spark, rows, f) -> DataFrame:
-    return spark.createDataFrame([(t,) for t, _ in rows], "text string").select("text", f(F.col("text")).alias("v"))
-
-
-@query(_values(INTS, "BIGINT"))
+@query("SELECT event_id AS doc_id, CASE event_id % 4 WHEN 0 THEN k WHEN 1 THEN -k WHEN 2 THEN k END AS v FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
 def coerce_int(spark, sf_dir):
-    return _converted(spark, INTS, coerce.to_int)
+    """Whole numbers, with a sign, with an empty fraction, and texts that are none."""
+    k, turn = F.get_json_object("props", "$.k"), F.col("event_id") % 4
+    text = F.when(turn == 0, F.concat(F.lit(" "), k)).when(turn == 1, F.concat(F.lit("-"), k)).when(turn == 2, F.concat(k, F.lit(".0"))).otherwise(F.concat(F.lit("0x"), k))
+    return _of_events(spark, sf_dir, text, coerce.to_int)
 
 
-@query(_values(FLOATS, "DOUBLE"))
+@query("SELECT event_id AS doc_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN floor(value) * 100 END AS v FROM events")
 def coerce_float(spark, sf_dir):
-    return _converted(spark, FLOATS, coerce.to_float)
+    """Numbers with a fraction, with an exponent, and texts that are none."""
+    whole, turn = F.floor("value").cast("string"), F.col("event_id") % 3
+    text = F.when(turn == 0, F.col("value").cast("string")).when(turn == 1, F.concat(whole, F.lit("e2"))).otherwise(F.concat(F.lit("v"), whole))
+    return _of_events(spark, sf_dir, text, coerce.to_float)
 
 
-@query(_values(BOOLS, "BOOLEAN"))
+@query("SELECT event_id AS doc_id, CASE event_type WHEN 'click' THEN TRUE WHEN 'view' THEN TRUE WHEN 'error' THEN FALSE END AS v FROM events")
 def coerce_bool(spark, sf_dir):
-    return _converted(spark, BOOLS, coerce.to_bool)
+    """Words for yes and no, and others."""
+    kind = F.col("event_type")
+    return _of_events(spark, sf_dir, F.when(kind == "click", "Yes").when(kind == "view", "on").when(kind == "error", "off").otherwise(kind), coerce.to_bool)
 
 
 # INI.
@@ -426,6 +423,23 @@ def html_unclosed(spark, sf_dir):
     return pages.join(closed, "doc_id", "left_anti").select("doc_id")
 
 
+@query("WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<nav>(.*?)</nav>', 1)) AS inner_html FROM pages) SELECT page_id AS doc_id, unnest(regexp_extract_all(inner_html, '<a href=\"([^\"]*)\">', 1)) AS href FROM n")
+def html_ancestor_gap(spark, sf_dir):
+    """Links anywhere below a nav element: tags are paired to elements, whose intervals the links must lie in."""
+    links = _html().extractor(LinkTarget)
+    want = replace(links.wanted(), kinds=links.wanted().kinds | elements.KINDS, children=True)
+    nodes = staged(_html().nodes(_pages(spark, sf_dir), want), "nodes")
+    return links.scoped(nodes, elements.elements(nodes).where("name = 'nav'")).select("doc_id", "href")
+
+
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<p>')) AS n, len(regexp_extract_all(html, '<(?:br|meta)[ >]')) AS n_void FROM pages")
+def html_elements(spark, sf_dir):
+    """Paragraphs and void elements of pages; paragraphs often lack their end tags."""
+    nodes = _html().nodes(_pages(spark, sf_dir), Wanted(elements.KINDS, frozenset()))
+    found = elements.elements(nodes).groupBy("doc_id").agg(F.count_if(F.col("name") == "p").alias("n"), F.count_if(F.col("name").isin("br", "meta")).alias("n_void"))
+    return _pages(spark, sf_dir).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("n_void", F.lit(0)).cast("long").alias("n_void"))
+
+
 # Lines, tokens and places.
 
 
@@ -472,13 +486,6 @@ SHAPES = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SHAPES) + ") x(text, shape)")
-def expr_shapes(spark, sf_dir):
-    docs = spark.createDataFrame([(t,) for t, _ in SHAPES], "text string")
-    got = render.rendered(docs.select(F.lit(1).alias("one"), "text"), language_for("expr"), style="compact", selector="expression_statement")
-    return got.select("text", F.regexp_extract("rendered", r"(?s)^\(expression_statement (.*) ;\)$", 1).alias("shape"))
-
-
 class SumOfProduct(OutputModel):
     __raw_query__ = RawQuery("(binary left: (number) @q right: (binary left: (number) @p right: (number) @d))")
     q: float
@@ -713,19 +720,6 @@ def reparse_diff(spark, sf_dir):
     return rows.select("doc_id", *(F.col(k).cast("long").alias(k) for k in ("start", "old_end", "new_end")))
 
 
-@query("SELECT * FROM (VALUES ('pair', 'key', 'string', TRUE, FALSE), ('pair', 'key', 'number', TRUE, FALSE)) x(kind, field, child, required, multiple)")
-def schema_catalog(spark, sf_dir):
-    frame = language_for("json").schema.frame(spark)
-    return frame.where("kind = 'pair' and field = 'key'").select("kind", "field", "child", "required", "multiple")
-
-
-@query("SELECT * FROM (VALUES ('document', 'string_content', TRUE), ('pair', 'object', TRUE), ('string', 'object', FALSE), ('number', 'pair', FALSE)) x(ancestor, kind, possible)")
-def schema_descend(spark, sf_dir):
-    schema = language_for("json").schema
-    asked = [("document", "string_content"), ("pair", "object"), ("string", "object"), ("number", "pair")]
-    return spark.createDataFrame([(a, k, schema.is_possible_descendant(a, k)) for a, k in asked], "ancestor string, kind string, possible boolean")
-
-
 def broken_grammar() -> Grammar:
     g = Grammar("broken")
     g.rule("source_file", seq(ref("missing"), repeat(choice("a", pattern("b*"))), ref("empty")))
@@ -736,19 +730,6 @@ def broken_grammar() -> Grammar:
     return g
 
 
-@query("SELECT * FROM (VALUES ('undefined', 'source_file', FALSE), ('unused', 'unused', FALSE), ('unused', 'flagged', FALSE), ('unused', 'named', FALSE), ('repeat', 'source_file', FALSE), ('token', 'unused', FALSE), ('flags', 'flagged', FALSE), ('nullable', 'empty', TRUE)) x(check_name, rule, warning)")
-def lint_issues(spark, sf_dir):
-    rows = [(i.check, i.rule, i.warning) for i in run_checks(broken_grammar())]
-    return spark.createDataFrame(rows, "check_name string, rule string, warning boolean")
-
-
-@query("SELECT CAST(0 AS BIGINT) AS failures")
-def corpus_run(spark, sf_dir):
-    cases = corpus.Corpus([(t, s, t) for t, s in SHAPES], style="compact").frame(spark)
-    cases = cases.withColumn("expected", F.concat(F.lit("(expression_statement "), "expected", F.lit(" ;)")))
-    return corpus.failing(cases, language_for("expr"), style="compact", selector="expression_statement").agg(F.count("*").alias("failures"))
-
-
 @query("SELECT * FROM (SELECT event_id AS doc_id, 'k' AS key, json_extract_string(props, '$.k') AS value, 'number' AS kind FROM events)")
 def sql_table_function(spark, sf_dir):
     from .functions import udtf
@@ -800,7 +781,6 @@ def stream_extract(spark, sf_dir):
     return spark.read.parquet(f"{work}/rows").select("doc_id", "k")
 
 
-
 class Setting(OutputModel):
     __match__ = M("source_file", "assignment")
     name: str = capture("left")
