@@ -324,12 +324,12 @@ SELECT * FROM ({on(MIX, "clean")})
 def _clustering_sql(clusters: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
     """Lloyd's rounds with whole numbers, a pair of tables (assignments, centroids) for each."""
     parts = [
-        f"""k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {dims})""",
+        f"""k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {dims})""",
         f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM k ORDER BY h, v LIMIT {clusters}))",
     ]
     for n in range(rounds + 1):
-        far = f"list_sum(list_transform(range(1, {dims + 1}), i -> (k.v[i] - c{n}.v[i]) * (k.v[i] - c{n}.v[i])))"
+        far = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (k.v[i] - c{n}.v[i]) * (k.v[i] - c{n}.v[i])))"
         parts.append(f"d{n} AS (SELECT k.r, c{n}.c, {far} AS d FROM k, c{n})")
         parts.append(f"a{n} AS (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM d{n}) WHERE place = 1)")
         parts.append(f"s{n} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, {dims + 1})) AS i FROM a{n} JOIN k USING (r)) GROUP BY c, i)")
@@ -358,6 +358,18 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM best JOIN (SEL
 """
 
 
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: (ascii(substr({_DIGITS}, length({_DIGITS}) - i, 1)) - 48) * (1 + i % 2) - CASE WHEN i % 2 = 1 AND ascii(substr({_DIGITS}, length({_DIGITS}) - i, 1)) - 48 > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+#: Counts of the base kinds of personal data.
+PERSONAL = rf"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+  CAST(len(list_filter(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: coalesce(try_cast(p AS BIGINT), 256))) <= 255)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda x: length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN})) AS BIGINT) AS n_card,
+  CAST(len(list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+"""
+
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_substring_dedup": SUBSTRINGS,
@@ -368,4 +380,5 @@ ORACLES = {
     "op10_decontamination": CONTAMINATION,
     "op12_centroid_clustering": _clustering_sql(),
     "op13_ranked_search": RANKED,
+    "personal_data_counts": PERSONAL,
 }

@@ -39,15 +39,26 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_CREDENTIAL = re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?([^\s\"',;]{4,}+)", re.I)
-# A whole run, whatever its length; candidates() asks for a digit in it or a known prefix. Some prefixes end with a hyphen.
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?=[A-Za-z0-9_-]{20})(?:xoxb|xoxp|glpat)-[A-Za-z0-9_-]++|[A-Za-z0-9_]{20,}+)")
+_CREDENTIAL = re.compile(
+    r"(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-](?:access|api|key|token|value|secret|hash)){0,3}"
+    r"[\"']?[\x20]{0,2}[=:][\x20]{0,2}[\"']?([^\s\"',;]{4,}+)",
+    re.I,
+)
+# A whole run, whatever its length; candidates() asks for a digit in it or a known prefix. Some prefixes end with a hyphen, some tokens have dots.
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?=[A-Za-z0-9_-]{20})(?:xoxb|xoxp|glpat)-[A-Za-z0-9_-]++|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++){1,4}+|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|[A-Za-z0-9_]{20,}+)"
+)
+#: Runs to base 64 that a slash or plus would cut, and whole blocks of private keys (the head alone where the end is missing).
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/._=-])(?=[A-Za-z0-9]{0,200}[+/])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/._-])")
+_BLOCK = re.compile(r"-----BEGIN\x20(?:[A-Z0-9]{2,12}\x20){0,3}PRIVATE\x20KEY-----(?:[A-Za-z0-9+/=\s]*+-----END\x20(?:[A-Z0-9]{2,12}\x20){0,3}PRIVATE\x20KEY-----)?")
 _DIGIT = re.compile(r"[0-9]")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _UPPER = "A-ZÀ-ÖØ-Þ"
 _TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.?\x20(\w\w++\x20\w\w++)")
-_PERSON = re.compile(rf"(?<![\w-])([{_UPPER}]\w++)(?=\x20([{_UPPER}]\w++)(?![\w-]))")
+#: Capitalised words of letters, in a row.
+_NAME = rf"[{_UPPER}][^\W\d_]++(?!\w)"
+_PERSON = re.compile(rf"(?<![\w-]){_NAME}(?:\x20{_NAME}(?:-{_NAME})?)++")
 _HIDDEN = re.compile(r"(?<![\w.+-])[\w.+-]++\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[\w-]++\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z]{2,}+(?!\w)", re.I)
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-]?[0-9])")
@@ -82,10 +93,26 @@ FIRST_NAMES = frozenset(
     sabine petra monika ursula katrin juan antonio manuel francisco javier miguel rosa carmen pilar lucia elena sofia pablo diego alejandro
     """.split()
 )
+#: Capitalised words that begin no name: greetings, titles, and words at the head of a sentence.
+LEADS = frozenset(
+    """
+    dear hello hi hey signed mr mrs ms dr prof herr frau sra mme sir madam the this that these those there then when where while what who why how and but for
+    from with yesterday today tomorrow our my your his her its their they she he we it in on at by as if so no yes please ask tell call meet met
+    """.split()
+)
+#: Words that a name does not end with: places, months, days, institutions.
+NOT_NAMES = frozenset(
+    """
+    hall garden museum station hotel university college school street road avenue lane park river lake mountain city county state house office bank
+    january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday
+    company group corporation limited inc ltd gmbh department ministry committee council festival church hospital airport bridge center centre
+    report chapter section figure table version edition award prize league club team series
+    """.split()
+)
 STREET_WORDS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Dr", "Boulevard", "Blvd", "Court", "Way", "Place", "Square", "Terrace")
 STREETS_AHEAD = ("Calle", "Avenida", "Plaza", "Rue", "Avenue", "Boulevard", "Via")
 DOMAIN_ENDS = frozenset("com org net edu gov io info biz co de fr es uk it nl eu us ca ch at be me dev app".split())
-KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "xoxp", "sk_live", "rk_live", "glpat")
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "xoxp", "sk_live", "rk_live", "glpat", "eyJ", "SG.", "-----BEGIN")
 #: Parts of values that stand for no real one.
 DUMMIES = ("xxxx", "0000000", "1234567", "abcdef", "changeme", "your_", "your-", "example", "dummy", "none", "null", "<", "${", "...")
 
@@ -96,7 +123,7 @@ _ADDRESS = re.compile(
 #: (kind, pattern, group of the span, what a text must contain for the pattern to be tried)
 _CANDIDATES = (
     ("credential", _CREDENTIAL, 1, ""), ("national_id", _NATIONAL, 0, "-"), ("loose_phone", _LOOSE_PHONE, 0, ""), ("person", _TITLED, 1, ""), ("person", _PERSON, 0, ""),
-    ("hidden_email", _HIDDEN, 0, "dot"), ("iban", _IBAN, 0, ""), ("birth_date", _DATE, 0, ""), ("address", _ADDRESS, 0, ""), ("key", _KEY, 0, ""),
+    ("hidden_email", _HIDDEN, 0, "dot"), ("iban", _IBAN, 0, ""), ("birth_date", _DATE, 0, ""), ("address", _ADDRESS, 0, ""), ("key", _BLOCK, 0, "-----BEGIN"), ("key", _KEY, 0, ""), ("key", _BASE64, 0, ""),
 )
 
 LABELERS = ("shape", "proof", "entropy", "secret_words", "kind_words", "neutral_words", "names", "dummies", "plain_words")
@@ -138,6 +165,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _pairs(run: re.Match) -> Iterator[tuple[int, int]]:
+    """Spans in a row of capitalised words that may be a first and a last name: from each word that is a known first name; where there is none,
+    and the row is no heading, its last two words."""
+    words, at = [], run.start()
+    for word in run.group().split(" "):
+        words.append((at, at + len(word), word.lower()))
+        at += len(word) + 1
+    known, k = False, 0
+    while k + 1 < len(words):
+        if words[k][2] in FIRST_NAMES:
+            yield words[k][0], words[k + 1][1]
+            known, k = True, k + 1
+        k += 1
+    while not known and words and words[0][2] in LEADS:
+        del words[0]
+    if not known and 2 <= len(words) <= 3:
+        yield words[-2][0], words[-1][1]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, code) of spans that may be added; none overlaps a base span or an earlier candidate."""
     found = []
@@ -147,9 +193,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         for m in pattern.finditer(text):
             if pattern is _KEY and not (_DIGIT.search(m.group()) or m.group().startswith(KEY_PREFIXES)):
                 continue
-            if pattern is _PERSON and m.group(1).lower() not in FIRST_NAMES:
+            if pattern is _BASE64 and not (_DIGIT.search(m.group()) and re.search("[a-z]", m.group()) and re.search("[A-Z]", m.group())):
                 continue
-            found.append((m.start(group), order, KINDS.index(kind), m.end(2 if pattern is _PERSON else group)))
+            spans = _pairs(m) if pattern is _PERSON else [m.span(group)]
+            found += [(a, order, KINDS.index(kind), b) for a, b in spans]
     if not found:
         return []
     starts, reach, out, last = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max)), [], 0
@@ -200,7 +247,8 @@ def votes_of(text: str, start: int, end: int, kind: int) -> tuple[int, ...]:
     said = lambda words, where: any(w in where for w in words)
     names = 0
     if name == "person":
-        names = 2 if low.split()[0] in FIRST_NAMES else 1
+        first, last = low.split()[0], low.split()[-1]
+        names = 1 if last in NOT_NAMES or first in NOT_NAMES else 2 if first in FIRST_NAMES else 0
     elif name == "hidden_email":
         names = 2 if re.split(r"[^a-z]+", low)[-1] in DOMAIN_ENDS else 1
     proof = 0
@@ -318,6 +366,8 @@ class SpanClassifier:
                     break
 
     def accepts(self, kind: int, code: int) -> bool:
+        if KINDS[kind] == "person" and 2 not in _decoded(code)[0][1:]:
+            return False  # two capitalised words, and nothing that speaks for a name
         return float(_features(kind, code) @ self.weights) > 0
 
 

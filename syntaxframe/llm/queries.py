@@ -28,6 +28,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3 SQL can say: the counts of the base kinds."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -76,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality_rules, op2_substring_dedup, op3_pii, op4_warc, op5_url_filters,
         op6_simhash, op7_mixing, op8_line_dedup, op9_token_counts, op10_decontamination,
-        op11_token_binary, op12_centroid_clustering, op13_ranked_search,
+        op11_token_binary, op12_centroid_clustering, op13_ranked_search, personal_data_counts,
     ]
     return {f.__name__: f for f in found}
 
