@@ -9,7 +9,7 @@ from functools import cached_property, lru_cache
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ExtractionError
@@ -302,12 +302,14 @@ class Extractor:
 
     def verified(self, docs: DataFrame, text_col: str = "text", most: int = 20) -> DataFrame:
         """Rows of docs whose texts all give good rows; otherwise one ExtractionError with the number of failed rows and the first
-        ``most`` of them. The rows are written once, so nothing is parsed twice."""
-        rows = staged(self.rows(docs, text_col), "rows")
-        failed = rows.where(F.col(FAILURE).isNotNull())
-        total = failed.count()
+        ``most`` of them. The job that writes the rows counts the failed ones as it goes, so nothing is parsed or read a second time; only where
+        some failed are these looked up in what was written."""
+        seen = Observation()
+        rows = staged(self.rows(docs, text_col).observe(seen, F.count_if(F.col(FAILURE).isNotNull()).alias("failed")), "rows")
+        total = seen.get["failed"]
         if total:
             doc = F.col(f"`{rows.columns[0]}`") if len(docs.columns) > 1 else F.lit(None)
+            failed = rows.where(F.col(FAILURE).isNotNull())
             sample = failed.select(doc.alias("doc"), FAILURE).orderBy("doc", f"{FAILURE}.node_id").limit(most).collect()
             found = [(r["doc"], r[FAILURE]) for r in sample]
             raise ExtractionError([_failed(doc, f) for doc, f in found], self.model, total)

@@ -781,6 +781,32 @@ def stream_extract(spark, sf_dir):
     return spark.read.parquet(f"{work}/rows").select("doc_id", "k")
 
 
+@query("SELECT 'all' AS rows_of, count(*) AS n, CAST(sum(CASE WHEN s_suppkey % 9 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS failed, min(CASE WHEN s_suppkey % 9 = 4 THEN s_suppkey END) AS first_failed FROM supplier UNION ALL SELECT 'good', count(*), 0, NULL FROM supplier WHERE s_suppkey % 9 <> 4")
+def strict_over_tables(spark, sf_dir):
+    """Strict extraction of a whole table: one error with the number of failed rows and the first of them; and of the rows that are good."""
+    from .errors import ExtractionError
+
+    key = F.col("s_suppkey")
+    value = F.when(key % 9 == 4, F.lit('"none"')).otherwise(key.cast("string"))
+    docs = _table(spark, sf_dir, "supplier").select(key.alias("doc_id"), _text('{"k": ', value, "}").alias("text"))
+    extractor, rows = language_for("json").extractor(KeyK), []
+    for name, part in (("all", docs), ("good", docs.where("doc_id % 9 <> 4"))):
+        try:
+            failed, first = 0, None
+            extractor.verified(part)
+        except ExtractionError as error:
+            failed, first = error.total, error.failures[0].doc_id
+        rows.append(part.agg(F.lit(name).alias("rows_of"), F.count("*").alias("n"), F.lit(failed).cast("long").alias("failed"), F.lit(first).cast("long").alias("first_failed")))
+    return rows[0].unionByName(rows[1])
+
+
+@query("SELECT doc_id, CAST(length(head) - length(replace(head, chr(10), '')) AS BIGINT) AS line, CAST(strlen(list_extract(string_split(head, chr(10)), -1)) AS BIGINT) AS col FROM (SELECT doc_id, left(text, CAST(length(text) // 2 AS INTEGER)) AS head FROM documents)")
+def doc_points(spark, sf_dir):
+    """Line and byte column of the place in the middle of each text."""
+    at = reparse.point(F.col("text"), F.floor(F.length("text") / 2).cast("int"))
+    return _documents(spark, sf_dir).select("doc_id", at.alias("p")).select("doc_id", F.col("p.row").cast("long").alias("line"), F.col("p.column").cast("long").alias("col"))
+
+
 class Setting(OutputModel):
     __match__ = M("source_file", "assignment")
     name: str = capture("left")
