@@ -473,6 +473,17 @@ def doc_tokens_by_kind(spark, sf_dir):
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, CAST(strlen(head) AS BIGINT) AS start_byte, 'content' AS kind, CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS BIGINT) AS line FROM (SELECT doc_id, left(text, CAST(strpos(text, '@') - 1 AS INTEGER)) AS head FROM documents WHERE contains(text, '@'))")
+def covering_nodes(spark, sf_dir):
+    """The innermost node at the first @ of each text, and its line."""
+    docs = _documents(spark, sf_dir)
+    at = F.octet_length(F.substring_index("text", "@", 1))
+    spans = docs.where(F.contains("text", F.lit("@"))).select("doc_id", at.alias("start_byte"), (at + 1).alias("end_byte"))
+    nodes = staged(language_for("lines").nodes(docs, Wanted(frozenset(("line", "content")), frozenset(), children=False)).select("doc_id", "node_id", "kind", "start_byte", "end_byte", "start_row"), "nodes")
+    found = ancestry.covering(nodes, spans).join(nodes.select("doc_id", "node_id", "start_row"), ["doc_id", "node_id"])
+    return found.select("doc_id", F.col("start_byte").cast("long").alias("start_byte"), "kind", (F.col("start_row") + 1).cast("long").alias("line"))
+
+
 # Expressions.
 
 SHAPES = (
