@@ -28,6 +28,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -49,7 +50,7 @@ VERSION = 1
 SHARD_BYTES = 256 << 20
 #: Keys for each bucket of the index.
 BUCKET_KEYS = 1 << 18
-#: Bytes that a worker remembers, of words and of pieces with their ids; and what an entry takes besides these.
+#: Bytes that a worker remembers, of words and of pieces with their ids; and what an entry takes besides its key.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
 #: Text that is encoded together, in bytes.
 CHUNK_BYTES = 2 << 20
@@ -127,7 +128,11 @@ class Encoder:
         return out
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        """Many pieces as one text; each ends with an id that ends a piece."""
+        """ASCII is the same as bytes, so the model can be asked at once; of the others many are one text, and each ends with an id that ends a
+        piece."""
+        of, form = self.engine.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        self.pieces.add({p: array(form, [t.id for t in of(p)]).tobytes() for p in pieces if p.isascii()})
+        pieces = [p for p in pieces if not p.isascii()]
         for k in range(0, len(pieces), JOINED):
             group = pieces[k : k + JOINED]
             found = np.array(self.engine.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.kind)
@@ -185,7 +190,7 @@ class _Remembered:
 
     def add(self, found: dict[Any, bytes]) -> None:
         self.young.update(found)
-        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+        self.size += sum(map(len, found)) + ENTRY_BYTES * len(found)
 
     def holding(self, asked: set, learn: Callable[[list], None]) -> dict[Any, bytes]:
         """The young generation, with all that is asked for."""
