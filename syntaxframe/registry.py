@@ -423,6 +423,23 @@ def html_unclosed(spark, sf_dir):
     return pages.join(closed, "doc_id", "left_anti").select("doc_id")
 
 
+@query("SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages")
+def html_links_of_files(spark, sf_dir):
+    """The links of pages that lie in a folder as files, read by the data source of documents."""
+    import uuid
+
+    from .sources import documents
+
+    folder = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    # Files of fifty pages, a line each.
+    _table(spark, sf_dir, "pages").select(F.to_json(F.struct("page_id", "html")).alias("value")).write.option("maxRecordsPerFile", 50).text(folder)
+    documents.register(spark)
+    files = spark.read.format("documents").load(folder).where("kind = 'txt'")
+    lines = files.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    each = lines.select(F.get_json_object("line", "$.page_id").cast("long").alias("doc_id"), F.get_json_object("line", "$.html").alias("text"))
+    return _html().extractor(LinkTarget).extract(each).select("doc_id", "href")
+
+
 @query("WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<nav>(.*?)</nav>', 1)) AS inner_html FROM pages) SELECT page_id AS doc_id, unnest(regexp_extract_all(inner_html, '<a href=\"([^\"]*)\">', 1)) AS href FROM n")
 def html_ancestor_gap(spark, sf_dir):
     """Links anywhere below a nav element: tags are paired to elements, whose intervals the links must lie in."""
