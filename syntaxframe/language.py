@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .errors import ExtractionError
 from .grammar import library
@@ -59,13 +60,16 @@ def free_names(names: list[str], taken: list[str]) -> list[str]:
     return out
 
 
-def _apart(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str], list[str]]:
+def _apart(docs: DataFrame, text_col: str, encoding: str = "utf-8") -> tuple[DataFrame, list[str], list[str]]:
     """docs with names of our own for all columns, ``text`` last; these names and the ones that they stand for. No name of a
-    user's column can then meet one of a plan's."""
+    user's column can then meet one of a plan's. A column of bytes is read in the encoding; places of nodes count bytes of UTF-8."""
     kept = [c for c in docs.columns if c != text_col]
     own = [f"_doc{i}" for i in range(len(kept))]
     column = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    return docs.select(*(column(c).alias(o) for c, o in zip(kept, own)), column(text_col).alias("text")), own, kept
+    text = column(text_col)
+    if isinstance(docs.select(text).schema[0].dataType, BinaryType):
+        text = F.decode(text, encoding)
+    return docs.select(*(column(c).alias(o) for c, o in zip(kept, own)), text.alias("text")), own, kept
 
 
 @dataclass(frozen=True)
@@ -160,11 +164,11 @@ class Language:
         """The tree of a text, which remembers it and places from which reparse() can go on."""
         return self.parser().parse(source.decode(encoding) if isinstance(source, bytes) else source, keep=True)
 
-    def reparse(self, old: Node, source: str | bytes) -> Node:
+    def reparse(self, old: Node, source: str | bytes, encoding: str = "utf-8") -> Node:
         """The tree of a changed text. Top-level nodes before the change, and those after it from the first place at which the parser
         stands as it did, are taken from the old tree (which must not be used any more); what is between is parsed. The
         result is that of parse()."""
-        return self.parser().reparse(old, source.decode("utf-8") if isinstance(source, bytes) else source)
+        return self.parser().reparse(old, source.decode(encoding) if isinstance(source, bytes) else source)
 
     def _sent(self, spark: SparkSession):
         """The tables on the executors: a few hundred states at most, whatever the data."""
@@ -181,12 +185,12 @@ class Language:
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), COLUMNS])
         return spread(docs).mapInArrow(lambda batches: parse_batches(batches, _worker_parser(sent).parse, want, carried), schema)
 
-    def nodes(self, docs: DataFrame, want: Wanted | None = None, text_col: str = "text") -> DataFrame:
+    def nodes(self, docs: DataFrame, want: Wanted | None = None, text_col: str = "text", encoding: str = "utf-8") -> DataFrame:
         """The nodes relation of docs: its other columns, then COLUMNS of parse.rows. Null texts have no nodes.
 
         Columns of docs that are named like one of COLUMNS get an underscore before their names.
         """
-        apart, own, kept = _apart(docs, text_col)
+        apart, own, kept = _apart(docs, text_col, encoding)
         nodes = self._parsed(apart, want or Wanted(), own)
         return nodes.toDF(*free_names(kept, [n for n, _ in ARROW]), *(n for n, _ in ARROW))
 
@@ -241,13 +245,13 @@ class Extractor:
     def wanted(self) -> Wanted | None:
         return None if self.spec.raw is not None else wanted(self.checked)
 
-    def rows(self, docs: DataFrame, text_col: str = "text", within: str | tuple[str, ...] | None = None) -> DataFrame:
+    def rows(self, docs: DataFrame, text_col: str = "text", within: str | tuple[str, ...] | None = None, encoding: str = "utf-8") -> DataFrame:
         """All rows, good and failed: docs' columns, node_id, the model's columns and ``_failure``.
 
         Columns of docs that are named like one of the result get an underscore before their names. within: only anchors (of a
-        raw query: matches) at or below nodes of these kinds.
+        raw query: matches) at or below nodes of these kinds. encoding: of a text column of bytes.
         """
-        docs, own, kept = _apart(docs, text_col)
+        docs, own, kept = _apart(docs, text_col, encoding)
         scopes = None if within is None else frozenset((within,) if isinstance(within, str) else within)
         if self.spec.raw is None:
             useful = can_give_rows(self.checked, F.col("text"))
@@ -315,16 +319,16 @@ class Extractor:
             raise ExtractionError([_failed(doc, f) for doc, f in found], self.model, total)
         return rows.drop(FAILURE)
 
-    def extract(self, source: Any, text_col: str = "text") -> Any:
-        """Rows of a DataFrame as a DataFrame; of a text as a list of models in document order.
+    def extract(self, source: Any, text_col: str = "text", encoding: str = "utf-8") -> Any:
+        """Rows of a DataFrame as a DataFrame; of a text as a list of models in document order. encoding: of texts that are bytes.
 
         strict: a text with failed rows raises ExtractionError with all of them; a DataFrame's job fails at the first (verified()
         looks at all of them before).
         """
         if isinstance(source, DataFrame):
-            return self._finished(self.rows(source, text_col))
+            return self._finished(self.rows(source, text_col, encoding=encoding))
         spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        text = source.decode("utf-8") if isinstance(source, bytes) else source
+        text = source.decode(encoding) if isinstance(source, bytes) else source
         rows = self.rows(spark.createDataFrame([(0, text)], "doc_id long, text string")).collect()
         failed = [r for r in rows if r[FAILURE] is not None]
         if failed and self.strict:

@@ -19,6 +19,11 @@ class Assignment(OutputModel):
     name: str = capture("left")
 
 
+class Named(OutputModel):
+    __match__ = M("document", "object", record=True)
+    name: str
+
+
 def shape(tree):
     return [(n.kind, n.named, n.start, n.end, n.extra, n.error, n.missing, len(n.children), [f for f, _ in n.children]) for n in tree.walk()]
 
@@ -103,3 +108,13 @@ def test_names_that_clash_are_refused(spark):
     versions = spark.createDataFrame([], "kind long, version long, text string, tree array<string>, parsed_chars long")
     with pytest.raises(ValueError, match="kind"):
         V.version_nodes(versions)
+
+
+def test_bytes_in_another_encoding(spark):
+    language = language_for("expr")
+    old = language.parse("é = 1; b = 2;".encode("latin-1"), "latin-1")
+    new = language.reparse(old, "é = 1; ü = 2;".encode("latin-1"), "latin-1")
+    assert shape(new) == shape(language.parse("é = 1; ü = 2;"))
+    docs = spark.createDataFrame([(1, '{"name": "é"}'.encode("latin-1")), (2, None)], "doc_id long, text binary")
+    model = language_for("json").extractor(Named)
+    assert [(r.doc_id, r.name) for r in model.extract(docs, encoding="ISO-8859-1").collect()] == [(1, "é")]
