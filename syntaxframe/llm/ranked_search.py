@@ -4,9 +4,9 @@ Documents become a forward index (each document's queried terms with their count
 score) with the highest scores first, kept in blocks of up to RANGE documents and partitioned by term; long lists are cut into
 pieces, so a term that every document holds is spread over the cluster.
 
-1. Every list gives its head, the TOP highest entries. Exact scores of the documents in an item's heads, looked up in the forward index, bound
-   its TOP-th score from below (the sums of the entries alone would, too, but far lower).
-2. Divided by the item's number of lists, this bound is one threshold for all of its lists: whoever lies below it everywhere has a total below
+1. Every list gives its head, the TOP highest entries. Their sums bound the TOP-th score of an item from below; exact scores of the same documents,
+   looked up in the forward index, bound it far better.
+2. The bound by sums, divided by the item's number of lists, is one threshold for all of them: whoever lies below it everywhere has a total below
    the bound. Each list sends its entries above the least threshold of all items that ask it, as a packed prefix of each block,
    to the coordinator of the block's documents. There partial sums, and what the lists not seen could add at most, give
    a better bound and the candidates that can still reach it.
@@ -190,9 +190,9 @@ def _bounds(sums: DataFrame, value: str, items: int, top: int) -> np.ndarray:
 
 
 def in_heads(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], top: int = TOP) -> DataFrame:
-    """Phase 1: (item, row) of the documents at the heads of an item's lists."""
+    """Phase 1: (item, row, sum) of the documents at the heads of an item's lists, with the sum of their entries there."""
     item = np.repeat(np.arange(len(acting)), [len(t) for t, _ in acting])
-    asks = lists.sparkSession.createDataFrame(pa.table({"item": item, "term": np.concatenate([t for t, _ in acting]).astype(np.int32)}))
+    asks = lists.sparkSession.createDataFrame(pa.table({"item": item, "term": np.concatenate([t for t, _ in acting]).astype(np.int32), "times": np.concatenate([q for _, q in acting])}))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,18 +203,19 @@ def in_heads(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], top:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["term", "row", "score"])
 
     heads = lists.where(F.col("term") != _ROWS).select("term", "scores", "head").mapInArrow(cut, "term int, row long, score long")
-    return _best(heads, top, "term", F.col("score").desc(), "row").join(asks, "term").select("item", "row").distinct()
+    return _best(heads, top, "term", F.col("score").desc(), "row").drop("rank").join(asks, "term").groupBy("item", "row").agg(F.sum(F.col("score") * F.col("times")).alias("sum"))
 
 
-def candidates(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray, size: int, top: int = TOP) -> DataFrame:
-    """Phase 2: (item, row, sum, most) of documents whose partial sum and greatest possible score reach what is known of their range."""
+def candidates(lists: DataFrame, acting: list[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray, size: int, top: int = TOP, known: np.ndarray | None = None) -> DataFrame:
+    """Phase 2: (item, row, sum, most) of documents whose greatest possible score reaches what is known of their range and, by ``known``
+    (lower bounds, too), of all. The lists' threshold comes from ``bounds``: a lower one sends more entries, but leaves less open of each document."""
     # An entry s of a term asked q times by an item of k lists is sent if s * q * k >= bound.
     wanted = [np.maximum(1, -(-int(b) // (q * max(1, len(t))))) for (t, q), b in zip(acting, bounds)]
     least = np.full(size, np.iinfo(np.int64).max)
     for (t, _), low in zip(acting, wanted):
         np.minimum.at(least, t, low)
     unseen = [max(0, (int(b) - 1) // max(1, len(t))) for (t, _), b in zip(acting, bounds)]
-    shared = lists.sparkSession.sparkContext.broadcast((acting, wanted, unseen, least, bounds))
+    shared = lists.sparkSession.sparkContext.broadcast((acting, wanted, unseen, least, bounds if known is None else np.maximum(bounds, known)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = shared.value[3]
@@ -305,9 +306,12 @@ def _searched(docs: DataFrame, items: Items, top: int, reach: int) -> DataFrame
     if not any(len(t) for t, _ in acting):
         return None
     lists = written(postings(forward, weights, documents, total, top, reach), "postings")
-    bounds = _bounds(exact_scores(in_heads(lists, acting, top), forward, acting, weights, documents, total), "score", len(acting), top)
-    found = written(candidates(lists, acting, bounds, len(weights), top), "partial-sums")
-    better = pa.table({"item": np.arange(len(acting)), "bound": np.maximum(bounds, _bounds(found, "sum", len(acting), top))})
+    heads = written(in_heads(lists, acting, top), "heads")
+    # Sums of the entries at the heads for the threshold, exact scores of the same documents for what can be left out.
+    bounds = _bounds(heads, "sum", len(acting), top)
+    known = _bounds(exact_scores(heads.select("item", "row"), forward, acting, weights, documents, total), "score", len(acting), top)
+    found = written(candidates(lists, acting, bounds, len(weights), top, known), "partial-sums")
+    better = pa.table({"item": np.arange(len(acting)), "bound": np.maximum(known, _bounds(found, "sum", len(acting), top))})
     spark = docs.sparkSession
     chosen = found.join(F.broadcast(spark.createDataFrame(better)), "item").where("most >= bound").select("item", "row")
     scored = exact_scores(chosen, forward, acting, weights, documents, total).where("score > 0")

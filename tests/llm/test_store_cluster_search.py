@@ -246,7 +246,7 @@ def test_thresholds_leave_entries_out(spark):
     lists = ranked_search.written(ranked_search.postings(forward, weights, n, total), "t")
     acting = items.acting(weights)
     heads = ranked_search.in_heads(lists, acting)
-    scored = sorted((r.score for r in ranked_search.exact_scores(heads, forward, acting, weights, n, total).collect()), reverse=True)
+    scored = sorted((r.score for r in ranked_search.exact_scores(heads.select("item", "row"), forward, acting, weights, n, total).collect()), reverse=True)
     bounds = np.array([scored[9]])
     assert bounds[0] > 0
     assert ranked_search.candidates(lists, acting, bounds, len(weights)).count() < 100
