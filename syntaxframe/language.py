@@ -24,6 +24,7 @@ from .model import M, OutputModel
 from .operators import ancestry
 from .parse.rows import ARROW, COLUMNS, Wanted, parse_batches
 from .parse.runtime import Node, Parser
+from .parse.shapes import shapes_of
 from .plans.analyze import Analyzer
 from .plans.explain import pattern_text
 from .plans.extract import FAILURE, field_rows, raw_rows, record_rows, wanted
@@ -183,7 +184,12 @@ class Language:
             return flat_nodes(spread(docs), self.flat, want, carried)
         sent = self._sent(docs.sparkSession)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), COLUMNS])
-        return spread(docs).mapInArrow(lambda batches: parse_batches(batches, _worker_parser(sent).parse, want, carried), schema)
+
+        def run(batches):
+            parser = _worker_parser(sent)
+            return parse_batches(batches, parser.parse, want, carried, shapes_of(parser).find)
+
+        return spread(docs).mapInArrow(run, schema)
 
     def nodes(self, docs: DataFrame, want: Wanted | None = None, text_col: str = "text", encoding: str = "utf-8") -> DataFrame:
         """The nodes relation of docs: its other columns, then COLUMNS of parse.rows. Null texts have no nodes.

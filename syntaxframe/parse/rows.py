@@ -10,11 +10,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 
 from .runtime import Node
+from .shapes import AnyPlaces, AnyText, Gathered, Shape
 
 CHILD = "idx int, node_id int, field string, kind string, named boolean, extra boolean, missing boolean, start_byte int, end_byte int, text string, inner array<struct<node_id int, text string>>"
 PAIR = (
@@ -89,7 +91,7 @@ class Places:
         return row, self.byte(at) - self.byte(self.lines[row])
 
 
-def tree_rows(root: Node, text: str, want: Wanted) -> Iterator[tuple]:
+def tree_rows(root: Node, text: str, want: Wanted, places: Places | None = None) -> Iterator[tuple]:
     """Rows of a tree in preorder, in the order of COLUMNS."""
     ids: dict[int, int] = {}
     order: list[tuple[Node, int, int, int, str | None, str]] = []
@@ -106,7 +108,7 @@ def tree_rows(root: Node, text: str, want: Wanted) -> Iterator[tuple]:
     for number in range(len(order) - 1, 0, -1):
         parent = order[number][1]
         last[parent] = max(last[parent], last[number])
-    places = Places(text)
+    places = places or Places(text)
 
     def inner_of(node: Node, leaves) -> list[dict] | None:
         if leaves is None:
@@ -164,26 +166,44 @@ def tree_rows(root: Node, text: str, want: Wanted) -> Iterator[tuple]:
         )
 
 
-def parse_batches(batches: Iterator[pa.RecordBatch], tree_of: Callable[..., Node], want: Wanted, carried: list[str]) -> Iterator[pa.RecordBatch]:
+def parse_batches(
+    batches: Iterator[pa.RecordBatch], tree_of: Callable[..., Node], want: Wanted, carried: list[str], known: Callable[..., tuple[Shape, Any] | None] | None = None
+) -> Iterator[pa.RecordBatch]:
     """Arrow batches of (carried columns..., text, ...) to batches of (carried columns..., node columns). tree_of makes a tree of a text and
-    what the columns behind it hold. Null texts give no rows."""
+    what the columns behind it hold; known gives the shape and borders of texts whose tree is known. Null texts give no rows."""
+    names, types, rows_of_shapes = [*carried, *(n for n, _ in ARROW)], [t for _, t in ARROW], {}
+
+    def rows_of(shape: Shape) -> list[tuple]:
+        if shape not in rows_of_shapes:
+            rows_of_shapes[shape] = [*tree_rows(shape.root, AnyText(), want, AnyPlaces())]
+        return rows_of_shapes[shape]
+
     for batch in batches:
         owners: list[int] = []
         rows: list[tuple] = []
+        shaped = Gathered()
+
+        def out(taken, columns):
+            kept = batch.select(range(len(carried))).take(pa.array(taken, pa.int64()))
+            return pa.RecordBatch.from_arrays([*kept.columns, *columns], names=names)
 
         def flush():
-            kept = batch.select(range(len(carried))).take(pa.array(owners, pa.int64()))
-            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), ARROW)] if rows else [pa.nulls(0, t) for _, t in ARROW]
-            out = pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*carried, *(n for n, _ in ARROW)])
+            made = out(owners, [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.nulls(0, t) for t in types])
             owners.clear()
             rows.clear()
-            return out
+            return made
 
         for i, (text, *more) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(carried) :]))):
             if text is not None:
+                if known is not None and (found := known(text, *more)) is not None:
+                    shaped.add(found[0], i, text, found[1])
+                    continue
                 for row in tree_rows(tree_of(text, *more), text, want):
                     owners.append(i)
                     rows.append(row)
                 if len(rows) >= 4096:
                     yield flush()
-        yield flush()
+        for taken, columns in shaped.filled(rows_of, types):
+            yield out(taken, columns)
+        if rows or not shaped.held:
+            yield flush()
