@@ -88,7 +88,7 @@ def valued(b: Binding, got: Column) -> tuple[Column, Column]:
     fallback = constant(b)
     wrong = F.concat(F.lit(f"{b.name}: "), first, F.lit(f" is not {' or '.join(b.targets)}"))
     problem = (
-        F.when(F.size(ids) > 1, F.lit(f"{b.name}: ambiguous, several nodes were captured"))
+        F.when((F.size(got) > 1) & (F.size(ids) > 1), F.lit(f"{b.name}: ambiguous, several nodes were captured"))
         .when((F.size(got) > 0) & value.isNull(), wrong)
         .when((F.size(got) == 0) & F.lit(b.required), F.lit(f"{b.name}: missing"))
     )
@@ -102,7 +102,7 @@ def failure(spec_name: str, problems: list[Column]) -> Column:
         F.lit(spec_name).alias("pattern"), F.col("kind").alias("anchor"), "node_id", (F.col("start_row") + 1).alias("line"), F.col("start_col").alias("column"),
         "start_byte", "end_byte", errors.alias("errors"),
     )
-    return F.when(F.size(errors) > 0, detail)
+    return F.when(F.coalesce(*problems).isNotNull(), detail) if problems else F.when(F.lit(False), detail)
 
 
 # Field mode.
@@ -125,7 +125,7 @@ def _candidates(b: Binding, checked: Checked) -> Column:
         whole = F.array(F.struct(c["node_id"].alias("node_id"), c["text"].alias("text")))
         inner = sorted(named & set(wraps)) if "str" in b.targets else []
         found = F.when(c["kind"].isin(*inner), c["inner"]).otherwise(whole) if inner else whole
-        return F.filter(found, lambda n: tests(b, n["text"]))
+        return F.filter(found, lambda n: tests(b, n["text"])) if b.predicates else found
 
     found = F.transform(F.filter("children", fits), lambda c: F.struct(c["idx"].alias("idx"), nodes(c).alias("nodes")))
     return F.filter(found, lambda c: F.size(c["nodes"]) > 0)
@@ -287,6 +287,7 @@ def raw_rows(matches: DataFrame, checked: Checked, carried: list[str]) -> DataFr
     """Rows of a raw query: one for each match. ``matches`` has captures: map of name to array of nodes."""
     got = {}
     for b in checked.spec.captures:
-        held = F.coalesce(F.try_element_at("captures", F.lit(b.key)), F.try_element_at("captures", F.lit(b.name)), F.array().cast(_NODE))
-        got[b.name] = F.filter(held, lambda n: tests(b, n["text"])).cast(_NODE)
+        names = [n for n in dict.fromkeys((b.key, b.name)) if n is not None]
+        held = F.coalesce(*(F.try_element_at("captures", F.lit(n)) for n in names), F.array().cast(_NODE))
+        got[b.name] = (F.filter(held, lambda n: tests(b, n["text"])) if b.predicates else held).cast(_NODE)
     return _finished(matches, checked, got, {}, carried)

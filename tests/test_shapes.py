@@ -9,6 +9,7 @@ from syntaxframe.language import language_for
 from syntaxframe.parse.rows import Wanted, parse_batches
 from syntaxframe.parse.runtime import Parser
 from syntaxframe.parse.shapes import Shapes, learnt
+from syntaxframe.plans.raw import match_batches
 
 PIECES = {
     "expr": ["a", "b1", "not", "and", "andy", "1", "2.5", " ", "  ", "\n", "+", "-", "*", "=", ";", "(", ")", "f(2)", "x = 1;", "<", "<=", "# c\n", "é", "."],
@@ -49,6 +50,25 @@ def test_rows_are_those_of_the_parser(language):
         assert any(shapes for _, shapes in known.held.values())
 
 
+@pytest.mark.parametrize("query", ["(number) @n", '(binary left: (_) @a "+" @plus)', '(assignment left: (identifier) @name right: (number) @n (#match? @name "^v1"))', '(identifier) @n (number) @n'])
+def test_matches_are_those_of_the_parser(query):
+    texts = texts_of("expr", 2)
+    fast, slow = Parser(language_for("expr").tables), Parser(language_for("expr").tables)
+    slow.shapes = Shapes(slow)
+    slow.shapes.able = False
+    declared = ["n", "a", "name", "plus"]
+    assert rows(match_batches([batch(texts)], fast, query, declared, ["d"])) == rows(match_batches([batch(texts)], slow, query, declared, ["d"]))
+
+
+def test_texts_of_one_shape_are_parsed_a_few_times_only(monkeypatch):
+    parser, calls = Parser(language_for("expr").tables), []
+    parse = parser.parse
+    monkeypatch.setattr(parser, "parse", lambda text: calls.append(text) or parse(text))
+    texts = [f"{i}.0 + {i * 7} * 0.{i};" for i in range(1000)]
+    assert sum(b.num_rows for b in match_batches([batch(texts)], parser, "(binary) @b", ["b"], ["d"])) == 2000
+    assert len(calls) <= 2
+
+
 def test_tokens_with_another_choice_are_left_to_the_lexer():
     parser = Parser(language_for("expr").tables)
     shape = learnt(parser, "a = 1;")
