@@ -32,11 +32,12 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("credential", "key", "national_id", "loose_phone", "person", "hidden_email", "iban", "birth_date", "address")
 KINDS = BASE_KINDS + ADDED_KINDS
 
-# Possessive forms of the base patterns: a match starts at the head of a run of digits or not at all, so runs need no retries.
+# Possessive forms of the base patterns: a match starts at the head of a run of digits or not at all, so runs need no retries. Patterns begin
+# with a character and look back over it, for the engine skips to the characters that can begin one only where no assertion comes first.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?<![0-9][0-9])(?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _CREDENTIAL = re.compile(
@@ -52,16 +53,16 @@ _KEY = re.compile(
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/._=-])(?=[A-Za-z0-9]{0,200}[+/])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/._-])")
 _BLOCK = re.compile(r"-----BEGIN\x20(?:[A-Z0-9]{2,12}\x20){0,3}PRIVATE\x20KEY-----(?:[A-Za-z0-9+/=\s]*+-----END\x20(?:[A-Z0-9]{2,12}\x20){0,3}PRIVATE\x20KEY-----)?")
 _DIGIT = re.compile(r"[0-9]")
-_NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
+_NATIONAL = re.compile(r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_LOOSE_PHONE = re.compile(r"[(0-9](?<![0-9+][(0-9])(?:(?<=\()[0-9]{3}\)\x20?|(?<=[0-9])[0-9]{2}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _UPPER = "A-ZÀ-ÖØ-Þ"
-_TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.?\x20(\w\w++\x20\w\w++)")
+_TITLED = re.compile(r"[MDPHFS](?<![A-Za-z][MDPHFS])(?:(?<=M)(?:rs?|s|me)|(?<=D)r|(?<=P)rof|(?<=H)err|(?<=F)rau|(?<=S)ra)\.?\x20(\w\w++\x20\w\w++)")
 #: Capitalised words of letters, in a row.
 _NAME = rf"[{_UPPER}][^\W\d_]++(?!\w)"
-_PERSON = re.compile(rf"(?<![\w-]){_NAME}(?:\x20{_NAME}(?:-{_NAME})?)++")
+_PERSON = re.compile(rf"[{_UPPER}](?<![\w-][{_UPPER}])[^\W\d_]++(?!\w)(?:\x20{_NAME}(?:-{_NAME})?)++")
 _HIDDEN = re.compile(r"(?<![\w.+-])[\w.+-]++\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[\w-]++\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z]{2,}+(?!\w)", re.I)
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-]?[0-9])")
+_IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_DATE = re.compile(r"[0-9](?<![0-9./-][0-9])(?:[0-9]?([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:(?<=1)9|(?<=2)0)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-]?[0-9])")
 
 # The gazetteers.
 SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key", "private", "credential", "login", "bearer", "access")
@@ -117,8 +118,8 @@ KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "xoxp", "sk_live", "rk_l
 DUMMIES = ("xxxx", "0000000", "1234567", "abcdef", "changeme", "your_", "your-", "example", "dummy", "none", "null", "<", "${", "...")
 
 _ADDRESS = re.compile(
-    rf"(?<![\w-])[0-9]{{1,5}}[A-Za-z]?,?\x20(?:[{_UPPER}]\w++\x20){{1,3}}?(?:{'|'.join(STREET_WORDS)})(?!\w)"
-    rf"|(?<![\w-])(?:{'|'.join(STREETS_AHEAD)})\x20(?:\w++\x20){{1,4}}?[0-9]{{1,5}}(?!\w)|(?<![\w-])[{_UPPER}]\w*+(?<=straße)\x20[0-9]{{1,4}}[a-z]?(?!\w)"
+    rf"[0-9{_UPPER}](?<![\w-][0-9{_UPPER}])(?:(?<=[0-9])[0-9]{{0,4}}[A-Za-z]?,?\x20(?:[{_UPPER}]\w++\x20){{1,3}}?(?:{'|'.join(STREET_WORDS)})(?!\w)"
+    rf"|(?:{'|'.join(f'(?<={w[0]}){w[1:]}' for w in STREETS_AHEAD)})\x20(?:\w++\x20){{1,4}}?[0-9]{{1,5}}(?!\w)|(?<=[{_UPPER}])\w*+(?<=straße)\x20[0-9]{{1,4}}[a-z]?(?!\w))"
 )
 #: (kind, pattern, group of the span, what a text must contain for the pattern to be tried)
 _CANDIDATES = (
@@ -126,6 +127,9 @@ _CANDIDATES = (
     ("hidden_email", _HIDDEN, 0, "dot"), ("iban", _IBAN, 0, ""), ("birth_date", _DATE, 0, ""), ("address", _ADDRESS, 0, ""), ("key", _BLOCK, 0, "-----BEGIN"), ("key", _KEY, 0, ""), ("key", _BASE64, 0, ""),
 )
 
+#: One of these is in every word that makes a credential.
+_SECRET_PARTS = ("pass", "pwd", "token", "secret", "key")
+
 LABELERS = ("shape", "proof", "entropy", "secret_words", "kind_words", "neutral_words", "names", "dummies", "plain_words")
 _CONTEXT = 24
 
@@ -187,9 +191,13 @@ def _pairs(run: re.Match) -> Iterator[tuple[int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, code) of spans that may be added; none overlaps a base span or an earlier candidate."""
     found = []
+    low = text.lower() if text.isascii() else text.casefold()
+    secret, slashed = any(word in low for word in _SECRET_PARTS), "/" in text or "+" in text
     for order, (kind, pattern, group, part) in enumerate(_CANDIDATES):
         if part and part not in text and part.upper() not in text:
             continue
+        if (pattern is _CREDENTIAL and not secret) or (pattern is _BASE64 and not slashed):
+            continue
         for m in pattern.finditer(text):
             if pattern is _KEY and not (_DIGIT.search(m.group()) or m.group().startswith(KEY_PREFIXES)):
                 continue
