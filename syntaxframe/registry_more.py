@@ -23,6 +23,7 @@ from .grammar.expressions import expression
 from .language import Language, _worker_parser, language_for
 from .model import M, NodeKind, OutputModel, RawQuery
 from .operators import render
+from .parse.runtime import same_trees
 from .parse.rows import Wanted
 from .registry import KeyK, _assignments, _conf_docs, _events, _table, _text, query
 
@@ -143,8 +144,8 @@ def incremental_reparse(spark, sf_dir):
         for batch in batches:
             same, found = [], []
             for old, new in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                tree = parser.reparse(parser.parse(old, keep=True), new)
-                same.append(render.render(tree) == render.render(parser.parse(new)) and [n.start for n in tree.walk()] == [n.start for n in parser.parse(new).walk()])
+                tree, whole = parser.reparse(parser.parse(old, keep=True), new), parser.parse(new)
+                same.append(same_trees(tree, whole))
                 found.append(int(tree.children[1][1].child("right").text(new)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(found, pa.int64())], names=["doc_id", "same", "k"])
 

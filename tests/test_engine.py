@@ -276,3 +276,12 @@ def test_equal_lines_are_documents_of_their_own(spark, tmp_path):
     rows = sources.from_lines(spark, f"file://{tmp_path}").collect()
     assert len(rows) == len({r.doc_id for r in rows}) == 6
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in sources.from_lines(spark, f"file://{tmp_path}").collect())
+
+
+def test_same_trees_looks_at_places_kinds_and_fields():
+    from syntaxframe.parse.runtime import same_trees
+
+    parse = language_for("expr").parser().parse
+    assert same_trees(parse("a = 1; b = f(2);"), parse("x = 3; y = g(4);"))
+    for other in ("a = 1; b = f(2) ;", "a = 1; b = f(x);", "a = 1; b = f(2)", "a = 1;  b = f(2);", "a = 1; b = f(2); c;"):
+        assert not same_trees(parse("a = 1; b = f(2);"), parse(other))
