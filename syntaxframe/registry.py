@@ -868,8 +868,10 @@ def reparsed_versions(spark, sf_dir):
 
     from .streaming.versions import extract_versions, replay
 
-    versions = _settings(spark, sf_dir).repartition(4, F.xxhash64("doc_id", "version"))
-    out = replay(versions, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", language_for("expr"))
+    # Two triggers, each of half of the files, with versions of all users in any order.
+    half = max(2, spark.sparkContext.defaultParallelism)
+    versions = _settings(spark, sf_dir).repartition(2 * half, F.xxhash64("doc_id", "version"))
+    out = replay(versions, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", language_for("expr"), half)
     rows = extract_versions(out, language_for("expr").extractor(Setting))
     return rows.groupBy("doc_id", "version").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 

@@ -2,12 +2,13 @@
 
 The state of a document is its last text, the places from which the parser can go on, and the tree, one list entry for each
 top-level node. A version that arrives is compared with the text in the state, parsed from the last such place before the change to the
-first one behind it at which the parser stands as it did, and the nodes around that are taken from the state. Versions have numbers that
-follow each other; one that comes too early is held in the state until its turn. The state of a document that does not change for
-``ttl`` is dropped.
+first one behind it at which the parser stands as it did, and the nodes around that are taken from the state, frozen as they are. Versions
+have numbers that follow each other; one that comes too early is held in the state until its turn. The versions of a trigger are put in order
+in memory, some thousands at a time, and only what is then still too early goes to the state, in groups of neighbouring numbers. The state
+of a document that does not change for ``ttl`` is dropped.
 
-Cost of a version: the text is read and compared, what changed is parsed, the list of top-level nodes is written again. Memory of a task is
-one document with its tree.
+Cost of a version: the text is read and compared, what changed is parsed and frozen; once a trigger the list of top-level nodes is written
+again. Memory of a task is one document with its tree, its versions up to AT_ONCE, and one group of those held.
 
 Defined results for odd input: a null text takes the document away (its versions go on counting); a version number that was had already, or a
 null one, is left out; of several rows with one number any one counts; null keys are one document; an empty text is a version like any other.
@@ -16,6 +17,7 @@ A gap that is not filled within ``patience`` is given up: the least version that
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -27,13 +29,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..grammar.scanners import scanner_for
 from ..language import Extractor, Language
-from ..parse.frozen import freeze, frozen_marks, frozen_root, thawed
+from ..parse.frozen import FrozenShapes, Kept, freeze, frozen_marks, frozen_root, thawed
 from ..parse.rows import ARROW, COLUMNS, Wanted, parse_batches
 from ..parse.runtime import Parser
 
 #: The state store that this kind of operator needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY = 86_400_000
+#: Versions of a document that are put in order in memory: so many, of so many characters.
+AT_ONCE = 4096, 8 << 20
+#: Neighbouring numbers of versions that are held together.
+GROUP = 64
 
 
 _parsers: dict[str, Parser] = {}
@@ -56,35 +62,36 @@ class _Versions(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "version long, text string, root string, marks string", self.ttl)
         self.nodes = handle.getListState("nodes", "node string", self.ttl)
-        self.early = handle.getMapState("early", "version long", "text string", self.ttl)
+        self.ahead = handle.getMapState("ahead", "part long", "versions string", self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        done = _Document(self)
+        done, some, size = _Document(self), {}, 0
         for row in rows:
-            number = row["version"]
+            number, text = row["version"], row["text"]
             if number is None or number < done.next:
                 continue
-            if number > done.next:
-                self.early.updateValue((number,), (row["text"],))
-                continue
-            yield done.take(key, row["text"])
-            yield from done.caught_up(key)
+            some.setdefault(number, text)
+            size += len(text or "")
+            if len(some) >= AT_ONCE[0] or size >= AT_ONCE[1]:
+                yield from done.taken(key, some)
+                some, size = {}, 0
+        yield from done.taken(key, some)
         done.keep()
-        self._wait(timerValues)
+        self._wait(done, timerValues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = sorted(k[0] for k in self.early.keys())
-        if not held:
-            return
         done = _Document(self)
-        done.next = max(done.next, held[0])
-        yield from done.caught_up(key)
+        least = done.least_held()
+        if least is None:
+            return
+        done.next = least
+        yield from done.taken(key, {})
         done.keep()
-        self._wait(timerValues)
+        self._wait(done, timerValues)
 
-    def _wait(self, timers: Any) -> None:
+    def _wait(self, done: _Document, timers: Any) -> None:
         """A timer for the versions that are still held, if there is none."""
-        if self.early.exists() and not list(self.handle.listTimers()):
+        if done.holds and self.ahead.exists() and not list(self.handle.listTimers()):
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.patience)
 
     def close(self) -> None:
@@ -95,7 +102,9 @@ class _Document:
     """The document of a key while its rows are worked on."""
 
     def __init__(self, of: _Versions):
-        self.of, self.tree, self.changed = of, None, False
+        self.of, self.tree, self.changed, self.holds = of, None, False, of.ahead.exists()
+        self.part: int | None = None  # the group at hand, and its versions
+        self.versions: dict[int, str | None] = {}
         held = of.last.get() if of.last.exists() else None
         self.next = of.first if held is None else held[0] + 1
         self.held = held if held is not None and held[1] is not None else None
@@ -103,7 +112,7 @@ class _Document:
     def _old(self) -> Any:
         if self.tree is None and self.held is not None:
             _, text, root, marks = self.held
-            self.tree = thawed(root, [n[0] for n in self.of.nodes.get()], text, marks)
+            self.tree = thawed(root, [n[0] for n in self.of.nodes.get()], text, marks, kept=True)
         return self.tree
 
     def take(self, key: Any, text: str | None) -> Row:
@@ -113,15 +122,56 @@ class _Document:
             self.tree, tree, parsed = None, None, 0
         else:
             self.tree = parser.parse(text, keep=True) if old is None else parser.reparse(old, text)
-            parsed, tree = self.tree.parsed, [frozen_root(self.tree), *(freeze(f, n) for f, n in self.tree.children)]
+            self.tree.children = [(f, n if type(n) is Kept else Kept(freeze(f, n), n.start, n.end)) for f, n in self.tree.children]
+            parsed, tree = self.tree.parsed, [frozen_root(self.tree), *(n.frozen for _, n in self.tree.children)]
         return Row(doc=key[0], version=number, text=text, tree=tree, parsed_chars=parsed)
 
-    def caught_up(self, key: Any) -> Iterator[Row]:
-        """The versions that were held for what is next."""
-        while self.of.early.exists() and self.of.early.containsKey((self.next,)):
-            (text,), number = self.of.early.getValue((self.next,)), self.next
-            self.of.early.removeKey((number,))
+    def taken(self, key: Any, some: dict[int, str | None]) -> Iterator[Row]:
+        """Versions in their order as far as they go, with those that were held; the others are held."""
+        while True:
+            if self.next in some:
+                text = some.pop(self.next)
+            elif self.holds and self.next in self._group(self.next // GROUP):
+                text = self.versions[self.next]
+            else:
+                break
             yield self.take(key, text)
+        by_part: dict[int, list[int]] = {}
+        for number in some:
+            if number >= self.next:
+                by_part.setdefault(number // GROUP, []).append(number)
+        for part in by_part:
+            group = self._group(part)
+            for number in by_part[part]:
+                group.setdefault(number, some[number])
+            self.holds = True
+        self._put()
+
+    def _group(self, part: int) -> dict[int, str | None]:
+        """The held versions of a group, brought to hand; the one before is put back."""
+        if self.part != part:
+            self._put()
+            held = self.of.ahead.getValue((part,))[0] if self.holds and self.of.ahead.containsKey((part,)) else None
+            self.part, self.versions = part, {} if held is None else {int(n): t for n, t in json.loads(held).items()}
+        return self.versions
+
+    def _put(self) -> None:
+        """Writes the group at hand without what has had its turn."""
+        if self.part is None:
+            return
+        left = {n: t for n, t in self.versions.items() if n >= self.next}
+        if left:
+            self.of.ahead.updateValue((self.part,), (json.dumps(left),))
+        elif self.versions:
+            self.of.ahead.removeKey((self.part,))
+        self.part, self.versions = None, {}
+
+    def least_held(self) -> int | None:
+        for part in sorted(k[0] for k in self.of.ahead.keys()) if self.holds else ():
+            held = [n for n in self._group(part) if n >= self.next]
+            if held:
+                return min(held)
+        return None
 
     def keep(self) -> None:
         if not self.changed:
@@ -131,7 +181,7 @@ class _Document:
             self.of.nodes.clear()
             return
         self.of.last.update((self.next - 1, self.tree.source, frozen_root(self.tree), frozen_marks(self.tree)))
-        entries = [(freeze(f, n),) for f, n in self.tree.children]
+        entries = [(n.frozen,) for _, n in self.tree.children]
         if entries:
             self.of.nodes.put(entries)
         else:
@@ -157,7 +207,7 @@ def version_nodes(versions: DataFrame, want: Wanted | None = None, carried: list
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in versions.select(*carried).schema), COLUMNS])
     tree_of = lambda text, tree: thawed(tree[0], tree[1:], text)
     wanted = want or Wanted()
-    return versions.select(*carried, "text", "tree").mapInArrow(lambda batches: parse_batches(batches, tree_of, wanted, carried), schema)
+    return versions.select(*carried, "text", "tree").mapInArrow(lambda batches: parse_batches(batches, tree_of, wanted, carried, FrozenShapes().find), schema)
 
 
 def extract_versions(versions: DataFrame, extractor: Extractor) -> DataFrame:

@@ -118,3 +118,74 @@ def test_bytes_in_another_encoding(spark):
     docs = spark.createDataFrame([(1, '{"name": "é"}'.encode("latin-1")), (2, None)], "doc_id long, text binary")
     model = language_for("json").extractor(Named)
     assert [(r.doc_id, r.name) for r in model.extract(docs, encoding="ISO-8859-1").collect()] == [(1, "é")]
+
+
+def test_versions_are_put_in_order_before_the_state_is_asked(spark, tmp_path):
+    """A trigger's versions in the worst order; those behind a gap are held in groups."""
+    rows = [(1, v, f"a = {v};\nb = {v % 3};") for v in range(300, 0, -1) if v != 150]
+    folder, language = f"file://{tmp_path}/s", language_for("expr")
+    out = V.replay(spark.createDataFrame(rows, SCHEMA).coalesce(1), folder, language)
+    assert sorted(r.version for r in out.collect()) == [*range(1, 150)]
+    out = V.replay(spark.createDataFrame([(1, 150, "c = 1;"), (1, 302, "d = 1;")], SCHEMA).coalesce(1), folder, language)
+    assert sorted((r.version, r.text) for r in out.collect()) == sorted([(v, t) for _, v, t in rows] + [(150, "c = 1;")])
+
+
+class _Map:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "exists": lambda: bool(self.held), "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k], "keys": lambda: iter(self.held),
+                "updateValue": lambda k, v: self.held.update({k: v}), "removeKey": lambda k: self.held.pop(k, None),
+            }[name](*args)
+
+        return call
+
+
+class _Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+
+def test_calls_of_the_state_do_not_grow_with_the_versions_of_a_trigger():
+    of = V._Versions(language_for("expr"), 1, 0, 0)
+    of.last, of.nodes, of.ahead = _Value(), _Value(), _Map()
+    of._wait = lambda *_: None
+    rows = [{"version": v, "text": f"a = {v}; b = 2;"} for v in range(1000, 0, -1)]
+    odd, even = [r for r in rows if r["version"] % 2], [r for r in rows if r["version"] % 2 == 0]
+    assert [r.version for r in of.handleInputRows((1,), iter(even), None)] == [] and of.ahead.calls < 100
+    assert [(r.version, r.text) for r in of.handleInputRows((1,), iter(odd), None)] == [(r["version"], r["text"]) for r in reversed(rows)]
+    assert of.ahead.calls < 200 and not of.ahead.held
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a = 1;", "b = f(2, x);", "d = (1 + 2) * 3;", "}", "c = ", "# note\n", "e=-1;", "é = 2;"]), max_size=5), max_size=6))
+def test_rows_of_frozen_trees_are_those_of_the_trees(parts):
+    import pyarrow as pa
+
+    from syntaxframe.parse.frozen import FrozenShapes
+    from syntaxframe.parse.rows import Wanted, parse_batches
+
+    parser, texts = language_for("expr").parser(), [" ".join(p) for p in parts] * 3
+    trees = [parser.parse(t, keep=True) for t in texts]
+    frozen = [[frozen_root(t), *(freeze(f, n) for f, n in t.children)] for t in trees]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array(frozen, pa.list_(pa.string()))], names=["d", "text", "tree"])
+    tree_of = lambda text, tree: thawed(tree[0], tree[1:], text)
+    rows = lambda known: sorted(str(r) for b in parse_batches([batch], tree_of, Wanted(), ["d"], known) for r in b.to_pylist())
+    assert rows(FrozenShapes().find) == rows(None)
