@@ -16,6 +16,13 @@ FAILURE = "_failure"
 _NODE = "array<struct<node_id int, text string>>"
 
 
+def _stays() -> Column:
+    """Always true. A condition that takes it in is not moved below the step that makes ``_here``; otherwise it is spelled out down to the nodes, each
+    step written out at each of its uses: a thousand lambdas for two captures."""
+    return F.col("_here") >= 0
+
+
+
 def wanted(checked: Checked) -> Wanted:
     """What the parser must make for a model's plan."""
     values, spec = checked.values or ValueMap(), checked.spec
@@ -95,14 +102,17 @@ def valued(b: Binding, got: Column) -> tuple[Column, Column]:
     return F.when(F.size(got) > 0, value).otherwise(fallback), problem
 
 
-def failure(spec_name: str, problems: list[Column]) -> Column:
+def failure(spec_name: str, problems: list[Column], here: bool = False) -> Column:
     """A struct that says why a row failed, or null."""
     errors = F.filter(F.array(*problems), lambda p: p.isNotNull()) if problems else F.array().cast("array<string>")
     detail = F.struct(
         F.lit(spec_name).alias("pattern"), F.col("kind").alias("anchor"), "node_id", (F.col("start_row") + 1).alias("line"), F.col("start_col").alias("column"),
         "start_byte", "end_byte", errors.alias("errors"),
     )
-    return F.when(F.coalesce(*problems).isNotNull(), detail) if problems else F.when(F.lit(False), detail)
+    if not problems:
+        return F.when(F.lit(False), detail)
+    wrong = F.coalesce(*problems).isNotNull()
+    return F.when(wrong & _stays() if here else wrong, detail)
 
 
 # Field mode.
@@ -140,14 +150,14 @@ def field_rows(nodes: DataFrame, checked: Checked, carried: list[str]) -> DataFr
     spec = checked.spec
     out = nodes.where(selected(spec.path))
     names = {b.name: f"_c{i}" for i, b in enumerate(spec.captures)}
-    out = out.withColumns({names[b.name]: _candidates(b, checked) for b in spec.captures}) if spec.captures else out
+    out = out.withColumns({**{names[b.name]: _candidates(b, checked) for b in spec.captures}, "_here": F.spark_partition_id()}) if spec.captures else out
     chain = [b for b in spec.captures if b.required]
     low: dict[str, str] = {}
     before: Column = F.lit(-1)
     for b in chain:
         low[b.name] = f"_l{names[b.name]}"
         out = out.withColumn(low[b.name], F.array_min(_after(names[b.name], before)))
-        out = out.where(F.col(low[b.name]).isNotNull())
+        out = out.where(F.col(low[b.name]).isNotNull() & _stays())
         before = F.col(low[b.name])
     high: dict[str, str] = {}
     after: Column = F.lit(1 << 30)
@@ -185,7 +195,7 @@ def _before(name: str, bound: Column) -> Column:
 def _finished(out: DataFrame, checked: Checked, got: dict[str, Column], structs: dict[str, tuple[Column, Column]], carried: list[str]) -> DataFrame:
     spec, columns, problems = checked.spec, [], []
     held = {name: f"_g_{name}" for name in got}
-    out = out.withColumns({held[n]: c for n, c in got.items()}) if got else out
+    out = out.withColumns({**{held[n]: c for n, c in got.items()}, "_here": F.spark_partition_id()}) if got else out
     for b in spec.bindings:
         if b.source == "meta":
             columns.append(place(b).alias(b.name))
@@ -200,7 +210,7 @@ def _finished(out: DataFrame, checked: Checked, got: dict[str, Column], structs:
             columns.append(value.cast(b.spark_type()).alias(b.name))
             problems.append(problem)
     # node_id stays: it is a row's place in document order.
-    return out.select(*carried, "node_id", *columns, failure(spec.model.__name__, problems).alias(FAILURE))
+    return out.select(*carried, "node_id", *columns, failure(spec.model.__name__, problems, bool(got)).alias(FAILURE))
 
 
 # Record mode.

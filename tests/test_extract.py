@@ -264,3 +264,17 @@ def test_plans_need_no_shuffle(spark):
     for model, language in ((Person, "json"), (Fn, "expr")):
         plan = model.extract(docs, language=language)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_steps_of_a_plan_are_not_written_out_at_each_use(spark):
+    """Conditions stay above the steps that they look at: two captures took a thousand lambdas when they were moved down."""
+
+    class TwoSides(OutputModel):
+        __match__ = M("source_file", "assignment")
+        name: str = capture("left")
+        value: int = capture("right")
+
+    docs = spark.createDataFrame([(1, "a = 1; b = 2;"), (2, "c = 3;")], "doc_id long, text string")
+    rows = TwoSides.extract(docs, language="expr").select("doc_id", "value")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") < 60
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 1), (1, 2), (2, 3)]
