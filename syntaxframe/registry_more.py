@@ -26,6 +26,7 @@ from .operators import render
 from .parse.runtime import same_trees
 from .parse.rows import Wanted
 from .registry import KeyK, _assignments, _conf_docs, _events, _table, _text, query
+from .sources.docs import spread
 
 
 def _model(path: M | None = None, raw: str | None = None, **fields: Any) -> type[OutputModel]:
@@ -149,7 +150,7 @@ def incremental_reparse(spark, sf_dir):
                 found.append(int(tree.children[1][1].child("right").text(new)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(found, pa.int64())], names=["doc_id", "same", "k"])
 
-    return docs.mapInArrow(run, "doc_id long, same boolean, k long")
+    return spread(docs).mapInArrow(run, "doc_id long, same boolean, k long")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name || 'é' AS name FROM nation")
