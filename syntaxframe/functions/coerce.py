@@ -16,7 +16,13 @@ FALSE = ("false", "no", "off", "0", "f", "n")
 def to_int(text: Column) -> Column:
     bare = F.regexp_replace(text, _BLANK, "")
     digits = F.regexp_replace(F.regexp_replace(bare, "_", ""), r"\.0+$", "")
-    return F.when(bare.rlike(_INT), digits.try_cast("long"))
+    # Most are digits alone, which need no patterns: what begins and ends with one and casts has nothing else in between.
+    plain = F.when(_digit(F.substring(text, 1, 1)) & _digit(F.substring(text, -1, 1)), text.try_cast("long"))
+    return F.coalesce(plain, F.when(bare.rlike(_INT), digits.try_cast("long")))
+
+
+def _digit(ch: Column) -> Column:
+    return (ch >= "0") & (ch <= "9")
 
 
 def to_float(text: Column) -> Column:

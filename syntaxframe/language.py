@@ -27,7 +27,7 @@ from .parse.runtime import Node, Parser
 from .parse.shapes import shapes_of
 from .plans.analyze import Analyzer
 from .plans.explain import pattern_text
-from .plans.extract import FAILURE, field_rows, raw_rows, record_rows, wanted
+from .plans.extract import FAILURE, captured_rows, field_rows, raw_rows, record_rows, wanted
 from .plans.flat import Flat, flat, flat_nodes, serves
 from .plans.raw import MATCHES, match_batches
 from .plans.skip import any_can_give_rows, can_give_rows
@@ -295,6 +295,10 @@ class Extractor:
     def extract_nodes(self, nodes: DataFrame) -> DataFrame:
         return self._finished(self.from_nodes(nodes))
 
+    def extract_captured(self, rows: DataFrame, carried: list[str]) -> DataFrame:
+        """The same from rows of plans.captured."""
+        return self._finished(captured_rows(rows, self.checked, carried))
+
     def _finished(self, rows: DataFrame) -> DataFrame:
         if not self.strict:
             return rows.where(F.col(FAILURE).isNull()).drop(FAILURE)

@@ -167,15 +167,21 @@ def tree_rows(root: Node, text: str, want: Wanted, places: Places | None = None)
 
 
 def parse_batches(
-    batches: Iterator[pa.RecordBatch], tree_of: Callable[..., Node], want: Wanted, carried: list[str], known: Callable[..., tuple[Shape, Any] | None] | None = None
+    batches: Iterator[pa.RecordBatch], tree_of: Callable[..., Node], want: Wanted, carried: list[str], known: Callable[..., tuple[Shape, Any] | None] | None = None,
+    form: tuple[list[tuple[str, pa.DataType]], Callable[[tuple], tuple | None]] | None = None,
 ) -> Iterator[pa.RecordBatch]:
     """Arrow batches of (carried columns..., text, ...) to batches of (carried columns..., node columns). tree_of makes a tree of a text and
-    what the columns behind it hold; known gives the shape and borders of texts whose tree is known. Null texts give no rows."""
-    names, types, rows_of_shapes = [*carried, *(n for n, _ in ARROW)], [t for _, t in ARROW], {}
+    what the columns behind it hold; known gives the shape and borders of texts whose tree is known. form: other columns, and what makes their row (or None) of a node's, whose
+    texts and places may be those of a shape. Null texts give no rows."""
+    made_columns, row_of = form or (ARROW, None)
+    names, types, rows_of_shapes = [*carried, *(n for n, _ in made_columns)], [t for _, t in made_columns], {}
+
+    def rows_in(*tree) -> Iterator[tuple]:
+        return tree_rows(*tree) if row_of is None else filter(None, map(row_of, tree_rows(*tree)))
 
     def rows_of(shape: Shape) -> list[tuple]:
         if shape not in rows_of_shapes:
-            rows_of_shapes[shape] = [*tree_rows(shape.root, AnyText(), want, AnyPlaces())]
+            rows_of_shapes[shape] = [*rows_in(shape.root, AnyText(), want, AnyPlaces())]
         return rows_of_shapes[shape]
 
     for batch in batches:
@@ -198,7 +204,7 @@ def parse_batches(
                 if known is not None and (found := known(text, *more)) is not None:
                     shaped.add(found[0], i, text, found[1])
                     continue
-                for row in tree_rows(tree_of(text, *more), text, want):
+                for row in rows_in(tree_of(text, *more), text, want):
                     owners.append(i)
                     rows.append(row)
                 if len(rows) >= 4096:

@@ -188,7 +188,8 @@ class Filled:
     def __init__(self, texts: list[str], borders: list[Any]):
         self.texts, self.n = texts, len(texts)
         self.byte = np.array(borders, np.int64).reshape(self.n, -1)
-        self._points: tuple[np.ndarray, np.ndarray] | None = None
+        self._breaks: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._lists: dict[int, list[int]] = {}
         self._cuts: dict[Cut, list[str]] = {}
 
@@ -197,15 +198,21 @@ class Filled:
             return value
         if value.what == "byte":
             return self.byte[:, value.at]
-        if self._points is None:
-            whole = "".join(self.texts)
+        return self._point(value.at)[value.what == "column"]
+
+    def _point(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of a border."""
+        if self._breaks is None:
             sizes = np.array([len(t) for t in self.texts])
-            base = (np.cumsum(sizes) - sizes)[:, None]
-            breaks = np.flatnonzero(np.frombuffer(whole.encode(), np.uint8) == 10)
-            before, first = np.searchsorted(breaks, base + self.byte), np.searchsorted(breaks, base)
+            base, breaks = np.cumsum(sizes) - sizes, np.flatnonzero(np.frombuffer("".join(self.texts).encode(), np.uint8) == 10)
+            self._breaks = base, breaks, np.searchsorted(breaks, base)
+        if at not in self._points:
+            base, breaks, first = self._breaks
+            place = base + self.byte[:, at]
+            before = np.searchsorted(breaks, place)
             begins = np.where(before > first, np.concatenate([[0], breaks + 1])[before], base)
-            self._points = before - first, base + self.byte - begins
-        return self._points[value.what == "column"][:, value.at]
+            self._points[at] = before - first, place - begins
+        return self._points[at]
 
     def cut(self, value: Any) -> list[Any]:
         if not isinstance(value, Cut):

@@ -91,15 +91,18 @@ def valued(b: Binding, got: Column) -> tuple[Column, Column]:
         return value, _given(bad, f"{b.name}: an element is not {' or '.join(b.targets)}")
     ids = F.array_distinct(F.transform(got, lambda c: c["node_id"]))
     first = F.try_element_at(got, F.lit(1))["text"]
-    value = convert(first)
-    fallback = constant(b)
+    return _scalar(b, F.size(got) > 0, (F.size(got) > 1) & (F.size(ids) > 1), first, convert(first))
+
+
+def _scalar(b: Binding, some: Column, several: Column, first: Column, value: Column) -> tuple[Column, Column]:
+    """A scalar's value and what is wrong with it: was there a capture, were there several, the text of the first, what it is as a value."""
     wrong = F.concat(F.lit(f"{b.name}: "), first, F.lit(f" is not {' or '.join(b.targets)}"))
     problem = (
-        F.when((F.size(got) > 1) & (F.size(ids) > 1), F.lit(f"{b.name}: ambiguous, several nodes were captured"))
-        .when((F.size(got) > 0) & value.isNull(), wrong)
-        .when((F.size(got) == 0) & F.lit(b.required), F.lit(f"{b.name}: missing"))
+        F.when(several, F.lit(f"{b.name}: ambiguous, several nodes were captured"))
+        .when(some & value.isNull(), wrong)
+        .when(~some & F.lit(b.required), F.lit(f"{b.name}: missing"))
     )
-    return F.when(F.size(got) > 0, value).otherwise(fallback), problem
+    return F.when(some, value).otherwise(constant(b)), problem
 
 
 def failure(spec_name: str, problems: list[Column], here: bool = False) -> Column:
@@ -184,6 +187,16 @@ def field_rows(nodes: DataFrame, checked: Checked, carried: list[str]) -> DataFr
     return _finished(out, checked, got, {}, carried)
 
 
+def captured_rows(rows: DataFrame, checked: Checked, carried: list[str]) -> DataFrame:
+    """field_rows() from the rows of plans.captured. Texts are converted in a step of their own, which stays below what asks for the values."""
+    spec, made, scalars = checked.spec, {"_here": F.spark_partition_id()}, {}
+    for i, b in enumerate(spec.captures):
+        text, n = F.col(f"_t{i}"), F.col(f"_n{i}")
+        made[f"_v{i}"] = converted(unescaped(text) if b.unescape else text, b.targets)
+        scalars[b.name] = _scalar(b, n > 0, n > 1, text, F.col(f"_v{i}"))
+    return _finished(rows.withColumns(made), checked, {}, scalars, carried, True)
+
+
 def _after(name: str, bound: Column) -> Column:
     return F.transform(F.filter(name, lambda c: c["idx"] > bound), lambda c: c["idx"])
 
@@ -192,7 +205,7 @@ def _before(name: str, bound: Column) -> Column:
     return F.transform(F.filter(name, lambda c: c["idx"] < bound), lambda c: c["idx"])
 
 
-def _finished(out: DataFrame, checked: Checked, got: dict[str, Column], structs: dict[str, tuple[Column, Column]], carried: list[str]) -> DataFrame:
+def _finished(out: DataFrame, checked: Checked, got: dict[str, Column], structs: dict[str, tuple[Column, Column]], carried: list[str], here: bool = False) -> DataFrame:
     spec, columns, problems = checked.spec, [], []
     held = {name: f"_g_{name}" for name in got}
     out = out.withColumns({**{held[n]: c for n, c in got.items()}, "_here": F.spark_partition_id()}) if got else out
@@ -203,14 +216,14 @@ def _finished(out: DataFrame, checked: Checked, got: dict[str, Column], structs:
             columns.append(constant(b).alias(b.name))
         elif b.name in structs:
             value, problem = structs[b.name]
-            columns.append(value.alias(b.name))
+            columns.append(value.cast(b.spark_type()).alias(b.name))
             problems.append(problem)
         else:
             value, problem = valued(b, F.col(held[b.name]))
             columns.append(value.cast(b.spark_type()).alias(b.name))
             problems.append(problem)
     # node_id stays: it is a row's place in document order.
-    return out.select(*carried, "node_id", *columns, failure(spec.model.__name__, problems, bool(got)).alias(FAILURE))
+    return out.select(*carried, "node_id", *columns, failure(spec.model.__name__, problems, here or bool(got)).alias(FAILURE))
 
 
 # Record mode.

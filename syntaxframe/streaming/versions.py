@@ -29,9 +29,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..grammar.scanners import scanner_for
 from ..language import Extractor, Language
-from ..parse.frozen import FrozenShapes, Kept, freeze, frozen_marks, frozen_root, thawed
+from ..parse.frozen import FrozenShapes, Reparser, frozen_marks, frozen_root, thawed
 from ..parse.rows import ARROW, COLUMNS, Wanted, parse_batches
 from ..parse.runtime import Parser
+from ..plans import captured
 
 #: The state store that this kind of operator needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,10 +40,17 @@ DAY = 86_400_000
 #: Versions of a document that are put in order in memory: so many, of so many characters.
 AT_ONCE = 4096, 8 << 20
 #: Neighbouring numbers of versions that are held together.
-GROUP = 64
+GROUP = 256
 
 
-_parsers: dict[str, Parser] = {}
+_parsers: dict[str, Reparser] = {}
+
+
+class _Taken(Row):
+    """A row of values that hold no rows."""
+
+    def asDict(self, recursive: bool = False) -> dict[str, Any]:
+        return dict(zip(self.__fields__, self))
 
 
 class _Versions(StatefulProcessor):
@@ -52,16 +60,15 @@ class _Versions(StatefulProcessor):
         self.tables, self.scanner, self.name = language.tables, language.scanner, uuid.uuid4().hex
         self.first, self.ttl, self.patience = first, ttl, patience
 
-    def parser(self) -> Parser:
+    def parser(self) -> Reparser:
         if self.name not in _parsers:
             _parsers.clear()
-            _parsers[self.name] = Parser(self.tables, scanner_for(self.scanner) if self.scanner else None)
+            _parsers[self.name] = Reparser(Parser(self.tables, scanner_for(self.scanner) if self.scanner else None))
         return _parsers[self.name]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "version long, text string, root string, marks string", self.ttl)
-        self.nodes = handle.getListState("nodes", "node string", self.ttl)
+        self.last = handle.getValueState("last", "version long, text string, root string, marks string, nodes string, held string, timer boolean", self.ttl)
         self.ahead = handle.getMapState("ahead", "part long", "versions string", self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
@@ -76,43 +83,47 @@ class _Versions(StatefulProcessor):
                 yield from done.taken(key, some)
                 some, size = {}, 0
         yield from done.taken(key, some)
-        done.keep()
         self._wait(done, timerValues)
+        done.keep()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         done = _Document(self)
+        done.timer, done.changed = False, True
         least = done.least_held()
-        if least is None:
-            return
-        done.next = least
-        yield from done.taken(key, {})
+        if least is not None:
+            done.next = least
+            yield from done.taken(key, {})
+            self._wait(done, timerValues)
         done.keep()
-        self._wait(done, timerValues)
 
     def _wait(self, done: _Document, timers: Any) -> None:
         """A timer for the versions that are still held, if there is none."""
-        if done.holds and self.ahead.exists() and not list(self.handle.listTimers()):
+        if done.parts and not done.timer:
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.patience)
+            done.timer = done.changed = True
 
     def close(self) -> None:
         pass
 
 
 class _Document:
-    """The document of a key while its rows are worked on."""
+    """The document of a key while its rows are worked on. A call of the state costs more than a version, so one value has all but held versions."""
 
     def __init__(self, of: _Versions):
-        self.of, self.tree, self.changed, self.holds = of, None, False, of.ahead.exists()
+        self.of, self.tree, self.changed = of, None, False
         self.part: int | None = None  # the group at hand, and its versions
         self.versions: dict[int, str | None] = {}
-        held = of.last.get() if of.last.exists() else None
+        held = of.last.get()
         self.next = of.first if held is None else held[0] + 1
         self.held = held if held is not None and held[1] is not None else None
+        self.parts: set[int] = set() if held is None else set(json.loads(held[5]))  # groups in the state
+        self.timer = held is not None and held[6]
 
     def _old(self) -> Any:
         if self.tree is None and self.held is not None:
-            _, text, root, marks = self.held
-            self.tree = thawed(root, [n[0] for n in self.of.nodes.get()], text, marks, kept=True)
+            _, text, root, marks, nodes, _, _ = self.held
+            # A frozen node has no line breaks.
+            self.tree = thawed(root, nodes.split("\n") if nodes else [], text, marks, kept=True)
         return self.tree
 
     def take(self, key: Any, text: str | None) -> Row:
@@ -121,17 +132,16 @@ class _Document:
         if text is None:
             self.tree, tree, parsed = None, None, 0
         else:
-            self.tree = parser.parse(text, keep=True) if old is None else parser.reparse(old, text)
-            self.tree.children = [(f, n if type(n) is Kept else Kept(freeze(f, n), n.start, n.end)) for f, n in self.tree.children]
+            self.tree = parser.parse(text) if old is None else parser.reparse(old, text)
             parsed, tree = self.tree.parsed, [frozen_root(self.tree), *(n.frozen for _, n in self.tree.children)]
-        return Row(doc=key[0], version=number, text=text, tree=tree, parsed_chars=parsed)
+        return _Taken(doc=key[0], version=number, text=text, tree=tree, parsed_chars=parsed)
 
     def taken(self, key: Any, some: dict[int, str | None]) -> Iterator[Row]:
         """Versions in their order as far as they go, with those that were held; the others are held."""
         while True:
             if self.next in some:
                 text = some.pop(self.next)
-            elif self.holds and self.next in self._group(self.next // GROUP):
+            elif (self.part == self.next // GROUP or self.next // GROUP in self.parts) and self.next in self._group(self.next // GROUP):
                 text = self.versions[self.next]
             else:
                 break
@@ -144,15 +154,14 @@ class _Document:
             group = self._group(part)
             for number in by_part[part]:
                 group.setdefault(number, some[number])
-            self.holds = True
         self._put()
 
     def _group(self, part: int) -> dict[int, str | None]:
         """The held versions of a group, brought to hand; the one before is put back."""
         if self.part != part:
             self._put()
-            held = self.of.ahead.getValue((part,))[0] if self.holds and self.of.ahead.containsKey((part,)) else None
-            self.part, self.versions = part, {} if held is None else {int(n): t for n, t in json.loads(held).items()}
+            held = self.of.ahead.getValue((part,)) if part in self.parts else None
+            self.part, self.versions = part, {} if held is None else {int(n): t for n, t in json.loads(held[0]).items()}
         return self.versions
 
     def _put(self) -> None:
@@ -162,12 +171,16 @@ class _Document:
         left = {n: t for n, t in self.versions.items() if n >= self.next}
         if left:
             self.of.ahead.updateValue((self.part,), (json.dumps(left),))
-        elif self.versions:
+            self.changed = self.changed or self.part not in self.parts
+            self.parts.add(self.part)
+        elif self.part in self.parts:
             self.of.ahead.removeKey((self.part,))
+            self.parts.remove(self.part)
+            self.changed = True
         self.part, self.versions = None, {}
 
     def least_held(self) -> int | None:
-        for part in sorted(k[0] for k in self.of.ahead.keys()) if self.holds else ():
+        for part in sorted(self.parts):
             held = [n for n in self._group(part) if n >= self.next]
             if held:
                 return min(held)
@@ -176,16 +189,12 @@ class _Document:
     def keep(self) -> None:
         if not self.changed:
             return
-        if self.tree is None:
-            self.of.last.update((self.next - 1, None, None, None))
-            self.of.nodes.clear()
-            return
-        self.of.last.update((self.next - 1, self.tree.source, frozen_root(self.tree), frozen_marks(self.tree)))
-        entries = [(n.frozen,) for _, n in self.tree.children]
-        if entries:
-            self.of.nodes.put(entries)
+        self._put()
+        rest, tree = (json.dumps(sorted(self.parts)), self.timer), self._old()
+        if tree is None:
+            self.of.last.update((self.next - 1, None, None, None, None, *rest))
         else:
-            self.of.nodes.clear()
+            self.of.last.update((self.next - 1, tree.source, frozen_root(tree), frozen_marks(tree), "\n".join(n.frozen for _, n in tree.children), *rest))
 
 
 def reparsed(docs: DataFrame, language: Language, doc: str = "doc_id", version: str = "version", text: str = "text", first: int = 1, ttl: int = 30 * DAY, patience: int = DAY) -> DataFrame:
@@ -200,19 +209,31 @@ def reparsed(docs: DataFrame, language: Language, doc: str = "doc_id", version:
 
 def version_nodes(versions: DataFrame, want: Wanted | None = None, carried: list[str] | None = None) -> DataFrame:
     """The nodes relation of reparsed versions: the carried columns (all but text and tree), then COLUMNS of parse.rows."""
+    return _relation(versions, want or Wanted(), carried, COLUMNS, None)
+
+
+def version_captures(versions: DataFrame, extractor: Extractor) -> DataFrame:
+    """Rows of plans.captured of reparsed versions, for a model that it serves."""
+    form = captured.Form.of(extractor.checked)
+    return _relation(versions, extractor.wanted(), None, form.schema, form)
+
+
+def _relation(versions: DataFrame, wanted: Wanted, carried: list[str] | None, columns: str, form: captured.Form | None) -> DataFrame:
     carried = [c for c in versions.columns if c not in ("text", "tree")] if carried is None else carried
     taken = {n for n, _ in ARROW} & set(carried)
     if taken:
         raise ValueError(f"columns named like those of nodes: {sorted(taken)}")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in versions.select(*carried).schema), COLUMNS])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in versions.select(*carried).schema), columns])
     tree_of = lambda text, tree: thawed(tree[0], tree[1:], text)
-    wanted = want or Wanted()
-    return versions.select(*carried, "text", "tree").mapInArrow(lambda batches: parse_batches(batches, tree_of, wanted, carried, FrozenShapes().find), schema)
+    made = lambda: None if form is None else form.made()
+    return versions.select(*carried, "text", "tree").mapInArrow(lambda batches: parse_batches(batches, tree_of, wanted, carried, FrozenShapes().find, made()), schema)
 
 
 def extract_versions(versions: DataFrame, extractor: Extractor) -> DataFrame:
     """The model's rows of reparsed versions, without parsing: doc, version and parsed_chars, then the model's columns."""
-    return extractor.extract_nodes(version_nodes(versions, extractor.wanted()))
+    if not captured.serves(extractor.checked):
+        return extractor.extract_nodes(version_nodes(versions, extractor.wanted()))
+    return extractor.extract_captured(version_captures(versions, extractor), [c for c in versions.columns if c not in ("text", "tree")])
 
 
 def replay(versions: DataFrame, folder: str, language: Language, files_a_trigger: int = 2, **options: int) -> DataFrame:

@@ -278,3 +278,13 @@ def test_steps_of_a_plan_are_not_written_out_at_each_use(spark):
     rows = TwoSides.extract(docs, language="expr").select("doc_id", "value")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") < 60
     assert sorted(tuple(r) for r in rows.collect()) == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_whole_numbers_of_odd_spelling(spark):
+    from pyspark.sql import functions as F
+
+    from syntaxframe.functions.coerce import to_int
+
+    texts = {"7": 7, "007": 7, "1.5": None, "5.0": 5, "1_0": 10, "1 0": None, "1e5": None, "\x015": None, "5\x7f": None, " 5 ": 5, "+5": 5, "-5": -5, "": None, "٣": None, "9" * 18: 10**18 - 1, "9" * 19: None, "1-1": None}
+    rows = spark.createDataFrame(list(texts.items()), "t string, n long").withColumn("got", to_int(F.col("t")))
+    assert {r.t: r.got for r in rows.collect()} == texts

@@ -189,3 +189,67 @@ def test_rows_of_frozen_trees_are_those_of_the_trees(parts):
     tree_of = lambda text, tree: thawed(tree[0], tree[1:], text)
     rows = lambda known: sorted(str(r) for b in parse_batches([batch], tree_of, Wanted(), ["d"], known) for r in b.to_pylist())
     assert rows(FrozenShapes().find) == rows(None)
+
+
+PARTS = ["a = 1;", "b = f(2, x);", "d = (1 + 2) * 3;", "}", "c = ", "# note\n", "e=-1;", "é = 2;", "a = 1; a = 2;", "k=k;"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=6), min_size=2, max_size=12))
+def test_versions_of_remembered_stretches_have_the_trees_of_whole_parses(versions):
+    from syntaxframe.parse.frozen import Reparser
+
+    parser, texts = language_for("expr").parser(), [" ".join(p) for p in versions] * 2
+    remembers, plain = Reparser(parser), parser.parse(texts[0], keep=True)
+    tree = remembers.parse(texts[0])
+    for text in texts[1:]:
+        tree, plain = remembers.reparse(tree, text), parser.reparse(plain, text)
+        again = thawed(frozen_root(tree), [n.frozen for _, n in tree.children], text, frozen_marks(tree))
+        assert shape(again) == shape(parser.parse(text)) == shape(plain)
+        assert (tree.marks, tree.parsed) == (plain.marks, plain.parsed)
+
+
+def test_a_stretch_that_comes_again_is_not_parsed_again():
+    from syntaxframe.parse.frozen import Reparser
+
+    parser, n = language_for("expr").parser(), []
+    remembers, quick = Reparser(parser), parser._quick
+    parser._quick = lambda *args: n.append(1) or quick(*args)
+    try:
+        trees = [remembers.parse(f"v = 1; x{i} = {i}; a = 1; z = {i}; y = 2;") for i in range(10)]
+        n.clear()
+        for i, tree in enumerate(trees):
+            assert remembers.reparse(tree, f"v = 1; x{i} = {i}; a = 7; z = {i}; y = 2;").parsed == 7
+    finally:
+        del parser._quick
+    assert len(n) == 1
+
+
+class Both(OutputModel):
+    __match__ = M("source_file", "assignment")
+    left: str
+    right: int | None = capture("right")
+
+
+class Ordered(OutputModel):
+    __match__ = M("source_file", ..., "assignment")
+    right: str | None
+    left: str
+    again: str | None = capture("left")
+
+
+def test_captures_by_shape_are_those_of_the_node_rows(spark):
+    from syntaxframe.plans import captured
+    from syntaxframe.plans.extract import captured_rows
+
+    language, texts = language_for("expr"), [" ".join(PARTS[i:j]) for i in range(len(PARTS)) for j in range(i, len(PARTS) + 1)] * 3
+    parser = language.parser()
+    trees = [parser.parse(t, keep=True) for t in texts]
+    rows = [(i, t, [frozen_root(n), *(freeze(f, c) for f, c in n.children)]) for i, (t, n) in enumerate(zip(texts, trees))]
+    versions = spark.createDataFrame(rows, "doc_id int, text string, tree array<string>").coalesce(2)
+    for model in (Assignment, Both, Ordered):
+        extractor = language.extractor(model, strict=False)
+        assert captured.serves(extractor.checked)
+        nodes, rows = V.version_nodes(versions, extractor.wanted()), V.version_captures(versions, extractor)
+        for got, want in ((captured_rows(rows, extractor.checked, ["doc_id"]), extractor.from_nodes(nodes)), (V.extract_versions(versions, extractor), extractor.extract_nodes(nodes))):
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns and not got.isEmpty()
