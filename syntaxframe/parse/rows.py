@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -166,6 +167,16 @@ def tree_rows(root: Node, text: str, want: Wanted, places: Places | None = None)
         )
 
 
+def _listed(column: pa.Array) -> list:
+    """Values of a column; equal texts in lists are one object."""
+    if not pa.types.is_list(column.type) or not pa.types.is_string(column.type.value_type):
+        return column.to_pylist()
+    held = column.flatten().dictionary_encode()
+    texts, sizes = held.dictionary.to_pylist(), column.value_lengths().to_pylist()
+    inner = iter([None if k is None else texts[k] for k in held.indices.to_pylist()])
+    return [None if n is None else [*islice(inner, n)] for n in sizes]
+
+
 def parse_batches(
     batches: Iterator[pa.RecordBatch], tree_of: Callable[..., Node], want: Wanted, carried: list[str], known: Callable[..., tuple[Shape, Any] | None] | None = None,
     form: tuple[list[tuple[str, pa.DataType]], Callable[[tuple], tuple | None]] | None = None,
@@ -199,7 +210,7 @@ def parse_batches(
             rows.clear()
             return made
 
-        for i, (text, *more) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(carried) :]))):
+        for i, (text, *more) in enumerate(zip(*map(_listed, batch.columns[len(carried) :]))):
             if text is not None:
                 if known is not None and (found := known(text, *more)) is not None:
                     shaped.add(found[0], i, text, found[1])

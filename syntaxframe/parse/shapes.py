@@ -35,6 +35,10 @@ class Shape:
     def __init__(self, root: Node, match: Callable[[str], Any] | None = None):
         self.root, self.match = root, match
 
+    def borders(self, known: list[Any]) -> np.ndarray:
+        """The borders of texts, one row each, from what was found of them."""
+        return np.array(known, np.int64).reshape(len(known), -1)
+
 
 class Shapes:
     """The shapes of the texts that a parser has met."""
@@ -185,9 +189,8 @@ class AnyPlaces:
 class Filled:
     """Columns of rows with borders, over ASCII texts of one shape: all rows of the first text, then those of the second."""
 
-    def __init__(self, texts: list[str], borders: list[Any]):
-        self.texts, self.n = texts, len(texts)
-        self.byte = np.array(borders, np.int64).reshape(self.n, -1)
+    def __init__(self, texts: list[str], borders: np.ndarray):
+        self.texts, self.n, self.byte = texts, len(texts), borders
         self._breaks: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self._points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._lists: dict[int, list[int]] = {}
@@ -274,5 +277,5 @@ class Gathered:
                 continue
             step, columns = max(1, self.ROWS // len(rows)), [*zip(*rows)]
             for k in range(0, len(texts), step):
-                made = Filled(texts[k : k + step], borders[k : k + step])
+                made = Filled(texts[k : k + step], shape.borders(borders[k : k + step]))
                 yield np.repeat(np.array(owners[k : k + step], np.int64), len(rows)), [made.column([*c], t) for c, t in zip(columns, types)]

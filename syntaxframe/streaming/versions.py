@@ -41,6 +41,8 @@ DAY = 86_400_000
 AT_ONCE = 4096, 8 << 20
 #: Neighbouring numbers of versions that are held together.
 GROUP = 256
+#: A group of versions of at most so many characters is held beside the tree, others in a map.
+BESIDE = 1 << 16
 
 
 _parsers: dict[str, Reparser] = {}
@@ -106,6 +108,10 @@ class _Versions(StatefulProcessor):
         pass
 
 
+def _numbered(versions: dict[str, str | None]) -> dict[int, str | None]:
+    return {int(n): t for n, t in versions.items()}
+
+
 class _Document:
     """The document of a key while its rows are worked on. A call of the state costs more than a version, so one value has all but held versions."""
 
@@ -116,7 +122,8 @@ class _Document:
         held = of.last.get()
         self.next = of.first if held is None else held[0] + 1
         self.held = held if held is not None and held[1] is not None else None
-        self.parts: set[int] = set() if held is None else set(json.loads(held[5]))  # groups in the state
+        # Groups in the state: the versions of one, which is held beside the tree; None for those in the map.
+        self.parts: dict[int, dict | None] = {} if held is None else {int(part): v and _numbered(v) for part, v in json.loads(held[5]).items()}
         self.timer = held is not None and held[6]
 
     def _old(self) -> Any:
@@ -160,8 +167,10 @@ class _Document:
         """The held versions of a group, brought to hand; the one before is put back."""
         if self.part != part:
             self._put()
-            held = self.of.ahead.getValue((part,)) if part in self.parts else None
-            self.part, self.versions = part, {} if held is None else {int(n): t for n, t in json.loads(held[0]).items()}
+            self.part, self.versions = part, self.parts.get(part) or {}
+            if part in self.parts and self.parts[part] is None:
+                held = self.of.ahead.getValue((part,))
+                self.versions = {} if held is None else _numbered(json.loads(held[0]))
         return self.versions
 
     def _put(self) -> None:
@@ -169,14 +178,15 @@ class _Document:
         if self.part is None:
             return
         left = {n: t for n, t in self.versions.items() if n >= self.next}
-        if left:
+        mapped = self.part in self.parts and self.parts.pop(self.part) is None
+        if left and sum(len(t or "") for t in left.values()) <= BESIDE and not any(self.parts.values()):
+            self.parts[self.part] = left
+        elif left:
             self.of.ahead.updateValue((self.part,), (json.dumps(left),))
-            self.changed = self.changed or self.part not in self.parts
-            self.parts.add(self.part)
-        elif self.part in self.parts:
+            self.parts[self.part] = None
+        if mapped and self.parts.get(self.part, left) is not None:
             self.of.ahead.removeKey((self.part,))
-            self.parts.remove(self.part)
-            self.changed = True
+        self.changed = True
         self.part, self.versions = None, {}
 
     def least_held(self) -> int | None:
@@ -190,7 +200,7 @@ class _Document:
         if not self.changed:
             return
         self._put()
-        rest, tree = (json.dumps(sorted(self.parts)), self.timer), self._old()
+        rest, tree = (json.dumps(self.parts), self.timer), self._old()
         if tree is None:
             self.of.last.update((self.next - 1, None, None, None, None, *rest))
         else:
