@@ -19,8 +19,8 @@ from ..parse.rows import ARROW
 from .analyze import Checked
 from .paths import path_regex
 
-#: What a row has of its anchor, before its captures.
-ANCHOR = ("node_id", "kind", "start_byte", "end_byte", "start_row", "start_col", "end_row", "end_col", "text")
+#: What a row has of its anchor, before its captures; the last only where a model asks for spans.
+ANCHOR, SPAN = ("node_id", "kind", "start_byte", "end_byte", "start_row", "start_col"), ("end_row", "end_col", "text")
 _AT = {name: i for i, (name, _) in enumerate(ARROW)}
 
 
@@ -36,12 +36,6 @@ def _wrapped(b: Binding, checked: Checked) -> bool:
     return bool(checked.values and checked.values.wrappers) and "str" in b.targets and not b.unescape
 
 
-def columns(n: int) -> list[tuple[str, pa.DataType]]:
-    """Names and types of rows with n captures."""
-    types = dict(ARROW)
-    return [*((name, types[name]) for name in ANCHOR), *((f"_t{i}", pa.string()) for i in range(n)), *((f"_n{i}", pa.int32()) for i in range(n))]
-
-
 @dataclass(frozen=True)
 class Form:
     """What the workers have to know of a model, whose class may not be theirs."""
@@ -49,28 +43,35 @@ class Form:
     anchors: frozenset[str]
     above: str | None
     captures: tuple[tuple[str, str, frozenset[str], bool], ...]  # source, key, kinds, required
+    anchor: tuple[str, ...]
 
     @classmethod
     def of(cls, checked: Checked) -> Form:
         spec = checked.spec
         captures = tuple((b.source, b.key, frozenset(checked.kinds.get(b.name, b.kinds)), b.required) for b in spec.captures)
-        return cls(frozenset(spec.path.anchors), path_regex(spec.path), captures)
+        spans = any(b.targets == ("span",) for b in spec.bindings)
+        return cls(frozenset(spec.path.anchors), path_regex(spec.path), captures, ANCHOR + SPAN if spans else ANCHOR)
+
+    @property
+    def columns(self) -> list[tuple[str, pa.DataType]]:
+        types, n = dict(ARROW), range(len(self.captures))
+        return [*((name, types[name]) for name in self.anchor), *((f"_t{i}", pa.string()) for i in n), *((f"_n{i}", pa.int32()) for i in n)]
 
     @property
     def schema(self) -> str:
         names = {pa.string(): "string", pa.int32(): "int"}
-        return ", ".join(f"`{name}` {names[kind]}" for name, kind in columns(len(self.captures)))
+        return ", ".join(f"`{name}` {names[kind]}" for name, kind in self.columns)
 
     def made(self) -> tuple[list[tuple[str, pa.DataType]], Callable[[tuple], tuple | None]]:
         """The columns, and what makes them of a row of the nodes relation."""
-        return columns(len(self.captures)), captured(self)
+        return self.columns, captured(self)
 
 
 def captured(form: Form) -> Callable[[tuple], tuple | None]:
-    """A row of the nodes relation to one of columns(), or None where the node is no anchor or lacks a required capture. The rules are
+    """A row of the nodes relation to one of the form's columns, or None where the node is no anchor or lacks a required capture. The rules are
     those of field_rows()."""
     above = None if form.above is None else re.compile(form.above)
-    bindings, anchors, anchor = form.captures, form.anchors, [_AT[name] for name in ANCHOR]
+    bindings, anchors, anchor = form.captures, form.anchors, [_AT[name] for name in form.anchor]
     chain = [i for i, (*_, required) in enumerate(bindings) if required]
     kind_at, named_at, path_at, children_at = (_AT[n] for n in ("kind", "named", "path", "children"))
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from syntaxframe.language import language_for
-from syntaxframe.model import M, OutputModel, capture
+from syntaxframe.model import M, OutputModel, Span, capture, source_meta
 from syntaxframe.parse.frozen import freeze, frozen_marks, frozen_root, thawed
 from syntaxframe.streaming import versions as V
 
@@ -236,6 +236,7 @@ class Ordered(OutputModel):
     right: str | None
     left: str
     again: str | None = capture("left")
+    at: Span = source_meta()
 
 
 def test_captures_by_shape_are_those_of_the_node_rows(spark):
@@ -253,3 +254,16 @@ def test_captures_by_shape_are_those_of_the_node_rows(spark):
         nodes, rows = V.version_nodes(versions, extractor.wanted()), V.version_captures(versions, extractor)
         for got, want in ((captured_rows(rows, extractor.checked, ["doc_id"]), extractor.from_nodes(nodes)), (V.extract_versions(versions, extractor), extractor.extract_nodes(nodes))):
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns and not got.isEmpty()
+
+
+def test_held_versions_beside_the_tree_or_in_the_map():
+    """Long versions go to the map, short ones cost no call of it; either come back in their turn, also with other keys between."""
+    for size, calls in ((10, 0), (V.BESIDE, 4)):
+        of = V._Versions(language_for("expr"), 1, 0, 0)
+        of.last, of.ahead = _Value(), _Map()
+        of._wait = lambda *_: None
+        text = {v: f"a = {v};" + " " * size for v in (1, 2, 3, V.GROUP * 2)}
+        got = lambda *vs: [(r.version, r.text) for r in of.handleInputRows((1,), iter([{"version": v, "text": text[v]} for v in vs]), None)]  # noqa: B023, E731
+        assert got(3, V.GROUP * 2) == [] and got(2) == [] and got(1) == [(v, text[v]) for v in (1, 2, 3)]
+        assert of.ahead.calls <= calls + 2 and list(of.ahead.held) == ([(2,)] if size > 10 else list(of.ahead.held))
+        assert V._Document(of).least_held() == V.GROUP * 2
